@@ -18,6 +18,11 @@ from pyspark.sql import functions as F
 PIECE = "_piece"
 
 
+def pieces_of(df: DataFrame, keys: Sequence[str], piece: Column) -> DataFrame:
+    """The distinct (keys, piece) pairs of ``df``."""
+    return df.select(*keys, piece.alias(PIECE)).distinct()
+
+
 def piecewise_windows(
     df: DataFrame,
     keys: Sequence[str],
@@ -32,10 +37,13 @@ def piecewise_windows(
     running_avg: Mapping[str, str] | None = None,
     prev: Mapping[str, str] | None = None,
     next: Mapping[str, str] | None = None,
+    only: DataFrame | None = None,
 ) -> DataFrame:
     """Add row numbers, ranks, running sums/averages and neighbour values. Mappings are name -> column.
 
-    ``rank_by`` must be a prefix of ``order`` whose ties never cross a piece.
+    ``rank_by`` must be a prefix of ``order`` whose ties never cross a piece. ``only`` (keys + piece,
+    from ``pieces_of``) limits the output to those pieces; the totals still cover all rows, but then
+    only rows of the wanted pieces are shuffled and sorted.
     """
     running_sum, running_avg = dict(running_sum or {}), dict(running_avg or {})
     prev, next = dict(prev or {}), dict(next or {})
@@ -78,6 +86,8 @@ def piecewise_windows(
     offsets += [F.lead(f"_first_{n}").over(along)["v"].alias(f"_edge_{n}") for n in next]
 
     per_piece = rows.groupBy(*keys, PIECE).agg(*totals).select(*keys, PIECE, *offsets)
+    if only is not None:
+        rows = rows.join(only, [*keys, PIECE], "left_semi")
     joined = rows.withColumns(local).join(per_piece, [*keys, PIECE], "left")
 
     def total(column: str) -> Column:
@@ -106,6 +116,7 @@ def piecewise_frame(
     before: int,
     after: int,
     aggregates: Mapping[str, Column],
+    only: DataFrame | None = None,
 ) -> DataFrame:
     """Aggregates over ``ROWS BETWEEN before PRECEDING AND after FOLLOWING``.
 
@@ -134,10 +145,10 @@ def _border(rows: DataFrame, keys: Sequence[str], order: Sequence[str], size: in
     edge = rows.withColumn("_at", F.row_number().over(nearest)).filter(F.col("_at") <= size).drop("_at")
     walk = Window.partitionBy(*keys).orderBy(PIECE, *order)
     reach = walk.rowsBetween(-size, -1) if ascending else walk.rowsBetween(1, size)
-    targets = F.array_except(F.collect_set(PIECE).over(reach), F.array(PIECE))
     return (
-        edge.withColumn("_to", F.explode(targets))
-        .drop(PIECE)
+        edge.withColumn("_near", F.collect_set(PIECE).over(reach))
+        .withColumn("_to", F.explode(F.array_except("_near", F.array(PIECE))))
+        .drop(PIECE, "_near")
         .withColumnRenamed("_to", PIECE)
         .withColumn("_border", F.lit(True))
     )

@@ -1,4 +1,4 @@
 """Registered queries, one module per family."""
 
-from tidemark.plans import rows, aggregation  # noqa: F401
+from tidemark.plans import aggregation, joining, rows, windowing  # noqa: F401
 from tidemark.plans.registry import ORACLES, QUERIES  # noqa: F401
