@@ -234,8 +234,8 @@ def model_comparison(spark: SparkSession, d: str) -> DataFrame:
     "ml_13_expanding_folds",
     f"""{WITH_TRIPS}, b AS ({DAILY_B_SQL}),
     p AS (SELECT pickup_date, borough, row_number() OVER (PARTITION BY borough ORDER BY pickup_date) - 1 AS pos,
-                 count(*) OVER (PARTITION BY borough) AS n, fold FROM b, range(1, 6) r(fold)),
-    s AS (SELECT *, n - (6 - fold) * (n // 6) AS start FROM p)
+                 count(*) OVER (PARTITION BY borough) AS n FROM b),
+    s AS (SELECT *, n - (6 - fold) * (n // 6) AS start FROM p, range(1, 6) r(fold))
     SELECT pickup_date, borough, fold::INT AS fold, CASE WHEN pos < start THEN 'train' ELSE 'test' END AS part
     FROM s WHERE pos < start + n // 6""",
 )
