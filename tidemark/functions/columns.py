@@ -96,16 +96,12 @@ def salt(buckets: int, *row_key: str) -> Column:
 MEMORY_UNITS = {"Ki": 1024, "Mi": 1048576, "Gi": 1073741824, "Ti": 1099511627776}
 
 
-def memory_bytes(text: Column) -> Column:
-    """Bytes of '4Gi', '512Mi' or a plain number; anything else is 0."""
-    text = F.trim(text)
-    number = F.regexp_extract(text, r"^([0-9.]+)(Ki|Mi|Gi|Ti)?$", 1)
-    unit = F.regexp_extract(text, r"^([0-9.]+)(Ki|Mi|Gi|Ti)?$", 2)
-    factor = F.lit(1.0)
-    for name, size in MEMORY_UNITS.items():
-        factor = F.when(unit == name, F.lit(float(size))).otherwise(factor)
-    return F.coalesce(F.floor(_as_double(number) * factor), F.lit(0))
+MEMORY_PATTERN = r"^([0-9.]+)(Ki|Mi|Gi|Ti)?$"
 
 
-def _as_double(text: Column) -> Column:
-    return F.when(text != "", text.try_cast("double"))
+def memory_bytes(text: Column) -> Column:
+    """Bytes of '4Gi', '512Mi' or a plain number; anything else is 0."""
+    units = F.create_map(*[F.lit(x) for unit, size in MEMORY_UNITS.items() for x in (unit, float(size))])
+    number = F.regexp_extract(F.trim(text), MEMORY_PATTERN, 1).try_cast("double")
+    factor = F.coalesce(F.try_element_at(units, F.regexp_extract(F.trim(text), MEMORY_PATTERN, 2)), F.lit(1.0))
+    return F.coalesce(F.floor(number * factor), F.lit(0))

@@ -1,4 +1,4 @@
 """Registered queries, one module per family."""
 
-from tidemark.plans import aggregation, checks, joining, learning, rows, storage, windowing  # noqa: F401
+from tidemark.plans import aggregation, checks, joining, learning, rows, runs, storage, windowing  # noqa: F401
 from tidemark.plans.registry import ORACLES, QUERIES  # noqa: F401
