@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.columns import banded, salt
 from tidemark.operators.filters import labelled
+from tidemark.operators.joins import join_group_stats
 from tidemark.operators.order_stats import linear_quantiles
 
 # Payment type codes.
@@ -144,6 +145,14 @@ def median(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     return picked.select(*keys, F.round("median", 4).alias("median"), F.col("_n").alias("n"))
 
 
+def trimmed_mean(df: DataFrame, key: str, value: str) -> DataFrame:
+    """Mean per group after dropping values beyond 1.5 interquartile ranges (linear quartiles)."""
+    quartiles = linear_quantiles(df, [key], value, {"q1": 0.25, "q3": 0.75}).drop("_n")
+    reach = 1.5 * (F.col("q3") - F.col("q1"))
+    kept = join_group_stats(df, quartiles, [key]).filter(F.col(value).between(F.col("q1") - reach, F.col("q3") + reach))
+    return kept.groupBy(key).agg((F.round(F.sum(value), 4) / F.count(value)).alias("trimmed_mean"), F.count(value).alias("kept"))
+
+
 def uniqueness_gap(df: DataFrame, keys: Sequence[str], column: str) -> DataFrame:
     """Rows, distinct values and their gap. Spark de-duplicates per (key, value) before the key shuffle."""
     out = df.groupBy(*keys).agg(F.count(column).alias("n"), F.countDistinct(column).alias("n_distinct"))

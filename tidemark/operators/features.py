@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import columns as fx
-from tidemark.operators.filters import first_per_key
 
 # The columns of the feature table.
 FEATURE_COLUMNS = [
@@ -98,10 +97,21 @@ def with_targets(daily: DataFrame) -> DataFrame:
 def feature_table(trips: DataFrame, row_order: list[str]) -> DataFrame:
     """One row per (day, zone, hour) with its calendar, place, history and target columns.
 
-    The kept row of a key is the first by pickup time and ``row_order``. It is chosen before the daily
-    history is joined, so the join sees one row per key instead of every trip.
+    The kept row of a key is the first by pickup time and ``row_order``. Trips are read and shuffled
+    once: they shrink map-side to one row per (day, zone, hour) carrying its sums and its kept row,
+    those gather into one row per (day, zone) with at most 24 hours inside, and the history windows
+    run on these day rows, whose number per zone the calendar bounds. No join back is needed.
     """
-    detail = geospatial(temporal(trips))
-    kept = first_per_key(detail, ["pickup_date", "pu_zone", "hour_of_day"], ["pickup_ts", *row_order])
-    daily = with_targets(with_history(daily_zone(trips))).drop("borough", "avg_distance", "avg_duration")
-    return kept.join(daily, ["pickup_date", "pu_zone"], "left").select(*FEATURE_COLUMNS)
+    carried = ["pickup_ts", *row_order, *[c for c in ("dropoff_ts", "do_zone", "distance") if c not in row_order]]
+    hourly = trips.groupBy(
+        F.to_date("pickup_ts").alias("pickup_date"), "pu_zone", F.hour("pickup_ts").alias("_hour")
+    ).agg(F.sum("total").alias("_sum"), F.count(F.lit(1)).alias("_n"), F.min(F.struct(*carried)).alias("_kept"))
+    daily = hourly.groupBy("pickup_date", "pu_zone").agg(
+        F.sum("_sum").alias("daily_revenue"), F.sum("_n").alias("daily_trips"), F.collect_list("_kept").alias("_hours")
+    )
+    rows = (
+        with_targets(with_history(daily))
+        .withColumn("_row", F.explode("_hours"))
+        .select("*", *[F.col(f"_row.{c}").alias(c) for c in carried])
+    )
+    return geospatial(temporal(rows)).select(*FEATURE_COLUMNS)

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.columns import salt
+from tidemark.session import materialize
 
 BROADCAST_LIMIT = 32 * 1024 * 1024
 
@@ -30,6 +31,16 @@ def lookup_join(facts: DataFrame, lookup: DataFrame, on: str, how: str = "inner"
     return facts.join(broadcast_if_small(lookup, limit), on, how)
 
 
+def join_group_stats(detail: DataFrame, stats: DataFrame, on: Sequence[str], how: str = "inner") -> DataFrame:
+    """Detail rows with the figures of their group (runs one job: the figures are written first).
+
+    Planned in one go, both sides would be shuffled on the group before the figures prove small, which
+    moves the whole detail onto a few hot keys. Written first, their size is known: small figures are
+    broadcast and the detail stays where it is; otherwise it is a shuffle join with AQE skew handling.
+    """
+    return detail.join(broadcast_if_small(materialize(stats, "group-stats")), list(on), how)
+
+
 def salted_join(facts: DataFrame, lookup: DataFrame, on: str, row_key: Sequence[str], salts: int = 8) -> DataFrame:
     """Inner join with the facts spread over ``salts`` and the lookup repeated once per salt."""
     spread = facts.withColumn("_salt", salt(salts, *row_key))

@@ -112,7 +112,11 @@ def regressors(n_train: int, trees: int = 100, depth: int = 5, seed: int = 42) -
 
 def fit_and_predict(train: DataFrame, test: DataFrame, features: Sequence[str], target: str, model) -> tuple[object, DataFrame]:
     model = model.copy({model.labelCol: target, model.featuresCol: "features"})
-    fitted = model.fit(_assembled(train, features).cache())
+    ready = _assembled(train, features).persist()
+    try:
+        fitted = model.fit(ready)
+    finally:
+        ready.unpersist()
     return fitted, fitted.transform(_assembled(test, features))
 
 

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.columns import MEMORY_UNITS, memory_bytes, safe_ratio
 from tidemark.functions.stats import normal_p_value, t_critical, t_p_value
+from tidemark.operators.joins import join_group_stats
 from tidemark.operators.order_stats import index_quartile, linear_quantiles, nearest_rank, upper_median, values_at_ranks
 
 GB = 1073741824
@@ -321,7 +322,7 @@ def _outside(df: DataFrame, keys: Sequence[str], value: str, quartiles: DataFram
     usable = quartiles.filter((F.col("_n") >= 4) & (iqr != 0)).select(
         *keys, (F.col("_q1") - 1.5 * iqr).alias("_low"), (F.col("_q3") + 1.5 * iqr).alias("_high")
     )
-    found = df.join(usable, list(keys)).filter((F.col(value) < F.col("_low")) | (F.col(value) > F.col("_high")))
+    found = join_group_stats(df, usable, keys).filter((F.col(value) < F.col("_low")) | (F.col(value) > F.col("_high")))
     return found.drop("_low", "_high")
 
 
@@ -337,7 +338,7 @@ def index_iqr_outliers(df: DataFrame, keys: Sequence[str], value: str) -> DataFr
 def zscore_outliers(df: DataFrame, keys: Sequence[str], value: str, threshold: float = 3.0) -> DataFrame:
     stats = df.groupBy(*keys).agg(F.avg(value).alias("_m"), F.stddev_pop(value).alias("_s"), F.count(value).alias("_n"))
     usable = stats.filter((F.col("_n") >= 3) & (F.col("_s") > 0))
-    scored = df.join(usable, list(keys)).withColumn("z", (F.col(value) - F.col("_m")) / F.col("_s"))
+    scored = join_group_stats(df, usable, keys).withColumn("z", (F.col(value) - F.col("_m")) / F.col("_s"))
     return scored.filter(F.abs("z") > threshold).drop("_m", "_s", "_n")
 
 

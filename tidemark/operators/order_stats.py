@@ -17,9 +17,13 @@ Rank = Callable[[Column], Column]
 
 
 def values_at_ranks(
-    df: DataFrame, keys: Sequence[str], value: str, ranks: Mapping[str, Rank], cells: int = 4096
+    df: DataFrame, keys: Sequence[str], value: str, ranks: Mapping[str, Rank], cells: int = 4096, rounds: int = 2
 ) -> DataFrame:
-    """One row per group: ``_n`` non-null values and, per name, the value at the 0-based rank f(n)."""
+    """One row per group: ``_n`` non-null values and, per name, the value at the 0-based rank f(n).
+
+    Each round cuts the span that holds a wanted rank into ``cells``, so what is finally ordered is a
+    cell of a cell, however long the tail of the values.
+    """
     group = list(keys) or ["_all"]
     data = df if keys else df.withColumn("_all", F.lit(0))
     counts = (
@@ -27,30 +31,18 @@ def values_at_ranks(
         .groupBy(*group, F.col(value).cast("double").alias("_v"))
         .agg(F.count(F.lit(1)).alias("_c"))
     )
-    span = counts.groupBy(*group).agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.sum("_c").alias("_n"))
-    # without keys the span is a single row, so its broadcast is bounded
-    width = F.col("_hi") - F.col("_lo")
-    cell = F.when(width > 0, F.least(F.floor((F.col("_v") - F.col("_lo")) / width * cells), F.lit(cells - 1))).otherwise(0)
-    placed = counts.join(span if keys else F.broadcast(span), group).withColumn("_cell", cell.cast("int"))
-
-    below = Window.partitionBy(*group).orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = counts.groupBy(*group).agg(F.sum("_c").alias("_n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
     wanted = F.array(
         *[F.struct(F.lit(name).alias("name"), rank(F.col("_n")).cast("long").alias("rank")) for name, rank in ranks.items()]
     )
-    cell_totals = placed.groupBy(*group, "_cell").agg(F.sum("_c").alias("_in_cell"), F.max("_n").alias("_n"))
-    hits = (
-        cell_totals.withColumn("_below", F.coalesce(F.sum("_in_cell").over(below), F.lit(0)))
-        .withColumn(
-            "_picks",
-            F.filter(wanted, lambda p: (p["rank"] >= F.col("_below")) & (p["rank"] < F.col("_below") + F.col("_in_cell"))),
-        )
-        .filter(F.size("_picks") > 0)
-        .select(*group, "_cell", "_below", "_picks")
-    )
-    in_cell = Window.partitionBy(*group, "_cell").orderBy("_v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    spans, held, path = sizes.withColumn("_picks", wanted), counts, list(group)
+    for i in range(rounds):
+        held, spans = _narrowed(held, spans, path, f"_cell{i}", cells, single=not keys and i == 0)
+        path.append(f"_cell{i}")
+    in_cell = Window.partitionBy(*path).orderBy("_v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     found = (
-        placed.join(hits, [*group, "_cell"])
-        .withColumn("_end", F.col("_below") + F.sum("_c").over(in_cell))
+        held.join(spans.select(*path, "_n", "_picks"), path)
+        .withColumn("_end", F.sum("_c").over(in_cell))
         .withColumn("_pick", F.explode("_picks"))
         .filter((F.col("_pick.rank") < F.col("_end")) & (F.col("_pick.rank") >= F.col("_end") - F.col("_c")))
     )
@@ -58,6 +50,36 @@ def values_at_ranks(
     return found.groupBy(*group).agg(F.max("_n").alias("_n"), *picked).select(*keys, "_n", *ranks)
 
 
+def _narrowed(
+    held: DataFrame, spans: DataFrame, path: list[str], cell: str, cells: int, single: bool
+) -> tuple[DataFrame, DataFrame]:
+    """Cut every span into cells and keep the cells that hold a wanted rank.
+
+    ``spans`` has one row per path with its value range and the wanted ranks counted from its start;
+    returns the values with their cell and the spans of the hit cells.
+    """
+    width = F.col("_hi") - F.col("_lo")
+    at = F.when(width > 0, F.least(F.floor((F.col("_v") - F.col("_lo")) / width * cells), F.lit(cells - 1))).otherwise(0)
+    # without keys the first span is a single row, so its broadcast is bounded
+    placed = held.join(F.broadcast(spans) if single else spans, path).withColumn(cell, at.cast("int"))
+    totals = placed.groupBy(*path, cell).agg(
+        F.sum("_c").alias("_in"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.first("_n").alias("_n"),
+        F.first("_picks").alias("_picks"),
+    )
+    earlier = Window.partitionBy(*path).orderBy(cell).rowsBetween(Window.unboundedPreceding, -1)
+    below, size = F.col("_below"), F.col("_in")
+    inside = F.filter("_picks", lambda p: (p["rank"] >= below) & (p["rank"] < below + size))
+    shifted = F.transform("_picks", lambda p: F.struct(p["name"].alias("name"), (p["rank"] - below).alias("rank")))
+    hit = (
+        totals.withColumn("_below", F.coalesce(F.sum("_in").over(earlier), F.lit(0)))
+        .withColumn("_picks", inside)
+        .filter(F.size("_picks") > 0)
+        .withColumn("_picks", shifted)
+        .select(*path, cell, "_lo", "_hi", "_n", "_picks")
+    )
+    return placed.select(*path, cell, "_v", "_c"), hit
+
+
 def linear_quantiles(
     df: DataFrame, keys: Sequence[str], value: str, quantiles: Mapping[str, float], cells: int = 4096
 ) -> DataFrame:

@@ -12,7 +12,6 @@ from tidemark.functions.columns import BOROUGHS
 from tidemark.operators import aggregates as agg
 from tidemark.operators import features
 from tidemark.operators import learning as ops
-from tidemark.operators.order_stats import linear_quantiles
 from tidemark.plans.inputs import TRIP_ORDER, WITH_TRIPS, table, trips
 from tidemark.plans.registry import query
 from tidemark.plans.rows import BOROUGH_SQL, HOLIDAY_SQL, KEYS, purchases
@@ -435,14 +434,6 @@ def score_batches(spark: SparkSession, d: str) -> DataFrame:
     return _tiered(spark, d).select("event_id", scoring.score_batches("amount", "tier").alias("score"))
 
 
-def trimmed_mean(df: DataFrame, key: str, value: str) -> DataFrame:
-    """Mean per group after dropping values beyond 1.5 interquartile ranges (linear quartiles)."""
-    quartiles = linear_quantiles(df, [key], value, {"q1": 0.25, "q3": 0.75}).drop("_n")
-    reach = 1.5 * (F.col("q3") - F.col("q1"))
-    kept = df.join(quartiles, key).filter(F.col(value).between(F.col("q1") - reach, F.col("q3") + reach))
-    return kept.groupBy(key).agg((F.round(F.sum(value), 4) / F.count(value)).alias("trimmed_mean"), F.count(value).alias("kept"))
-
-
 @query(
     "udf_03_trimmed_mean",
     """WITH q AS (SELECT event_type, quantile_cont(value, 0.25) AS q1, quantile_cont(value, 0.75) AS q3 FROM events GROUP BY 1)
@@ -450,7 +441,7 @@ def trimmed_mean(df: DataFrame, key: str, value: str) -> DataFrame:
     WHERE value BETWEEN q1 - 1.5 * (q3 - q1) AND q3 + 1.5 * (q3 - q1) GROUP BY 1""",
 )
 def trimmed_mean_by_type(spark: SparkSession, d: str) -> DataFrame:
-    return trimmed_mean(table(spark, d, "events"), "event_type", "value")
+    return agg.trimmed_mean(table(spark, d, "events"), "event_type", "value")
 
 
 @query(
