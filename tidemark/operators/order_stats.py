@@ -2,8 +2,8 @@
 
 ``percentile`` keeps a value->count map of a whole group in one buffer; that is fine for small groups
 and fails for a key holding a third of a large table. Here values are counted per (group, value) with
-map-side combine, the group's value span is cut into cells, cell totals locate the cell of each wanted
-rank, and only those cells are ordered.
+map-side combine, the value span of a large group is cut into cells, cell totals locate the cell of
+each wanted rank, and only those cells are ordered.
 """
 
 from __future__ import annotations
@@ -13,35 +13,45 @@ from collections.abc import Callable, Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators.joins import broadcast_if_small
+from tidemark.session import materialize
+
 Rank = Callable[[Column], Column]
 
 
 def values_at_ranks(
-    df: DataFrame, keys: Sequence[str], value: str, ranks: Mapping[str, Rank], cells: int = 4096, rounds: int = 2
+    df: DataFrame, keys: Sequence[str], value: str, ranks: Mapping[str, Rank], cells: int = 1024, cell_values: int = 200_000
 ) -> DataFrame:
     """One row per group: ``_n`` non-null values and, per name, the value at the 0-based rank f(n).
 
-    Each round cuts the span that holds a wanted rank into ``cells``, so what is finally ordered is a
-    cell of a cell, however long the tail of the values.
+    The counts and, per round, the spans are written to the shared folder (small jobs): the input is
+    read once, and spans are broadcast only when their written size is small. A span is cut into cells
+    again until no cell holds more than ``cell_values`` distinct values, however long the tail.
     """
     group = list(keys) or ["_all"]
     data = df if keys else df.withColumn("_all", F.lit(0))
-    counts = (
+    held = materialize(
         data.filter(F.col(value).isNotNull())
         .groupBy(*group, F.col(value).cast("double").alias("_v"))
-        .agg(F.count(F.lit(1)).alias("_c"))
+        .agg(F.count(F.lit(1)).alias("_c")),
+        "value-counts",
     )
-    sizes = counts.groupBy(*group).agg(F.sum("_c").alias("_n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
     wanted = F.array(
         *[F.struct(F.lit(name).alias("name"), rank(F.col("_n")).cast("long").alias("rank")) for name, rank in ranks.items()]
     )
-    spans, held, path = sizes.withColumn("_picks", wanted), counts, list(group)
-    for i in range(rounds):
-        held, spans = _narrowed(held, spans, path, f"_cell{i}", cells, single=not keys and i == 0)
-        path.append(f"_cell{i}")
+    sizes = held.groupBy(*group).agg(
+        F.sum("_c").alias("_n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.count(F.lit(1)).alias("_values")
+    )
+    spans, path = materialize(sizes.withColumn("_picks", wanted), "spans"), list(group)
+    while (spans.agg(F.max("_values")).first()[0] or 0) > cell_values:
+        cell = f"_cell{len(path) - len(group)}"
+        placed = held.join(broadcast_if_small(spans), path).withColumn(cell, _cell_of(cells))
+        path.append(cell)
+        spans = materialize(_hit_cells(placed, path), "spans")
+        held = placed.select(*path, "_v", "_c")
     in_cell = Window.partitionBy(*path).orderBy("_v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     found = (
-        held.join(spans.select(*path, "_n", "_picks"), path)
+        held.join(broadcast_if_small(spans.select(*path, "_n", "_picks")), path)
         .withColumn("_end", F.sum("_c").over(in_cell))
         .withColumn("_pick", F.explode("_picks"))
         .filter((F.col("_pick.rank") < F.col("_end")) & (F.col("_pick.rank") >= F.col("_end") - F.col("_c")))
@@ -50,34 +60,30 @@ def values_at_ranks(
     return found.groupBy(*group).agg(F.max("_n").alias("_n"), *picked).select(*keys, "_n", *ranks)
 
 
-def _narrowed(
-    held: DataFrame, spans: DataFrame, path: list[str], cell: str, cells: int, single: bool
-) -> tuple[DataFrame, DataFrame]:
-    """Cut every span into cells and keep the cells that hold a wanted rank.
-
-    ``spans`` has one row per path with its value range and the wanted ranks counted from its start;
-    returns the values with their cell and the spans of the hit cells.
-    """
+def _cell_of(cells: int) -> Column:
+    """The cell of ``_v`` in the span it is joined with."""
     width = F.col("_hi") - F.col("_lo")
-    at = F.when(width > 0, F.least(F.floor((F.col("_v") - F.col("_lo")) / width * cells), F.lit(cells - 1))).otherwise(0)
-    # without keys the first span is a single row, so its broadcast is bounded
-    placed = held.join(F.broadcast(spans) if single else spans, path).withColumn(cell, at.cast("int"))
-    totals = placed.groupBy(*path, cell).agg(
-        F.sum("_c").alias("_in"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.first("_n").alias("_n"),
-        F.first("_picks").alias("_picks"),
+    at = F.floor((F.col("_v") - F.col("_lo")) / width * cells)
+    return F.when(width > 0, F.least(at, F.lit(cells - 1))).otherwise(0).cast("int")
+
+
+def _hit_cells(placed: DataFrame, path: list[str]) -> DataFrame:
+    """The cells that hold a wanted rank, with their range and the ranks counted from the cell's start."""
+    totals = placed.groupBy(*path).agg(
+        F.sum("_c").alias("_in"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.count(F.lit(1)).alias("_values"),
+        F.first("_n").alias("_n"), F.first("_picks").alias("_picks"),
     )
-    earlier = Window.partitionBy(*path).orderBy(cell).rowsBetween(Window.unboundedPreceding, -1)
+    earlier = Window.partitionBy(*path[:-1]).orderBy(path[-1]).rowsBetween(Window.unboundedPreceding, -1)
     below, size = F.col("_below"), F.col("_in")
     inside = F.filter("_picks", lambda p: (p["rank"] >= below) & (p["rank"] < below + size))
     shifted = F.transform("_picks", lambda p: F.struct(p["name"].alias("name"), (p["rank"] - below).alias("rank")))
-    hit = (
+    return (
         totals.withColumn("_below", F.coalesce(F.sum("_in").over(earlier), F.lit(0)))
         .withColumn("_picks", inside)
         .filter(F.size("_picks") > 0)
         .withColumn("_picks", shifted)
-        .select(*path, cell, "_lo", "_hi", "_n", "_picks")
+        .select(*path, "_lo", "_hi", "_values", "_n", "_picks")
     )
-    return placed.select(*path, cell, "_v", "_c"), hit
 
 
 def linear_quantiles(

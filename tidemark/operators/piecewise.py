@@ -5,7 +5,9 @@ A plain ``Window.partitionBy(key)`` sorts all rows of one key in one task. Here
 of the sort value). The detail rows are windowed per (key, piece); what a piece needs to know about
 earlier pieces is a handful of totals per piece, windowed per key on that small table and joined back.
 
-``keys`` must not be NULL. ``order`` lists ascending columns that together order rows totally.
+Key and piece travel as columns that are never NULL (a filler value plus one column of NULL flags), so
+rows with NULL keys keep their group, and the join back needs no NULL filter that would keep Spark from
+using one shuffle for both branches. ``order`` lists ascending columns that together order rows totally.
 """
 
 from __future__ import annotations
@@ -14,13 +16,39 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, DataType, DateType, NumericType, StringType, TimestampNTZType, TimestampType
 
-PIECE = "_piece"
+PIECE = ["_no_piece", "_piece"]
+
+
+def _filled(column: Column, kind: DataType) -> Column:
+    if isinstance(kind, NumericType):
+        filler = F.lit(0)
+    elif isinstance(kind, BooleanType):
+        filler = F.lit(False)
+    elif isinstance(kind, StringType):
+        filler = F.lit("")
+    elif isinstance(kind, (DateType, TimestampType, TimestampNTZType)):
+        filler = F.lit("1970-01-01")
+    else:
+        raise TypeError(f"cannot cut keys of type {kind.simpleString()}")
+    return F.coalesce(column, filler.cast(kind))
+
+
+def _placed(df: DataFrame, keys: Sequence[str], piece: Column) -> tuple[DataFrame, list[str]]:
+    """Adds the group columns and the piece columns; returns the frame and the group column names."""
+    kinds = [df.schema[k].dataType for k in keys]
+    flags = sum((F.col(k).isNull().cast("int") * 2**i for i, k in enumerate(keys)), F.lit(0))
+    group = {"_nulls": flags, **{f"_k{i}": _filled(F.col(k), kind) for i, (k, kind) in enumerate(zip(keys, kinds))}}
+    kind = df.select(piece.alias("p")).schema["p"].dataType
+    at = {PIECE[0]: piece.isNotNull().cast("int"), PIECE[1]: _filled(piece, kind)}
+    return df.withColumns({**group, **at}), list(group)
 
 
 def pieces_of(df: DataFrame, keys: Sequence[str], piece: Column) -> DataFrame:
-    """The distinct (keys, piece) pairs of ``df``."""
-    return df.select(*keys, piece.alias(PIECE)).distinct()
+    """The distinct (group, piece) pairs of ``df``."""
+    rows, group = _placed(df, keys, piece)
+    return rows.select(*group, *PIECE).distinct()
 
 
 def piecewise_windows(
@@ -41,8 +69,8 @@ def piecewise_windows(
 ) -> DataFrame:
     """Add row numbers, ranks, running sums/averages and neighbour values. Mappings are name -> column.
 
-    ``rank_by`` must be a prefix of ``order`` whose ties never cross a piece. ``only`` (keys + piece,
-    from ``pieces_of``) limits the output to those pieces; the totals still cover all rows, but then
+    ``rank_by`` must be a prefix of ``order`` whose ties never cross a piece. ``only`` (from
+    ``pieces_of``) limits the output to those pieces; the totals still cover all rows, but then
     only rows of the wanted pieces are shuffled and sorted.
     """
     running_sum, running_avg = dict(running_sum or {}), dict(running_avg or {})
@@ -50,10 +78,11 @@ def piecewise_windows(
     summed = sorted(set(running_sum.values()) | set(running_avg.values()))
     counted = sorted(set(running_avg.values()))
 
-    rows = df.withColumn(PIECE, piece)
-    in_piece = Window.partitionBy(*keys, PIECE).orderBy(*order)
+    rows, group = _placed(df, keys, piece)
+    at = [*group, *PIECE]
+    in_piece = Window.partitionBy(*at).orderBy(*order)
     so_far = in_piece.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    tied = Window.partitionBy(*keys, PIECE).orderBy(*(rank_by or order))
+    tied = Window.partitionBy(*at).orderBy(*(rank_by or order))
 
     local = {"_rn": F.row_number().over(in_piece)}
     if rank:
@@ -65,17 +94,7 @@ def piecewise_windows(
     local |= {f"_prev_{n}": F.lag(c).over(in_piece) for n, c in prev.items()}
     local |= {f"_next_{n}": F.lead(c).over(in_piece) for n, c in next.items()}
 
-    position = F.struct(*order)
-    totals = [F.count(F.lit(1)).alias("_n")]
-    if dense_rank:
-        totals.append(F.countDistinct(*rank_by).alias("_d"))
-    totals += [F.sum(c).alias(f"_t_{c}") for c in summed]
-    totals += [F.count(c).alias(f"_c_{c}") for c in counted]
-    # the wrapping struct keeps a NULL value at the edge of a piece
-    totals += [F.max_by(F.struct(F.col(c).alias("v")), position).alias(f"_last_{n}") for n, c in prev.items()]
-    totals += [F.min_by(F.struct(F.col(c).alias("v")), position).alias(f"_first_{n}") for n, c in next.items()]
-
-    along = Window.partitionBy(*keys).orderBy(PIECE)
+    along = Window.partitionBy(*group).orderBy(*PIECE)
     earlier = along.rowsBetween(Window.unboundedPreceding, -1)
     offsets = [F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_n0"), F.col("_n")]
     if dense_rank:
@@ -85,10 +104,13 @@ def piecewise_windows(
     offsets += [F.lag(f"_last_{n}").over(along)["v"].alias(f"_edge_{n}") for n in prev]
     offsets += [F.lead(f"_first_{n}").over(along)["v"].alias(f"_edge_{n}") for n in next]
 
-    per_piece = rows.groupBy(*keys, PIECE).agg(*totals).select(*keys, PIECE, *offsets)
-    if only is not None:
-        rows = rows.join(only, [*keys, PIECE], "left_semi")
-    joined = rows.withColumns(local).join(per_piece, [*keys, PIECE], "left")
+    if only is None:
+        detail = rows.withColumns({**local, "_is_last": F.lead(F.lit(1)).over(in_piece).isNull()})
+        totals = _totals_from_edges(detail, at, summed, counted, prev, next, bool(dense_rank))
+    else:
+        detail = rows.join(only, at, "left_semi").withColumns(local)
+        totals = _totals_from_rows(rows, at, order, summed, counted, prev, next, rank_by if dense_rank else ())
+    joined = detail.join(totals.select(*at, *offsets), at, "left")
 
     def total(column: str) -> Column:
         here, before = F.col(f"_sum_{column}"), F.col(f"_t0_{column}")
@@ -108,6 +130,39 @@ def piecewise_windows(
     return joined.select(*out)
 
 
+def _totals_from_edges(
+    detail: DataFrame, at: list[str], summed: list[str], counted: list[str], prev: Mapping, next: Mapping, dense: bool
+) -> DataFrame:
+    """Totals of a piece from its first and last windowed row. The shuffle of the detail serves both
+    branches when the frame holds no columns beyond those used here."""
+    last, first = F.col("_is_last"), F.col("_rn") == 1
+    aggs = [F.max(F.when(last, F.col("_rn"))).alias("_n")]
+    if dense:
+        aggs.append(F.max(F.when(last, F.col("_dense"))).alias("_d"))
+    aggs += [F.max(F.when(last, F.col(f"_sum_{c}"))).alias(f"_t_{c}") for c in summed]
+    aggs += [F.max(F.when(last, F.col(f"_cnt_{c}"))).alias(f"_c_{c}") for c in counted]
+    aggs += [F.max(F.when(last, F.struct(F.col(c).alias("v")))).alias(f"_last_{n}") for n, c in prev.items()]
+    aggs += [F.max(F.when(first, F.struct(F.col(c).alias("v")))).alias(f"_first_{n}") for n, c in next.items()]
+    return detail.filter(first | last).groupBy(*at).agg(*aggs)
+
+
+def _totals_from_rows(
+    rows: DataFrame, at: list[str], order: Sequence[str], summed: list[str], counted: list[str], prev: Mapping, next: Mapping,
+    rank_by: Sequence[str],
+) -> DataFrame:
+    """Totals of a piece by map-side combined aggregation, without windowing its rows."""
+    position = F.struct(*order)
+    aggs = [F.count(F.lit(1)).alias("_n")]
+    if rank_by:
+        aggs.append(F.countDistinct(*rank_by).alias("_d"))
+    aggs += [F.sum(c).alias(f"_t_{c}") for c in summed]
+    aggs += [F.count(c).alias(f"_c_{c}") for c in counted]
+    # the wrapping struct keeps a NULL value at the edge of a piece
+    aggs += [F.max_by(F.struct(F.col(c).alias("v")), position).alias(f"_last_{n}") for n, c in prev.items()]
+    aggs += [F.min_by(F.struct(F.col(c).alias("v")), position).alias(f"_first_{n}") for n, c in next.items()]
+    return rows.groupBy(*at).agg(*aggs)
+
+
 def piecewise_frame(
     df: DataFrame,
     keys: Sequence[str],
@@ -124,47 +179,49 @@ def piecewise_frame(
     ``after`` rows behind it. Border rows come from the edges of pieces only, so the per-key window
     that places them sees at most ``before + after`` rows per piece.
     """
-    rows = df.withColumn(PIECE, piece)
+    rows, group = _placed(df, keys, piece)
+    at = [*group, *PIECE]
     parts = [rows.withColumn("_border", F.lit(False))]
     for size, ascending in ((before, False), (after, True)):
         if size:
-            parts.append(_border(rows, keys, order, size, ascending))
+            parts.append(_border(rows, group, order, size, ascending))
     bordered = parts[0]
     for part in parts[1:]:
         bordered = bordered.unionByName(part)
-    frame = Window.partitionBy(*keys, PIECE).orderBy(*order).rowsBetween(-before, after)
+    frame = Window.partitionBy(*at).orderBy(*order).rowsBetween(-before, after)
     computed = bordered.withColumns({name: agg.over(frame) for name, agg in aggregates.items()})
     return computed.filter(~F.col("_border")).select(*df.columns, *aggregates)
 
 
-def _border(rows: DataFrame, keys: Sequence[str], order: Sequence[str], size: int, ascending: bool) -> DataFrame:
+def _border(rows: DataFrame, group: list[str], order: Sequence[str], size: int, ascending: bool) -> DataFrame:
     """Rows that neighbouring pieces need: the first (ascending) or last ``size`` rows of every piece,
     re-labelled with each other piece that lies within ``size`` edge rows of them."""
     turn = F.asc if ascending else F.desc
-    nearest = Window.partitionBy(*keys, PIECE).orderBy(*[turn(c) for c in order])
-    edge = rows.withColumn("_at", F.row_number().over(nearest)).filter(F.col("_at") <= size).drop("_at")
-    walk = Window.partitionBy(*keys).orderBy(PIECE, *order)
+    nearest = Window.partitionBy(*group, *PIECE).orderBy(*[turn(c) for c in order])
+    edge = rows.withColumn("_nth", F.row_number().over(nearest)).filter(F.col("_nth") <= size).drop("_nth")
+    walk = Window.partitionBy(*group).orderBy(*PIECE, *order)
     reach = walk.rowsBetween(-size, -1) if ascending else walk.rowsBetween(1, size)
+    here = F.struct(*PIECE)
     return (
-        edge.withColumn("_near", F.collect_set(PIECE).over(reach))
-        .withColumn("_to", F.explode(F.array_except("_near", F.array(PIECE))))
-        .drop(PIECE, "_near")
-        .withColumnRenamed("_to", PIECE)
+        edge.withColumn("_near", F.collect_set(here).over(reach))
+        .withColumn("_to", F.explode(F.array_except("_near", F.array(here))))
+        .withColumns({c: F.col(f"_to.{c}") for c in PIECE})
+        .drop("_near", "_to")
         .withColumn("_border", F.lit(True))
     )
 
 
 def stitched_sessions(
-    df: DataFrame, user: str, ts: str, gap: str, measures: Mapping[str, tuple[str, Column]] | None = None
+    df: DataFrame, user: str, ts: str, gap: str, measures: Mapping[str, tuple[str, Column]] | None = None, piece: Column | None = None
 ) -> DataFrame:
     """Sessions split where a user is silent for longer than ``gap`` (strictly); ids start at 0.
 
-    Sessions are first found per (user, day), reduced to one row each, and then stitched across
-    midnight on those rows, whose number per user the calendar bounds. ``measures`` maps an output
-    name to ("sum" | "min" | "max", column).
+    Sessions are first found per (user, piece), by default a day, reduced to one row each, and then
+    stitched across pieces on those rows, whose number per user the calendar bounds. ``measures`` maps
+    an output name to ("sum" | "min" | "max", column).
     """
     measures = dict(measures or {})
-    day_rows = df.withColumn("_day", F.to_date(ts))
+    day_rows = df.withColumn("_day", F.to_date(ts) if piece is None else piece)
     in_day = Window.partitionBy(user, "_day").orderBy(ts)
     starts = F.when(F.col(ts) > F.lag(ts).over(in_day) + F.expr(f"INTERVAL {gap}"), 1).otherwise(0)
     first = [F.min(ts).alias("_from"), F.max(ts).alias("_to"), F.count(F.lit(1)).alias("_n")]

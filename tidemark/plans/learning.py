@@ -206,7 +206,7 @@ def time_split(spark: SparkSession, d: str) -> DataFrame:
 
 
 NAMES = [name for _, _, name in BOROUGHS]
-LIGHT = {"maxIter": 8, "maxDepth": 3, "stepSize": 0.3, "seed": 42}
+LIGHT = {"maxIter": 5, "maxDepth": 3, "stepSize": 0.3, "seed": 42}
 
 
 def _boosted(spark: SparkSession, d: str):
