@@ -96,12 +96,16 @@ def salt(buckets: int, *row_key: str) -> Column:
 MEMORY_UNITS = {"Ki": 1024, "Mi": 1048576, "Gi": 1073741824, "Ti": 1099511627776}
 
 
-MEMORY_PATTERN = r"^([0-9.]+)(Ki|Mi|Gi|Ti)?$"
+
+def number(text: Column) -> Column:
+    """A plain number as double, else NULL. The pattern is tested first: a failing try_cast is slow."""
+    return F.when(text.rlike(r"^-?[0-9]+(\.[0-9]*)?([eE][-+]?[0-9]+)?$"), text.try_cast("double"))
 
 
 def memory_bytes(text: Column) -> Column:
     """Bytes of '4Gi', '512Mi' or a plain number; anything else is 0."""
     units = F.create_map(*[F.lit(x) for unit, size in MEMORY_UNITS.items() for x in (unit, float(size))])
-    number = F.regexp_extract(F.trim(text), MEMORY_PATTERN, 1).try_cast("double")
-    factor = F.coalesce(F.try_element_at(units, F.regexp_extract(F.trim(text), MEMORY_PATTERN, 2)), F.lit(1.0))
-    return F.coalesce(F.floor(number * factor), F.lit(0))
+    text = F.trim(text)
+    factor = F.try_element_at(units, F.right(text, F.lit(2)))
+    digits = F.when(factor.isNull(), text).otherwise(F.left(text, F.length(text) - 2))
+    return F.coalesce(F.floor(number(digits) * F.coalesce(factor, F.lit(1.0))), F.lit(0))

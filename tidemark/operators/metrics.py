@@ -11,7 +11,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.columns import MEMORY_UNITS, memory_bytes, safe_ratio
+from tidemark.functions.columns import MEMORY_UNITS, memory_bytes, number, safe_ratio
 from tidemark.functions.stats import normal_p_value, t_critical, t_p_value
 from tidemark.operators.joins import join_group_stats
 from tidemark.operators.order_stats import index_quartile, linear_quantiles, nearest_rank, upper_median, values_at_ranks
@@ -198,7 +198,7 @@ def recommendations(spark: SparkSession, found: DataFrame, app: str = "app_id")
 
     memory, unset = F.col("format") == "memory", F.col("current") == ""
     parsed = kept.withColumn("current", F.coalesce(F.try_element_at("config", F.col("parameter")), F.lit(""))).withColumns(
-        {"now": memory_bytes(F.col("current")), "base": F.col("current").try_cast("double"), "arg": F.col("argument").try_cast("double")}
+        {"now": memory_bytes(F.col("current")), "base": number(F.col("current")), "arg": number(F.col("argument"))}
     )
     new_size = F.floor(F.when(unset, F.col("low")).otherwise(F.col("now")) * F.col("arg"))
     new_number = F.when(F.col("operation") == "multiply", F.coalesce("base", F.lit(1.0)) * F.col("arg")).otherwise(
@@ -212,7 +212,7 @@ def recommendations(spark: SparkSession, found: DataFrame, app: str = "app_id")
         .otherwise(F.col("_number").cast("long").cast("string"))
     )
     sized = moved.withColumn("proposed", proposed).withColumns(
-        {"size": memory_bytes(F.col("proposed")), "number": F.col("proposed").try_cast("double")}
+        {"size": memory_bytes(F.col("proposed")), "number": number(F.col("proposed"))}
     )
     value = F.when(memory, F.col("size").cast("double")).otherwise(F.col("number"))
     start = F.when(memory, F.col("now").cast("double")).otherwise(F.coalesce("base", F.lit(0.0)))

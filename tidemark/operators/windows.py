@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators.piecewise import pieces_of, piecewise_frame, piecewise_windows
+from tidemark.session import materialize
 
 
 def zone_ranks(trips: DataFrame, row_order: Sequence[str]) -> DataFrame:
@@ -37,11 +38,12 @@ def top_fares_with_running(trips: DataFrame, row_order: Sequence[str], k: int =
     """The k highest fares per passenger count with, at each of them, the running fare total and the
     mean of the last ``rows_back + 1`` fares in pickup order.
 
-    The k rows are found first; only the days they fall on are then sorted, while the running total
-    takes all other days from their totals.
+    The trips are written narrow first, as several passes read them (runs one job). The k rows are found
+    next; only the days they fall on are then sorted, while the running total takes all other days
+    from their totals.
     """
     keys, day, order = ["passengers"], F.to_date("pickup_ts"), ["pickup_ts", *row_order]
-    base = trips.select("passengers", *order)
+    base = materialize(trips.select("passengers", *order), "top-fares")
     best = Window.partitionBy("passengers").orderBy(F.desc("fare"), *order)
     top = base.withColumn("fare_rank", F.row_number().over(best)).filter(F.col("fare_rank") <= k)
     days = pieces_of(top, keys, day)
@@ -61,10 +63,13 @@ def top_fares_with_running(trips: DataFrame, row_order: Sequence[str], k: int =
 
 
 def centered_mean(df: DataFrame, key: str, value: str, band: float, row_order: Sequence[str], reach: int = 2) -> DataFrame:
-    """Mean over ``reach`` rows on either side in value order; ``band`` is the width of a value piece."""
+    """Mean over ``reach`` rows on either side in value order; ``band`` is the width of a value piece.
+
+    The rows are written narrow first, as both borders and the frame read them (runs one job).
+    """
     order = [value, *[c for c in row_order if c != value]]
     out = piecewise_frame(
-        df.select(key, *order), [key], F.floor(F.col(value) / band), order, reach, reach,
+        materialize(df.select(key, *order), "centered"), [key], F.floor(F.col(value) / band), order, reach, reach,
         {"_sum": F.sum(value), "_n": F.count(value)},
     )
     return out.withColumn(f"rolling_avg_{value}", F.round("_sum", 2) / F.col("_n")).drop("_sum", "_n")
