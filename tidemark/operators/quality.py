@@ -44,6 +44,8 @@ def matches(column: str, pattern: str, mostly: float = 1.0) -> RowCheck:
 
 def rows_as_results(wide: DataFrame, checks: Sequence[tuple[str, Column, Column, Column]]) -> DataFrame:
     """One row of totals to one row per check: (name, total, failed, success)."""
+    if not checks:
+        return wide.sparkSession.createDataFrame([], "check string, total long, failed long, success boolean")
     entries = [
         F.struct(F.lit(n).alias("check"), t.alias("total"), f.alias("failed"), s.alias("success")) for n, t, f, s in checks
     ]

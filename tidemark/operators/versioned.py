@@ -187,7 +187,7 @@ class VersionedTable:
     def _folders(self, path: str) -> list[str]:
         files = self.spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", "true").load(path)
         base = path.rsplit("/data/", 1)[1]
-        folder = F.regexp_extract(F.url_decode("path"), f"/data/{base}/(?:(.*)/)?[^/]+$", 1)
+        folder = F.regexp_extract("path", f"/data/{base}/(?:(.*)/)?[^/]+$", 1)
         return sorted(r[0] for r in files.select(folder.alias("f")).distinct().collect())
 
     # ---- row changes --------------------------------------------------------------------------
