@@ -105,6 +105,14 @@ def test_schema_changes(spark, make):
         t.widen_column("n", "int")
 
 
+def test_changes_on_an_empty_partitioned_table(spark, make):
+    t = make([], partition_by=["value"])
+    t.update({"id": F.lit(1)}, F.col("id") == 2)
+    t.merge(spark.createDataFrame([(1, "a")], "id int, value string"), ["id"])
+    t.delete(F.col("id") == 1)
+    assert pairs(t) == []
+
+
 def test_expired_versions_cannot_be_read(spark, make):
     t = make([(1, "a")])
     t.delete(F.col("id") == 1, at="2024-01-02 00:00:00")

@@ -7,8 +7,6 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.columns import salt
-
 
 def valid_trips(trips: DataFrame, start: str, end: str, max_distance: float | None = None) -> DataFrame:
     """Positive distance, fare and total, picked up in [start, end); optionally below a distance cap."""
@@ -67,11 +65,17 @@ def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> D
     return df.withColumn("_rank", rank).filter(F.col("_rank") == 1).drop("_rank")
 
 
+def key_percentile(*key: str) -> Column:
+    """A number from 0 to 99 that depends on the key only; the MD5 makes it the same in any engine."""
+    digest = F.md5(F.concat_ws("|", *[F.col(k).cast("string") for k in key]))
+    return F.conv(F.substring(digest, 1, 7), 16, 10).cast("int") % 100
+
+
 def hash_sample(df: DataFrame, percent: int, *key: str) -> DataFrame:
-    """A repeatable sample by key hash: the same rows whatever the partitioning."""
-    return df.filter(salt(100, *key) < percent)
+    """A repeatable sample by key: the same rows whatever the partitioning."""
+    return df.filter(key_percentile(*key) < percent)
 
 
 def hash_split(df: DataFrame, train_percent: int, *key: str) -> DataFrame:
-    """Adds ``part`` = train or test, by key hash."""
-    return df.withColumn("part", F.when(salt(100, *key) < train_percent, "train").otherwise("test"))
+    """Adds ``part`` = train or test, by key."""
+    return df.withColumn("part", F.when(key_percentile(*key) < train_percent, "train").otherwise("test"))

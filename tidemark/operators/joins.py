@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.columns import salt
 from tidemark.session import materialize
 
-BROADCAST_LIMIT = 32 * 1024 * 1024
+BROADCAST_LIMIT = 16 * 1024 * 1024
 
 
 def estimated_bytes(df: DataFrame) -> int:
@@ -61,13 +61,14 @@ def hot_keys(df: DataFrame, key: str, share: float) -> DataFrame:
 def hot_key_split_join(facts: DataFrame, lookup: DataFrame, on: str, share: float = 0.05) -> DataFrame:
     """Inner join in two branches: hot keys against the broadcast of their lookup rows, the rest by shuffle.
 
-    ``lookup`` has one row per key, so the broadcast holds at most 1/share rows. Rows with a NULL key
-    join nothing in either branch.
+    The hot keys (at most 1/share) and their lookup rows are written first, so the facts are counted
+    once and the size of what is broadcast is known; many lookup rows per hot key leave that branch to
+    a shuffle join as well. Rows with a NULL key join nothing in either branch.
     """
-    hot = F.broadcast(hot_keys(facts, on, share).select(on))
-    hot_lookup = lookup.join(hot, on, "left_semi")
+    hot = F.broadcast(materialize(hot_keys(facts, on, share).select(on), "hot-keys"))
+    hot_lookup = materialize(lookup.join(hot, on, "left_semi"), "hot-lookup")
     cold = facts.join(hot, on, "left_anti").join(lookup, on)
-    return facts.join(F.broadcast(hot_lookup), on).unionByName(cold)
+    return facts.join(broadcast_if_small(hot_lookup), on).unionByName(cold)
 
 
 def left_join_spreading_nulls(facts: DataFrame, lookup: DataFrame, on: str, row_key: Sequence[str], fillers: int = 100) -> DataFrame:

@@ -159,6 +159,7 @@ class VersionedTable:
             parts.append(raw.select(*columns))
         if not parts:
             schema = ", ".join(f"`{f['name']}` {f['type']}" for f in entry["fields"])
+            schema += ", _segment string, _file string" if where else ""
             return self.spark.createDataFrame([], schema)
         return reduce(lambda a, b: a.unionAll(b), parts)
 

@@ -224,7 +224,7 @@ def boosted_per_borough(spark: SparkSession, d: str) -> DataFrame:
 
 @query("ml_12_model_comparison")
 def model_comparison(spark: SparkSession, d: str) -> DataFrame:
-    daily = materialize(ops.time_split(daily_borough(spark, d).filter("borough = 'Manhattan'"), "borough", "pickup_date"), "daily")
+    daily = materialize(ops.time_split(daily_borough(spark, d).filter("borough = 'Queens'"), "borough", "pickup_date"), "daily")
     train, test = daily.filter("is_train"), daily.filter("NOT is_train")
     return ops.compare_models(train, test, MODEL_FEATURES, "revenue", ops.regressors(train.count(), trees=10, depth=3))
 

@@ -248,7 +248,10 @@ def first_per_key(spark: SparkSession, d: str) -> DataFrame:
     return ops.first_per_key(orders, ["o_custkey"], ["o_orderdate", "o_orderkey"]).drop("o_orderdate")
 
 
-@query("smp_01_hash_sample")
+PERCENTILE_SQL = "('0x' || substr(md5(o_orderkey::VARCHAR), 1, 7))::INT % 100"
+
+
+@query("smp_01_hash_sample", f"SELECT o_orderkey, o_totalprice FROM orders WHERE {PERCENTILE_SQL} < 10")
 def hash_sample(spark: SparkSession, d: str) -> DataFrame:
     return ops.hash_sample(table(spark, d, "orders"), 10, "o_orderkey").select("o_orderkey", "o_totalprice")
 
@@ -258,12 +261,22 @@ def random_sample(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "orders").sample(fraction=0.1, seed=42).select("o_orderkey", "o_totalprice")
 
 
-@query("smp_02_hash_split")
+@query(
+    "smp_02_hash_split",
+    f"""SELECT CASE WHEN {PERCENTILE_SQL} < 80 THEN 'train' ELSE 'test' END AS part, count(*) AS n, round(sum(o_totalprice), 2) AS revenue
+        FROM orders GROUP BY 1""",
+)
 def hash_split(spark: SparkSession, d: str) -> DataFrame:
     split = ops.hash_split(table(spark, d, "orders"), 80, "o_orderkey")
     return split.groupBy("part").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("o_totalprice"), 2).alias("revenue"))
 
 
+@query("smp_02_random_split")
+def random_split(spark: SparkSession, d: str) -> DataFrame:
+    train, test = table(spark, d, "orders").select("o_orderkey").randomSplit([0.8, 0.2], seed=42)
+    return train.withColumn("part", F.lit("train")).unionAll(test.withColumn("part", F.lit("test")))
+
+
 @query(
     "fn_01_date_parts",
     """SELECT event_id, ts::DATE AS day, hour(ts) AS hour, dayofweek(ts) + 1 AS day_of_week,

@@ -19,6 +19,11 @@ SETTINGS = {
 }
 
 
+def shuffle_partitions(data_gb: float, target_mb: int = 128) -> int:
+    """``spark.sql.shuffle.partitions`` for the data that passes a shuffle; AQE merges what is too many."""
+    return max(200, int(data_gb * 1024 / target_mb))
+
+
 def build_session(app_name: str = "tidemark", master: str | None = None, **extra: str) -> SparkSession:
     """A session with the settings above. ``extra`` keys use ``__`` for dots."""
     builder = SparkSession.builder.appName(app_name)
