@@ -1,5 +1,4 @@
 import pytest
-from pyspark.sql import functions as F
 
 from tidemark.functions.stats import t_quantile, t_two_sided
 from tidemark.operators import metrics as ops

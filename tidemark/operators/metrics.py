@@ -425,7 +425,7 @@ def roll_up(results: DataFrame) -> DataFrame:
     return out.withColumn("pass_rate", F.when(F.col("total") > 0, F.round(F.col("passed") / F.col("total") * 100, 2)).otherwise(0.0))
 
 
-def read_results(spark: SparkSession, path: str, scenario: bool = False) -> DataFrame:
+def read_results(spark: SparkSession, path: str) -> DataFrame:
     schema = "scenario STRING, status STRING, duration DOUBLE, _corrupt_record STRING"
     return spark.read.schema(schema).option("mode", "PERMISSIVE").json(path)
 

@@ -116,7 +116,14 @@ def piecewise_windows(
         here, before = F.col(f"_sum_{column}"), F.col(f"_t0_{column}")
         return F.coalesce(here + before, here, before)
 
-    out: list[Column] = [F.col(c) for c in df.columns]
+    def original(column: str) -> Column:
+        """A key from its filled form, so that the shuffle carries it once."""
+        if column not in keys:
+            return F.col(column)
+        i = list(keys).index(column)
+        return F.when(F.col("_nulls").bitwiseAND(F.lit(2**i)) == 0, F.col(f"_k{i}")).alias(column)
+
+    out: list[Column] = [original(c) for c in df.columns]
     if row_number:
         out.append((F.col("_rn") + F.col("_n0")).alias(row_number))
     if rank:

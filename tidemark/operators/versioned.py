@@ -13,17 +13,15 @@ names (as many as there are partitions), never rows.
 from __future__ import annotations
 
 import json
+import uuid
 from collections.abc import Mapping, Sequence
 from datetime import datetime, timezone
 from functools import reduce
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
-import uuid
-
 # Type changes that lose nothing.
 WIDENINGS = {("int", "bigint"), ("float", "double"), ("smallint", "int"), ("smallint", "bigint"), ("tinyint", "int"), ("date", "timestamp")}
 
@@ -375,10 +373,3 @@ class VersionedTable:
         for part in spec:
             self._field(base, part["column"])
         return self._commit(self._next("set partitions", base, at, spec=spec))
-
-
-def exists(spark: SparkSession, root: str) -> bool:
-    try:
-        return bool(VersionedTable(spark, root).versions())
-    except AnalysisException:
-        return False

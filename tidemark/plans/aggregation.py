@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.functions import columns as fx
 from tidemark.operators import aggregates as ops
 from tidemark.plans.inputs import WITH_TRIPS, table, trips
 from tidemark.plans.registry import query

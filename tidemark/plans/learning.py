@@ -14,7 +14,7 @@ from tidemark.operators import features
 from tidemark.operators import learning as ops
 from tidemark.plans.inputs import TRIP_ORDER, WITH_TRIPS, table, trips
 from tidemark.plans.registry import query
-from tidemark.plans.rows import BOROUGH_SQL, HOLIDAY_SQL, KEYS, purchases
+from tidemark.plans.rows import BOROUGH_SQL, HOLIDAY_SQL, KEYS
 from tidemark.plans.windowing import DAILY_SQL
 from tidemark.session import materialize, scratch_path
 from tidemark.sources.sinks import export_forecast
