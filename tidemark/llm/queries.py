@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import lines, mixing, quality
+from tidemark.llm import lines, mixing, packing, quality, tokens
 from tidemark.llm.common import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -38,3 +38,13 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op9_quality", quality.oracle())
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.report(documents(spark, sf_dir))
+
+
+@query("op6_token_ids")
+def op6_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.report(documents(spark, sf_dir))
+
+
+@query("op8_packing")
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.report(documents(spark, sf_dir))
