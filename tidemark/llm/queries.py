@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import lines, mixing, packing, quality, secrets, tokens
+from tidemark.llm import lines, mixing, packing, quality, secrets, setjoin, tokens
 from tidemark.llm.common import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -53,3 +53,8 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op1_secrets")
 def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.report(documents(spark, sf_dir))
+
+
+@query("op10_ngram_jaccard_join")
+def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return setjoin.report(documents(spark, sf_dir))
