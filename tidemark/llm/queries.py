@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import ann, licenses, lines, mixing, packing, quality, secrets, setjoin, tokens
+from tidemark.llm import ann, licenses, lines, mixing, packing, pii, quality, secrets, setjoin, tokens
 from tidemark.llm.common import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -68,3 +68,8 @@ def op7_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op3_licenses")
 def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.report(documents(spark, sf_dir))
+
+
+@query("op4_pii")
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.report(documents(spark, sf_dir))
