@@ -319,3 +319,18 @@ def join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFra
 
 def report(docs: DataFrame) -> DataFrame:
     return join(docs).select("doc_id", "n_shingles", "component_id")
+
+
+def one_per_component(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """``docs`` with one row of each component: a row with its least doc_id. Rows with an empty set all stay.
+
+    Rows are numbered in a written copy, so repeated doc_ids stay apart; texts are shuffled only if the rows to drop are too many to send.
+    """
+    copy = materialize(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.monotonically_increasing_id().alias("uid")), "join-copy")
+    found = join(copy.select(F.col("uid").alias("doc_id"), F.col("row.text").alias("text")), words, percent)
+    linked = found.filter("n_shingles > 0").select(F.col("doc_id").alias("uid"), F.col("component_id").alias("top"))
+    named = linked.join(copy.select("uid", F.col("row.doc_id").alias("doc_id")), "uid")
+    named = materialize(named, "join-named")
+    stays = named.groupBy("top").agg(F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "uid")).alias("m")).select("m.uid")
+    gone = materialize(named.join(stays, "uid", "left_anti").select("uid"), "join-gone")
+    return copy.join(F.broadcast(gone) if gone.count() <= SENT_IDS else gone, "uid", "left_anti").select("row.*")
