@@ -22,6 +22,7 @@ order of their frames; an empty table gives no shards and no rows.
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import struct
 import uuid
@@ -45,8 +46,8 @@ TAIL = struct.Struct("<qqq32s8s")
 INDEX = np.dtype([("offset", "<i8"), ("size", "<i4"), ("n", "<i4"), ("doc_id", "<i8"), ("null", "u1")])
 #: Bounds of the dictionary's training set: documents, and ids of each.
 SAMPLE_DOCS, SAMPLE_IDS, DICTIONARY_BYTES = 2000, 4096, 64 << 10
-#: Words remembered by one worker; the table starts anew when it is full.
-REMEMBERED = 700_000
+#: Words remembered by one table of a worker; a full table starts anew.
+REMEMBERED = 1_000_000
 
 
 def public_tokenizer() -> str:
@@ -55,73 +56,79 @@ def public_tokenizer() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+class _Words(dict):
+    """word -> the bytes of its ids, found once; starts anew when it is full."""
+
+    def __init__(self, find, lead: str = ""):
+        self.find, self.lead = find, lead
+
+    def __missing__(self, word: str) -> bytes:
+        if len(self) >= REMEMBERED:
+            self.clear()
+        out = self[word] = self.find(self.lead + word)
+        return out
+
+
 class Encoder:
-    """``ids(text)``: the library's ids as an array, through a table of words."""
+    """``ids(text)``: the library's ids as an array, through tables of words."""
 
     def __init__(self, path: str):
         import os
-        import re
 
+        import public_tokenizers
+        import regex
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.library = Tokenizer.from_file(path)
         self.dtype = np.dtype("<u2" if self.library.get_vocab_size() <= 1 << 16 else "<u4")
-        self.feed = self._whole("\n")
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
-        # any white space other than single spaces and line feeds inside the text
-        self.odd = re.compile(r"[^\S \n]|\s\s|\A\s|\s\Z")
-        self.bare: dict[str, bytes] = {}
-        self.spaced: dict[str, bytes] = {}
+        # the library's own splitter, and the characters its model writes for bytes
+        self.split = regex.compile(public_tokenizers.PATTERN).findall
+        own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        rest = [i for i in range(256) if i not in own]
+        self.letters = {i: i for i in own} | {b: 256 + k for k, b in enumerate(rest)}
+        self.codes = [x.tobytes() for x in np.arange(self.library.get_vocab_size(), dtype=self.dtype)]
+        self.parts = _Words(self._part)
+        self.bare, self.spaced = _Words(self._word), _Words(self._word, " ")
+        self.feed = self._whole("\n")
 
     def _whole(self, text: str) -> bytes:
         return np.asarray(self.library.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
 
-    def _learn(self, known: dict[str, bytes], words: set[str], lead: str) -> None:
-        """Encodes unknown words together, parted by line feeds."""
-        if len(known) > REMEMBERED:
-            known.clear()
-        listed = list(words)
-        for i in range(0, len(listed), 4096):
-            part = listed[i : i + 4096]
-            ids = np.asarray(self.library.encode("\n".join(lead + w for w in part), add_special_tokens=False).ids, self.dtype)
-            cuts = np.flatnonzero(ids == np.frombuffer(self.feed, self.dtype)[0])
-            if len(cuts) == len(part) - 1:
-                raw, step = ids.tobytes(), self.dtype.itemsize
-                start = 0
-                for w, end in zip(part, [*cuts.tolist(), len(ids)]):
-                    known[w] = raw[start * step : end * step]
-                    start = end + 1
-            else:
-                known.update((w, self._whole(lead + w)) for w in part)
+    def _part(self, part: str) -> bytes:
+        if part.isascii() and part.isprintable():
+            written = part.replace(" ", "\u0120")
+        else:
+            written = part.encode().decode("latin-1").translate(self.letters)
+        return b"".join([self.codes[t.id] for t in self.library.model.tokenize(written)])
+
+    def _word(self, word: str) -> bytes:
+        """``word`` is a word, after a space or not. Letters alone are one part, marks at their end another."""
+        stem = word.rstrip(".,;:!?")
+        if stem.lstrip(" ").isalpha():
+            if len(stem) == len(word):
+                return self._part(word)
+            return (self.spaced[stem[1:]] if stem[0] == " " else self.bare[stem]) + self.parts[word[len(stem) :]]
+        return b"".join([self.parts[p] for p in self.split(word)])
+
+    def _ids(self, text: str) -> bytes:
+        # plain texts hold single spaces and line feeds between words and no other white space; a special token stands for itself
+        if " ".join(text.split()) != text.replace("\n", " ") or any(s in text for s in self.special):
+            return self._whole(text)
+        bare, spaced = self.bare, self.spaced.__getitem__
+        lines = []
+        for line in text.split("\n"):
+            words = line.split(" ")
+            lines.append(bare[words[0]] + b"".join(map(spaced, words[1:])))
+        return self.feed.join(lines)
 
     def ids(self, texts: list[str]) -> list[np.ndarray]:
-        plain = [not self.odd.search(t) and not any(s in t for s in self.special) for t in texts]
-        cut = [[line.split(" ") for line in t.split("\n")] if p and t else None for t, p in zip(texts, plain)]
-        bare, spaced = self.bare, self.spaced
-        first = {words[0] for lines in cut if lines for words in lines} - bare.keys()
-        if first:
-            self._learn(bare, first, "")
-        rest: set[str] = set()
-        for lines in cut:
-            for words in lines or ():
-                rest.update(words[1:])
-        rest -= spaced.keys()
-        if rest:
-            self._learn(spaced, rest, " ")
-        out = []
-        for t, lines in zip(texts, cut):
-            if not t:
-                raw = b""
-            elif lines is None:
-                raw = self._whole(t)
-            else:
-                try:
-                    raw = self.feed.join([bare[words[0]] + b"".join(map(spaced.__getitem__, words[1:])) for words in lines])
-                except KeyError:  # the table started anew within this call
-                    raw = self._whole(t)
-            out.append(np.frombuffer(raw, self.dtype))
-        return out
+        gc.disable()  # each collection would walk the tables of words
+        try:
+            return [np.frombuffer(self._ids(t) if t else b"", self.dtype) for t in texts]
+        finally:
+            gc.enable()
 
 
 @lru_cache(maxsize=2)
