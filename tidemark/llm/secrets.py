@@ -117,13 +117,15 @@ def battery(strings: DataFrame, s: str = "value") -> DataFrame:
     alphabet = F.element_at(F.array(*[F.lit(a) for _, _, a in ENCODINGS]), F.col("code") + 1)
     d = d.withColumn("alphabet", alphabet).withColumn("k", F.length("alphabet").cast("double")).withColumn("n", F.length(s).cast("double"))
     chars = F.filter(F.split(F.col(s), ""), lambda c: c != "")
-    d = d.withColumn("x", F.transform(chars, lambda c: F.instr(F.col("alphabet"), c)))
+    # a lambda binds what each character needs, so that it is worked out once per string
+    once = lambda c, then: F.transform(F.array(c), then)[0]
+    d = d.withColumn("x", once(F.col("alphabet"), lambda a: F.transform(chars, lambda c: F.instr(a, c))))
     squares = F.aggregate(F.array_distinct(chars), F.lit(0.0), lambda a, c: a + F.pow(F.col("n") - F.length(F.replace(F.col(s), c, F.lit(""))), 2))
     d = d.withColumn("chi", F.col("k") / F.col("n") * squares - F.col("n"))
     free = F.col("k") - 1
     chi_z = (F.pow(F.greatest(F.col("chi"), F.lit(0.0)) / free, 1 / 3) - (1 - 2 / (9 * free))) / F.sqrt(2 / (9 * free))
     # runs above and below the middle, given how many lie on each side
-    bits = F.array_join(F.transform("x", lambda x: F.when(x * 2 > F.col("k"), "1").otherwise("0")), "")
+    bits = F.array_join(once(F.col("k"), lambda k: F.transform("x", lambda x: F.when(x * 2 > k, "1").otherwise("0"))), "")
     d = d.withColumn("bits", bits)
     runs = F.length(F.regexp_replace(F.regexp_replace("bits", "0+", "0"), "1+", "1")).cast("double")
     ones = F.length(F.replace(F.col("bits"), F.lit("0"), F.lit(""))).cast("double")
@@ -132,15 +134,17 @@ def battery(strings: DataFrame, s: str = "value") -> DataFrame:
     var = (mean - 1) * (mean - 2) / (F.col("n") - 1)
     runs_p = F.when(var > 0, 2 * _normal_tail(F.abs(runs - mean) / F.sqrt(var))).otherwise(F.lit(0.0))
     # lag-1 correlation of the places in the alphabet
-    d = d.withColumn("mean", F.aggregate("x", F.lit(0.0), lambda a, x: a + x) / F.col("n"))
-    d = d.withColumn("y", F.transform("x", lambda x: x - F.col("mean")))
-    both = F.zip_with(F.slice("y", F.lit(1), F.size("y") - 1), F.slice("y", F.lit(2), F.size("y") - 1), lambda a, b: a * b)
-    var_y = F.aggregate("y", F.lit(0.0), lambda a, y: a + y * y)
-    r = F.when(var_y > 0, F.aggregate(both, F.lit(0.0), lambda a, y: a + y) / var_y)
+    both = F.zip_with(F.slice("x", F.lit(1), F.size("x") - 1), F.slice("x", F.lit(2), F.size("x") - 1), lambda a, b: F.struct(a.cast("double").alias("a"), b.alias("b")))
+    sums = F.aggregate("x", F.struct(F.lit(0.0).alias("s"), F.lit(0.0).alias("q")), lambda a, x: F.struct((a["s"] + x).alias("s"), (a["q"] + x.cast("double") * x).alias("q")))
+    d = d.withColumn("sums", sums).withColumn("next", F.aggregate(both, F.lit(0.0), lambda a, y: a + y["a"] * y["b"]))
+    mean = F.col("sums.s") / F.col("n")
+    var_y = F.col("sums.q") - mean * F.col("sums.s")
+    ends = F.element_at("x", 1) + F.element_at("x", -1)
+    r = F.when(var_y > 0, (F.col("next") - mean * (2 * F.col("sums.s") - ends) + (F.col("n") - 1) * mean * mean) / var_y)
     serial_p = F.coalesce(2 * _normal_tail(F.abs((r + 1 / F.col("n")) * F.sqrt(F.col("n")))), F.lit(0.0))
     d = d.withColumn("least", F.least(_normal_tail(chi_z), runs_p, serial_p, F.lit(1.0)))
     d = d.withColumn("p", 1 - F.pow(1 - F.greatest(F.col("least"), F.lit(0.0)), 3)).withColumn("size_class", F.floor(F.log2("n")).cast("int"))
-    return d.drop("alphabet", "k", "n", "x", "chi", "bits", "n1", "n0", "mean", "y", "least")
+    return d.drop("alphabet", "k", "n", "x", "chi", "bits", "n1", "n0", "sums", "next", "least")
 
 
 def cuts(tested: DataFrame) -> DataFrame:
