@@ -1,5 +1,6 @@
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tidemark.operators import order_stats as ops
 
@@ -14,11 +15,9 @@ def frame(spark, data):
     return spark.createDataFrame([(k, float(v)) for k, vs in data.items() for v in vs] + [("hot", None)], "k string, v double")
 
 
-@pytest.mark.parametrize("cell_values", [200_000, 50, 1])
-def test_linear_quantiles_with_a_long_tail(spark, data, cell_values, monkeypatch):
+def test_linear_quantiles_with_a_long_tail(spark, data):
     wanted = {"p25": 0.25, "p50": 0.5, "p99": 0.99}
-    monkeypatch.setattr(ops.values_at_ranks, "__defaults__", (16, cell_values))
-    out = {r["k"]: r for r in ops.linear_quantiles(frame(spark, data), ["k"], "v", wanted, cells=16).collect()}
+    out = {r["k"]: r for r in ops.linear_quantiles(frame(spark, data), ["k"], "v", wanted).collect()}
     for key, values in data.items():
         assert out[key]["_n"] == len(values)
         for name, q in wanted.items():
@@ -36,3 +35,21 @@ def test_rank_picks(spark, data):
 def test_without_keys(spark, data):
     out = ops.linear_quantiles(frame(spark, data).filter("k = 'few'"), [], "v", {"m": 0.5}).first()
     assert (out["_n"], out["m"]) == (3, 2.0)
+
+
+def test_values_that_are_no_common_numbers(spark):
+    inf, nan = float("inf"), float("nan")
+    rows = [("a", x) for x in (1.0, inf, -inf, nan, 2.0)] + [("b", nan)] * 3 + [(None, 4.0)] + [("c", 7.0)] * 5000
+    df = spark.createDataFrame(rows, "k string, v double")
+    out = {r["k"]: r["m"] for r in ops.values_at_ranks(df, ["k"], "v", {"m": ops.upper_median}).collect()}
+    assert out["a"] == 2.0 and out["b"] != out["b"] and out[None] == 4.0 and out["c"] == 7.0
+    ends = ops.linear_quantiles(df.filter("k = 'a'"), ["k"], "v", {"low": 0.0, "high": 1.0}).first()
+    assert ends["low"] == -inf and ends["high"] != ends["high"]
+
+
+def test_long_integers_and_decimals_are_exact(spark):
+    big = 9007199254740993
+    df = spark.createDataFrame([(big + i,) for i in range(5)], "v long")
+    assert ops.values_at_ranks(df, [], "v", {"m": ops.upper_median}).first()["m"] == big + 2
+    exact = df.select((F.col("v").cast("decimal(30,5)") + F.lit("0.00001").cast("decimal(30,5)")).alias("v"))
+    assert str(ops.values_at_ranks(exact, [], "v", {"m": ops.upper_median}).first()["m"]) == f"{big + 2}.00001"

@@ -29,4 +29,4 @@ def register_score(spark: SparkSession, name: str = "calculate_score") -> None:
 
 @F.pandas_udf(IntegerType())
 def score_batches(amount: pd.Series, tier: pd.Series) -> pd.Series:
-    return (amount // 100 * tier.map(TIERS).fillna(1)).astype("int32")
+    return (amount // 100 * tier.map(TIERS).fillna(1)).astype("Int32")  # a NULL amount has no score

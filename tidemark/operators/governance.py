@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from itertools import count
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -104,21 +106,20 @@ def lineage_report(edges: DataFrame) -> DataFrame:
     return edges.groupBy("target").agg(F.countDistinct("source").alias("sources"), F.countDistinct("kind").alias("kinds"))
 
 
-def downstream(edges: DataFrame, root: str, max_hops: int = 50) -> DataFrame:
+def downstream(edges: DataFrame, root: str) -> DataFrame:
     """Everything reachable from ``root`` with its distance, one join per hop (runs one action per hop).
 
-    Each hop keeps only nodes not seen before and is written to the shared folder.
+    Each hop keeps only nodes not seen before and is written to the shared folder; it ends when a hop finds nothing new.
     """
     spark = edges.sparkSession
     frontier = spark.createDataFrame([(root, 0)], "node string, hops int")
     found = frontier
-    for hop in range(1, max_hops + 1):
+    for hop in count(1):
         step = edges.join(frontier.select(F.col("node").alias("source")), "source", "left_semi").select(F.col("target").alias("node")).distinct()
         frontier = materialize(step.join(found, "node", "left_anti").withColumn("hops", F.lit(hop)), "downstream")
         if frontier.isEmpty():
-            break
+            return found
         found = found.unionAll(frontier)
-    return found
 
 
 def source_files(df: DataFrame, target: str) -> DataFrame:

@@ -77,9 +77,10 @@ def left_join_spreading_nulls(facts: DataFrame, lookup: DataFrame, on: str, row_
     The filler is a second join column, so it cannot meet a real key.
     """
     filler = F.when(F.col(on).isNull(), salt(fillers, *row_key)).otherwise(-1)
-    left = facts.withColumn("_filler", filler).withColumn("_key", F.coalesce(F.col(on), F.lit(0)))
-    right = lookup.withColumnRenamed(on, "_key").withColumn("_filler", F.lit(-1))
-    return left.join(right, ["_key", "_filler"], "left").drop("_key", "_filler")
+    left = facts.withColumn("_filler", filler)
+    right = lookup.withColumnRenamed(on, "_key").withColumn("_other", F.lit(-1))
+    met = (F.col("_filler") == F.col("_other")) & F.col(on).eqNullSafe(F.col("_key"))
+    return left.join(right, met, "left").drop("_key", "_filler", "_other")
 
 
 def orphans(child: DataFrame, parent: DataFrame, condition: Column) -> DataFrame:
@@ -88,10 +89,11 @@ def orphans(child: DataFrame, parent: DataFrame, condition: Column) -> DataFrame
 
 def self_join_summary(df: DataFrame, key: str, ts: str) -> DataFrame:
     """What a self join on ``key`` with a time difference would return, per key, without its n*n rows:
-    the number of pairs and the smallest and largest difference in seconds."""
+    the number of pairs and the smallest and largest difference in seconds. NULL keys meet nothing."""
     seconds = F.unix_timestamp(ts)
     return (
-        df.groupBy(key)
+        df.filter(F.col(key).isNotNull())
+        .groupBy(key)
         .agg(F.count(F.lit(1)).alias("_n"), F.min(seconds).alias("_lo"), F.max(seconds).alias("_hi"))
         .select(
             key, (F.col("_n") * F.col("_n")).alias("pairs"), (F.col("_lo") - F.col("_hi")).alias("min_diff_sec"),

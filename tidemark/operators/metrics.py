@@ -272,7 +272,8 @@ def paired_t(pairs: DataFrame, keys: Sequence[str], a: str, b: str) -> DataFrame
         F.avg(a).alias("mean_a"), F.avg(b).alias("mean_b"),
     )
     usable = (F.col("_na") == F.col("_nb")) & (F.col("_na") >= 2)
-    t = F.when(usable & (F.col("_sd") > 0), F.col("_mean") / (F.col("_sd") / F.sqrt(F.col("_na"))))
+    same = F.when(F.col("_mean") != 0, F.signum("_mean") * F.lit(float("inf")))  # all differences equal, and not 0
+    t = F.when(usable & (F.col("_sd") > 0), F.col("_mean") / (F.col("_sd") / F.sqrt(F.col("_na")))).when(usable, same)
     t = F.when(usable, t).otherwise(F.lit(0.0))
     with_t = stats.withColumn("t", t).withColumn("usable", usable)
     p = F.when(F.col("usable"), t_p_value(F.col("t"), (F.col("_na") - 1).cast("double"))).otherwise(1.0)

@@ -2,8 +2,10 @@
 
 ``percentile`` keeps a value->count map of a whole group in one buffer; that is fine for small groups
 and fails for a key holding a third of a large table. Here values are counted per (group, value) with
-map-side combine, the value span of a large group is cut into cells, cell totals locate the cell of
-each wanted rank, and only those cells are ordered.
+map-side combine and dealt in ranges of (group, value), so that a large group lies in many pieces in order.
+Totals of the pieces locate the piece of each wanted rank, and only those pieces are ordered. There is one
+path for all sizes. Values keep their type: NaN and infinities have their place in Spark's order, and
+whole numbers and decimals are not rounded.
 """
 
 from __future__ import annotations
@@ -19,40 +21,30 @@ from tidemark.session import materialize
 Rank = Callable[[Column], Column]
 
 
-def values_at_ranks(
-    df: DataFrame, keys: Sequence[str], value: str, ranks: Mapping[str, Rank], cells: int = 1024, cell_values: int = 200_000
-) -> DataFrame:
+def values_at_ranks(df: DataFrame, keys: Sequence[str], value: str, ranks: Mapping[str, Rank]) -> DataFrame:
     """One row per group: ``_n`` non-null values and, per name, the value at the 0-based rank f(n).
 
-    The counts and, per round, the spans are written to the shared folder (small jobs): the input is
-    read once, and spans are broadcast only when their written size is small. A span is cut into cells
-    again until no cell holds more than ``cell_values`` distinct values, however long the tail.
+    The counted values and the totals of their pieces are written to the shared folder (two jobs): the
+    input is read once, and totals are broadcast only when their written size is small.
     """
     group = list(keys) or ["_all"]
     data = df if keys else df.withColumn("_all", F.lit(0))
-    held = materialize(
-        data.filter(F.col(value).isNotNull())
-        .groupBy(*group, F.col(value).cast("double").alias("_v"))
-        .agg(F.count(F.lit(1)).alias("_c")),
-        "value-counts",
-    )
+    counted = data.filter(F.col(value).isNotNull()).groupBy(*group, F.col(value).alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
+    # the group as text, which is never NULL, so that NULL keys are a group like any other
+    counted = counted.withColumn("_key", F.to_json(F.struct(*group)))
+    held = materialize(counted.repartitionByRange("_key", "_v").withColumn("_piece", F.spark_partition_id()), "value-counts")
+    in_order = Window.partitionBy("_key").orderBy("_piece")
+    pieces = held.groupBy("_key", "_piece").agg(F.sum("_c").alias("_in"))
+    pieces = pieces.withColumn("_below", F.sum("_in").over(in_order) - F.col("_in")).withColumn("_n", F.sum("_in").over(Window.partitionBy("_key")))
     wanted = F.array(
         *[F.struct(F.lit(name).alias("name"), rank(F.col("_n")).cast("long").alias("rank")) for name, rank in ranks.items()]
     )
-    sizes = held.groupBy(*group).agg(
-        F.sum("_c").alias("_n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.count(F.lit(1)).alias("_values")
-    )
-    spans, path = materialize(sizes.withColumn("_picks", wanted), "spans"), list(group)
-    while (spans.agg(F.max("_values")).first()[0] or 0) > cell_values:
-        cell = f"_cell{len(path) - len(group)}"
-        placed = held.join(broadcast_if_small(spans), path).withColumn(cell, _cell_of(cells))
-        path.append(cell)
-        spans = materialize(_hit_cells(placed, path), "spans")
-        held = placed.select(*path, "_v", "_c")
-    in_cell = Window.partitionBy(*path).orderBy("_v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    here = F.filter("_picks", lambda p: (p["rank"] >= F.col("_below")) & (p["rank"] < F.col("_below") + F.col("_in")))
+    pieces = materialize(pieces.withColumn("_picks", wanted).withColumn("_picks", here).filter(F.size("_picks") > 0), "pieces")
+    upward = Window.partitionBy("_key", "_piece").orderBy("_v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     found = (
-        held.join(broadcast_if_small(spans.select(*path, "_n", "_picks")), path)
-        .withColumn("_end", F.sum("_c").over(in_cell))
+        held.join(broadcast_if_small(pieces), ["_key", "_piece"])
+        .withColumn("_end", F.col("_below") + F.sum("_c").over(upward))
         .withColumn("_pick", F.explode("_picks"))
         .filter((F.col("_pick.rank") < F.col("_end")) & (F.col("_pick.rank") >= F.col("_end") - F.col("_c")))
     )
@@ -60,46 +52,21 @@ def values_at_ranks(
     return found.groupBy(*group).agg(F.max("_n").alias("_n"), *picked).select(*keys, "_n", *ranks)
 
 
-def _cell_of(cells: int) -> Column:
-    """The cell of ``_v`` in the span it is joined with."""
-    width = F.col("_hi") - F.col("_lo")
-    at = F.floor((F.col("_v") - F.col("_lo")) / width * cells)
-    return F.when(width > 0, F.least(at, F.lit(cells - 1))).otherwise(0).cast("int")
-
-
-def _hit_cells(placed: DataFrame, path: list[str]) -> DataFrame:
-    """The cells that hold a wanted rank, with their range and the ranks counted from the cell's start."""
-    totals = placed.groupBy(*path).agg(
-        F.sum("_c").alias("_in"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.count(F.lit(1)).alias("_values"),
-        F.first("_n").alias("_n"), F.first("_picks").alias("_picks"),
-    )
-    earlier = Window.partitionBy(*path[:-1]).orderBy(path[-1]).rowsBetween(Window.unboundedPreceding, -1)
-    below, size = F.col("_below"), F.col("_in")
-    inside = F.filter("_picks", lambda p: (p["rank"] >= below) & (p["rank"] < below + size))
-    shifted = F.transform("_picks", lambda p: F.struct(p["name"].alias("name"), (p["rank"] - below).alias("rank")))
-    return (
-        totals.withColumn("_below", F.coalesce(F.sum("_in").over(earlier), F.lit(0)))
-        .withColumn("_picks", inside)
-        .filter(F.size("_picks") > 0)
-        .withColumn("_picks", shifted)
-        .select(*path, "_lo", "_hi", "_values", "_n", "_picks")
-    )
-
-
 def linear_quantiles(
-    df: DataFrame, keys: Sequence[str], value: str, quantiles: Mapping[str, float], cells: int = 4096
+    df: DataFrame, keys: Sequence[str], value: str, quantiles: Mapping[str, float]
 ) -> DataFrame:
-    """Quantiles with linear interpolation at (n-1)q, plus ``_n``; keys + one column per name."""
+    """Quantiles with linear interpolation at (n-1)q, plus ``_n``; keys + one column per name. A quantile that falls on a
+    value, or between equal ones, is that value as a double."""
     ranks: dict[str, Rank] = {}
     for name, q in quantiles.items():
         ranks[f"_lo_{name}"] = lambda n, q=q: F.floor((n - 1) * F.lit(q))
         ranks[f"_up_{name}"] = lambda n, q=q: F.ceil((n - 1) * F.lit(q))
-    picked = values_at_ranks(df, keys, value, ranks, cells)
+    picked = values_at_ranks(df, keys, value, ranks)
 
     def mix(name: str, q: float) -> Column:
         at = (F.col("_n") - 1) * F.lit(q)
-        low, high = F.col(f"_lo_{name}"), F.col(f"_up_{name}")
-        return (low + (high - low) * (at - F.floor(at))).alias(name)
+        low, high = F.col(f"_lo_{name}").cast("double"), F.col(f"_up_{name}").cast("double")
+        return F.when(low == high, low).otherwise(low + (high - low) * (at - F.floor(at))).alias(name)
 
     return picked.select(*keys, "_n", *[mix(name, q) for name, q in quantiles.items()])
 

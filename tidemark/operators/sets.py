@@ -5,6 +5,8 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
+from itertools import count
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -21,36 +23,35 @@ def pivot_sum(df: DataFrame, keys: Sequence[str], category: str, values: Sequenc
     return df.groupBy(*keys).pivot(category, list(values)).sum(value)
 
 
-def levels(nodes: DataFrame, id: str, parent: str, max_levels: int = 100) -> DataFrame:
-    """All nodes reachable from the roots (NULL parent) with their level, by recursive SQL.
+def levels(nodes: DataFrame, id: str, parent: str) -> DataFrame:
+    """All nodes reachable from the roots (NULL parent) with their level (runs one action per level).
 
-    The row limit of recursion is lifted: the result is as large as the hierarchy.
+    Each level is one join with the level above and is written to the shared folder; it ends when a level is empty,
+    however deep the hierarchy. A node has one parent, so nodes on a cycle are never reached.
     """
-    spark = nodes.sparkSession
-    spark.conf.set("spark.sql.cteRecursionRowLimit", "-1")
-    return spark.sql(
-        f"""WITH RECURSIVE h MAX RECURSION LEVEL {max_levels} AS (
-                SELECT *, 1 AS level FROM {{nodes}} WHERE {parent} IS NULL
-                UNION ALL
-                SELECT n.*, h.level + 1 FROM {{nodes}} n JOIN h ON n.{parent} = h.{id})
-            SELECT * FROM h""",
-        nodes=nodes,
-    )
-
-
-def descendants(nodes: DataFrame, id: str, parent: str, root: str, max_levels: int = 100) -> DataFrame:
+    frontier = materialize(nodes.filter(F.col(parent).isNull()).withColumn("level", F.lit(1)), "levels")
+    found = frontier
+    for level in count(2):
+        parents = frontier.select(F.col(id).alias("_parent"))
+        below = nodes.join(parents, F.col(parent) == F.col("_parent"), "left_semi").withColumn("level", F.lit(level))
+        frontier = materialize(below, "levels")
+        if frontier.isEmpty():
+            return found
+        found = found.unionAll(frontier)
+
+
+def descendants(nodes: DataFrame, id: str, parent: str, root: str) -> DataFrame:
     """The root and everything below it, one join per level (runs one action per level).
 
     Each level is written to the shared folder, so a lost executor costs one level and the plan does
-    not grow. A node is visited once, so cycles end.
+    not grow. It ends when a level is empty. A node is visited once, so cycles end.
     """
     frontier = materialize(nodes.filter(F.col(id) == root), "descendants")
     found = frontier
-    for _ in range(max_levels):
+    while True:
         parents = frontier.select(F.col(id).alias("_parent"))
         below = nodes.join(parents, F.col(parent) == F.col("_parent"), "left_semi")
         frontier = materialize(below.join(found.select(id), id, "left_anti").select(*nodes.columns), "descendants")
         if frontier.isEmpty():
-            break
+            return found
         found = found.unionAll(frontier)
-    return found

@@ -5,9 +5,11 @@ The SQL states which windows are closed: those that end at or before the last wa
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from tidemark.operators.versioned import VersionedTable
 from tidemark.plans.inputs import table
@@ -41,12 +43,27 @@ def _appended(spark: SparkSession, stream: DataFrame, partition_by=()) -> DataFr
     return spark.read.schema(stream.schema).parquet(out)
 
 
-def _in_parts(spark: SparkSession, parts: list[DataFrame]) -> DataFrame:
-    """The parts as a stream of one micro-batch each, in order."""
+def _arrived(spark: SparkSession, rows: DataFrame) -> DataFrame:
+    """The rows as a stream, written by as many tasks as they have partitions."""
     path = scratch_path(spark, "arrivals")
-    for part in parts:
-        part.coalesce(1).write.mode("append").parquet(path)
-    return runs.parquet_stream(spark, path, parts[0].schema, files_per_batch=1)
+    rows.write.parquet(path)
+    return runs.parquet_stream(spark, path, rows.schema)
+
+
+def _in_parts(spark: SparkSession, parts: list[DataFrame], start: Callable[[DataFrame], StreamingQuery]) -> StreamingQuery:
+    """Run a query over the parts as one micro-batch each, in order: a part is written by all tasks, then the
+    query takes what has come since its last run. ``start`` uses the same checkpoint every time."""
+    path, key = scratch_path(spark, "arrivals"), "spark.sql.streaming.noDataMicroBatches.enabled"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "false")  # or each run would end with a batch of its own
+    try:
+        for part in parts:
+            part.write.mode("append").parquet(path)
+            query = start(runs.parquet_stream(spark, path, part.schema))
+            query.awaitTermination()
+    finally:
+        spark.conf.set(key, before)
+    return query
 
 
 TUMBLING_SQL = """SELECT time_bucket(INTERVAL 5 MINUTE, ts) AS window_start, time_bucket(INTERVAL 5 MINUTE, ts) + INTERVAL 5 MINUTE AS window_end,
@@ -111,9 +128,10 @@ def late_rows(spark: SparkSession, d: str) -> DataFrame:
     events, late, ts = _events(spark, d), F.expr(LATE), F.col("ts")
     first, second = (F.lit(day).cast("timestamp") for day in ("2024-01-16", "2024-01-17"))
     parts = [(ts < first) & ~late, (ts >= first) & (ts < second), (ts >= second) | late]
-    stream = _in_parts(spark, [events.filter(part) for part in parts])
-    out = scratch_path(spark, "updates")
-    runs.to_batches(fx.hourly_totals(stream), runs.batch_folders(out), scratch_path(spark, "offsets")).awaitTermination()
+    out, offsets = scratch_path(spark, "updates"), scratch_path(spark, "offsets")
+    _in_parts(
+        spark, [events.filter(part) for part in parts], lambda stream: runs.to_batches(fx.hourly_totals(stream), runs.batch_folders(out), offsets)
+    )
     return runs.latest_rows(spark, out, ["window_start", "event_type"])
 
 
@@ -146,7 +164,7 @@ MESSAGE_SQL = "SELECT event_id, user_id, event_type, value, date_trunc('millisec
 
 @query("str_07_parsed_messages", MESSAGE_SQL)
 def parsed_messages(spark: SparkSession, d: str) -> DataFrame:
-    raw = _in_parts(spark, [envelopes(table(spark, d, "events"))])
+    raw = _arrived(spark, envelopes(table(spark, d, "events")))
     return _appended(spark, parse_events(raw, EVENT_SCHEMA)).drop("processing_time")
 
 
@@ -193,8 +211,11 @@ def upserts(spark: SparkSession, d: str) -> DataFrame:
     t = VersionedTable(spark, scratch_path(spark, "upserts"))
     start = events.withColumns({"batch_id": F.lit(0).cast("bigint"), "written_at": F.current_timestamp()})
     t.create(start.limit(0), [("months", "ts")])
-    stream = _in_parts(spark, [events.filter(~second), fixed.filter(second | buy)])
-    runs.to_batches(stream, runs.upserts(t, "event_id", "ts", "events"), scratch_path(spark, "offsets"), "append").awaitTermination()
+    offsets = scratch_path(spark, "offsets")
+    _in_parts(
+        spark, [events.filter(~second), fixed.filter(second | buy)],
+        lambda stream: runs.to_batches(stream, runs.upserts(t, "event_id", "ts", "events"), offsets, "append"),
+    )
     return t.read().select("event_id", "value", "batch_id")
 
 
@@ -225,9 +246,8 @@ def _halves(spark: SparkSession, d: str) -> list[DataFrame]:
 
 @query("str_13_batch_totals", HALVES_SQL)
 def batch_totals(spark: SparkSession, d: str) -> DataFrame:
-    out = scratch_path(spark, "totals")
-    stream = _in_parts(spark, _halves(spark, d))
-    runs.to_batches(stream, runs.batch_totals(out, "value"), scratch_path(spark, "offsets"), "append").awaitTermination()
+    out, offsets = scratch_path(spark, "totals"), scratch_path(spark, "offsets")
+    _in_parts(spark, _halves(spark, d), lambda stream: runs.to_batches(stream, runs.batch_totals(out, "value"), offsets, "append"))
     return spark.read.option("basePath", out).parquet(out)
 
 
@@ -235,7 +255,7 @@ def batch_totals(spark: SparkSession, d: str) -> DataFrame:
 def without_repeats(spark: SparkSession, d: str) -> DataFrame:
     """Every event arrives twice."""
     events = _events(spark, d)
-    stream = _in_parts(spark, [events.unionAll(events)])
+    stream = _arrived(spark, events.unionAll(events))
     return _appended(spark, fx.without_repeats(stream).select("event_id", "user_id", "event_type"))
 
 
@@ -244,7 +264,7 @@ def recovery(spark: SparkSession, d: str) -> DataFrame:
     """A second run from the same checkpoint takes the files that came since, no more and no less."""
     arrivals, out, offsets = (scratch_path(spark, p) for p in ("arrivals", "recovered", "offsets"))
     for half in _halves(spark, d):
-        half.coalesce(1).write.mode("append").parquet(arrivals)
+        half.write.mode("append").parquet(arrivals)
         stream = runs.parquet_stream(spark, arrivals, half.schema).select("event_id", "value")
         runs.to_parquet(stream, out, offsets).awaitTermination()
     return spark.read.parquet(out)
@@ -252,10 +272,10 @@ def recovery(spark: SparkSession, d: str) -> DataFrame:
 
 @query("str_16_progress", HALVES_SQL.replace("AS batch, count(*) AS rows, round(sum(value), 2) AS total", "AS batch_id, count(*) AS input_rows"))
 def progress(spark: SparkSession, d: str) -> DataFrame:
-    stream = _in_parts(spark, _halves(spark, d))
-    q = runs.to_parquet(stream, scratch_path(spark, "seen"), scratch_path(spark, "offsets"))
-    q.awaitTermination()
-    return runs.progress_table(spark, q).filter("input_rows > 0").select("batch_id", "input_rows")
+    out, offsets = scratch_path(spark, "seen"), scratch_path(spark, "offsets")
+    with runs.progress_log(spark) as log:
+        q = _in_parts(spark, _halves(spark, d), lambda stream: runs.to_parquet(stream, out, offsets))
+        return log.table(spark, q).filter("input_rows > 0").select("batch_id", "input_rows")
 
 
 HOURLY_SQL = """SELECT date_trunc('hour', ts)::TIMESTAMP AS window_start, date_trunc('hour', ts)::TIMESTAMP + INTERVAL 1 HOUR AS window_end, event_type,
@@ -268,6 +288,18 @@ def rocksdb_state(spark: SparkSession, d: str) -> DataFrame:
         return _appended(spark, fx.hourly_totals(_stream(spark, d)))
 
 
+MESSAGES_SQL = f"""SELECT event_type AS key, '{{"window_start":"' || strftime(window_start, '%Y-%m-%dT%H:%M:%S.000') || '","window_end":"' ||
+    strftime(window_end, '%Y-%m-%dT%H:%M:%S.000') || '","event_type":"' || event_type || '","n":' || n || '}}' AS value FROM ({HOURLY_SQL})
+    {CLOSED.format(late='2 HOUR')}"""
+
+
+@query("str_12_windowed_messages", MESSAGES_SQL)
+def windowed_messages(spark: SparkSession, d: str) -> DataFrame:
+    """Closed windows of a stream as messages: the event type as key, window and count as JSON."""
+    closed = fx.hourly_totals(_stream(spark, d)).select("window_start", "window_end", "event_type", "n")
+    return _appended(spark, fx.as_messages(closed, "event_type"))
+
+
 @query("str_18_hourly_increment", f"SELECT * FROM ({HOURLY_SQL}) {CLOSED.format(late='1 HOUR')}")
 def hourly_increment(spark: SparkSession, d: str) -> DataFrame:
     return _appended(spark, fx.hourly_totals(_stream(spark, d), late="1 hour"))

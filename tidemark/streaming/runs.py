@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import re
+import threading
 from collections.abc import Callable, Sequence
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 from pyspark.sql.types import StructType
 
 from tidemark.operators.versioned import VersionedTable
@@ -53,17 +55,19 @@ def latest_rows(spark: SparkSession, path: str, keys: Sequence[str]) -> DataFram
 
 
 def last_batch(spark: SparkSession, path: str) -> DataFrame:
-    """The newest batch folder: the whole result in complete mode."""
+    """The newest batch folder, with or without rows: the whole result in complete mode."""
     rows = spark.read.option("basePath", path).parquet(path)
-    return rows.filter(F.col("batch") == rows.agg(F.max("batch")).scalar()).drop("batch")
+    newest = max(int(name) for file in rows.inputFiles() for name in re.findall(r"/batch=([0-9]+)/", file))
+    return rows.filter(F.col("batch") == newest).drop("batch")
 
 
 def upserts(table: VersionedTable, key: str, order: str, name: str) -> Callable[[DataFrame, int], None]:
-    """Merge each micro-batch by key with its batch id and write time. The newest row per key wins, and a
-    batch id already committed is skipped, so a replay changes nothing."""
+    """Merge each micro-batch by key with its batch id and write time. The newest row per key wins (of
+    equally new ones, the one with the largest digest), and a batch id already committed is skipped, so a replay
+    changes nothing."""
 
     def handle(rows: DataFrame, batch: int) -> None:
-        newest = F.row_number().over(Window.partitionBy(key).orderBy(F.desc(order)))
+        newest = F.row_number().over(Window.partitionBy(key).orderBy(F.desc(order), F.desc(F.xxhash64(*rows.columns))))
         ready = rows.withColumn("_newest", newest).filter("_newest = 1").drop("_newest")
         stamped = ready.withColumns({"batch_id": F.lit(batch).cast("bigint"), "written_at": F.current_timestamp()}).persist()
         try:
@@ -84,13 +88,43 @@ def batch_totals(path: str, value: str) -> Callable[[DataFrame, int], None]:
     return handle
 
 
-def progress_table(spark: SparkSession, query: StreamingQuery) -> DataFrame:
-    """Batch id, input rows and rates of the recent progress reports (a bounded list)."""
-    rows = [
-        (int(p["batchId"]), int(p["numInputRows"]), float(p.get("inputRowsPerSecond") or 0.0), float(p.get("processedRowsPerSecond") or 0.0))
-        for p in query.recentProgress
-    ]
-    return spark.createDataFrame(rows, "batch_id long, input_rows long, input_rate double, processed_rate double")
+class ProgressLog(StreamingQueryListener):
+    """Notes every progress report of the queries that start while it listens, one small row per micro-batch."""
+
+    def __init__(self):
+        self.rows: dict[tuple[str, int], tuple[int, int, float, float]] = {}
+        self.ended: dict[str, threading.Event] = {}
+
+    def onQueryStarted(self, event) -> None:
+        pass
+
+    def onQueryProgress(self, event) -> None:
+        p = event.progress
+        old = self.rows.get((str(p.id), p.batchId))
+        if old is None or p.numInputRows > old[1]:  # an idle report repeats its batch id
+            self.rows[str(p.id), p.batchId] = (p.batchId, p.numInputRows, float(p.inputRowsPerSecond or 0.0), float(p.processedRowsPerSecond or 0.0))
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        self.ended.setdefault(str(event.runId), threading.Event()).set()
+
+    def table(self, spark: SparkSession, query: StreamingQuery) -> DataFrame:
+        """Batch id, input rows and rates of all batches of a query that has ended, over all its runs here."""
+        self.ended.setdefault(str(query.runId), threading.Event()).wait(60)  # reports arrive in order, its end last
+        rows = [r for (id, _), r in sorted(self.rows.items()) if id == str(query.id)]
+        return spark.createDataFrame(rows, "batch_id long, input_rows long, input_rate double, processed_rate double")
+
+
+@contextmanager
+def progress_log(spark: SparkSession):
+    log = ProgressLog()
+    spark.streams.addListener(log)
+    try:
+        yield log
+    finally:
+        spark.streams.removeListener(log)
 
 
 @contextmanager
