@@ -120,8 +120,9 @@ def _sample(v: DataFrame, n: int) -> np.ndarray:
     return np.array([r["v"] for r in rows], "float64")
 
 
-def best(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query number, row number, score) of each query's ``k`` best distinct ids; ties to smaller ids. Scores are summed one by one, so equal vectors score equally."""
+def best(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray, k: int, least: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query number, row number, score) of each query's ``k`` best distinct ids; ties to smaller ids. Scores are summed one by one, so equal
+    vectors score equally. What scores below a query's ``least`` may be left out."""
     order = np.argsort(ids, kind="stable")
     ids, x = ids[order], x[order]
     rough = q @ x.T
@@ -133,6 +134,8 @@ def best(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray, k: in
             border = np.full(len(q), -np.inf)
     else:
         border = np.full(len(q), -np.inf)
+    if least is not None:
+        border = np.maximum(border, least)
     slack = 1e-9 * (1 + np.abs(np.where(np.isfinite(border), border, 0)))
     a, b = np.nonzero((rough >= (border - slack)[:, None]) & np.isfinite(rough))
     score = np.empty(len(a))
@@ -199,22 +202,53 @@ def visits(placed: DataFrame, queries: DataFrame, router: Router, k: int, recall
     return m, float(share[m - 1])
 
 
-def _blocks(rows: DataFrame, counts: DataFrame, size: int) -> DataFrame:
-    """part, block, ids, data: rows of a part packed in blocks of about ``size``."""
+def _blocks(rows: DataFrame, counts: DataFrame, size: int, more: str = "") -> DataFrame:
+    """part, block, ids, data (and the column ``more``): rows of a part packed in blocks of about ``size``."""
 
     def run(table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
-        ids = table["id"].to_numpy().astype("<i8").tobytes()
-        data = np.ascontiguousarray(_matrix(table["v"].chunk(0)), "<f8").tobytes()
-        return pa.table({"part": table["part"][:1], "block": table["block"][:1], "ids": pa.array([ids], pa.binary()), "data": pa.array([data], pa.binary())})
+        packed = {"ids": table["id"].to_numpy().astype("<i8"), "data": np.ascontiguousarray(_matrix(table["v"].chunk(0)), "<f8")}
+        if more:
+            packed[more] = table[more].to_numpy().astype("<f8")
+        return pa.table({"part": table["part"][:1], "block": table["block"][:1]} | {c: pa.array([x.tobytes()], pa.binary()) for c, x in packed.items()})
 
     numbered = rows.join(F.broadcast(counts), "part")  # one row per part, at most 64
     numbered = numbered.withColumn("block", F.pmod(F.xxhash64("id", "v"), F.ceil(F.col("n") / size)).cast("int"))
-    return numbered.select("part", "block", "id", "v").groupBy("part", "block").applyInArrow(run, "part int, block int, ids binary, data binary")
+    names = ["part", "block", "id", "v", *([more] if more else [])]
+    return numbered.select(*names).groupBy("part", "block").applyInArrow(run, "part int, block int, ids binary, data binary" + (f", {more} binary" if more else ""))
+
+
+def compare(rows: DataFrame, counts: DataFrame, asked: DataFrame, k: int) -> DataFrame:
+    """query_id, vec_id, score: the ``k`` best of every (block of rows, block of queries) of a part. ``rows`` are blocks, ``asked``
+    has id, v, part and ``least``, a score that k rows are known to reach."""
+    q_counts = materialize(asked.groupBy("part").agg(F.count("*").alias("n")), "ann-counts")
+    asked = _blocks(asked, q_counts, QUERIES, "least").join(F.broadcast(counts), "part")
+    asked = asked.select("part", F.explode(F.sequence(F.lit(0), F.ceil(F.col("n") / ROWS).cast("int") - 1)).alias("block"), F.col("ids").alias("q_ids"), F.col("data").alias("q_data"), "least")
+
+    def run(batches):
+        for batch in batches:
+            for blocks in zip(*(batch.column(i) for i in range(5))):
+                ids, data, q_ids, q_data, least = (np.frombuffer(c.as_buffer(), t) for c, t in zip(blocks, ("<i8", "<f8", "<i8", "<f8", "<f8")))
+                a, b, s = best(q_ids, q_data.reshape(len(q_ids), -1), ids, data.reshape(len(ids), -1), k, least)
+                yield pa.RecordBatch.from_arrays([pa.array(q_ids[a]), pa.array(ids[b]), pa.array(s)], names=["query_id", "vec_id", "score"])
+
+    met = rows.join(asked, ["part", "block"]).select("ids", "data", "q_ids", "q_data", "least")
+    return met.mapInArrow(run, "query_id long, vec_id long, score double")
+
+
+def _top(found: DataFrame, k: int) -> DataFrame:
+    """The ``k`` best per query over all blocks; an id that comes more than once counts with its best score."""
+    found = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    return found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def search(vectors: DataFrame, k: int = 20, every: int = 20, id_col: str = "vec_id", column: str = "embedding", recall: float = RECALL) -> DataFrame:
-    """query_id, rank, vec_id, score: for every row whose id is divisible by ``every``, its ``k`` nearest by inner product."""
+    """query_id, rank, vec_id, score: for every row whose id is divisible by ``every``, its ``k`` nearest by inner product.
+
+    A query first visits its most probable part. The score of its k-th best there is a floor for all further visits, which so
+    return little more than what enters the result.
+    """
     spark = vectors.sparkSession
     v = materialize(usable(vectors, id_col, column), "ann-vectors")
     router = learn(v, v.count())
@@ -230,28 +264,17 @@ def search(vectors: DataFrame, k: int = 20, every: int = 20, id_col: str = "vec_
             if batch.num_rows:
                 parts = shared.value.ranking(_matrix(batch.column(1)))[:, :m]
                 take = pa.array(np.repeat(np.arange(batch.num_rows), parts.shape[1]))
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), pa.array(parts.ravel().astype("int32"))], names=["id", "v", "part"])
+                visit = np.tile(np.arange(parts.shape[1], dtype="int32"), batch.num_rows)
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), pa.array(parts.ravel().astype("int32")), pa.array(visit)], names=["id", "v", "part", "visit"])
 
-    routed = materialize(queries.mapInArrow(route, "id long, v array<double>, part int"), "ann-routed")
+    routed = materialize(queries.mapInArrow(route, "id long, v array<double>, part int, visit int"), "ann-routed")
     counts = materialize(placed.groupBy("part").agg(F.count("*").alias("n")), "ann-counts")
-    q_counts = materialize(routed.groupBy("part").agg(F.count("*").alias("n")), "ann-counts")
-    rows = _blocks(placed, counts, ROWS)
-    asked = _blocks(routed, q_counts, QUERIES).join(F.broadcast(counts), "part")
-    asked = asked.select("part", F.explode(F.sequence(F.lit(0), F.ceil(F.col("n") / ROWS).cast("int") - 1)).alias("block"), F.col("ids").alias("q_ids"), F.col("data").alias("q_data"))
-
-    def compare(batches):
-        for batch in batches:
-            for ids, data, q_ids, q_data in zip(*(batch.column(i) for i in range(4))):
-                ids, q_ids = np.frombuffer(ids.as_buffer(), "<i8"), np.frombuffer(q_ids.as_buffer(), "<i8")
-                x, q = np.frombuffer(data.as_buffer(), "<f8").reshape(len(ids), -1), np.frombuffer(q_data.as_buffer(), "<f8").reshape(len(q_ids), -1)
-                a, b, s = best(q_ids, q, ids, x, k)
-                yield pa.RecordBatch.from_arrays([pa.array(q_ids[a]), pa.array(ids[b]), pa.array(s)], names=["query_id", "vec_id", "score"])
-
-    met = rows.join(asked, ["part", "block"]).select("ids", "data", "q_ids", "q_data")
-    found = met.mapInArrow(compare, "query_id long, vec_id long, score double")
-    found = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
-    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    rows = materialize(_blocks(placed, counts, ROWS), "ann-blocks")
+    home = routed.filter("visit = 0").withColumn("least", F.lit(float("-inf"))).drop("visit")
+    first = materialize(_top(compare(rows, counts, home, k), k).drop("rank"), "ann-first")
+    floor = first.groupBy(F.col("query_id").alias("id")).agg(F.when(F.count("*") >= k, F.min("score")).otherwise(float("-inf")).alias("least"))
+    away = routed.filter("visit > 0").drop("visit").join(floor, "id", "left").withColumn("least", F.coalesce("least", F.lit(float("-inf"))))
+    return _top(first.unionByName(compare(rows, counts, away, k)), k)
 
 
 def report(vectors: DataFrame) -> DataFrame:
