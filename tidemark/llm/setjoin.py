@@ -232,18 +232,23 @@ def _rows_of(df: DataFrame, ids: DataFrame, on: Column | str) -> DataFrame:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(a, b) -> node, root: the smallest node that can be reached. Labels sink along edges and by doubling, until none changes; each round is written."""
-    both = materialize(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).filter("a <> b").distinct(), "links")
-    state = materialize(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("root")), "labels")
-    while True:
-        near = both.join(state.select(F.col("node").alias("b"), "root"), "b").groupBy(F.col("a").alias("node")).agg(F.min("root").alias("near"))
-        low = state.join(near, "node").select("node", F.col("root").alias("was"), F.least("root", "near").alias("root"))
-        up = state.select(F.col("node").alias("root"), F.col("root").alias("above"))
-        new = low.join(up, "root", "left").select("node", F.least("root", F.coalesce("above", "root")).alias("root"), "was")
-        new = materialize(new, "labels")
-        if new.filter("root <> was").isEmpty():
-            return new.select("node", "root")
-        state = new.select("node", "root")
+    """(a, b) -> node, root: the smallest node that can be reached.
+
+    In a round every node goes to its smallest neighbour's smallest neighbour, if that is smaller, and edges follow their ends; what
+    was connected stays so, and edges within one node vanish. The work shrinks with the edges; it ends when none is left. Each round is written.
+    """
+    edges = materialize(edges.select("a", "b"), "links")
+    both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
+    both = materialize(both, "links")
+    state, both = both.select(F.col("a").alias("node"), F.col("a").alias("root")).distinct(), both.filter("a <> b")
+    while not both.isEmpty():
+        step = materialize(both.groupBy(F.col("a").alias("root")).agg(F.least(F.min("b"), F.first("a")).alias("to")), "steps")
+        jump = step.select(F.col("root").alias("to"), F.col("to").alias("far"))
+        step = materialize(step.join(jump, "to").select("root", F.col("far").alias("to")), "steps")
+        state = materialize(state.join(step, "root", "left").select("node", F.coalesce("to", "root").alias("root")), "labels")
+        ends = both.join(step.select(F.col("root").alias("a"), F.col("to").alias("a_to")), "a").join(step.select(F.col("root").alias("b"), F.col("to").alias("b_to")), "b")
+        both = materialize(ends.filter("a_to <> b_to").select(F.col("a_to").alias("a"), F.col("b_to").alias("b")).distinct(), "links")
+    return state.select("node", "root")
 
 
 def _families(nodes: DataFrame) -> DataFrame:
