@@ -79,3 +79,11 @@ def test_sessions_cross_midnight(spark):
     df = spark.createDataFrame(rows, "u int, ts string").withColumn("ts", F.col("ts").cast("timestamp_ntz"))
     out = {(r["u"], r["session_id"]): r["event_count"] for r in stitched_sessions(df, "u", "ts", "30 MINUTES").collect()}
     assert out == {(1, 0): 2, (1, 1): 1, (1, 2): 1, (2, 0): 1}
+
+
+def test_frame_of_some_pieces_only(spark):
+    df = spark.range(1000).select(F.lit("a").alias("k"), F.col("id").alias("t"), (F.col("id") % 7).alias("v"))
+    piece = F.floor(F.col("t") / 100)
+    every = piecewise_frame(df, ["k"], piece, ["t"], 3, 1, {"s": F.sum("v")})
+    some = piecewise_frame(df, ["k"], piece, ["t"], 3, 1, {"s": F.sum("v")}, only=pieces_of(df.filter("t = 450"), ["k"], piece))
+    assert sorted(map(tuple, some.collect())) == sorted(tuple(r) for r in every.collect() if 400 <= r["t"] < 500)

@@ -205,5 +205,10 @@ def lint(queries: DataFrame, text: str) -> DataFrame:
 
 
 def table_differences(left: DataFrame, right: DataFrame) -> DataFrame:
-    """Rows only in one table, duplicates counted, labelled 'left' or 'right'."""
-    return left.exceptAll(right).withColumn("side", F.lit("left")).unionByName(right.exceptAll(left).withColumn("side", F.lit("right")))
+    """Rows only in one table, duplicates counted, labelled 'left' or 'right': both tables are read and shuffled once,
+    every row counting +1 or -1."""
+    names = [f"`{c}`" for c in left.columns]
+    both = left.select(*names, F.lit(1).alias("_by")).unionByName(right.select(*names, F.lit(-1).alias("_by")))
+    more = both.groupBy(*names).agg(F.sum("_by").alias("_by")).filter("_by <> 0")
+    side = F.when(F.col("_by") > 0, "left").otherwise("right")
+    return more.select(*names, side.alias("side"), F.explode(F.sequence(F.lit(1).cast("long"), F.abs("_by"))).alias("_i")).drop("_i")

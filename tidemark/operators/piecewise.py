@@ -184,7 +184,8 @@ def piecewise_frame(
 
     Each piece is windowed together with a border: the last ``before`` rows ahead of it and the first
     ``after`` rows behind it. Border rows come from the edges of pieces only, so the per-key window
-    that places them sees at most ``before + after`` rows per piece.
+    that places them sees at most ``before + after`` rows per piece. ``only`` (from ``pieces_of``)
+    limits the output, and the windows, to those pieces.
     """
     rows, group = _placed(df, keys, piece)
     at = [*group, *PIECE]
@@ -195,6 +196,8 @@ def piecewise_frame(
     bordered = parts[0]
     for part in parts[1:]:
         bordered = bordered.unionByName(part)
+    if only is not None:
+        bordered = bordered.join(only, at, "left_semi")
     frame = Window.partitionBy(*at).orderBy(*order).rowsBetween(-before, after)
     computed = bordered.withColumns({name: agg.over(frame) for name, agg in aggregates.items()})
     return computed.filter(~F.col("_border")).select(*df.columns, *aggregates)

@@ -43,7 +43,7 @@ def top_fares_with_running(trips: DataFrame, row_order: Sequence[str], k: int =
     from their totals.
     """
     keys, day, order = ["passengers"], F.to_date("pickup_ts"), ["pickup_ts", *row_order]
-    base = materialize(trips.select("passengers", *order), "top-fares")
+    base = materialize(trips.select("passengers", *order).withColumn("_row", F.monotonically_increasing_id()), "top-fares")
     best = Window.partitionBy("passengers").orderBy(F.desc("fare"), *order)
     top = base.withColumn("fare_rank", F.row_number().over(best)).filter(F.col("fare_rank") <= k)
     days = pieces_of(top, keys, day)
@@ -51,14 +51,13 @@ def top_fares_with_running(trips: DataFrame, row_order: Sequence[str], k: int =
     rolling = piecewise_frame(
         base, keys, day, order, rows_back, 0, {"_sum": F.sum("fare"), "_n": F.count("fare")}, only=days
     )
-    on = ["passengers", *order]
     return (
-        top.join(running, on)
-        .join(rolling, on)
+        top.join(running.select("_row", "running_fare_total"), "_row")
+        .join(rolling.select("_row", "_sum", "_n"), "_row")
         .withColumns(
             {"running_fare_total": F.round("running_fare_total", 2), "rolling_avg_fare": F.round("_sum", 2) / F.col("_n")}
         )
-        .drop("_sum", "_n")
+        .drop("_row", "_sum", "_n")
     )
 
 

@@ -224,9 +224,17 @@ def boosted_per_borough(spark: SparkSession, d: str) -> DataFrame:
 
 @query("ml_12_model_comparison")
 def model_comparison(spark: SparkSession, d: str) -> DataFrame:
-    daily = materialize(ops.time_split(daily_borough(spark, d).filter("borough = 'Queens'"), "borough", "pickup_date"), "daily")
-    train, test = daily.filter("is_train"), daily.filter("NOT is_train")
-    return ops.compare_models(train, test, MODEL_FEATURES, "revenue", ops.regressors(train.count(), trees=10, depth=3))
+    """The models of every borough, with 100 trees of depth 5 where they are forests."""
+    daily = materialize(ops.time_split(daily_borough(spark, d), "borough", "pickup_date"), "daily")
+    out = None
+    for name in NAMES:  # a fixed, short list
+        own = daily.filter(F.col("borough") == name)
+        train, test = own.filter("is_train"), own.filter("NOT is_train")
+        n = train.count()
+        if n >= ops.MIN_GROUP_ROWS:
+            part = ops.compare_models(train, test, MODEL_FEATURES, "revenue", ops.regressors(n, trees=100, depth=5)).withColumn("borough", F.lit(name))
+            out = part if out is None else out.unionAll(part)
+    return out
 
 
 @query(
@@ -244,8 +252,13 @@ def expanding_folds(spark: SparkSession, d: str) -> DataFrame:
 
 @query("ml_13_cross_validated_rmse")
 def cross_validated_rmse(spark: SparkSession, d: str) -> DataFrame:
-    folded = ops.expanding_folds(daily_borough(spark, d).filter("borough = 'Queens'"), "borough", "pickup_date")
-    return ops.cross_validated_rmse(materialize(folded, "folds"), MODEL_FEATURES, "revenue", LinearRegression(regParam=0.01))
+    folded, out = materialize(ops.expanding_folds(daily_borough(spark, d), "borough", "pickup_date"), "folds"), None
+    for name in NAMES:  # a fixed, short list
+        own = folded.filter(F.col("borough") == name)
+        if own.filter("fold = 1 AND part = 'train'").count() >= 2:
+            part = ops.cross_validated_rmse(own, MODEL_FEATURES, "revenue", LinearRegression(regParam=0.01)).withColumn("borough", F.lit(name))
+            out = part if out is None else out.unionAll(part)
+    return out
 
 
 METRICS_SQL = f"""daily AS ({DAILY_SQL}), h AS ({HISTORY_SQL}),
@@ -312,12 +325,15 @@ def forecast_summary(spark: SparkSession, d: str) -> DataFrame:
     return ops.forecast_summary(ops.clamp_forecast(week, "_revenue", "_trips"), "borough")
 
 
-def _labelled(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents").select(
+def _measured(docs: DataFrame) -> DataFrame:
+    return docs.select(
         "doc_id", F.col("n_chars").cast("double").alias("n_chars"), F.size(F.split("text", r"\s+")).cast("double").alias("words"),
         F.length(F.regexp_replace("text", "[^0-9]", "")).cast("double").alias("digits"), "lang",
     )
-    return docs.join(table(spark, d, "labels"), "doc_id").withColumn("label", F.col("quality").cast("double"))
+
+
+def _labelled(spark: SparkSession, d: str) -> DataFrame:
+    return _measured(table(spark, d, "documents")).join(table(spark, d, "labels"), "doc_id").withColumn("label", F.col("quality").cast("double"))
 
 
 def _prepared(spark: SparkSession, d: str) -> DataFrame:
@@ -328,9 +344,8 @@ def _prepared(spark: SparkSession, d: str) -> DataFrame:
 @query("ml_18_tuned_classifier")
 def tuned_classifier(spark: SparkSession, d: str) -> DataFrame:
     rows, prepare = _prepared(spark, d)
-    ready = prepare.fit(rows).transform(rows).cache()
-    fitted = ops.tuned_classifier("rf", sizes=(3, 5, 8), depths=(2, 3, 4), folds=3).fit(ready)
-    return ops.tuning_table(spark, fitted)
+    ready = materialize(prepare.fit(rows).transform(rows), "prepared")
+    return ops.tuning_table(spark, ops.tuned_classifier("rf").fit(ready))
 
 
 @query(
@@ -369,18 +384,26 @@ def linear_regression(spark: SparkSession, d: str) -> DataFrame:
 
 @query("ml_21_batch_scoring")
 def batch_scoring(spark: SparkSession, d: str) -> DataFrame:
-    path = save_classifier(spark, d)
-    rows = _labelled(spark, d).drop("label")
-    return ops.scored(path, rows).select("doc_id", "probability_1", "prediction")
+    """All documents, labelled or not."""
+    rows = _measured(table(spark, d, "documents"))
+    return ops.scored(save_classifier(spark, d), rows).select("doc_id", "probability_1", "prediction")
+
+
+@query("ml_21_scoring_checks", "SELECT doc_id, true AS probability_fits, true AS prediction_fits FROM documents")
+def scoring_checks(spark: SparkSession, d: str) -> DataFrame:
+    """One score for every document, a probability, and a prediction that goes by it."""
+    p = F.col("probability_1")
+    fits = F.when(F.abs(p - 0.5) < 1e-9, True).otherwise((p > 0.5) == (F.col("prediction") == 1))
+    return batch_scoring(spark, d).select("doc_id", p.between(0, 1).alias("probability_fits"), fits.alias("prediction_fits"))
 
 
 def save_classifier(spark: SparkSession, d: str) -> str:
-    """Fit a small forest on the labelled documents, save the pipeline and return its path."""
+    """Fit a forest of 100 trees on the labelled documents, save the pipeline and return its path."""
     from pyspark.ml import Pipeline
     from pyspark.ml.classification import RandomForestClassifier
 
     rows, prepare = _prepared(spark, d)
-    model = Pipeline(stages=[*prepare.getStages(), RandomForestClassifier(labelCol="label", numTrees=5, maxDepth=3, seed=42)]).fit(rows)
+    model = Pipeline(stages=[*prepare.getStages(), RandomForestClassifier(labelCol="label", numTrees=100, maxDepth=5, seed=42)]).fit(rows)
     path = scratch_path(spark, "classifier")
     model.save(path)
     return path

@@ -277,6 +277,22 @@ def random_split(spark: SparkSession, d: str) -> DataFrame:
     return train.withColumn("part", F.lit("train")).unionAll(test.withColumn("part", F.lit("test")))
 
 
+@query("smp_01_sample_checks", "SELECT 0::BIGINT AS not_given, true AS share_fits, count(*) AS n FROM orders")
+def sample_checks(spark: SparkSession, d: str) -> DataFrame:
+    """Every sampled row is a given row, none comes twice, and their share is near the wanted one."""
+    orders = table(spark, d, "orders").select("o_orderkey", "o_totalprice")
+    marked = orders.withColumn("by", F.lit(1)).unionAll(random_sample(spark, d).withColumn("by", F.lit(-1)))
+    left = marked.groupBy("o_orderkey", "o_totalprice").agg(F.sum("by").alias("by"), F.count_if(F.col("by") > 0).alias("given"))
+    n, kept = F.sum("given"), F.sum(F.col("given") - F.col("by"))
+    return left.agg(F.count_if(F.col("by") < 0).alias("not_given"), (F.abs(kept / n - 0.1) < 0.03).alias("share_fits"), n.alias("n"))
+
+
+@query("smp_02_split_checks", "SELECT o_orderkey, 1::BIGINT AS times FROM orders")
+def split_checks(spark: SparkSession, d: str) -> DataFrame:
+    """Every row lies in exactly one part."""
+    return random_split(spark, d).groupBy("o_orderkey").agg(F.count(F.lit(1)).alias("times"))
+
+
 @query(
     "fn_01_date_parts",
     """SELECT event_id, ts::DATE AS day, hour(ts) AS hour, dayofweek(ts) + 1 AS day_of_week,

@@ -582,6 +582,16 @@ def rows_per_partition(spark: SparkSession, d: str) -> DataFrame:
     return ops.rows_per_partition(table(spark, d, "lineitem").repartition(8, "l_orderkey"))
 
 
+@query("met_33_partition_checks", "SELECT count(*)::BIGINT AS rows, true AS partitions_fit FROM lineitem")
+def partition_checks(spark: SparkSession, d: str) -> DataFrame:
+    """A whole number of partitions, 8 at most, holds the table's rows, and the figures are in order."""
+    rows = table(spark, d, "lineitem").agg(F.count(F.lit(1)).alias("rows"))
+    parts = F.col("rows") / F.col("mean")
+    whole = (F.abs(parts - F.round(parts)) < 1e-6) & (parts < 8.5)
+    ordered = (F.col("min") <= F.col("median")) & (F.col("median") <= F.col("max")) & (F.abs(F.col("max_over_mean") * F.col("mean") - F.col("max")) < 1e-6)
+    return rows.join(F.broadcast(rows_per_partition(spark, d)), F.lit(True)).select("rows", (whole & ordered).alias("partitions_fit"))  # one row each
+
+
 @query(
     "met_34_skew_by_mean",
     """WITH r AS (SELECT l_orderkey, max(l_quantity) / avg(l_quantity) AS ratio FROM lineitem GROUP BY 1)

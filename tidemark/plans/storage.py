@@ -115,6 +115,16 @@ def file_bytes(spark: SparkSession, d: str) -> DataFrame:
     return files.read_bytes(spark, path, "*.parquet").select("length", F.md5("content").alias("md5"))
 
 
+@query("src_15_text_bytes", "SELECT n_nationkey, length(n_name) + 1 AS length, md5(n_name || chr(10)) AS md5 FROM nation")
+def text_bytes(spark: SparkSession, d: str) -> DataFrame:
+    """One text file per nation, read as bytes."""
+    path = scratch_path(spark, "names")
+    table(spark, d, "nation").select("n_nationkey", F.col("n_name").alias("value")).write.partitionBy("n_nationkey").text(path)
+    found = files.read_bytes(spark, path, "*.txt")
+    key = F.regexp_extract("path", "n_nationkey=([0-9]+)", 1).cast("int")
+    return found.select(key.alias("n_nationkey"), "length", F.md5("content").alias("md5"))
+
+
 @query("snk_03_overwrite", f"{ORDERS_SQL} WHERE o_totalprice > 100000")
 def overwrite(spark: SparkSession, d: str) -> DataFrame:
     path, orders = scratch_path(spark, "overwrite"), _orders(spark, d)
@@ -129,7 +139,7 @@ def overwrite(spark: SparkSession, d: str) -> DataFrame:
 )
 def calendar_partitions(spark: SparkSession, d: str) -> DataFrame:
     path = scratch_path(spark, "days")
-    sinks.write_by_calendar(table(spark, d, "events"), "ts", path, day=True, files_per_part=2)
+    sinks.write_by_calendar(table(spark, d, "events"), "ts", path, day=True)
     return files.read_partitions(spark, path).groupBy("year", "month", "day").agg(agg.n_rows("n"))
 
 
@@ -171,7 +181,8 @@ def bucketed_join(spark: SparkSession, d: str) -> DataFrame:
     tag = uuid.uuid4().hex[:12]
     lines = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("orderkey"), "l_extendedprice")
     orders = table(spark, d, "orders").select(F.col("o_orderkey").alias("orderkey"), "o_orderpriority")
-    sinks.save_bucketed(lines, f"tidemark_lines_{tag}", "orderkey", 8, scratch_path(spark, "bucket"))
-    sinks.save_bucketed(orders, f"tidemark_orders_{tag}", "orderkey", 8, scratch_path(spark, "bucket"))
+    buckets = sinks.buckets_for(lines)  # both tables need the same number
+    sinks.save_bucketed(lines, f"tidemark_lines_{tag}", "orderkey", buckets, scratch_path(spark, "bucket"))
+    sinks.save_bucketed(orders, f"tidemark_orders_{tag}", "orderkey", buckets, scratch_path(spark, "bucket"))
     joined = spark.table(f"tidemark_lines_{tag}").join(spark.table(f"tidemark_orders_{tag}").hint("merge"), "orderkey")
     return joined.groupBy("o_orderpriority").agg(agg.n_rows("n"), F.round(F.sum("l_extendedprice"), 2).alias("revenue"))

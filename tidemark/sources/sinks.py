@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.operators.joins import estimated_bytes
+
 
 def with_calendar(df: DataFrame, ts: str, day: bool = False) -> DataFrame:
     parts = {"year": F.year(ts), "month": F.month(ts)}
@@ -16,18 +19,26 @@ def with_calendar(df: DataFrame, ts: str, day: bool = False) -> DataFrame:
 def write_by_calendar(df: DataFrame, ts: str, path: str, day: bool = False, files_per_part: int | None = None) -> None:
     """Partitioned by year and month (and day).
 
-    With ``files_per_part`` the rows are first spread over that many buckets per partition, which
-    bounds the file count without sending a hot month to one task; without it every task writes the
-    partitions it holds.
+    Rows are rebalanced by partition first: a task writes few partitions, and Spark splits a hot month among
+    tasks. With ``files_per_part`` they are spread over that many buckets per partition instead,
+    which bounds the file count.
     """
     cut = with_calendar(df, ts, day)
     parts = ["year", "month", "day"] if day else ["year", "month"]
     if files_per_part:
         spread = F.pmod(F.xxhash64(*df.columns), F.lit(files_per_part))
         cut = cut.repartition(*parts, spread)
+    else:
+        cut = cut.hint("rebalance", *parts)
     cut.write.mode("overwrite").partitionBy(*parts).parquet(path)
 
 
+def buckets_for(df: DataFrame, target_mb: int = 256, least: int = 8) -> int:
+    """A bucket count (a power of two) that keeps buckets of ``df`` near ``target_mb`` by the optimizer's estimate."""
+    wanted = estimated_bytes(df) / (target_mb << 20)
+    return max(least, 1 << max(0, math.ceil(math.log2(max(wanted, 1)))))
+
+
 def write_files(df: DataFrame, path: str, files: int, shuffle: bool = True) -> None:
     """Exactly ``files`` files by repartition, or at most that many by coalesce."""
     (df.repartition(files) if shuffle else df.coalesce(files)).write.mode("overwrite").parquet(path)
