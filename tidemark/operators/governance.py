@@ -4,12 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from itertools import count
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.session import materialize
+from tidemark.session import Steps
 
 # ---- audit ------------------------------------------------------------------------------------
 
@@ -107,19 +105,17 @@ def lineage_report(edges: DataFrame) -> DataFrame:
 
 
 def downstream(edges: DataFrame, root: str) -> DataFrame:
-    """Everything reachable from ``root`` with its distance, one join per hop (runs one action per hop).
+    """Everything reachable from ``root`` with its distance, one join per hop (runs two actions per hop).
 
     Each hop keeps only nodes not seen before and is written to the shared folder; it ends when a hop finds nothing new.
     """
     spark = edges.sparkSession
-    frontier = spark.createDataFrame([(root, 0)], "node string, hops int")
-    found = frontier
-    for hop in count(1):
+    hops = Steps(spark, "downstream")
+    frontier = hops.add(spark.createDataFrame([(root,)], "node string"))
+    while not frontier.isEmpty():
         step = edges.join(frontier.select(F.col("node").alias("source")), "source", "left_semi").select(F.col("target").alias("node")).distinct()
-        frontier = materialize(step.join(found, "node", "left_anti").withColumn("hops", F.lit(hop)), "downstream")
-        if frontier.isEmpty():
-            return found
-        found = found.unionAll(frontier)
+        frontier = hops.add(step.join(hops.all().select("node"), "node", "left_anti"))
+    return hops.all().withColumnRenamed("_step", "hops")
 
 
 def source_files(df: DataFrame, target: str) -> DataFrame:

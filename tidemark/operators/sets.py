@@ -5,12 +5,10 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from itertools import count
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.session import materialize
+from tidemark.session import Steps
 
 
 def union_evolving(frames: Sequence[DataFrame]) -> DataFrame:
@@ -24,34 +22,29 @@ def pivot_sum(df: DataFrame, keys: Sequence[str], category: str, values: Sequenc
 
 
 def levels(nodes: DataFrame, id: str, parent: str) -> DataFrame:
-    """All nodes reachable from the roots (NULL parent) with their level (runs one action per level).
+    """All nodes reachable from the roots (NULL parent) with their level (runs two actions per level).
 
     Each level is one join with the level above and is written to the shared folder; it ends when a level is empty,
     however deep the hierarchy. A node has one parent, so nodes on a cycle are never reached.
     """
-    frontier = materialize(nodes.filter(F.col(parent).isNull()).withColumn("level", F.lit(1)), "levels")
-    found = frontier
-    for level in count(2):
+    steps = Steps(nodes.sparkSession, "levels")
+    frontier = steps.add(nodes.filter(F.col(parent).isNull()))
+    while not frontier.isEmpty():
         parents = frontier.select(F.col(id).alias("_parent"))
-        below = nodes.join(parents, F.col(parent) == F.col("_parent"), "left_semi").withColumn("level", F.lit(level))
-        frontier = materialize(below, "levels")
-        if frontier.isEmpty():
-            return found
-        found = found.unionAll(frontier)
+        frontier = steps.add(nodes.join(parents, F.col(parent) == F.col("_parent"), "left_semi"))
+    return steps.all().withColumn("level", F.col("_step") + 1).drop("_step")
 
 
 def descendants(nodes: DataFrame, id: str, parent: str, root: str) -> DataFrame:
-    """The root and everything below it, one join per level (runs one action per level).
+    """The root and everything below it, one join per level (runs two actions per level).
 
-    Each level is written to the shared folder, so a lost executor costs one level and the plan does
-    not grow. It ends when a level is empty. A node is visited once, so cycles end.
+    Each level is written to the shared folder, so a lost executor costs one level, and all levels are read
+    as one table, so the plan does not grow. It ends when a level is empty. A node is visited once, so cycles end.
     """
-    frontier = materialize(nodes.filter(F.col(id) == root), "descendants")
-    found = frontier
-    while True:
+    steps = Steps(nodes.sparkSession, "descendants")
+    frontier = steps.add(nodes.filter(F.col(id) == root))
+    while not frontier.isEmpty():
         parents = frontier.select(F.col(id).alias("_parent"))
         below = nodes.join(parents, F.col(parent) == F.col("_parent"), "left_semi")
-        frontier = materialize(below.join(found.select(id), id, "left_anti").select(*nodes.columns), "descendants")
-        if frontier.isEmpty():
-            return found
-        found = found.unionAll(frontier)
+        frontier = steps.add(below.join(steps.all().select(id), id, "left_anti").select(*nodes.columns))
+    return steps.all().drop("_step")

@@ -8,6 +8,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
@@ -72,3 +73,23 @@ def materialize(df: DataFrame, purpose: str) -> DataFrame:
     path = scratch_path(spark, purpose)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+class Steps:
+    """Rows written step by step below one folder; all of them are one scan, however many steps there are."""
+
+    def __init__(self, spark: SparkSession, purpose: str):
+        self.spark, self.path, self.count, self.schema = spark, scratch_path(spark, purpose), 0, None
+
+    def add(self, df: DataFrame) -> DataFrame:
+        """Write the next step (counted from 0) and read it back (an action)."""
+        self.schema = df.schema
+        path = f"{self.path}/_step={self.count}"
+        df.write.parquet(path)
+        self.count += 1
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def all(self) -> DataFrame:
+        """All rows so far, with their ``_step``."""
+        schema = StructType([*self.schema.fields, StructField("_step", IntegerType())])
+        return self.spark.read.schema(schema).option("basePath", self.path).parquet(f"{self.path}/_step=*")
