@@ -1,9 +1,10 @@
 """The pipeline: each stage on its own input, and the queries of this folder against their SQL."""
 
+import random
+
 import pytest
 from compare import difference, duck
 from samples import CLASHING, SF, odd_rows, table, words
-import random
 
 import __spark_entry__ as entry
 import corpus_pipeline
