@@ -10,7 +10,7 @@ from tidemark.streaming import runs
 
 
 def test_deep_hierarchies_are_whole(spark):
-    nodes = spark.createDataFrame([(f"n{i:03d}", f"n{i - 1:03d}" if i else None) for i in range(150)], "id string, parent string")
+    nodes = spark.createDataFrame([(f"n{i:03d}", f"n{i - 1:03d}" if i else None) for i in range(150)], "id string, parent string").coalesce(1)
     levels = {r.id: r.level for r in sets.levels(nodes, "id", "parent").collect()}
     assert levels == {f"n{i:03d}": i + 1 for i in range(150)}
     assert sets.descendants(nodes, "id", "parent", "n110").count() == 40
@@ -23,7 +23,7 @@ def test_cycles_end(spark):
 
 
 def test_long_lineage_is_whole(spark):
-    edges = spark.createDataFrame([(f"t{i}", f"t{i + 1}") for i in range(60)], "source string, target string")
+    edges = spark.createDataFrame([(f"t{i}", f"t{i + 1}") for i in range(60)], "source string, target string").coalesce(1)
     hops = {r.node: r.hops for r in governance.downstream(edges, "t0").collect()}
     assert hops == {f"t{i}": i for i in range(61)}
 
