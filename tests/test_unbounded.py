@@ -31,13 +31,13 @@ def test_long_lineage_is_whole(spark):
 def test_progress_holds_every_batch(spark):
     path, out, offsets = (scratch_path(spark, p) for p in ("many", "out", "offsets"))
     for i in range(2):
-        spark.range(60).repartition(60).write.mode("append").parquet(path)
+        spark.range(600).repartition(60).write.mode("append").parquet(path)
     with runs.progress_log(spark) as log:
         query = runs.to_parquet(runs.parquet_stream(spark, path, spark.range(1).schema, files_per_batch=1), out, offsets)
         query.awaitTermination()
         rows = log.table(spark, query).collect()
     files = len({r.file for r in spark.read.parquet(path).select(F.input_file_name().alias("file")).collect()})
-    assert len([r for r in rows if r.input_rows]) == files > 100 and sum(r.input_rows for r in rows) == 120
+    assert len([r for r in rows if r.input_rows]) == files > 100 and sum(r.input_rows for r in rows) == 1200
 
 
 def test_an_empty_last_batch_is_the_last(spark):
