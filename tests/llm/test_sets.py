@@ -218,6 +218,47 @@ def test_packing(spark, library, monkeypatch, group):
     assert packing.report(table(spark, rows).limit(0)).count() == 0
 
 
+def placed(spark, monkeypatch, lengths, group):
+    """item -> (sequence, offset), and the largest group of any level."""
+    largest, plan = [0], packing._pack_groups
+
+    def watched(items):
+        largest[0] = max(largest[0], items.groupBy("grp").count().agg({"count": "max"}).first()[0] or 0)
+        return plan(items)
+
+    monkeypatch.setattr(packing, "GROUP", group)
+    monkeypatch.setattr(packing, "_pack_groups", watched)
+    out = packing.place(spark.createDataFrame(list(enumerate(lengths)), "item long, length long")).collect()
+    assert sorted(r.item for r in out) == list(range(len(lengths)))
+    sequences = {}
+    for r in out:
+        sequences.setdefault(r.sequence_id, []).append((r.offset, lengths[r.item], r.item))
+    for name, parts in sequences.items():
+        at = 0
+        for offset, length, _ in sorted(parts):
+            assert offset == at
+            at += length
+        assert at <= 1024 and min(parts)[2] == name  # named by the item that opened it, so names never clash
+    return sequences, largest[0]
+
+
+def test_packing_groups_stay_bounded_where_nothing_merges(spark, monkeypatch):
+    rng = random.Random(12)
+    lengths = [rng.randrange(513, 1024) for _ in range(2000)]
+    sequences, largest = placed(spark, monkeypatch, lengths, 16)
+    assert len(sequences) == len(lengths) and largest <= 4 * 16
+
+
+def test_packing_merges_the_half_empty_sequences_of_all_groups(spark, monkeypatch):
+    rng = random.Random(13)
+    lengths = [rng.choice([700, 724, 900, 1000]) for _ in range(1500)] + [300] * 500 + [60] * 30
+    sequences, largest = placed(spark, monkeypatch, lengths, 64)
+    number, _ = packing.pack(np.array(sorted(lengths, reverse=True)))
+    assert len(sequences) <= 1.01 * (number.max() + 1) and largest <= 4 * 64
+    half_empty = [p for p in sequences.values() if sum(x[1] for x in p) <= 512]
+    assert len(half_empty) <= 1
+
+
 def test_sum_of_squares_choice():
     """Every placement is the one after which the sum of squares is smallest."""
     rng = np.random.default_rng(9)

@@ -2,8 +2,9 @@
 
 Documents longer than a sequence are cut into full pieces, after a first piece that holds the rest. A piece goes into the open sequence
 whose choice makes the sum over gaps of (open sequences with that gap)^2 smallest; a new sequence is opened only
-when none has room. Long pieces come first. Groups of a bounded number of pieces are packed side by side; sequences left open are
-themselves pieces for the next level, until one group holds them all, so that the number of groups costs no sequences.
+when none has room. Long pieces come first. Groups of a bounded number of pieces are packed side by side; sequences left open that
+could still merge are themselves pieces for the next level, until one group holds them all, so that the number of groups costs no
+sequences. These are a few per group whatever the lengths, so no group outgrows the others.
 
 Edge cases: null text is one piece with the end id; repeated doc_ids are packed each; ties go to the smaller gap, then to the
 sequence opened last; an empty table gives no rows; other columns are ignored.
@@ -71,41 +72,64 @@ def pieces(docs: DataFrame, path: str | None = None, room: int = ROOM) -> DataFr
 
 
 def _pack_groups(items: DataFrame) -> DataFrame:
-    """(grp, item, length) -> item, length, grp, number, offset, fill: packed within each group."""
+    """(grp, item, length) -> item, length, at, offset, fill: packed within each group; a sequence is named by the item that opened it."""
 
     def run(table: pa.Table) -> pa.Table:
         table = table.sort_by([("length", "descending"), ("item", "ascending")])
         number, offset = pack(table["length"].to_numpy())
         fill = np.bincount(number, weights=table["length"].to_numpy()).astype("int64")[number]
-        return table.append_column("number", pa.array(number)).append_column("offset", pa.array(offset)).append_column("fill", pa.array(fill))
+        at = table["item"].to_numpy()[np.unique(number, return_index=True)[1]][number]
+        return table.append_column("at", pa.array(at)).append_column("offset", pa.array(offset)).append_column("fill", pa.array(fill))
 
-    return items.groupBy("grp").applyInArrow(run, "grp long, item long, length long, number long, offset long, fill long")
+    return items.groupBy("grp").applyInArrow(run, "grp long, item long, length long, at long, offset long, fill long").drop("grp")
+
+
+def _can_merge(left: DataFrame) -> DataFrame:
+    """The open sequences (item, length) that the next level needs for all merges that are possible.
+
+    Two sequences over half full never merge, and a group leaves one of at most half, for the next one would have gone into it. So a
+    level saves at most as many sequences as there are half empty ones, and those with the widest gaps, as many, do for that.
+    """
+    half = ROOM // 2
+    sizes = sorted(tuple(r) for r in left.groupBy("length").count().collect())  # at most ROOM rows
+    small = sum(n for size, n in sizes if size <= half)
+    wanted, border, share = small, half, 0.0
+    for size, n in sizes:
+        if size > half and wanted > 0:
+            # of the last size twice as many as wanted and some more, chosen by digest: too few is next to impossible
+            border, share = (size, 1.0) if n <= wanted else (size, min(1.0, (2 * wanted + 64) / n))
+            wanted -= n
+    if not small:
+        return left.limit(0)
+    some = F.pmod(F.xxhash64("item", F.lit("share")), F.lit(1 << 30)) < F.lit(int(share * (1 << 30)))
+    return left.filter((F.col("length") < border) | (F.col("length") <= half) | ((F.col("length") == border) & some))
 
 
 def place(lengths: DataFrame) -> DataFrame:
     """(item, length below a full sequence) -> item, sequence_id, offset. One job per level; a level packs groups of GROUP items."""
     n = lengths.count()
     groups = max(1, -(-n // GROUP))
-    items = lengths.withColumn("grp", F.pmod(F.xxhash64("item"), F.lit(groups)))
-    where = None  # item -> number of the sequence it is in so far, offset there
+    items = lengths
+    where = None  # item -> name of the sequence it is in so far, offset there
     level = 0
     while True:
-        # unique numbers: level, group, number in the group
-        mark = F.col("number") + F.shiftleft(F.col("grp"), 20) + F.lit(level << 56)
-        out = materialize(_pack_groups(items).select("item", "length", mark.alias("at"), F.col("offset"), "fill"), "pack-level")
-        moved = out.select("item", F.col("at"), "offset")
+        grouped = items.withColumn("grp", F.pmod(F.xxhash64("item", F.lit(level)), F.lit(groups)))
+        out = materialize(_pack_groups(grouped), "pack-level")
+        moved = out.select("item", "at", "offset")
         if where is None:
             where = moved
         else:  # sequences of the last level that were merged; all others stay where they are
             new = moved.select(F.col("item").alias("at"), F.col("at").alias("at2"), F.col("offset").alias("offset2"))
             where = where.join(new, "at", "left").select("item", F.coalesce("at2", "at").alias("at"), (F.col("offset") + F.coalesce("offset2", F.lit(0))).alias("offset"))
+        done = where.select("item", F.col("at").alias("sequence_id"), "offset")
         if groups == 1:
-            return where.select("item", F.col("at").alias("sequence_id"), "offset")
+            return done
         left = out.filter(F.col("fill") < ROOM).groupBy(F.col("at").alias("item")).agg(F.max("fill").alias("length"))
-        left = materialize(left, "pack-open")
-        # open sequences are few; where they are not, each level still halves the groups
-        groups = min(-(-groups // 2), max(1, -(-left.count() // GROUP)))
-        items = left.withColumn("grp", F.pmod(F.xxhash64("item"), F.lit(groups)))
+        items = materialize(_can_merge(materialize(left, "pack-open")), "pack-merge")
+        n = items.count()
+        if n < 2:
+            return done
+        groups = min(groups - 1, -(-n // GROUP))  # a few sequences per group are left, so this is the second but for tiny groups
         level += 1
 
 
