@@ -13,6 +13,9 @@ from tidemark.llm import lines, mixing, packing, quality, setjoin
 from tidemark.llm.common import documents
 from tidemark.session import scratch_path
 
+#: Shingle length and least similarity of a near-duplicate; the looser 3 and 90 are the contract of query op10 alone.
+NEAR_WORDS, NEAR_PERCENT = 5, 80
+
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base rules and the adaptive thresholds."""
@@ -26,7 +29,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each component: the one that names it. Documents that link with nothing all stay."""
-    return setjoin.one_per_component(docs)
+    return setjoin.one_per_component(docs, words=NEAR_WORDS, percent=NEAR_PERCENT)
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

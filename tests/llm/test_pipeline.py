@@ -5,6 +5,7 @@ import random
 import pytest
 from compare import difference, duck
 from samples import CLASHING, SF, odd_rows, table, words
+from test_sets import components, families
 
 import __spark_entry__ as entry
 import corpus_pipeline
@@ -48,6 +49,19 @@ def test_stages(spark, tmp_path):
             assert sum(r.length for r in docs.collect()) == sum(r.length for r in packing.report(before).collect())
 
 
+def test_near_duplicate_stage_is_five_words_and_80_percent(spark):
+    """A text of 100 words with two scattered words changed is a near copy at 5 words / 0.8, but not at 3 words / 0.9."""
+    rng = random.Random(3)
+    rows = families(rng, 30, 10)
+    for i in range(4):
+        w = [f"q{i}x{k}" for k in range(100)]
+        rows += [(1000 + 2 * i, " ".join(w)), (1001 + 2 * i, " ".join("changed" if k in {30, 70} else x for k, x in enumerate(w)))]
+    want = {low for _, n, low in components(rows, percent=80, n=5) if n} | {r[0] for r in rows if not (r[1] or "").split()}
+    assert all(1000 + 2 * i in want and 1001 + 2 * i not in want for i in range(4))
+    docs = table(spark, rows, CLASHING)
+    assert sorted(r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, SF).collect()) == sorted(want)
+
+
 def test_stages_take_odd_tables(spark):
     rng = random.Random(1)
     docs = table(spark, odd_rows() + [(100 + i, words(rng, 120), "a") for i in range(30)] + odd_rows(), CLASHING)
