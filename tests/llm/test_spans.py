@@ -108,6 +108,25 @@ def test_pii_query(spark):
     assert pii.report(table(spark, rows).limit(0)).count() == 0
 
 
+def test_evidence_reaches_every_repeat(spark):
+    """A number given once with its prefix, and the local part of a mail address, however often and far apart they come again."""
+    rng = random.Random(15)
+    rows = []
+    for i in range(300):
+        user, phone = f"user{i}.{rng.randrange(99)}", f"({rng.randrange(200, 999)}) 555-{rng.randrange(1000, 9999)}"
+        rows.append((i, f"{words(rng, 20)} {user}@mail.example.com {words(rng, 10)} +1 {phone} {words(rng, 5)} 10.0.{i % 256}.7 {rng.randrange(99)}. {words(rng, 5)}"))
+    w = pii.train(table(spark, rows))
+    for first in (True, False):  # the prefixed number at the start, or in the middle
+        bare = [f"{words(rng, 9)} then (988) 555-2485 again" for _ in range(50)]
+        bare.insert(0 if first else 30, "call +1 (988) 555-2485 now")
+        text = " ".join(bare)
+        found = {(a, b) for k, a, b in pii.added_spans(text, pii.base_spans(text), w) if pii.KINDS[k] == "phone"}
+        repeats = {m.span() for m in re.finditer(re.escape("(988) 555-2485"), text) if text[m.start() - 3 : m.start()] != "+1 "}
+        assert len(repeats) == 50 and repeats <= found
+    nodes = pii.nodes_of("bob@x.com wrote that bob and bob@y.com met", pii.base_spans("bob@x.com wrote that bob and bob@y.com met"))
+    assert [tuple(e) for e in pii.edges_of(nodes).tolist() if e[2]] == [(0, 1, 1), (0, 2, 1)]
+
+
 def test_messages_are_exact_on_a_tree():
     """On a chain, sum-product gives the true marginals."""
     rng = np.random.default_rng(6)

@@ -13,7 +13,7 @@ sample of documents whose labels come from the patterns; features count without
 field can label what patterns miss. The skip factor is the log odds of agreement among similar tokens of the sample.
 
 Edge cases: null text is empty; without digits or at signs a text has no nodes; repeated rows are scanned each; an empty table gives no
-rows and no weights. Places are code points. Long texts cost linear time: repeated tokens are chained to the previous one, never
+rows and no weights. Places are code points. Long texts cost linear time: repeated tokens are linked to one of them, never
 all to all, and the patterns start only where a match can start.
 """
 
@@ -33,7 +33,8 @@ KINDS = ["email", "ip", "card", "phone"]
 #: Documents the weights are counted on, at most.
 SAMPLE_DOCS = 5000
 CERTAIN = 0.9
-ROUNDS = 12
+#: Messages settle long before; a bound for graphs on which they do not.
+ROUNDS = 200
 
 _LOCAL_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -135,14 +136,28 @@ def nodes_of(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int
     return out
 
 
-def edges_of(nodes: list) -> np.ndarray:
-    """(from, to, skip?) : neighbouring words, and each token with the last similar one that is no neighbour."""
-    out, last = [], {}
+def _similar(key: str) -> bool:
+    """Whether equal keys say anything: short numbers and words are equal by chance, names of mail addresses are not."""
+    return key[0] == "e" or len(key) > 4
+
+
+def edges_of(nodes: list, hubs: bool = True) -> np.ndarray:
+    """(from, to, skip?) : neighbouring words, and each token with the hub of its key: the first observed similar one, else the first.
+
+    So evidence reaches every repeat in one step. Without ``hubs`` each token goes with the last similar one.
+    """
+    out, last, hub = [], {}, {}
+    for j, (_, _, _, label, _, key) in enumerate(nodes):
+        if key not in hub or (label and not nodes[hub[key]][3]):
+            hub[key] = j
     for j, (_, _, i, _, _, key) in enumerate(nodes):
         if j and nodes[j - 1][2] == i - 1:
             out.append((j - 1, j, 0))
-        if len(key) > 4 and key in last:
-            out.append((last[key], j, 1))
+        if _similar(key):
+            if hubs and hub[key] != j:
+                out.append((hub[key], j, 1))
+            elif not hubs and key in last:
+                out.append((last[key], j, 1))
         last[key] = j
     return np.array(out, "int64").reshape(-1, 3)
 
@@ -227,7 +242,7 @@ def count_features(text: str) -> dict[str, int]:
         add(f"l|{n[3]}")
         for f in n[4]:
             add(f"f|{f}|{n[3]}")
-    for a, b, t in edges_of(nodes).tolist():
+    for a, b, t in edges_of(nodes, hubs=False).tolist():  # a repeated number counts by its changes of label
         add(f"p|{t}{nodes[a][3]}{nodes[b][3]}")
     return out
 
