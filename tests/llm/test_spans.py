@@ -161,6 +161,23 @@ def test_every_license_is_found_with_small_changes(name):
     assert [h[2] for h in licenses.scan_text(f"{t} {around} {t}")] == [name] * 2
 
 
+@pytest.mark.parametrize(
+    "text, name",
+    [
+        ("Licensed under CC BY-SA 4.0.", "CC-BY-SA-4.0"), ("Licensed under CC BY 4.0.", "CC-BY-4.0"), ("Licensed under CC BY-NC-SA 4.0.", "CC-BY-NC-SA-4.0"),
+        ("Licensed under CC BY-NC 3.0.", None), ("Released under the BSD License.", "BSD notice"), ("Released under the XYZ License.", None),
+        ("Licensed under the Apache License, Version 1.1.", "Apache-1.1"), ("Licensed under the Apache License, Version 1.0.", None),
+        ("This work is licensed under the GNU General Public License, version 2.", "GPL-2.0"),
+        ("This work is licensed under the GNU General Public License, version 3.0.", "GPL-3.0"),
+        ("This work is licensed under the GNU General Public License, version 1.", None),
+        ("This work is licensed under the GNU Lesser General Public License, version 3.", "LGPL-3.0"),
+        ("This work is licensed under the GNU Library General Public License, version 2.", None),
+    ],
+)
+def test_neighbouring_licenses_are_told_apart(text, name):
+    assert [h[2] for h in licenses.scan_text(f"some words before. {text} Some words after")] == ([name] if name else [])
+
+
 def lcs(a, b):
     last = [0] * (len(b) + 1)
     for x in a:

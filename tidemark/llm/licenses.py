@@ -9,7 +9,7 @@ reaches the required coverage, so no match is lost, and a notice far down in a l
 short text. After a match the rest of the window is searched again.
 
 Edge cases: null or empty text has no license; a license that stands twice is found twice; of matches of several templates that
-overlap the one that covers more words wins, ties going to the earlier template; repeated rows are scanned each; an empty table
+overlap the one that covers more words wins (only matches that hold the phrases of IDENTITY count), ties going to the earlier template; repeated rows are scanned each; an empty table
 gives no rows. Places are code points.
 """
 
@@ -68,6 +68,63 @@ TEMPLATES = {
         "can obtain one at http://mozilla.org/MPL/2.0/."
     ),
 }
+_GNU = TEMPLATES["GPL-3.0 header"]
+_GNU_NAME = "GNU General Public License"
+_WARRANTY = (
+    "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED "
+    "TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR "
+    "CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, "
+    "PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF "
+    "LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, "
+    "EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
+)
+TEMPLATES |= {
+    "Apache-1.1": "Licensed under the Apache License, Version 1.1.",
+    "MPL-2.0 notice": "Licensed under the Mozilla Public License, Version 2.0.",
+    "BSD notice": "Released under the BSD License.",
+    "ISC notice": "Released under the ISC License.",
+    "Unlicense notice": "Released under the Unlicense.",
+    **{f"CC-{x}-4.0": f"Licensed under CC {x} 4.0." for x in ("BY", "BY-SA", "BY-ND", "BY-NC-SA", "BY-NC-ND")},
+    "GPL-2.0": f"This work is licensed under the {_GNU_NAME}, version 2.",
+    "LGPL-2.1": "This work is licensed under the GNU Lesser General Public License, version 2.1.",
+    "LGPL-3.0": "This work is licensed under the GNU Lesser General Public License, version 3.",
+    "AGPL-3.0": "This work is licensed under the GNU Affero General Public License, version 3.",
+    "GPL-2.0 header": _GNU.replace("version 3", "version 2"),
+    "LGPL-2.1 header": _GNU.replace("version 3", "version 2.1").replace("program", "library").replace("General Public", "Lesser General Public"),
+    "LGPL-3.0 header": _GNU.replace("General Public", "Lesser General Public"),
+    "AGPL-3.0 header": _GNU.replace("General Public", "Affero General Public"),
+    "ISC text": (
+        TEMPLATES["ISC"] + " THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED "
+        "WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR "
+        "ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, "
+        "ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."
+    ),
+    "BSD-2-Clause text": TEMPLATES["BSD"] + " " + _WARRANTY,
+    "BSD-3-Clause text": (
+        TEMPLATES["BSD"] + " Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived "
+        "from this software without specific prior written permission. " + _WARRANTY
+    ),
+}
+#: Phrases (several forms parted by |) that a match must hold as they are: what tells a license from its neighbours.
+IDENTITY = {
+    "Apache-2.0": ["apache license", "version 2.0|version 2"],
+    "MIT": ["mit license"],
+    "CC-BY-NC-4.0": ["cc by-nc 4.0"],
+    "GPL-3.0": ["gnu general public license", "version 3|version 3.0"],
+    "Apache-2.0 header": ["apache license", "version 2.0|license-2.0"],
+    "GPL-3.0 header": ["gnu general public license", "version 3|version 3.0"],
+    "Apache-1.1": ["apache license", "version 1.1"],
+    "MPL-2.0 notice": ["mozilla public license", "version 2.0|version 2"],
+    "BSD notice": ["bsd license"],
+    "ISC notice": ["isc license"],
+    "Unlicense notice": ["the unlicense"],
+    **{f"CC-{x}-4.0": [f"cc {x.lower()} 4.0"] for x in ("BY", "BY-SA", "BY-ND", "BY-NC-SA", "BY-NC-ND")},
+    **{f"GPL-2.0{x}": ["gnu general public license", "version 2|version 2.0"] for x in ("", " header")},
+    **{f"LGPL-2.1{x}": ["gnu lesser general public license", "version 2.1"] for x in ("", " header")},
+    **{f"LGPL-3.0{x}": ["gnu lesser general public license", "version 3|version 3.0"] for x in ("", " header")},
+    **{f"AGPL-3.0{x}": ["gnu affero general public license", "version 3|version 3.0"] for x in ("", " header")},
+    "BSD-3-Clause text": ["neither the name|names of its|endorse or promote|promote products derived"],
+}
 COVERAGE = 0.8
 #: Words that any text may hold; not used to find windows unless a template needs them.
 COMMON = {"a", "all", "an", "and", "any", "are", "as", "at", "be", "but", "by", "can", "for", "from", "if", "in", "is", "it", "not", "of", "on", "one", "or", "that", "the", "this", "to", "use", "was", "with", "you"}
@@ -161,6 +218,11 @@ def compiled(items: tuple[tuple[str, str], ...], coverage: float):
     return out
 
 
+def _identified(name: str, words: list[str]) -> bool:
+    line = f" {' '.join(words)} "
+    return all(any(f" {form} " in line for form in phrase.split("|")) for phrase in IDENTITY.get(name, ()))
+
+
 def scan_text(text: str, templates: tuple[tuple[str, str], ...] = tuple(TEMPLATES.items()), coverage: float = COVERAGE) -> list[tuple[int, int, str, float]]:
     """(start, end, license, coverage) of all matches, by place."""
     low = text.lower()
@@ -210,7 +272,8 @@ def scan_text(text: str, templates: tuple[tuple[str, str], ...] = tuple(TEMPLATE
                     todo += [(a, min(b, mid + n // 2 + 1)), (max(a, mid - n // 2), b)] if b - a > 3 * n else [(a, a + 3 * n // 2), (b - 3 * n // 2, b)]
                 continue
             i, j = a + best[0][0], a + best[-1][0] + 1
-            if (i, j) not in taken:
+            # the version may stand right behind the last aligned word, in another form
+            if (i, j) not in taken and _identified(name, plain[i : j + 1]):
                 taken.add((i, j))
                 found.append((len(best), -order, i, j, name, len(best) / n))
             todo += [(a, i), (j, b)]
