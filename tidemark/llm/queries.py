@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import ann, licenses, lines, mixing, packing, pii, quality, secrets, setjoin, tokens
+from tidemark.llm import ann, licenses, lines, mixing, packing, pii, quality, secrets, setjoin, tokens, warc
 from tidemark.llm.common import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -73,3 +73,8 @@ def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op4_pii")
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.report(documents(spark, sf_dir))
+
+
+@query("op11_warc", warc.ORACLE)
+def op11_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.report(spark.read.parquet(f"{sf_dir}/pages.parquet"))
