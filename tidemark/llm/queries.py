@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import ann, licenses, lines, mixing, packing, pii, quality, secrets, setjoin, tokens, warc
+from tidemark.llm import ann, dialogue, licenses, lines, mixing, packing, pii, quality, secrets, setjoin, tokens, warc
 from tidemark.llm.common import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -78,3 +78,8 @@ def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op11_warc", warc.ORACLE)
 def op11_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.report(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
+@query("op12_conversation_repair")
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dialogue.report(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
