@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import ann, dialogue, licenses, lines, mixing, packing, pii, quality, secrets, setjoin, tokens, warc
+from tidemark.llm import ann, centroids, dialogue, licenses, lines, mixing, packing, pii, quality, secrets, setjoin, tokens, warc
 from tidemark.llm.common import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -83,3 +83,8 @@ def op11_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op12_conversation_repair")
 def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dialogue.report(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
+@query("op13_centroid_clustering", centroids.oracle())
+def op13_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.report(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
