@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import re
 import tempfile
@@ -72,7 +73,24 @@ def materialize(df: DataFrame, purpose: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch_path(spark, purpose)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_at = path
+    return out
+
+
+def release(*written: DataFrame) -> None:
+    """Deletes tables that ``materialize`` wrote, once nothing that is still to run reads them.
+
+    Shuffle files of finished jobs go with them: Spark frees those when the driver collects its garbage, which a driver with room to spare
+    would do too late for the disks of the executors.
+    """
+    for df in written:
+        jvm, path = df.sparkSession._jvm, df._written_at
+        place = jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(place, True)
+    if written:
+        gc.collect()
+        written[0].sparkSession._jvm.System.gc()
 
 
 class Steps:
