@@ -40,7 +40,7 @@ def test_stages(spark, tmp_path):
         if k == 1:
             assert sorted(ids) == sorted(r.doc_id for r in before.collect())
         if k == 2:
-            assert sorted(ids) == sorted({r.component_id for r in setjoin.report(before).collect()})
+            assert sorted(ids) == sorted({r.component_id for r in setjoin.join(before, words=5, percent=80).collect()})
         if k == 3:
             taken = {r.doc_id: r.taken // max(r.size, 1) for r in mixing.report(before).collect()}
             assert sum(taken.values()) == pytest.approx(len(ids), abs=len(taken) // 3)

@@ -87,21 +87,59 @@ def test_word_digests_follow_words():
 
 
 @pytest.mark.parametrize("percent", [90, 80])
-def test_linked_sets_share_a_list(percent):
-    """No link is lost by the index: the largest differences that still link are tried for many sizes."""
+def test_linked_sets_share_lists_they_both_keep(percent):
+    """No link is lost by the index: the largest differences that still link are tried for many sizes, whatever the lists' lengths."""
     rng = np.random.default_rng(2)
-    for n in [*range(4, 60), 99, 150, 151, 399, 400, 1200, 5000]:
+    gone, spare = (lambda n: setjoin.gone(n, percent)), (lambda n: setjoin.spare(n, percent))
+    out = lambda n: gone(-(-n * percent // 100)) // 2
+    least = 10**9
+    for n in [*range(1, 60), 99, 150, 151, 399, 400, 1200, 5000]:
         for _ in range(6):
             a = np.unique(setjoin.mix(rng.integers(0, 2**63, n).astype("uint64")))
-            b, d = a.copy(), 0
+            b = a.copy()
             while True:  # one more difference, while they still link
                 c = np.delete(b, rng.integers(len(b))) if rng.random() < 0.5 and len(b) > 1 else np.unique(np.append(b, rng.integers(0, 2**63, dtype="uint64")))
                 o = len(np.intersect1d(a, c))
                 if 100 * o < percent * (len(a) + len(c) - o):
                     break
-                b, d = c, d + 1
-            if d and not np.array_equal(a, b):
-                assert np.intersect1d(setjoin.keys_of(a, percent), setjoin.keys_of(b, percent)).size, (n, d)
+                b = c
+            kept = []
+            for s in (a, b):
+                region = s[: gone(len(s)) + spare(len(s))]
+                shared = sorted(region, key=lambda e: (int(setjoin.mix(np.array([e]))[0]) % 3, int(e)))  # few lengths, so ties too
+                kept.append(set(shared[: len(shared) - out(len(s))]))
+            t = -(-percent * (len(a) + len(b)) // (100 + percent))
+            need = min(t - len(s) + gone(len(s)) + spare(len(s)) for s in (a, b)) - max(out(len(a)), out(len(b)))
+            assert len(kept[0] & kept[1]) >= max(need, 1), (n, len(b))
+            least = min(least, need)
+    assert least >= 1
+
+
+def test_versions_with_copies_and_shared_passages(spark, monkeypatch):
+    """Two versions of a page, each with many near copies that link with their own version only; pages that share half; a chain between two clusters."""
+    monkeypatch.setattr(setjoin, "BIG", 10)
+    rng = random.Random(11)
+    one = words(rng, 200, 10**6)
+    w = one.split()
+    two = " ".join(w[:150] + [f"n{i}" for i in range(50)])  # too far from the first
+    near = " ".join(w[:176] + [f"m{i}" for i in range(24)])  # its copies may reach both
+    rows = [(i, edited(rng, rng.choice([one, two, near]), rng.randrange(0, 5))) for i in range(260)]
+    passage = words(rng, 100, 10**6)
+    rows += [(1000 + i, passage + " " + words(rng, rng.choice([60, 100, 200]), 10**6)) for i in range(60)]
+    for words_, percent in ((3, 90), (5, 80)):
+        got = plain(setjoin.join(table(spark, rows), words_, percent), "doc_id", "n_shingles", "component_id")
+        assert got == components(rows, percent, words_)
+
+
+def test_families_hold_similar_sets_only(spark):
+    """On the given table no family is much larger than the components and what resembles them: unrelated sets are not chained."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    regions = setjoin.materialize(setjoin.digests(docs, 5, 80, False).selectExpr("*", "monotonically_increasing_id() AS uid"), "test-regions")
+    nodes = regions.filter("n > 0").dropDuplicates(["n", "c1", "c2"])
+    fam = setjoin._families(setjoin._kept(nodes.select("uid", "n", "items"), 80))
+    found = setjoin.join(docs, 5, 80)
+    component = found.filter("n_shingles > 0").groupBy("component_id").count().agg({"count": "max"}).first()[0]
+    assert fam.groupBy("fam").count().agg({"count": "max"}).first()[0] <= 3 * component
 
 
 @pytest.mark.parametrize("seed", [3, 4])

@@ -4,18 +4,18 @@ Documents are sets of word shingles. Two link when their Jaccard similarity reac
 is one row per document with the size of its set and its component. All links between different sets count; equal sets
 are one node from the start, whatever their number.
 
-**Block-skipping by position.** All shingles have one global order (their digest's), cut into blocks; how many depends on the size band of
-the sets. Linked sets differ in few shingles, so they agree on whole blocks. The index has a list per (band, block, content of the block):
-a set is in the list of its content and every other list of that block is skipped. A shingle or passage that many documents share does
-not make a long list, since the rest of the block must agree too. With ``k`` the most shingles in which linked sets of the band
-differ, ``k + 1 + spare`` blocks leave ``spare + 1`` in which they agree; sets with more than ``spare`` empty blocks are listed under
-these as well, so no link is lost.
-
-**Answers from a similar set's answers.** Lists chain sets to families. In each family one central set ``c`` (in the most and longest lists) is compared
-with every member ``x``: ``D(x)``, the shingles in which both differ, answers whether they link. Members ``x`` and ``y`` then
-differ in exactly ``D(x)`` against ``D(y)``. Members that link with ``c`` are in its component and never meet each other; for others,
-linked ``x`` and ``y`` share all but ``k`` elements of their difference, so one of the ``k + 1`` rarest must be shared: those are
-indexed, and the pairs they give are checked exactly on the differences. So a group of thousands of copies costs one
+**Index lists, skipped by position.** All shingles have one global order (their digest's). A set of n shingles misses at most ``gone(n)`` of its shingles
+in a set it links with, so its first ``gone(n) + spare`` shingles, its region, hold ``spare`` that both have, each in both
+regions. Lists of regions are counted, and every set leaves the ``spare - 1`` longest of its shared lists (for the least spare of the sets it could link with): one common list is
+still left to both. So passages that many documents share drop out of the index, and most documents with them. Entries keep
+their position in blocks; blocks of a list whose positions and sizes already differ in more shingles than the threshold allows are skipped, as are pairs that
+share fewer lists than links must.
+
+**Answers from a similar set's answers.** Sets that share a fifth of their lists with one of them form a family around that centre ``c``. ``D(x)``, the shingles in
+which ``x`` and ``c`` differ, answers whether they link; ``x`` and ``y`` differ in exactly ``D(x)`` against ``D(y)``. Members that link with ``c``
+are one cluster; in large families what is left gets further centres while they gather anything. Others that link share all but ``k`` elements of their difference, so one of the ``k + 1``
+rarest must be shared: those are indexed. Clusters meet first: what their centres differ in, less both radii, excludes most, a member that links with the other
+centre settles the pair, and only members that the radii leave open are compared one by one. So a group of thousands of copies costs one
 comparison per copy, not all pairs.
 
 Shingles and sets travel as 64 and 128 bit digests. Everything runs as joins and map-side combined groups; no list, family or
@@ -37,11 +37,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import text_of
-from tidemark.session import materialize
+from tidemark.session import Steps, materialize, release
 
 WORDS, PERCENT = 3, 90
-#: Upper by lower end of a size band.
-BAND = 1.4
+#: Rounds of finding centres of families; later ones find hardly any. Families with more open members get further centres.
+ROUNDS, BIG = 4, 256
 #: At most so many ids are sent to every task to find their rows; more are joined by a shuffle.
 SENT_IDS = 1_000_000
 CHUNK = 1 << 20
@@ -143,58 +143,22 @@ def sets_of(texts: pa.Array, words: int = WORDS):
         i = j
 
 
-class Bands:
-    """Size bands and their numbers of blocks for one threshold."""
+def gone(n: int, percent: int) -> int:
+    """The most shingles of a set of ``n`` that a set it links with lacks."""
+    return (100 - percent) * n // 100
 
-    def __init__(self, percent: int):
-        self.p = percent
-        self.least = next(n for n in range(1, 1000) if self.reach(n, n + 1) >= 1)  # smaller sets link only if equal
-        self.low = [self.least]
 
-    def reach(self, a: int, b: int) -> int:
-        """The most shingles in which linked sets of these sizes differ."""
-        return (100 - self.p) * (a + b) // (100 + self.p)
+def spare(n: int, percent: int) -> int:
+    return 1 + gone(n, percent) // 2
 
-    def _grow(self, n: int) -> None:
-        while self.low[-1] <= n:
-            self.low.append(max(self.low[-1] + 1, int(self.low[-1] * BAND)))
 
-    def of(self, n: int) -> list[tuple[int, int, int]]:
-        """(band, blocks, spare) under which a set of ``n`` shingles is listed: its own band, and a lower one in which a linked set may be."""
-        self._grow(n)
-        own = int(np.searchsorted(self.low, n, side="right")) - 1
-        out = []
-        for b in range(own, -1, -1):
-            high = self.low[b + 1] - 1
-            if b < own and 100 * high < self.p * n:
-                break
-            k = self.reach(high, 100 * high // self.p)
-            spare = 1 + k // 20
-            out.append((b, k + 1 + spare, spare))
-        return out
-
-
-@lru_cache(maxsize=4)
-def _bands(percent: int) -> Bands:
-    return Bands(percent)
-
-
-def keys_of(s: np.ndarray, percent: int = PERCENT) -> np.ndarray:
-    """The index lists of a set: one digest per (band, block, content)."""
-    bands = _bands(percent)
-    if len(s) < bands.least:
-        return np.empty(0, "uint64")
-    out = []
-    inner = mix(s + U(_ODD[3]))
-    for band, blocks, spare in bands.of(len(s)):
-        block = ((s >> U(32)) * U(blocks)) >> U(32)
-        first = np.flatnonzero(np.concatenate(([True], block[1:] != block[:-1])))
-        base = U(band * _ODD[4] & (1 << 64) - 1)
-        out.append(mix(np.add.reduceat(inner, first) + block[first] * U(_ODD[5]) + base))
-        if blocks - len(first) > spare:
-            empty = np.setdiff1d(np.arange(blocks, dtype="uint64"), block[first])
-            out.append(mix(empty * U(_ODD[5]) + base))
-    return np.concatenate(out)
+def _gone(n: Column, percent: int) -> Column:
+    return F.floor(n * (100 - percent) / 100)
+
+
+def _left_out(n: Column, percent: int) -> Column:
+    """How many of its longest lists a set leaves: one less than the least spare of the sets it could link with."""
+    return F.floor(_gone(F.ceil(n * percent / 100), percent) / 2)
 
 
 def _digests(s: np.ndarray) -> tuple[int, int]:
@@ -208,7 +172,7 @@ def _lists(parts: list[np.ndarray]) -> pa.Array:
 
 
 def digests(docs: DataFrame, words: int, percent: int, whole: bool) -> DataFrame:
-    """doc_id, n, c1, c2 and ``items``: the index lists of each document's set, or (``whole``) the set itself."""
+    """doc_id, n, c1, c2 and ``items``: the region of each document's set, or (``whole``) the set itself; both in the global order."""
 
     def run(batches):
         for batch in batches:
@@ -216,7 +180,7 @@ def digests(docs: DataFrame, words: int, percent: int, whole: bool) -> DataFrame
                 part = batch.slice(i, 512)
                 sets = list(sets_of(part.column(1), words))
                 c = [_digests(s) for s in sets]
-                items = _lists(sets if whole else [keys_of(s, percent) for s in sets])
+                items = _lists(sets if whole else [s[: gone(len(s), percent) + spare(len(s), percent)] for s in sets])
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([x for x, _ in c], pa.int64()), pa.array([y for _, y in c], pa.int64()), items],
                     names=["doc_id", "n", "c1", "c2", "items"],
@@ -251,34 +215,152 @@ def components(edges: DataFrame) -> DataFrame:
     return state.select("node", "root")
 
 
-def _families(nodes: DataFrame) -> DataFrame:
-    """uid, fam, centre for all sets that share a list with another set."""
-    listed = nodes.select("uid", F.explode("items").alias("list"))
-    lists = listed.groupBy("list").agg(F.min("uid").alias("lead"), F.count("*").alias("many")).filter("many > 1")
-    star = listed.join(lists, "list").groupBy("uid", "lead").agg(F.sum("many").alias("weight"))
-    star = materialize(star, "join-star")
-    fam = components(star.select(F.col("uid").alias("a"), F.col("lead").alias("b")))
-    weight = star.groupBy(F.col("uid").alias("node")).agg(F.sum("weight").alias("weight"))
-    fam = materialize(fam.join(weight, "node"), "join-families")
-    centre = fam.groupBy("root").agg(F.max(F.struct("weight", (-F.col("node")).alias("minus"))).alias("m")).select("root", (-F.col("m.minus")).alias("centre"))
-    return materialize(fam.join(centre, "root").select(F.col("node").alias("uid"), F.col("root").alias("fam"), "centre"), "join-centres")
+def _kept(nodes: DataFrame, percent: int) -> DataFrame:
+    """uid, n, key (the list), from and to (the position block): the entries of shared lists that sets do not leave."""
+    entries = nodes.select("uid", "n", F.posexplode("items").alias("pos", "key"))
+    lists = materialize(entries.groupBy("key").agg(F.count("*").alias("many")).filter("many > 1"), "join-lists")
+    shared = entries.join(F.broadcast(lists) if lists.count() <= SENT_IDS else lists, "key")
+    own = shared.groupBy("uid", "n").agg(F.sort_array(F.collect_list(F.struct("many", "key", "pos"))).alias("own"))  # at most a region
+    own = own.withColumn("stay", F.size("own") - _left_out(F.col("n"), percent).cast("int")).filter("stay > 0")
+    kept = own.select("uid", "n", F.explode(F.slice("own", F.lit(1), F.col("stay"))).alias("e"))
+    width = F.greatest(F.floor(_gone(F.col("n"), percent) / 4), F.lit(1))
+    start = F.floor(F.col("e.pos") / width) * width
+    kept = materialize(kept.select("uid", "n", F.col("e.key").alias("key"), start.alias("from"), (start + width - 1).alias("to")), "join-kept")
+    again = kept.groupBy("key").agg(F.count("*").alias("many")).filter("many > 1").select("key")
+    out = materialize(kept.join(again, "key"), "join-entries")
+    release(lists, kept)
+    return out
+
+
+def _families(entries: DataFrame) -> DataFrame:
+    """uid, fam: every set with its centre, itself if it has none. Leads of lists become centres of the sets that share a fifth of their lists with them."""
+    entries = entries.select("uid", "key")
+    every = materialize(entries.groupBy("uid").agg(F.count("*").alias("many")), "join-sizes")
+    found = Steps(entries.sparkSession, "join-families")
+    open_, centres = every.select("uid"), every.select("uid").limit(0)
+    for _ in range(ROUNDS):
+        ranked = open_.select("uid", F.lit(1).alias("rank")).unionByName(centres.select("uid", F.lit(0).alias("rank")))
+        now = entries.join(ranked, "uid")
+        lead = now.groupBy("key").agg(F.min(F.struct("rank", F.xxhash64("uid").alias("h"), F.col("uid").alias("lead"))).alias("m")).select("key", "m.lead")
+        close = now.filter("rank = 1").join(lead, "key").filter("lead <> uid").groupBy("uid", "lead").agg(F.count("*").alias("w"))
+        best = close.groupBy("uid").agg(F.max(F.struct("w", "lead")).alias("m")).join(every, "uid").filter("5 * m.w >= many").select("uid", "m.lead")
+        best = materialize(best, "join-best")
+        taken = best.join(best.select(F.col("uid").alias("lead")), "lead", "left_anti").select("uid", F.col("lead").alias("fam"))
+        taken = found.add(taken)
+        if taken.isEmpty():
+            break
+        fresh = materialize(taken.select(F.col("fam").alias("uid")).distinct(), "join-fresh")
+        centres = centres.unionByName(fresh).distinct()
+        open_ = open_.join(taken, "uid", "left_anti").join(fresh, "uid", "left_anti")
+        open_ = materialize(open_, "join-open")
+    members = found.all().select("uid", "fam")
+    return materialize(every.select("uid").join(members, "uid", "left").select("uid", F.coalesce("fam", "uid").alias("fam")), "join-members")
 
 
 def _differ(a: str, b: str) -> Column:
     return F.concat(F.array_except(a, b), F.array_except(b, a))
 
 
-def _links(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """(a, b) of linked sets within families; pairs that both link with their family's centre are left out."""
+def _apart(pairs: DataFrame, arrays: DataFrame) -> DataFrame:
+    """Adds ``apart``, in how many elements the arrays of a and b differ."""
+    left = arrays.select(F.col("uid").alias("a"), F.col("v").alias("av"))
+    right = arrays.select(F.col("uid").alias("b"), F.col("v").alias("bv"))
+    met = pairs.join(left, "a").join(right, "b")
+    return met.withColumn("apart", F.size("av") + F.size("bv") - 2 * F.size(F.array_intersect("av", "bv"))).drop("av", "bv")
+
+
+def _meet(entries: DataFrame, info: DataFrame, arrays: DataFrame, percent: int, within: bool) -> DataFrame:
+    """(a, b) of linked sets of different clusters, within families or across them, that share a key; some links of clusters that others connect are left out.
+
+    ``entries``: uid, key, from, to; ``info``: uid, fam, cluster (its centre), r (how far it is from that), n, size (of its array); ``arrays``: uid, v.
+    """
+    less, more = 100 - percent, 100 + percent
+    spread = info.groupBy("cluster").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.max("r").alias("reach"), F.count("*").alias("many"))
+    clusters = materialize(spread.join(info.select(F.col("uid").alias("cluster"), "fam", F.col("size").alias("csize")), "cluster"), "join-clusters")
+    held = materialize(entries.join(info.select("uid", "cluster"), "uid").select("uid", "key", "cluster", "from", "to"), "join-held")
+    blocks = held.select("key", "cluster", "from", "to").distinct().join(clusters, "cluster")
+    a, b = blocks.alias("a"), blocks.alias("b")
+    room = (F.col("a.hi") + F.col("b.hi")) * less + (F.col("a.reach") + F.col("b.reach")) * more
+    between = F.greatest(F.col("a.from") - F.col("b.to"), F.col("b.from") - F.col("a.to"), F.lit(0))  # elements below the key that only one side has
+    sizes = (F.col("a.hi") * 100 >= F.col("b.lo") * percent) & (F.col("b.hi") * 100 >= F.col("a.lo") * percent) & (F.abs(F.col("a.csize") - F.col("b.csize")) * more <= room)
+    same = (F.col("a.fam") == F.col("b.fam")) if within else (F.col("a.fam") != F.col("b.fam")) & (between * more <= (F.col("a.hi") + F.col("b.hi")) * less)
+    met = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.cluster") < F.col("b.cluster")) & same & sizes)
+    pairs = met.groupBy(F.col("a.cluster").alias("a"), F.col("b.cluster").alias("b")).agg(
+        F.countDistinct("a.key").alias("w"), *[F.first(f"{s}.{c}").alias(s + c) for s in "ab" for c in ("hi", "reach", "many")]
+    )
+    if not within:  # sets that link have more lists in common than one
+        t = F.ceil((F.col("ahi") + F.col("bhi")) * percent / more)
+        short = [t - F.col(s) + _gone(F.col(s), percent) + 1 + F.floor(_gone(F.col(s), percent) / 2) for s in ("ahi", "bhi")]
+        need = F.least(*short) - F.greatest(*[_left_out(F.col(s), percent) for s in ("ahi", "bhi")])
+        pairs = pairs.filter((F.col("amany") > 1) | (F.col("bmany") > 1) | (F.col("w") >= need))
+    pairs = _apart(materialize(pairs, "join-pairs"), arrays)
+    near = materialize(pairs.filter(F.col("apart") * more <= (F.col("ahi") + F.col("bhi")) * less + (F.col("areach") + F.col("breach")) * more), "join-near")
+    k = (F.col("n") + F.col("m")) * less  # more times the most elements in which linked sets of these sizes differ
+    centre = info.select("uid", "n")
+    both = near.join(centre.select(F.col("uid").alias("a"), "n"), "a").join(centre.select(F.col("uid").alias("b"), F.col("n").alias("m")), "b")
+    direct = both.filter(F.col("apart") * more <= k).select("a", "b")
+    # members against the other cluster's centre
+    open_ = both.filter((F.col("apart") * more > k) & ((F.col("amany") > 1) | (F.col("bmany") > 1))).select("a", "b", "apart", "amany", "bmany")
+    open_ = materialize(open_, "join-far")
+    if open_.isEmpty():
+        return direct
+    member = info.filter("uid <> cluster").select("uid", "cluster", "n", "r")
+    other = centre.select(F.col("uid").alias("other"), F.col("n").alias("m"))
+    tried = []
+    for mine, theirs in (("a", "b"), ("b", "a")):
+        x = open_.select(F.col(mine).alias("cluster"), F.col(theirs).alias("other"), F.col("apart").alias("far")).join(member, "cluster").join(other, "other")
+        x = x.filter((F.col("far") - F.col("r")) * more <= k).select(F.col("uid").alias("a"), F.col("other").alias("b"), "n", "m", "cluster")
+        tried.append(_apart(x, arrays).filter(F.col("apart") * more <= k).select("a", "b", F.least("cluster", "b").alias("first"), F.greatest("cluster", "b").alias("second")))
+    tried = materialize(tried[0].unionByName(tried[1]), "join-tried")
+    settled = tried.select(F.col("first").alias("a"), F.col("second").alias("b")).distinct()
+    left = materialize(open_.filter("amany > 1 AND bmany > 1").join(settled, ["a", "b"], "left_anti").select("a", "b", "apart"), "join-left")
+    direct = direct.unionByName(tried.select("a", "b"))
+    if left.isEmpty():
+        return direct
+    seen = held.join(info.select("uid", "n", "r"), "uid")
+    x = left.join(seen.select(F.col("cluster").alias("a"), "key", F.col("uid").alias("x"), "n", F.col("r").alias("xr")), "a")
+    y = seen.select(F.col("cluster").alias("b"), "key", F.col("uid").alias("y"), F.col("n").alias("m"), F.col("r").alias("yr"))
+    could = x.join(y, ["b", "key"]).filter((F.col("apart") - F.col("xr") - F.col("yr")) * more <= k)
+    could = materialize(could.select(F.col("x").alias("a"), F.col("y").alias("b"), "n", "m").distinct(), "join-members-met")
+    return direct.unionByName(_apart(could, arrays).filter(F.col("apart") * more <= k).select("a", "b"))
+
+
+def _clusters(d: DataFrame, percent: int) -> DataFrame:
+    """uid, cluster, r: who links with the family's centre, or, in large families, with one of those that are left."""
+    less, more = 100 - percent, 100 + percent
+    settled = Steps(d.sparkSession, "join-settled")
+    settled.add(d.filter("linked").select("uid", F.col("fam").alias("cluster"), F.col("size").alias("r")))
+    left = d.filter("NOT linked").select("uid", "fam", "n", "size", "v")
+    while True:
+        many = left.groupBy("fam").agg(F.count("*").alias("many"), F.min(F.struct(F.xxhash64("uid").alias("h"), "uid")).alias("m")).filter(F.col("many") > BIG)
+        many = materialize(many.select("fam", "many", F.col("m.uid").alias("centre")), "join-big")
+        if many.isEmpty():
+            break
+        centre = many.join(left.select(F.col("uid").alias("centre"), F.col("n").alias("cn"), F.col("v").alias("cv")), "centre")
+        x = left.join(centre, "fam").withColumn("apart", F.size("v") + F.size("cv") - 2 * F.size(F.array_intersect("v", "cv")))
+        x = materialize(x.filter(F.col("apart") * more <= less * (F.col("n") + F.col("cn"))).select("uid", "fam", "many", F.col("centre").alias("cluster"), F.col("apart").alias("r")), "join-round")
+        settled.add(x.select("uid", "cluster", "r"))
+        # families in which the new centre gathered too little are left to the index of differences
+        go_on = materialize(x.groupBy("fam").agg(F.count("*").alias("got"), F.first("many").alias("many")).filter("10 * got >= many").select("fam"), "join-go-on")
+        left = materialize(left.join(go_on, "fam", "left_semi").join(x.select("uid"), "uid", "left_anti"), "join-rest")
+    return settled.all().select("uid", "cluster", "r")
+
+
+def _links(members: DataFrame, sets: DataFrame, entries: DataFrame, percent: int) -> DataFrame:
+    """(a, b) of linked sets; links between clusters and within them that other links connect are left out."""
     less, more = 100 - percent, 100 + percent
-    own = members.join(sets, "uid").select("uid", "fam", "centre", "n", "items")
-    centre = own.filter("uid = centre").select("fam", F.col("n").alias("cn"), F.col("items").alias("c_items"))
-    d = own.join(centre, "fam").select("uid", "fam", "centre", "n", "cn", _differ("items", "c_items").alias("d"))
-    d = d.withColumn("size", F.size("d")).withColumn("linked", F.col("size") * more <= less * (F.col("n") + F.col("cn")))
+    own = members.join(sets, "uid").select("uid", "fam", "n", "items")
+    centre = own.filter("uid = fam").select("fam", F.col("n").alias("cn"), F.col("items").alias("c_items"))
+    d = own.join(centre, "fam").select("uid", "fam", "n", "cn", _differ("items", "c_items").alias("v"))
+    d = d.withColumn("size", F.size("v")).withColumn("linked", F.col("size") * more <= less * (F.col("n") + F.col("cn")))
     d = materialize(d, "join-differences")
-    with_centre = d.filter("linked AND uid <> centre").select(F.col("centre").alias("a"), F.col("uid").alias("b"))
-    # the rarest elements of each difference come first: k + 1 of them, k for the largest set that could link
-    item = d.filter("uid <> centre").select("fam", "uid", "n", "size", "linked", F.explode("d").alias("e"))
+    grouped = _clusters(d, percent)
+    info = d.select("uid", "fam", "n", "size", "linked").join(grouped, "uid", "left")
+    info = materialize(info.select("uid", "fam", "n", "size", "linked", F.coalesce("cluster", "uid").alias("cluster"), F.coalesce("r", F.lit(0)).alias("r")), "join-info")
+    star = info.filter("uid <> cluster").select(F.col("cluster").alias("a"), F.col("uid").alias("b"))
+    # families with one cluster are answered; in others the rarest elements of each difference come first: k + 1 of them, k for the largest set that could link
+    mixed = materialize(info.groupBy("fam").agg(F.min("cluster").alias("one"), F.max("cluster").alias("two")).filter("one <> two").select("fam"), "join-mixed")
+    item = d.filter("uid <> fam").join(mixed, "fam", "left_semi").select("fam", "uid", "n", "size", "linked", F.explode("v").alias("e"))
     count = item.groupBy("fam", "e").agg(F.count("*").alias("many"))
     # elements that nobody shares only take up places
     per = item.join(count, ["fam", "e"]).groupBy("uid", "fam", "n", "size", "linked").agg(
@@ -286,38 +368,35 @@ def _links(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     )
     reach = F.expr(f"({less} * (n + (100 * n) div {percent})) div {more}") + 1
     places = F.greatest(F.when(F.col("linked"), F.col("size")).otherwise(F.least(reach, F.col("size"))) - F.col("alone"), F.lit(0)).cast("int")
-    rare = per.select("uid", "fam", "n", "size", "linked", F.explode(F.slice("shared", F.lit(1), places)).alias("s")).select("uid", "fam", "n", "size", "linked", F.col("s.e").alias("e"))
-    rare = materialize(rare, "join-rare")
-    a, b = rare.alias("a"), rare.alias("b")
-    k = F.col("a.n") + F.col("b.n")
-    could = (F.col("a.uid") < F.col("b.uid")) & ~(F.col("a.linked") & F.col("b.linked")) & (F.abs(F.col("a.size") - F.col("b.size")) * more <= less * k)
-    pairs = a.join(b, (F.col("a.fam") == F.col("b.fam")) & (F.col("a.e") == F.col("b.e")) & could).select(F.col("a.uid").alias("a"), F.col("b.uid").alias("b")).distinct()
-    pairs = materialize(pairs, "join-pairs")
-    left = d.select(F.col("uid").alias("a"), F.col("n").alias("an"), F.col("d").alias("ad"))
-    right = d.select(F.col("uid").alias("b"), F.col("n").alias("bn"), F.col("d").alias("bd"))
-    checked = pairs.join(left, "a").join(right, "b").withColumn("apart", F.size("ad") + F.size("bd") - 2 * F.size(F.array_intersect("ad", "bd")))
-    return with_centre.unionByName(checked.filter(F.col("apart") * more <= less * (F.col("an") + F.col("bn"))).select("a", "b"))
+    rare = per.select("uid", "fam", F.explode(F.slice("shared", F.lit(1), places)).alias("s"))
+    rare = rare.select("uid", F.xxhash64("fam", "s.e").alias("key"), F.lit(0).alias("from"), F.lit(0).alias("to"))
+    inside = _meet(materialize(rare, "join-rare"), info, d.select("uid", "v"), percent, True)
+    outside = _meet(entries, info.withColumn("size", F.col("n").cast("int")), sets.select("uid", F.col("items").alias("v")), percent, False)
+    return star.unionByName(inside).unionByName(outside)
 
 
 def join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id (and uid, root: the row and its component's node), one row per row of ``docs``.
 
-    Texts are read twice: for the index lists, and for the sets of families only. Runs a job per step.
+    Texts are read twice: for the regions, and for the sets of documents that share lists only. Runs a job per step.
     """
-    rows = materialize(digests(docs, words, percent, False).withColumn("uid", F.monotonically_increasing_id()), "join-rows")
+    regions = materialize(digests(docs, words, percent, False).withColumn("uid", F.monotonically_increasing_id()), "join-regions")
+    rows = materialize(regions.drop("items"), "join-rows")
     classes = materialize(rows.filter("n > 0").groupBy("n", "c1", "c2").agg(F.min("uid").alias("root"), F.min("doc_id").alias("low")), "join-classes")
-    nodes = rows.join(classes.select("n", "c1", "c2", "root"), ["n", "c1", "c2"]).filter("uid = root") if classes.count() > SENT_IDS else _rows_of(rows, classes.select(F.col("root").alias("uid")), "uid")
-    members = _families(nodes.filter(F.size("items") > 0))
+    entries = _kept(_rows_of(regions.select("uid", "n", "items"), classes.select(F.col("root").alias("uid")), "uid"), percent)
+    release(regions)
+    members = _families(entries)
     wanted = materialize(rows.select("uid", "doc_id", "n", "c1", "c2").join(members.select("uid"), "uid"), "join-wanted")
     ids = materialize(wanted.select(F.col("doc_id").alias("id_")).distinct(), "join-ids")
     again = digests(_rows_of(docs.select("doc_id", "text"), ids, F.col("doc_id").eqNullSafe(F.col("id_"))), words, percent, True)
     same = F.col("s.doc_id").eqNullSafe(F.col("w.doc_id")) & (F.col("s.n") == F.col("w.n")) & (F.col("s.c1") == F.col("w.c1")) & (F.col("s.c2") == F.col("w.c2"))
-    sets = again.alias("s").join(wanted.alias("w"), same).select("w.uid", "s.n", "s.items").dropDuplicates(["uid"])
-    roots = components(_links(members, materialize(sets, "join-sets"), percent))
+    sets = materialize(again.alias("s").join(wanted.alias("w"), same).select("w.uid", "s.n", "s.items").dropDuplicates(["uid"]), "join-sets")
+    roots = components(_links(members, sets, entries, percent))
     named = classes.join(roots.withColumnRenamed("root", "top"), classes["root"] == roots["node"], "left").select("n", "c1", "c2", "low", F.coalesce("top", "root").alias("root"))
     named = materialize(named, "join-named")
     least = named.groupBy("root").agg(F.min("low").alias("component_id"))
     named = materialize(named.join(least, "root").select("n", "c1", "c2", "root", "component_id"), "join-components")
+    release(entries, members, wanted, ids, sets)
     out = rows.select("doc_id", "n", "c1", "c2", "uid").join(named, ["n", "c1", "c2"], "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), "uid", F.coalesce("root", "uid").alias("root"))
 
