@@ -93,6 +93,23 @@ def release(*written: DataFrame) -> None:
         written[0].sparkSession._jvm.System.gc()
 
 
+class Scratch:
+    """Tables that ``materialize`` writes for one operator, released together when it is through."""
+
+    def __init__(self):
+        self.written: list[DataFrame] = []
+
+    def write(self, df: DataFrame, purpose: str) -> DataFrame:
+        self.written.append(materialize(df, purpose))
+        return self.written[-1]
+
+    def release(self, *some: DataFrame) -> None:
+        """Releases these tables, or all."""
+        gone = list(some) or self.written
+        self.written = [df for df in self.written if not any(df is g for g in gone)]
+        release(*gone)
+
+
 class Steps:
     """Rows written step by step below one folder; all of them are one scan, however many steps there are."""
 

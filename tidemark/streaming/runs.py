@@ -112,7 +112,8 @@ class ProgressLog(StreamingQueryListener):
 
     def table(self, spark: SparkSession, query: StreamingQuery) -> DataFrame:
         """Batch id, input rows and rates of all batches of a query that has ended, over all its runs here."""
-        self.ended.setdefault(str(query.runId), threading.Event()).wait(60)  # reports arrive in order, its end last
+        if not self.ended.setdefault(str(query.runId), threading.Event()).wait(60):  # reports arrive in order, its end last
+            raise TimeoutError(f"the end of query {query.id} has not been reported; rows of its last batches may be missing")
         rows = [r for (id, _), r in sorted(self.rows.items()) if id == str(query.id)]
         return spark.createDataFrame(rows, "batch_id long, input_rows long, input_rate double, processed_rate double")
 
