@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 from samples import CLASHING, SF, WORD, odd_rows, plain, table, words
 
+from pyspark.sql import functions as F
 from tidemark.llm import lines, mixing, quality
 from tidemark.llm.common import documents
 
@@ -47,6 +48,23 @@ def test_quality_small_groups_use_larger_sketches(spark):
     assert not got[900] and all(v for k, v in got.items() if k != 900)
 
 
+def test_quality_limits_come_from_the_sketches(spark):
+    """On the given table the tails, not the least distances, set most limits of every rule but symbols, and good documents stay."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    found = quality.report(docs).cache()
+    measured = quality.counts(docs, [F.col("doc_id"), F.col("lang"), F.col("source")])
+    good = measured.join(found.filter("NOT base_failed").select("doc_id"), "doc_id", "left_semi")
+    own = quality.quantiles(quality.sketches(good), ["lang", "source"]).filter(F.col("docs") >= quality.LEAST_DOCS)
+    for rule, (_, times, least) in quality.RULES.items():
+        rows = own.filter(F.col("rule") == rule).collect()
+        by_tail = sum(times * (r.over - r.middle) > least for r in rows)
+        assert rows and (rule == "symbols" or 2 * by_tail > len(rows)), (rule, by_tail, len(rows))
+    labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
+    kept = {(r.quality, r.kept): r["count"] for r in found.filter("NOT base_failed").join(labels, "doc_id").groupBy("quality", "kept").count().collect()}
+    assert kept[1, True] > 100 * kept.get((1, False), 0) and kept.get((0, True), 0) == 0
+    assert found.filter("kept AND rejected_by <> ''").isEmpty()
+
+
 def test_quality_stage_keeps_columns_and_rows(spark):
     rows = odd_rows() + odd_rows()
     docs = table(spark, rows, CLASHING)

@@ -1,7 +1,11 @@
 """Quality rules with adaptive thresholds.
 
 Per document the text gives counts; a mergeable quantile sketch of each rule's measure is kept per language and
-source; thresholds are read from the sketches and joined back to the documents.
+source, over the documents that pass the base rules; thresholds are read from the sketches' tails and joined back to the documents.
+
+A threshold lies a multiple of the distance between median and tail quantile away from the median, so it follows how far a group's own texts spread.
+Tail, multiple and a small least distance are parameters of each rule. The least distance decides where a tail is one value with the median:
+always so for symbols, since clean texts hold none in any group, and rarely for the others. ``rejected_by`` names the rules that a document fails.
 
 The sketch is a grid: measures are whole numbers (thousandths of a share, hundredths of a character), the
 sketch holds how many documents fall on each number. Sketches merge by adding counts, so a small
@@ -23,10 +27,8 @@ from tidemark.session import materialize
 SYMBOLS = r"[#*$%&|<>]"
 #: A group below this many documents is too small for a threshold of its own.
 LEAST_DOCS = 100
-#: Rule -> (least distance of the threshold from the quartile, in the measure's unit).
-RULES = {"symbols": 20, "dup_lines": 500, "repeats": 450, "word_len": 150}
-#: Thresholds lie so many quartile distances outside the quartiles.
-FENCE = 3
+#: Rule -> (tail quantile in thousandths, multiple of its distance from the median, least distance in the measure's unit).
+RULES = {"symbols": (900, 10, 20), "dup_lines": (990, 2.5, 100), "repeats": (950, 8, 60), "word_len": (900, 4, 60)}
 
 
 def counts(docs: DataFrame, keep: list[Column]) -> DataFrame:
@@ -80,30 +82,32 @@ def sketches(measured: DataFrame) -> DataFrame:
     ).agg(F.count("*").alias("n"))
 
 
-def quartiles(sketch: DataFrame, group: list[str]) -> DataFrame:
-    """Merges sketches to ``group`` and reads both quartiles: least value with at least that share at or below it."""
+def _of_rule(part: int) -> Column:
+    return F.element_at(F.create_map(*[F.lit(x) for r, v in RULES.items() for x in (r, float(v[part]))]), F.col("rule"))
+
+
+def quantiles(sketch: DataFrame, group: list[str]) -> DataFrame:
+    """Merges sketches to ``group`` and reads median and both tails: least value with at least that share at or below it."""
     merged = sketch.groupBy(*group, "rule", "value").agg(F.sum("n").alias("n"))
     up_to = F.sum("n").over(Window.partitionBy(*group, "rule").orderBy("value"))
     total = F.sum("n").over(Window.partitionBy(*group, "rule"))
-    ranked = merged.withColumn("up_to", up_to).withColumn("docs", total)
+    ranked = merged.withColumn("up_to", up_to).withColumn("docs", total).withColumn("tail", _of_rule(0))
+    reaches = lambda share: F.min(F.when(F.col("up_to") * 1000 >= F.col("docs") * share, F.col("value")))
     return ranked.groupBy(*group, "rule").agg(
-        F.max("docs").alias("docs"),
-        F.min(F.when(F.col("up_to") * 4 >= F.col("docs"), F.col("value"))).alias("q1"),
-        F.min(F.when(F.col("up_to") * 4 >= F.col("docs") * 3, F.col("value"))).alias("q3"),
+        F.max("docs").alias("docs"), reaches(1000 - F.col("tail")).alias("under"), reaches(F.lit(500)).alias("middle"), reaches(F.col("tail")).alias("over")
     )
 
 
 def thresholds(sketch: DataFrame, least_docs: int = LEAST_DOCS) -> DataFrame:
     """One row per (lang, source): low and high per rule, from the group's own sketch or the next larger one."""
     by_lang = F.col("a.lang").eqNullSafe(F.col("b.lang")) & (F.col("a.rule") == F.col("b.rule"))
-    t = quartiles(sketch, ["lang", "source"]).alias("a").join(quartiles(sketch, ["lang"]).alias("b"), by_lang).join(
-        F.broadcast(quartiles(sketch, []).alias("c")), F.col("a.rule") == F.col("c.rule")  # one row per rule
+    t = quantiles(sketch, ["lang", "source"]).alias("a").join(quantiles(sketch, ["lang"]).alias("b"), by_lang).join(
+        F.broadcast(quantiles(sketch, []).alias("c")), F.col("a.rule") == F.col("c.rule")  # one row per rule
     )
     large = lambda q: F.when(F.col("a.docs") >= least_docs, F.col(f"a.{q}")).when(F.col("b.docs") >= least_docs, F.col(f"b.{q}")).otherwise(F.col(f"c.{q}"))
-    t = t.select(F.col("a.lang").alias("lang"), F.col("a.source").alias("source"), F.col("a.rule").alias("rule"), large("q1").alias("q1"), large("q3").alias("q3"))
-    least = F.element_at(F.create_map(*[F.lit(x) for kv in RULES.items() for x in kv]), F.col("rule"))
-    reach = F.greatest(FENCE * (F.col("q3") - F.col("q1")), least)
-    t = t.withColumn("low", F.col("q1") - reach).withColumn("high", F.col("q3") + reach)
+    t = t.select(F.col("a.lang").alias("lang"), F.col("a.source").alias("source"), F.col("a.rule").alias("rule"), *[large(q).alias(q) for q in ("under", "middle", "over")])
+    far = lambda distance: F.greatest(_of_rule(1) * distance, _of_rule(2))
+    t = t.withColumn("low", F.col("middle") - far(F.col("middle") - F.col("under"))).withColumn("high", F.col("middle") + far(F.col("over") - F.col("middle")))
     return t.groupBy("lang", "source").agg(
         *[F.max(F.when(F.col("rule") == r, F.col(e))).alias(f"{r}_{e}") for r in RULES for e in ("low", "high")]
     )
@@ -112,20 +116,19 @@ def thresholds(sketch: DataFrame, least_docs: int = LEAST_DOCS) -> DataFrame:
 def judge(measured: DataFrame, keep: list[str]) -> DataFrame:
     """Counts -> base verdict and kept; ``measured`` is read twice and so should be a written table."""
     base = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    limits = materialize(thresholds(sketches(measured)), "quality-thresholds")  # its file size decides how Spark joins it
-    inside = F.lit(True)
-    for rule, m in measures().items():
-        inside &= F.coalesce(m.between(F.col(f"{rule}_low"), F.col(f"{rule}_high")), F.lit(True))
+    limits = materialize(thresholds(sketches(measured.filter(~base))), "quality-thresholds")  # its file size decides how Spark joins it
+    outside = [F.when(~m.between(F.col(f"{rule}_low"), F.col(f"{rule}_high")), rule) for rule, m in measures().items()]
+    rejected = F.when(base, F.lit("")).otherwise(F.concat_ws(",", *outside))
     same = F.col("m.lang").eqNullSafe(F.col("t.lang")) & F.col("m.source").eqNullSafe(F.col("t.source"))
     both = measured.alias("m").join(limits.alias("t"), same, "left")
-    return both.select(*[F.col(f"m.{c}") for c in keep], base.alias("base_failed"), (~base & inside).alias("kept"))
+    return both.select(*[F.col(f"m.{c}") for c in keep], base.alias("base_failed"), (~base & (rejected == "")).alias("kept"), rejected.alias("rejected_by"))
 
 
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
 
 def report(docs: DataFrame) -> DataFrame:
-    """doc_id, the counts, base_failed and kept, one row per document."""
+    """doc_id, the counts, base_failed, kept and rejected_by, one row per document."""
     group = [F.col("lang").cast("string").alias("lang"), F.col("source").cast("string").alias("source")]
     measured = materialize(counts(docs, [F.col("doc_id"), *group]), "quality-counts")
     return judge(measured, ["doc_id", *COUNTS])
@@ -142,17 +145,23 @@ def keep_good(docs: DataFrame) -> DataFrame:
 _SHARES = {"symbols": ("1000", "n_symbols", "word_chars"), "dup_lines": ("1000", "n_dup_lines", "n_lines"), "repeats": ("1000", "n_repeat_words", "n_words"), "word_len": ("100", "word_chars", "n_words")}
 
 
-def _quartile_sql(name: str, keys: str) -> str:
+def _case(part: int) -> str:
+    return "CASE rule " + " ".join(f"WHEN '{r}' THEN {v[part]}" for r, v in RULES.items()) + " END"
+
+
+def _quantile_sql(name: str, keys: str) -> str:
     part = f"PARTITION BY {keys}rule"
-    return f"""{name} AS (SELECT {keys}rule, max(docs) AS docs, min(value) FILTER (up_to * 4 >= docs) AS q1, min(value) FILTER (up_to * 4 >= docs * 3) AS q3
-  FROM (SELECT *, sum(n) OVER ({part} ORDER BY value) AS up_to, sum(n) OVER ({part}) AS docs
+    return f"""{name} AS (SELECT {keys}rule, max(docs) AS docs, min(value) FILTER (up_to * 1000 >= docs * (1000 - tail)) AS under,
+  min(value) FILTER (up_to * 2 >= docs) AS middle, min(value) FILTER (up_to * 1000 >= docs * tail) AS over_
+  FROM (SELECT *, {_case(0)} AS tail, sum(n) OVER ({part} ORDER BY value) AS up_to, sum(n) OVER ({part}) AS docs
         FROM (SELECT {keys}rule, value, sum(n) AS n FROM cells GROUP BY ALL)) GROUP BY ALL)"""
 
 
 def oracle() -> str:
     """The DuckDB statement of ``report`` over documents."""
-    cells = " UNION ALL ".join(f"SELECT doc_id, lang, source, '{r}' AS rule, ({u} * {p}) // {o} AS value FROM counts WHERE {o} > 0" for r, (u, p, o) in _SHARES.items())
-    least = " ".join(f"WHEN '{r}' THEN {x}" for r, x in RULES.items())
+    good = "NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words)"
+    cells = " UNION ALL ".join(f"SELECT doc_id, lang, source, '{r}' AS rule, ({u} * {p}) // {o} AS value FROM counts WHERE {o} > 0 AND {good}" for r, (u, p, o) in _SHARES.items())
+    order = "CASE m.rule " + " ".join(f"WHEN '{r}' THEN {k}" for k, r in enumerate(RULES)) + " END"
     def large(q: str) -> str:
         return f"CASE WHEN a.docs >= {LEAST_DOCS} THEN a.{q} WHEN b.docs >= {LEAST_DOCS} THEN b.{q} ELSE c.{q} END AS {q}"
 
@@ -170,14 +179,14 @@ counts AS (SELECT doc_id, lang, source, coalesce(n_words, 0) AS n_words, coalesc
   coalesce(n_repeat_words, 0) AS n_repeat_words FROM docs LEFT JOIN sizes USING (doc_id) LEFT JOIN lines USING (doc_id) LEFT JOIN repeats USING (doc_id)),
 measured AS ({cells}),
 cells AS (SELECT lang, source, rule, value, count(*) AS n FROM measured GROUP BY ALL),
-{_quartile_sql("by_source", "lang, source, ")},
-{_quartile_sql("by_lang", "lang, ")},
-{_quartile_sql("by_all", "")},
-chosen AS (SELECT a.lang, a.source, a.rule, {large("q1")}, {large("q3")} FROM by_source a JOIN by_lang b ON a.rule = b.rule AND a.lang IS NOT DISTINCT FROM b.lang
+{_quantile_sql("by_source", "lang, source, ")},
+{_quantile_sql("by_lang", "lang, ")},
+{_quantile_sql("by_all", "")},
+chosen AS (SELECT a.lang, a.source, a.rule, {large("under")}, {large("middle")}, {large("over_")} FROM by_source a JOIN by_lang b ON a.rule = b.rule AND a.lang IS NOT DISTINCT FROM b.lang
   JOIN by_all c ON a.rule = c.rule),
-fences AS (SELECT *, greatest({FENCE} * (q3 - q1), CASE rule {least} END) AS reach FROM chosen),
-outside AS (SELECT DISTINCT m.doc_id FROM measured m JOIN fences f ON m.rule = f.rule AND m.lang IS NOT DISTINCT FROM f.lang AND m.source IS NOT DISTINCT FROM f.source
-  WHERE m.value < f.q1 - f.reach OR m.value > f.q3 + f.reach)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
-  NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND doc_id NOT IN (SELECT doc_id FROM outside) AS kept FROM counts
+fences AS (SELECT *, middle - greatest({_case(1)} * (middle - under), {_case(2)}) AS low, middle + greatest({_case(1)} * (over_ - middle), {_case(2)}) AS high FROM chosen),
+outside AS (SELECT m.doc_id, string_agg(m.rule, ',' ORDER BY {order}) AS rules FROM measured m JOIN fences f ON m.rule = f.rule AND m.lang IS NOT DISTINCT FROM f.lang AND m.source IS NOT DISTINCT FROM f.source
+  WHERE m.value < f.low OR m.value > f.high GROUP BY m.doc_id)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, NOT {good} AS base_failed, {good} AND rules IS NULL AS kept, coalesce(rules, '') AS rejected_by
+FROM counts LEFT JOIN outside USING (doc_id)
 """
