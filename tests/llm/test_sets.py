@@ -11,7 +11,7 @@ import pytest
 from samples import CLASHING, SF, WORD, odd_rows, plain, table, words
 
 from tidemark.llm import ann, packing, setjoin, tokens
-from tidemark.session import scratch_path
+from tidemark.session import Scratch, scratch_path
 
 LOWER = str.maketrans({chr(65 + i): chr(97 + i) for i in range(26)})
 
@@ -136,7 +136,8 @@ def test_families_hold_similar_sets_only(spark):
     docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
     regions = setjoin.materialize(setjoin.digests(docs, 5, 80, False).selectExpr("*", "monotonically_increasing_id() AS uid"), "test-regions")
     nodes = regions.filter("n > 0").dropDuplicates(["n", "c1", "c2"])
-    fam = setjoin._families(setjoin._kept(nodes.select("uid", "n", "items"), 80))
+    tmp = Scratch()
+    fam = setjoin._families(setjoin._kept(nodes.select("uid", "n", "items"), 80, tmp), tmp)
     found = setjoin.join(docs, 5, 80)
     component = found.filter("n_shingles > 0").groupBy("component_id").count().agg({"count": "max"}).first()[0]
     assert fam.groupBy("fam").count().agg({"count": "max"}).first()[0] <= 3 * component

@@ -37,7 +37,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import text_of
-from tidemark.session import Steps, materialize, release
+from tidemark.session import Scratch, Steps, materialize
 
 WORDS, PERCENT = 3, 90
 #: Rounds of finding centres of families; later ones find hardly any. Families with more open members get further centres.
@@ -195,6 +195,11 @@ def _rows_of(df: DataFrame, ids: DataFrame, on: Column | str) -> DataFrame:
     return df.join(F.broadcast(ids) if ids.count() <= SENT_IDS else ids, on, "left_semi")
 
 
+def _sent(small: DataFrame) -> DataFrame:
+    """A written table of a few numbers per row, sent to all tasks up to SENT_IDS rows; more are joined by a shuffle."""
+    return F.broadcast(small) if small.count() <= SENT_IDS else small
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(a, b) -> node, root: the smallest node that can be reached.
 
@@ -215,27 +220,27 @@ def components(edges: DataFrame) -> DataFrame:
     return state.select("node", "root")
 
 
-def _kept(nodes: DataFrame, percent: int) -> DataFrame:
+def _kept(nodes: DataFrame, percent: int, tmp: Scratch) -> DataFrame:
     """uid, n, key (the list), from and to (the position block): the entries of shared lists that sets do not leave."""
     entries = nodes.select("uid", "n", F.posexplode("items").alias("pos", "key"))
-    lists = materialize(entries.groupBy("key").agg(F.count("*").alias("many")).filter("many > 1"), "join-lists")
-    shared = entries.join(F.broadcast(lists) if lists.count() <= SENT_IDS else lists, "key")
+    lists = tmp.write(entries.groupBy("key").agg(F.count("*").alias("many")).filter("many > 1"), "join-lists")
+    shared = entries.join(lists, "key")
     own = shared.groupBy("uid", "n").agg(F.sort_array(F.collect_list(F.struct("many", "key", "pos"))).alias("own"))  # at most a region
     own = own.withColumn("stay", F.size("own") - _left_out(F.col("n"), percent).cast("int")).filter("stay > 0")
     kept = own.select("uid", "n", F.explode(F.slice("own", F.lit(1), F.col("stay"))).alias("e"))
     width = F.greatest(F.floor(_gone(F.col("n"), percent) / 4), F.lit(1))
     start = F.floor(F.col("e.pos") / width) * width
-    kept = materialize(kept.select("uid", "n", F.col("e.key").alias("key"), start.alias("from"), (start + width - 1).alias("to")), "join-kept")
+    kept = tmp.write(kept.select("uid", "n", F.col("e.key").alias("key"), start.alias("from"), (start + width - 1).alias("to")), "join-kept")
     again = kept.groupBy("key").agg(F.count("*").alias("many")).filter("many > 1").select("key")
-    out = materialize(kept.join(again, "key"), "join-entries")
-    release(lists, kept)
+    out = tmp.write(kept.join(again, "key"), "join-entries")
+    tmp.release(lists, kept)
     return out
 
 
-def _families(entries: DataFrame) -> DataFrame:
+def _families(entries: DataFrame, tmp: Scratch) -> DataFrame:
     """uid, fam: every set with its centre, itself if it has none. Leads of lists become centres of the sets that share a fifth of their lists with them."""
     entries = entries.select("uid", "key")
-    every = materialize(entries.groupBy("uid").agg(F.count("*").alias("many")), "join-sizes")
+    every = tmp.write(entries.groupBy("uid").agg(F.count("*").alias("many")), "join-sizes")
     found = Steps(entries.sparkSession, "join-families")
     open_, centres = every.select("uid"), every.select("uid").limit(0)
     for _ in range(ROUNDS):
@@ -244,17 +249,17 @@ def _families(entries: DataFrame) -> DataFrame:
         lead = now.groupBy("key").agg(F.min(F.struct("rank", F.xxhash64("uid").alias("h"), F.col("uid").alias("lead"))).alias("m")).select("key", "m.lead")
         close = now.filter("rank = 1").join(lead, "key").filter("lead <> uid").groupBy("uid", "lead").agg(F.count("*").alias("w"))
         best = close.groupBy("uid").agg(F.max(F.struct("w", "lead")).alias("m")).join(every, "uid").filter("5 * m.w >= many").select("uid", "m.lead")
-        best = materialize(best, "join-best")
+        best = tmp.write(best, "join-best")
         taken = best.join(best.select(F.col("uid").alias("lead")), "lead", "left_anti").select("uid", F.col("lead").alias("fam"))
         taken = found.add(taken)
         if taken.isEmpty():
             break
-        fresh = materialize(taken.select(F.col("fam").alias("uid")).distinct(), "join-fresh")
+        fresh = tmp.write(taken.select(F.col("fam").alias("uid")).distinct(), "join-fresh")
         centres = centres.unionByName(fresh).distinct()
         open_ = open_.join(taken, "uid", "left_anti").join(fresh, "uid", "left_anti")
-        open_ = materialize(open_, "join-open")
+        open_ = tmp.write(open_, "join-open")
     members = found.all().select("uid", "fam")
-    return materialize(every.select("uid").join(members, "uid", "left").select("uid", F.coalesce("fam", "uid").alias("fam")), "join-members")
+    return tmp.write(every.select("uid").join(members, "uid", "left").select("uid", F.coalesce("fam", "uid").alias("fam")), "join-members")
 
 
 def _differ(a: str, b: str) -> Column:
@@ -269,39 +274,41 @@ def _apart(pairs: DataFrame, arrays: DataFrame) -> DataFrame:
     return met.withColumn("apart", F.size("av") + F.size("bv") - 2 * F.size(F.array_intersect("av", "bv"))).drop("av", "bv")
 
 
-def _meet(entries: DataFrame, info: DataFrame, arrays: DataFrame, percent: int, within: bool) -> DataFrame:
+def _meet(entries: DataFrame, info: DataFrame, arrays: DataFrame, percent: int, within: bool, tmp: Scratch) -> DataFrame:
     """(a, b) of linked sets of different clusters, within families or across them, that share a key; some links of clusters that others connect are left out.
 
     ``entries``: uid, key, from, to; ``info``: uid, fam, cluster (its centre), r (how far it is from that), n, size (of its array); ``arrays``: uid, v.
     """
     less, more = 100 - percent, 100 + percent
-    spread = info.groupBy("cluster").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.max("r").alias("reach"), F.count("*").alias("many"))
-    clusters = materialize(spread.join(info.select(F.col("uid").alias("cluster"), "fam", F.col("size").alias("csize")), "cluster"), "join-clusters")
-    held = materialize(entries.join(info.select("uid", "cluster"), "uid").select("uid", "key", "cluster", "from", "to"), "join-held")
-    blocks = held.select("key", "cluster", "from", "to").distinct().join(clusters, "cluster")
+    spread = info.groupBy("cluster").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.max("r").alias("reach"), F.count("*").alias("many"), F.min("size").alias("slo"), F.max("size").alias("shi"))
+    clusters = tmp.write(spread.join(info.select(F.col("uid").alias("cluster"), "fam", F.col("size").alias("csize")), "cluster"), "join-clusters")
+    held = tmp.write(entries.join(info.select("uid", "cluster"), "uid").select("uid", "key", "cluster", "from", "to"), "join-held")
+    blocks = held.groupBy("key", "cluster").agg(F.min("from").alias("from"), F.max("to").alias("to")).join(_sent(clusters), "cluster")
     a, b = blocks.alias("a"), blocks.alias("b")
     room = (F.col("a.hi") + F.col("b.hi")) * less + (F.col("a.reach") + F.col("b.reach")) * more
     between = F.greatest(F.col("a.from") - F.col("b.to"), F.col("b.from") - F.col("a.to"), F.lit(0))  # elements below the key that only one side has
     sizes = (F.col("a.hi") * 100 >= F.col("b.lo") * percent) & (F.col("b.hi") * 100 >= F.col("a.lo") * percent) & (F.abs(F.col("a.csize") - F.col("b.csize")) * more <= room)
-    same = (F.col("a.fam") == F.col("b.fam")) if within else (F.col("a.fam") != F.col("b.fam")) & (between * more <= (F.col("a.hi") + F.col("b.hi")) * less)
+    # within: elements of a difference that are rarer than the rarest common one are no part of the other
+    rarer = [F.col(f"{x}.from") * 2 * more <= (F.col("a.hi") + F.col("b.hi")) * less + (F.col(f"{x}.shi") - F.col(f"{y}.slo")) * more for x, y in ("ab", "ba")]
+    same = (F.col("a.fam") == F.col("b.fam")) & rarer[0] & rarer[1] if within else (F.col("a.fam") != F.col("b.fam")) & (between * more <= (F.col("a.hi") + F.col("b.hi")) * less)
     met = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.cluster") < F.col("b.cluster")) & same & sizes)
     pairs = met.groupBy(F.col("a.cluster").alias("a"), F.col("b.cluster").alias("b")).agg(
-        F.countDistinct("a.key").alias("w"), *[F.first(f"{s}.{c}").alias(s + c) for s in "ab" for c in ("hi", "reach", "many")]
+        F.count("*").alias("w"), *[F.first(f"{s}.{c}").alias(s + c) for s in "ab" for c in ("hi", "reach", "many")]
     )
     if not within:  # sets that link have more lists in common than one
         t = F.ceil((F.col("ahi") + F.col("bhi")) * percent / more)
         short = [t - F.col(s) + _gone(F.col(s), percent) + 1 + F.floor(_gone(F.col(s), percent) / 2) for s in ("ahi", "bhi")]
         need = F.least(*short) - F.greatest(*[_left_out(F.col(s), percent) for s in ("ahi", "bhi")])
         pairs = pairs.filter((F.col("amany") > 1) | (F.col("bmany") > 1) | (F.col("w") >= need))
-    pairs = _apart(materialize(pairs, "join-pairs"), arrays)
-    near = materialize(pairs.filter(F.col("apart") * more <= (F.col("ahi") + F.col("bhi")) * less + (F.col("areach") + F.col("breach")) * more), "join-near")
+    pairs = _apart(tmp.write(pairs, "join-pairs"), arrays)
+    near = tmp.write(pairs.filter(F.col("apart") * more <= (F.col("ahi") + F.col("bhi")) * less + (F.col("areach") + F.col("breach")) * more), "join-near")
     k = (F.col("n") + F.col("m")) * less  # more times the most elements in which linked sets of these sizes differ
     centre = info.select("uid", "n")
     both = near.join(centre.select(F.col("uid").alias("a"), "n"), "a").join(centre.select(F.col("uid").alias("b"), F.col("n").alias("m")), "b")
     direct = both.filter(F.col("apart") * more <= k).select("a", "b")
     # members against the other cluster's centre
     open_ = both.filter((F.col("apart") * more > k) & ((F.col("amany") > 1) | (F.col("bmany") > 1))).select("a", "b", "apart", "amany", "bmany")
-    open_ = materialize(open_, "join-far")
+    open_ = tmp.write(open_, "join-far")
     if open_.isEmpty():
         return direct
     member = info.filter("uid <> cluster").select("uid", "cluster", "n", "r")
@@ -311,9 +318,9 @@ def _meet(entries: DataFrame, info: DataFrame, arrays: DataFrame, percent: int,
         x = open_.select(F.col(mine).alias("cluster"), F.col(theirs).alias("other"), F.col("apart").alias("far")).join(member, "cluster").join(other, "other")
         x = x.filter((F.col("far") - F.col("r")) * more <= k).select(F.col("uid").alias("a"), F.col("other").alias("b"), "n", "m", "cluster")
         tried.append(_apart(x, arrays).filter(F.col("apart") * more <= k).select("a", "b", F.least("cluster", "b").alias("first"), F.greatest("cluster", "b").alias("second")))
-    tried = materialize(tried[0].unionByName(tried[1]), "join-tried")
+    tried = tmp.write(tried[0].unionByName(tried[1]), "join-tried")
     settled = tried.select(F.col("first").alias("a"), F.col("second").alias("b")).distinct()
-    left = materialize(open_.filter("amany > 1 AND bmany > 1").join(settled, ["a", "b"], "left_anti").select("a", "b", "apart"), "join-left")
+    left = tmp.write(open_.filter("amany > 1 AND bmany > 1").join(settled, ["a", "b"], "left_anti").select("a", "b", "apart"), "join-left")
     direct = direct.unionByName(tried.select("a", "b"))
     if left.isEmpty():
         return direct
@@ -321,11 +328,11 @@ def _meet(entries: DataFrame, info: DataFrame, arrays: DataFrame, percent: int,
     x = left.join(seen.select(F.col("cluster").alias("a"), "key", F.col("uid").alias("x"), "n", F.col("r").alias("xr")), "a")
     y = seen.select(F.col("cluster").alias("b"), "key", F.col("uid").alias("y"), F.col("n").alias("m"), F.col("r").alias("yr"))
     could = x.join(y, ["b", "key"]).filter((F.col("apart") - F.col("xr") - F.col("yr")) * more <= k)
-    could = materialize(could.select(F.col("x").alias("a"), F.col("y").alias("b"), "n", "m").distinct(), "join-members-met")
+    could = tmp.write(could.select(F.col("x").alias("a"), F.col("y").alias("b"), "n", "m").distinct(), "join-members-met")
     return direct.unionByName(_apart(could, arrays).filter(F.col("apart") * more <= k).select("a", "b"))
 
 
-def _clusters(d: DataFrame, percent: int) -> DataFrame:
+def _clusters(d: DataFrame, percent: int, tmp: Scratch) -> DataFrame:
     """uid, cluster, r: who links with the family's centre, or, in large families, with one of those that are left."""
     less, more = 100 - percent, 100 + percent
     settled = Steps(d.sparkSession, "join-settled")
@@ -333,45 +340,46 @@ def _clusters(d: DataFrame, percent: int) -> DataFrame:
     left = d.filter("NOT linked").select("uid", "fam", "n", "size", "v")
     while True:
         many = left.groupBy("fam").agg(F.count("*").alias("many"), F.min(F.struct(F.xxhash64("uid").alias("h"), "uid")).alias("m")).filter(F.col("many") > BIG)
-        many = materialize(many.select("fam", "many", F.col("m.uid").alias("centre")), "join-big")
+        many = tmp.write(many.select("fam", "many", F.col("m.uid").alias("centre")), "join-big")
         if many.isEmpty():
             break
         centre = many.join(left.select(F.col("uid").alias("centre"), F.col("n").alias("cn"), F.col("v").alias("cv")), "centre")
         x = left.join(centre, "fam").withColumn("apart", F.size("v") + F.size("cv") - 2 * F.size(F.array_intersect("v", "cv")))
-        x = materialize(x.filter(F.col("apart") * more <= less * (F.col("n") + F.col("cn"))).select("uid", "fam", "many", F.col("centre").alias("cluster"), F.col("apart").alias("r")), "join-round")
+        x = tmp.write(x.filter(F.col("apart") * more <= less * (F.col("n") + F.col("cn"))).select("uid", "fam", "many", F.col("centre").alias("cluster"), F.col("apart").alias("r")), "join-round")
         settled.add(x.select("uid", "cluster", "r"))
         # families in which the new centre gathered too little are left to the index of differences
-        go_on = materialize(x.groupBy("fam").agg(F.count("*").alias("got"), F.first("many").alias("many")).filter("10 * got >= many").select("fam"), "join-go-on")
-        left = materialize(left.join(go_on, "fam", "left_semi").join(x.select("uid"), "uid", "left_anti"), "join-rest")
+        go_on = tmp.write(x.groupBy("fam").agg(F.count("*").alias("got"), F.first("many").alias("many")).filter("10 * got >= many").select("fam"), "join-go-on")
+        left = tmp.write(left.join(go_on, "fam", "left_semi").join(x.select("uid"), "uid", "left_anti"), "join-rest")
     return settled.all().select("uid", "cluster", "r")
 
 
-def _links(members: DataFrame, sets: DataFrame, entries: DataFrame, percent: int) -> DataFrame:
+def _links(members: DataFrame, sets: DataFrame, entries: DataFrame, percent: int, tmp: Scratch) -> DataFrame:
     """(a, b) of linked sets; links between clusters and within them that other links connect are left out."""
     less, more = 100 - percent, 100 + percent
-    own = members.join(sets, "uid").select("uid", "fam", "n", "items")
+    own = sets.join(_sent(members), "uid").select("uid", "fam", "n", "items")
     centre = own.filter("uid = fam").select("fam", F.col("n").alias("cn"), F.col("items").alias("c_items"))
     d = own.join(centre, "fam").select("uid", "fam", "n", "cn", _differ("items", "c_items").alias("v"))
     d = d.withColumn("size", F.size("v")).withColumn("linked", F.col("size") * more <= less * (F.col("n") + F.col("cn")))
-    d = materialize(d, "join-differences")
-    grouped = _clusters(d, percent)
+    d = tmp.write(d, "join-differences")
+    grouped = _clusters(d, percent, tmp)
     info = d.select("uid", "fam", "n", "size", "linked").join(grouped, "uid", "left")
-    info = materialize(info.select("uid", "fam", "n", "size", "linked", F.coalesce("cluster", "uid").alias("cluster"), F.coalesce("r", F.lit(0)).alias("r")), "join-info")
+    info = tmp.write(info.select("uid", "fam", "n", "size", "linked", F.coalesce("cluster", "uid").alias("cluster"), F.coalesce("r", F.lit(0)).alias("r")), "join-info")
     star = info.filter("uid <> cluster").select(F.col("cluster").alias("a"), F.col("uid").alias("b"))
     # families with one cluster are answered; in others the rarest elements of each difference come first: k + 1 of them, k for the largest set that could link
-    mixed = materialize(info.groupBy("fam").agg(F.min("cluster").alias("one"), F.max("cluster").alias("two")).filter("one <> two").select("fam"), "join-mixed")
-    item = d.filter("uid <> fam").join(mixed, "fam", "left_semi").select("fam", "uid", "n", "size", "linked", F.explode("v").alias("e"))
-    count = item.groupBy("fam", "e").agg(F.count("*").alias("many"))
-    # elements that nobody shares only take up places
-    per = item.join(count, ["fam", "e"]).groupBy("uid", "fam", "n", "size", "linked").agg(
-        F.count(F.when(F.col("many") == 1, 1)).alias("alone"), F.sort_array(F.collect_list(F.when(F.col("many") > 1, F.struct("many", "e")))).alias("shared")
-    )
+    mixed = tmp.write(info.groupBy("fam").agg(F.min("cluster").alias("one"), F.max("cluster").alias("two")).filter("one <> two").select("fam"), "join-mixed")
+    item = d.filter("uid <> fam").join(mixed, "fam", "left_semi").select("fam", "uid", F.explode("v").alias("e"))
+    count = item.groupBy("fam", "e").agg(F.count("*").alias("many")).filter("many > 1")
+    shared = item.join(count, ["fam", "e"]).groupBy("fam", "uid").agg(F.sort_array(F.collect_list(F.struct("many", "e"))).alias("shared"))  # at most a difference
+    shared = shared.join(_sent(info.select("uid", "n", "size", "linked")), "uid")
+    # elements that nobody shares come first and only take up places
+    alone = F.col("size") - F.size("shared")
     reach = F.expr(f"({less} * (n + (100 * n) div {percent})) div {more}") + 1
-    places = F.greatest(F.when(F.col("linked"), F.col("size")).otherwise(F.least(reach, F.col("size"))) - F.col("alone"), F.lit(0)).cast("int")
-    rare = per.select("uid", "fam", F.explode(F.slice("shared", F.lit(1), places)).alias("s"))
-    rare = rare.select("uid", F.xxhash64("fam", "s.e").alias("key"), F.lit(0).alias("from"), F.lit(0).alias("to"))
-    inside = _meet(materialize(rare, "join-rare"), info, d.select("uid", "v"), percent, True)
-    outside = _meet(entries, info.withColumn("size", F.col("n").cast("int")), sets.select("uid", F.col("items").alias("v")), percent, False)
+    places = F.greatest(F.when(F.col("linked"), F.col("size")).otherwise(F.least(reach, F.col("size"))) - alone, F.lit(0)).cast("int")
+    rare = shared.select("uid", "fam", alone.alias("alone"), F.posexplode(F.slice("shared", F.lit(1), places)).alias("place", "s"))
+    rank = F.col("alone") + F.col("place")
+    rare = rare.select("uid", F.xxhash64("fam", "s.e").alias("key"), rank.alias("from"), rank.alias("to"))
+    inside = _meet(tmp.write(rare, "join-rare"), info, d.select("uid", "v"), percent, True, tmp)
+    outside = _meet(entries, info.withColumn("size", F.col("n").cast("int")), sets.select("uid", F.col("items").alias("v")), percent, False, tmp)
     return star.unionByName(inside).unionByName(outside)
 
 
@@ -380,23 +388,28 @@ def join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFra
 
     Texts are read twice: for the regions, and for the sets of documents that share lists only. Runs a job per step.
     """
-    regions = materialize(digests(docs, words, percent, False).withColumn("uid", F.monotonically_increasing_id()), "join-regions")
+    tmp = Scratch()
+    regions = tmp.write(digests(docs, words, percent, False).withColumn("uid", F.monotonically_increasing_id()), "join-regions")
     rows = materialize(regions.drop("items"), "join-rows")
-    classes = materialize(rows.filter("n > 0").groupBy("n", "c1", "c2").agg(F.min("uid").alias("root"), F.min("doc_id").alias("low")), "join-classes")
-    entries = _kept(_rows_of(regions.select("uid", "n", "items"), classes.select(F.col("root").alias("uid")), "uid"), percent)
-    release(regions)
-    members = _families(entries)
-    wanted = materialize(rows.select("uid", "doc_id", "n", "c1", "c2").join(members.select("uid"), "uid"), "join-wanted")
-    ids = materialize(wanted.select(F.col("doc_id").alias("id_")).distinct(), "join-ids")
+    classes = tmp.write(rows.filter("n > 0").groupBy("n", "c1", "c2").agg(F.min("uid").alias("root"), F.min("doc_id").alias("low")), "join-classes")
+    entries = _kept(_rows_of(regions.select("uid", "n", "items"), classes.select(F.col("root").alias("uid")), "uid"), percent, tmp)
+    tmp.release(regions)
+    members = _families(entries, tmp)
+    alike = rows.groupBy("doc_id", "n", "c1", "c2").agg(F.count("*").alias("many"), F.min("uid").alias("uid"))  # rows of one class have its least uid
+    wanted = tmp.write(alike.join(members.select("uid"), "uid"), "join-wanted")
+    ids = tmp.write(wanted.select(F.col("doc_id").alias("id_")).distinct(), "join-ids")
     again = digests(_rows_of(docs.select("doc_id", "text"), ids, F.col("doc_id").eqNullSafe(F.col("id_"))), words, percent, True)
     same = F.col("s.doc_id").eqNullSafe(F.col("w.doc_id")) & (F.col("s.n") == F.col("w.n")) & (F.col("s.c1") == F.col("w.c1")) & (F.col("s.c2") == F.col("w.c2"))
-    sets = materialize(again.alias("s").join(wanted.alias("w"), same).select("w.uid", "s.n", "s.items").dropDuplicates(["uid"]), "join-sets")
-    roots = components(_links(members, sets, entries, percent))
+    found = again.alias("s").join(_sent(wanted).alias("w"), same).select("w.uid", "w.many", "s.n", "s.items")
+    found = tmp.write(found, "join-sets")
+    # only rows that repeat a doc_id with its text come more than once
+    sets = found.filter("many = 1").drop("many").unionByName(found.filter("many > 1").drop("many").dropDuplicates(["uid"]))
+    roots = components(_links(members, sets, entries, percent, tmp))
     named = classes.join(roots.withColumnRenamed("root", "top"), classes["root"] == roots["node"], "left").select("n", "c1", "c2", "low", F.coalesce("top", "root").alias("root"))
-    named = materialize(named, "join-named")
+    named = tmp.write(named, "join-named")
     least = named.groupBy("root").agg(F.min("low").alias("component_id"))
     named = materialize(named.join(least, "root").select("n", "c1", "c2", "root", "component_id"), "join-components")
-    release(entries, members, wanted, ids, sets)
+    tmp.release()
     out = rows.select("doc_id", "n", "c1", "c2", "uid").join(named, ["n", "c1", "c2"], "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), "uid", F.coalesce("root", "uid").alias("root"))
 
