@@ -5,7 +5,7 @@ import random
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tidemark.operators.piecewise import piecewise_frame, piecewise_windows, pieces_of, stitched_sessions
+from tidemark.operators.piecewise import PART, piecewise_frame, piecewise_windows, pieces_of, spread, stitched_sessions
 
 
 def skewed(spark, n=600, seed=7):
@@ -87,3 +87,60 @@ def test_frame_of_some_pieces_only(spark):
     every = piecewise_frame(df, ["k"], piece, ["t"], 3, 1, {"s": F.sum("v")})
     some = piecewise_frame(df, ["k"], piece, ["t"], 3, 1, {"s": F.sum("v")}, only=pieces_of(df.filter("t = 450"), ["k"], piece))
     assert sorted(map(tuple, some.collect())) == sorted(tuple(r) for r in every.collect() if 400 <= r["t"] < 500)
+
+
+def largest_task(df):
+    """Rows of the largest (key, piece, part) against the row count."""
+    return df.groupBy("k", "_part").count().agg(F.max("count")).first()[0]
+
+
+def test_spread_pieces_equal_plain_windows(spark):
+    df = skewed(spark)
+    for width, rows in ((7, 20), (1000, 60)):
+        piece = F.floor(F.col("t") / width)
+        cut = spread(df, ["k"], piece, ["t", "id"], rows)
+        assert PART in cut.columns
+        same(piecewise_windows(cut, ["k"], piece, ["t", "id"], **OPTIONS), plain(df))
+        wanted = pieces_of(df.filter("t < 7"), ["k"], piece)
+        some = piecewise_windows(cut, ["k"], piece, ["t", "id"], only=wanted, **OPTIONS)
+        sums = piecewise_windows(cut, ["k"], piece, ["t", "id"], only=wanted, running_sum={"s": "v"})
+        first = F.expr(f"t < {width}")
+        same(some.filter(first), plain(df).filter(first))
+        same(sums.filter(first).select("id", "s"), plain(df).filter(first).select("id", "s"))
+
+
+def test_spread_frames_equal_plain_frames(spark):
+    df = skewed(spark)
+    w = Window.partitionBy("k").orderBy("t", "id")
+    piece = F.floor(F.col("t") / 30)
+    cut = spread(df, ["k"], piece, ["t", "id"], 4)
+    for before, after in ((10, 1),):
+        want = df.select("*", F.sum("v").over(w.rowsBetween(-before, after)).alias("s"))
+        same(piecewise_frame(cut, ["k"], piece, ["t", "id"], before, after, {"s": F.sum("v")}), want)
+
+
+def test_small_pieces_are_left_alone(spark):
+    df = skewed(spark)
+    assert spread(df, ["k"], F.col("t"), ["t", "id"], 10_000).columns == df.columns
+    empty = df.limit(0)
+    assert spread(empty, ["k"], F.col("t"), ["t", "id"], 1).columns == df.columns
+
+
+def test_hot_day_and_hot_value_spread_over_tasks(spark):
+    hot = spark.range(200_000).select(F.lit("hot").alias("k"), F.lit(5).alias("t"), (F.col("id") % 3).alias("v"))  # all in one piece, equal rows
+    cut = spread(hot, ["k"], F.col("t"), ["t", "v"], 10_000)
+    assert largest_task(cut) <= 30_000 and cut.select(PART).distinct().count() >= 15
+    out = piecewise_windows(cut, ["k"], F.col("t"), ["t", "v"], row_number="rn", rank="rk", dense_rank="dr", rank_by=["t", "v"])
+    found = out.groupBy("v").agg(F.min("rk").alias("lo"), F.max("rk").alias("hi"), F.min("dr").alias("d"), F.max("dr").alias("e")).orderBy("v").collect()
+    assert [tuple(r) for r in found] == [(0, 1, 1, 1, 1), (1, 66668, 66668, 2, 2), (2, 133335, 133335, 3, 3)]
+    assert out.agg(F.countDistinct("rn"), F.max("rn")).first() == (200_000, 200_000)
+
+
+def test_hot_user_sessions(spark):
+    start = F.lit("2024-01-01 00:00:00").cast("timestamp_ntz")
+    seconds = F.when(F.col("id") < 5000, F.lit(0)).otherwise(F.floor(F.col("id") / 2500) * 1000)  # many equal times, silences of 1000 s
+    df = spark.range(20_000).select(F.lit(1).alias("u"), (start + F.make_dt_interval(secs=seconds.cast("decimal(18,6)"))).alias("ts"))
+    whole = stitched_sessions(df, "u", "ts", "15 MINUTES")
+    for rows in (300, 2500):
+        same(stitched_sessions(df, "u", "ts", "15 MINUTES", rows_per_piece=rows), whole)
+    assert whole.count() > 3

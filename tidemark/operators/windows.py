@@ -7,34 +7,40 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.operators.piecewise import pieces_of, piecewise_frame, piecewise_windows
+from tidemark.operators.piecewise import PIECE_ROWS, pieces_of, piecewise_frame, piecewise_windows, spread
 from tidemark.session import materialize
 
 
-def zone_ranks(trips: DataFrame, row_order: Sequence[str]) -> DataFrame:
-    return piecewise_windows(
-        trips, ["pu_zone"], F.to_date("pickup_ts"), ["pickup_ts", *row_order],
+def _by_zone(trips: DataFrame, row_order: Sequence[str], rows_per_piece: int, **windows) -> DataFrame:
+    """Windows along the pickup time of a zone, cut by day, and days above ``rows_per_piece`` rows again (runs a job)."""
+    cut = ["pu_zone"], F.to_date("pickup_ts"), ["pickup_ts", *row_order]
+    return piecewise_windows(spread(trips, *cut, rows_per_piece), *cut, **windows)
+
+
+def zone_ranks(trips: DataFrame, row_order: Sequence[str], rows_per_piece: int = PIECE_ROWS) -> DataFrame:
+    return _by_zone(
+        trips, row_order, rows_per_piece,
         row_number="row_num", rank="rank", dense_rank="dense_rank", rank_by=["pickup_ts"],
     )
 
 
-def zone_neighbours(trips: DataFrame, row_order: Sequence[str], value: str) -> DataFrame:
-    return piecewise_windows(
-        trips, ["pu_zone"], F.to_date("pickup_ts"), ["pickup_ts", *row_order],
+def zone_neighbours(trips: DataFrame, row_order: Sequence[str], value: str, rows_per_piece: int = PIECE_ROWS) -> DataFrame:
+    return _by_zone(
+        trips, row_order, rows_per_piece,
         prev={f"prev_{value}": value}, next={f"next_{value}": value},
     )
 
 
-def zone_running(trips: DataFrame, row_order: Sequence[str], value: str) -> DataFrame:
-    out = piecewise_windows(
-        trips, ["pu_zone"], F.to_date("pickup_ts"), ["pickup_ts", *row_order],
+def zone_running(trips: DataFrame, row_order: Sequence[str], value: str, rows_per_piece: int = PIECE_ROWS) -> DataFrame:
+    out = _by_zone(
+        trips, row_order, rows_per_piece,
         row_number="_n", running_sum={"_sum": value},
     )
     total = F.round("_sum", 4)
     return out.withColumns({f"running_sum_{value}": total, f"running_avg_{value}": total / F.col("_n")}).drop("_n", "_sum")
 
 
-def top_fares_with_running(trips: DataFrame, row_order: Sequence[str], k: int = 100, rows_back: int = 10) -> DataFrame:
+def top_fares_with_running(trips: DataFrame, row_order: Sequence[str], k: int = 100, rows_back: int = 10, rows_per_piece: int = PIECE_ROWS) -> DataFrame:
     """The k highest fares per passenger count with, at each of them, the running fare total and the
     mean of the last ``rows_back + 1`` fares in pickup order.
 
@@ -47,6 +53,7 @@ def top_fares_with_running(trips: DataFrame, row_order: Sequence[str], k: int =
     best = Window.partitionBy("passengers").orderBy(F.desc("fare"), *order)
     top = base.withColumn("fare_rank", F.row_number().over(best)).filter(F.col("fare_rank") <= k)
     days = pieces_of(top, keys, day)
+    base = spread(base, keys, day, order, rows_per_piece)
     running = piecewise_windows(base, keys, day, order, running_sum={"running_fare_total": "fare"}, only=days)
     rolling = piecewise_frame(
         base, keys, day, order, rows_back, 0, {"_sum": F.sum("fare"), "_n": F.count("fare")}, only=days
@@ -61,14 +68,15 @@ def top_fares_with_running(trips: DataFrame, row_order: Sequence[str], k: int =
     )
 
 
-def centered_mean(df: DataFrame, key: str, value: str, band: float, row_order: Sequence[str], reach: int = 2) -> DataFrame:
-    """Mean over ``reach`` rows on either side in value order; ``band`` is the width of a value piece.
+def centered_mean(df: DataFrame, key: str, value: str, band: float, row_order: Sequence[str], reach: int = 2, rows_per_piece: int = PIECE_ROWS) -> DataFrame:
+    """Mean over ``reach`` rows on either side in value order; ``band`` is the width of a value piece, larger ones are cut again.
 
     The rows are written narrow first, as both borders and the frame read them (runs one job).
     """
     order = [value, *[c for c in row_order if c != value]]
+    cut = [key], F.floor(F.col(value) / band), order
     out = piecewise_frame(
-        materialize(df.select(key, *order), "centered"), [key], F.floor(F.col(value) / band), order, reach, reach,
+        spread(materialize(df.select(key, *order), "centered"), *cut, rows_per_piece), *cut, reach, reach,
         {"_sum": F.sum(value), "_n": F.count(value)},
     )
     return out.withColumn(f"rolling_avg_{value}", F.round("_sum", 2) / F.col("_n")).drop("_sum", "_n")
