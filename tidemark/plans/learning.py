@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import scoring
 from tidemark.functions.columns import BOROUGHS
 from tidemark.operators import aggregates as agg
-from tidemark.operators import features
+from tidemark.operators import boosting, features
 from tidemark.operators import learning as ops
 from tidemark.plans.inputs import TRIP_ORDER, WITH_TRIPS, table, trips
 from tidemark.plans.registry import query
@@ -206,20 +206,43 @@ def time_split(spark: SparkSession, d: str) -> DataFrame:
 
 
 NAMES = [name for _, _, name in BOROUGHS]
-LIGHT = {"maxIter": 5, "maxDepth": 3, "stepSize": 0.3, "seed": 42}
+FORECAST_FROM = "2001-08-01"  # the last day that is known to the forecast
 
 
-def _boosted(spark: SparkSession, d: str):
+def _boosted(spark: SparkSession, d: str) -> DataFrame:
+    """Both targets of all boroughs at the documented 200 rounds of depth 6, with the seven days to forecast."""
     daily = materialize(ops.time_split(daily_borough(spark, d), "borough", "pickup_date"), "daily")
-    settings, targets = LIGHT, {"revenue": "revenue", "trips": "trip_count"}
-    return daily, ops.boosted_per_group(daily, "borough", NAMES, MODEL_FEATURES, targets, settings)
+    known = daily.withColumn("part", F.when(F.col("is_train"), "train").otherwise("test"))
+    future = ops.forecast_inputs(daily, "borough", "pickup_date", MODEL_FEATURES, FORECAST_FROM).withColumn("part", F.lit("future"))
+    rows = known.unionByName(future, allowMissingColumns=True)
+    targets = {"revenue": "revenue", "trips": "trip_count"}
+    return materialize(boosting.boosted_daily(rows, "borough", "pickup_date", "part", MODEL_FEATURES, targets), "boosted")
+
+
+def _boosted_metrics(predicted: DataFrame) -> DataFrame:
+    return ops.regression_metrics(predicted.filter("part = 'test'"), ["borough", "target"])
 
 
 @query("ml_11_boosted_per_borough")
 def boosted_per_borough(spark: SparkSession, d: str) -> DataFrame:
-    """Short boosting runs; the library default is 200 trees of depth 6."""
-    _, (_, predicted) = _boosted(spark, d)
-    return ops.regression_metrics(predicted, ["borough", "target"])
+    return _boosted_metrics(_boosted(spark, d))
+
+
+@query(
+    "ml_11_boosted_checks",
+    f"""{WITH_TRIPS}, b AS ({DAILY_B_SQL}), s AS ({SPLIT_SQL}),
+    c AS (SELECT borough, count(*) FILTER (is_train) AS train_rows, count(*) FILTER (NOT is_train) AS test_rows FROM s
+          WHERE borough <> 'Unknown' GROUP BY 1 HAVING count(*) >= {ops.MIN_GROUP_ROWS})
+    SELECT borough, target, train_rows, test_rows, TRUE AS finite, TRUE AS learned FROM c, (VALUES ('revenue'), ('trips')) t(target)""",
+)
+def boosted_checks(spark: SparkSession, d: str) -> DataFrame:
+    """What is certain about the fits: which models there are, their rows, and that they explain more than half of the training rows' variance."""
+    train, error = F.col("part") == "train", F.col("actual") - F.col("prediction")
+    unexplained = F.var_pop(F.when(train, error)) / F.var_pop(F.when(train, F.col("actual")))
+    return _boosted(spark, d).filter("part <> 'future'").groupBy("borough", "target").agg(
+        F.count_if(train).alias("train_rows"), F.count_if(~train).alias("test_rows"),
+        F.bool_and(F.abs("prediction") < float("inf")).alias("finite"), (unexplained < 0.5).alias("learned"),
+    )
 
 
 @query("ml_12_model_comparison")
@@ -294,39 +317,68 @@ def pass_gate(spark: SparkSession, d: str) -> DataFrame:
     return gates[0].unionByName(gates[1])
 
 
+def _forecast(spark: SparkSession, d: str) -> DataFrame:
+    predicted = _boosted(spark, d)
+    return boosting.forecast_report(predicted, _boosted_metrics(predicted), "borough", "pickup_date", "1", f"{FORECAST_FROM} 00:00:00")
+
+
 @query("ml_16_forecast")
 def forecast(spark: SparkSession, d: str) -> DataFrame:
     """Seven days per borough from the boosted models, exported as CSV under a version and read back."""
-    daily, (models, _) = _boosted(spark, d)
-    inputs = ops.forecast_inputs(daily, "borough", "pickup_date", MODEL_FEATURES, "2001-08-01")
-    out = None
-    for name in sorted({group for group, _ in models}):
-        rows = ops._assembled(inputs.filter(F.col("borough") == name), MODEL_FEATURES)
-        rows = models[(name, "revenue")].transform(rows).withColumnRenamed("prediction", "_revenue")
-        rows = models[(name, "trips")].transform(rows).withColumnRenamed("prediction", "_trips")
-        part = ops.clamp_forecast(rows, "_revenue", "_trips").select(
-            F.col("pickup_date").alias("forecast_date"), "borough", "predicted_revenue", "predicted_trips"
-        )
-        out = part if out is None else out.unionAll(part)
+    out = _forecast(spark, d)
     path = export_forecast(out, scratch_path(spark, "forecast"), "1")
     return spark.read.schema(out.schema).option("header", "true").csv(path)
 
 
+@query(
+    "ml_16_forecast_checks",
+    f"""{WITH_TRIPS}, b AS ({DAILY_B_SQL}),
+    g AS (SELECT borough, min(revenue) AS lo, max(revenue) AS hi FROM b WHERE borough <> 'Unknown' GROUP BY 1 HAVING count(*) >= {ops.MIN_GROUP_ROWS})
+    SELECT borough, (DATE '{FORECAST_FROM}' + i::INT)::DATE AS forecast_date, 'v1' AS model_version, TRUE AS never_negative, TRUE AS has_errors FROM g, range(1, 8) r(i)""",
+)
+def forecast_checks(spark: SparkSession, d: str) -> DataFrame:
+    """The row set and what holds for every forecast."""
+    return _forecast(spark, d).select(
+        "borough", "forecast_date", "model_version",
+        ((F.col("predicted_revenue") >= 0) & (F.col("predicted_trips") >= 0)).alias("never_negative"),
+        ((F.col("mape_revenue") >= 0) & (F.col("mape_trips") >= 0)).alias("has_errors"),
+    )
+
+
+WEEK_SQL = f"""f AS (SELECT borough, round(sum(revenue), 4) / count(revenue) AS r, sum(trip_count) / count(*) AS t FROM b GROUP BY 1)"""
+
+
+@query(
+    "snk_08_forecast_export",
+    f"""{WITH_TRIPS}, b AS ({DAILY_B_SQL}), {WEEK_SQL}
+    SELECT borough, i::INT AS day, round(r, 2) AS predicted_revenue, floor(t)::INT AS predicted_trips, 'v7' AS folder FROM f, range(1, 8) d(i)""",
+)
+def forecast_export(spark: SparkSession, d: str) -> DataFrame:
+    """The mean forecast, which SQL can repeat, as CSV below its version."""
+    out = ops.clamp_forecast(_mean_week(spark, d), "_revenue", "_trips").select("borough", "day", "predicted_revenue", "predicted_trips")
+    path = export_forecast(out, scratch_path(spark, "forecast"), "7")
+    back = spark.read.schema(out.schema).option("header", "true").csv(path)
+    return back.withColumn("folder", F.regexp_extract(F.input_file_name(), "/(v[0-9]+)/[^/]*$", 1))
+
+
 @query(
     "ml_17_forecast_summary",
     f"""{WITH_TRIPS}, b AS ({DAILY_B_SQL}),
-    f AS (SELECT borough, round(sum(revenue), 4) / count(revenue) AS r, sum(trip_count) / count(*) AS t FROM b GROUP BY 1),
+    {WEEK_SQL},
     p AS (SELECT borough, round(r, 2) AS pr, floor(t)::INT AS pt FROM f, range(7)),
     g AS (SELECT borough, round(sum(pr), 2) AS revenue, sum(pt)::BIGINT AS trips FROM p GROUP BY 1)
     SELECT * FROM g UNION ALL SELECT 'TOTAL', round(sum(pr), 2), sum(pt)::BIGINT FROM p""",
 )
 def forecast_summary(spark: SparkSession, d: str) -> DataFrame:
     """The summary over a mean forecast, which SQL can repeat."""
+    return ops.forecast_summary(ops.clamp_forecast(_mean_week(spark, d), "_revenue", "_trips"), "borough")
+
+
+def _mean_week(spark: SparkSession, d: str) -> DataFrame:
     means = daily_borough(spark, d).groupBy("borough").agg(
         agg.steady_mean("revenue", "_revenue"), (F.sum("trip_count") / F.count(F.lit(1))).alias("_trips")
     )
-    week = means.withColumn("day", F.explode(F.sequence(F.lit(1), F.lit(7))))
-    return ops.forecast_summary(ops.clamp_forecast(week, "_revenue", "_trips"), "borough")
+    return means.withColumn("day", F.explode(F.sequence(F.lit(1), F.lit(7))))
 
 
 def _measured(docs: DataFrame) -> DataFrame:
