@@ -2,12 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import hashlib
+from collections.abc import Iterator, Sequence
+from functools import reduce
 
+import pandas as pd
+import pyarrow.parquet as pq
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import from_arrow_schema
 
-from tidemark.session import Steps
+from tidemark.session import Steps, folders, remove_path
+from tidemark.sources.files import file_system, read_bytes
+
+BLOCK = 64 * 1024 * 1024
 
 # ---- audit ------------------------------------------------------------------------------------
 
@@ -88,6 +96,17 @@ def append_audit(audit: DataFrame, path: str) -> None:
     audit.withColumn("date", F.to_date("ts")).write.mode("append").partitionBy("event_type", "date").json(path)
 
 
+def expire_audit(spark: SparkSession, path: str, first_day: str) -> list[str]:
+    """Drops the dates before ``first_day`` from storage and returns the folders that went; their rows are not read.
+
+    There is one folder per event type and day, so the calendar bounds the list.
+    """
+    old = [f for f in folders(spark, f"{path}/event_type=*/date=*") if f.rsplit("date=", 1)[1] < first_day]
+    for folder in old:
+        remove_path(spark, folder)
+    return old
+
+
 def retained_audit(spark: SparkSession, path: str, schema: str, first_day: str) -> DataFrame:
     """The log without the dates before ``first_day``; whole folders are pruned."""
     log = spark.read.schema(schema).option("basePath", path).json(path)
@@ -125,6 +144,29 @@ def source_files(df: DataFrame, target: str) -> DataFrame:
 
 # ---- integrity --------------------------------------------------------------------------------
 
+def block_checksums(files: DataFrame, block: int = BLOCK) -> DataFrame:
+    """(path, md5) of files given as (path, length), of any size: no file is one value or one task's work.
+
+    Every block is digested by itself; a file's sum is the digest of its blocks' digests in order. Sums of one ``block`` size compare.
+    """
+    starts = F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.col("length") - 1, F.lit(0)), F.lit(block).cast("long")))
+    blocks = files.select("path", starts.alias("start"))
+
+    def digest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            sums = []
+            for path, start in zip(batch["path"], batch["start"]):
+                fs, place = file_system(path)
+                with fs.open_input_file(place) as source:
+                    size = min(block, source.size() - start)
+                    sums.append(hashlib.md5(source.read_at(size, start) if size > 0 else b"").hexdigest())
+            yield batch.assign(md5=sums)
+
+    parts = blocks.repartition("path", "start").mapInPandas(digest, "path string, start long, md5 string")
+    in_order = F.transform(F.array_sort(F.collect_list(F.struct("start", "md5"))), lambda b: b["md5"])
+    return parts.groupBy("path").agg(F.md5(F.concat_ws("", in_order)).alias("md5"))
+
+
 def verify_checksums(files: DataFrame, manifest: DataFrame) -> DataFrame:
     """(path, md5) found against listed: verified, mismatch, missing or unlisted."""
     joined = files.select("path", F.col("md5").alias("found")).join(manifest.select("path", F.col("md5").alias("listed")), "path", "full")
@@ -149,16 +191,38 @@ def folder_partitions(spark: SparkSession, path: str, keys: Sequence[str], glob:
 
 
 def schema_consistency(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
-    """(path, column, expected, found) where a file's footer differs from the first file's."""
-    schemas = [(p, {f.name: f.dataType.simpleString() for f in spark.read.parquet(p).schema}) for p in paths]
-    _, first = schemas[0]
-    rows = [
-        (path, name, first.get(name, ""), schema.get(name, ""))
-        for path, schema in schemas[1:]
-        for name in sorted(set(first) | set(schema))
-        if first.get(name) != schema.get(name)
+    """(path, column, expected, found) where a Parquet file's footer differs from the first file's, first by folder given, then by name.
+
+    The files below all paths are listed by Spark and their footers read in tasks; only the first one's columns reach the
+    driver (runs a job). No files: no rows.
+    """
+    listed = [
+        read_bytes(spark, p, "*.parquet").select(F.lit(i).alias("at"), "path", F.lit(p).alias("folder")) for i, p in enumerate(paths)
     ]
-    return spark.createDataFrame(rows, "path string, column string, expected string, found string")
+    every = reduce(DataFrame.unionAll, listed)
+    lead = every.orderBy("at", "path").limit(1)
+    first = {r["column"]: r["type"] for r in _footers(lead.select("path")).collect()}
+    expected = F.create_map(*[F.lit(x) for pair in first.items() for x in pair]) if first else F.create_map().cast("map<string,string>")
+    # one row per file, as wide as its schema
+    found = _footers(every.select("path")).groupBy("path").agg(F.map_from_entries(F.collect_list(F.struct("column", "type"))).alias("found"))
+    names = F.explode(F.array_union(F.map_keys("expected"), F.map_keys("found")))
+    each = found.withColumn("expected", expected).withColumn("column", names).select(
+        "path", "column", *[F.coalesce(F.element_at(side, F.col("column")), F.lit("")).alias(side) for side in ("expected", "found")]
+    )
+    return each.filter("expected <> found")
+
+
+def _footers(files: DataFrame) -> DataFrame:
+    """(path, column, type) from the footers of Parquet files; row groups are not read."""
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for path in batch["path"]:
+                fs, place = file_system(path)
+                fields = from_arrow_schema(pq.read_schema(place, filesystem=fs)).fields
+                yield pd.DataFrame({"path": path, "column": [f.name for f in fields], "type": [f.dataType.simpleString() for f in fields]})
+
+    return files.mapInPandas(read, "path string, column string, type string")
 
 
 def fingerprint(df: DataFrame) -> DataFrame:

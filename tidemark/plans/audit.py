@@ -86,10 +86,22 @@ def masking(spark: SparkSession, d: str) -> DataFrame:
 def retained_log(spark: SparkSession, d: str) -> DataFrame:
     path = scratch_path(spark, "audit")
     ops.append_audit(audit(spark, d), path)
+    ops.expire_audit(spark, path, "2024-01-20")
     schema = "event_id LONG, user LONG, table_name STRING, rows_read LONG, ts TIMESTAMP_NTZ, event_type STRING, date DATE"
     return ops.retained_audit(spark, path, schema, "2024-01-20").select("event_id", "user", "table_name", "event_type", "date")
 
 
+@query("gov_07_expired_days", f"SELECT DISTINCT event_type, ts::DATE AS date FROM ({AUDIT_SQL}) WHERE ts < TIMESTAMP '2024-01-20'")
+def expired_days(spark: SparkSession, d: str) -> DataFrame:
+    """The partitions that retention dropped, less any that storage still holds."""
+    path = scratch_path(spark, "audit")
+    ops.append_audit(audit(spark, d), path)
+    gone = spark.createDataFrame([(f,) for f in ops.expire_audit(spark, path, "2024-01-20")], "folder string")
+    left = spark.read.option("basePath", path).json(path).select("event_type", "date").distinct()
+    found = gone.select(F.regexp_extract("folder", "event_type=([^/]+)/", 1).alias("event_type"), F.regexp_extract("folder", "date=([^/]+)$", 1).cast("date").alias("date"))
+    return found.join(left, ["event_type", "date"], "left_anti")
+
+
 EDGES_SQL = """SELECT DISTINCT 'supplier/' || l_suppkey AS source, 'part/' || l_partkey AS target, 'ships' AS kind FROM lineitem
     UNION ALL SELECT 'part/' || p_partkey, 'brand/' || p_brand, 'belongs' FROM part
     UNION ALL SELECT DISTINCT 'brand/' || p_brand, 'type/' || p_type, 'covers' FROM part"""
@@ -143,7 +155,7 @@ def checksums(spark: SparkSession, d: str) -> DataFrame:
     """Six files; the manifest has a wrong sum for one, lacks one and lists one that is gone."""
     path = scratch_path(spark, "sums")
     sinks.write_files(table(spark, d, "orders"), path, 6)
-    found = files.read_bytes(spark, path, "*.parquet").select("path", F.md5("content").alias("md5"))
+    found = materialize(ops.block_checksums(files.read_bytes(spark, path, "*.parquet").select("path", "length"), 4096), "found")
     part = F.regexp_extract("path", r"part-0*([0-9]+)-", 1).cast("int")
     listed = found.filter(part != 1).withColumn("md5", F.when(part == 2, "0").otherwise(F.col("md5")))
     gone = spark.range(1).select(F.lit("gone.parquet").alias("path"), F.lit("0").alias("md5"))
@@ -165,7 +177,7 @@ def schema_consistency(spark: SparkSession, d: str) -> DataFrame:
     a, b, orders = scratch_path(spark, "a"), scratch_path(spark, "b"), table(spark, d, "orders")
     orders.select("o_orderkey", "o_custkey", "o_totalprice").write.parquet(a)
     orders.select("o_orderkey", F.col("o_custkey").cast("string")).write.parquet(b)
-    return ops.schema_consistency(spark, [a, b]).drop("path")
+    return ops.schema_consistency(spark, [a, b]).drop("path").distinct()
 
 
 @query("int_04_fingerprint", """SELECT count(*) AS rows, (2 * count(*) - count(quality) - count(toxic))::BIGINT AS nulls, true AS same

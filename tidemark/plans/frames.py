@@ -61,18 +61,15 @@ CACHE_SQL = """SELECT event_type, count(*) AS n, round(sum(value), 2) AS total F
 
 @query("ctl_01_persist", CACHE_SQL)
 def persist(spark: SparkSession, d: str) -> DataFrame:
-    with ops.persisted(table(spark, d, "events").filter("value > 20")) as kept:
-        kept.count()
-        result = kept.groupBy("event_type").agg(agg.n_rows("n"), F.round(F.sum("value"), 2).alias("total"))
-    return result
+    kept = ops.keep(table(spark, d, "events").filter("value > 20"))
+    return kept.attach(kept.df.groupBy("event_type").agg(agg.n_rows("n"), F.round(F.sum("value"), 2).alias("total")))
 
 
 @query("ctl_02_sql_cache", CACHE_SQL)
 def sql_cache(spark: SparkSession, d: str) -> DataFrame:
     table(spark, d, "events").createOrReplaceTempView("tidemark_cache_source")
-    with ops.cached_table(spark, "tidemark_big", "SELECT * FROM tidemark_cache_source WHERE value > 20", lazy=True):
-        out = spark.table("tidemark_big").groupBy("event_type").agg(agg.n_rows("n"), F.round(F.sum("value"), 2).alias("total"))
-    return out
+    kept = ops.keep_table(spark, "tidemark_big", "SELECT * FROM tidemark_cache_source WHERE value > 20", lazy=True)
+    return kept.attach(kept.df.groupBy("event_type").agg(agg.n_rows("n"), F.round(F.sum("value"), 2).alias("total")))
 
 
 @query("ctl_03_explain", "SELECT true AS pushes_filter, true AS prunes_columns, count(*) AS rows FROM events WHERE value > 20")

@@ -6,13 +6,14 @@ day of it is a *run*; a *query latency* is an event's value.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.operators import metrics as ops
 from tidemark.plans.inputs import table
 from tidemark.plans.registry import query
 from tidemark.session import scratch_path
+from tidemark.sources.files import read_event_log
 
 WIDE_SQL = """SELECT l_orderkey AS app_id, count(*) AS n, round(sum(l_quantity), 2) AS q, min(l_quantity) AS lo, max(l_quantity) AS hi,
     round(sum(l_extendedprice), 2) AS rev, round(sum(l_extendedprice * (1 - l_discount)), 4) AS net,
@@ -516,6 +517,30 @@ def resource_wait(spark: SparkSession, d: str) -> DataFrame:
     return ops.resource_wait(log)
 
 
+@query(
+    "met_28_event_log",
+    """SELECT 'app-' || user_id AS app_id, (epoch_us(min(ts) FILTER (event_type = 'view')) // 1000 - epoch_us(min(ts) FILTER (event_type = 'signup')) // 1000) / 1e3 AS wait_seconds
+    FROM events GROUP BY user_id HAVING wait_seconds IS NOT NULL""",
+)
+def resource_wait_of_logs(spark: SparkSession, d: str) -> DataFrame:
+    """The same waits from JSON event logs: one folder per application, its first sign-up as start, the driver as an executor to skip."""
+    e = table(spark, d, "events")
+    millis = F.unix_millis(F.col("ts").cast("timestamp"))
+    app = F.concat(F.lit("app-"), F.col("user_id"))
+
+    def line(event: str, time: Column, **more: Column) -> Column:
+        return F.to_json(F.struct(F.lit(f"SparkListener{event}").alias("Event"), time.alias("Timestamp"), *[c.alias(n.replace("_", " ")) for n, c in more.items()]))
+
+    started = e.filter("event_type = 'signup'").groupBy("user_id").agg(F.min(millis).alias("_t"))
+    starts = started.select("user_id", F.explode(F.array(
+        line("ApplicationStart", F.col("_t"), App_ID=app), line("ExecutorAdded", F.col("_t") - 1, Executor_ID=F.lit("driver")), line("JobStart", F.col("_t"))
+    )).alias("value"))
+    added = e.filter("event_type = 'view'").select("user_id", line("ExecutorAdded", millis, Executor_ID=F.col("event_id").cast("string")).alias("value"))
+    path = scratch_path(spark, "event-logs")
+    starts.unionAll(added).withColumn("log", app).drop("user_id").repartition("log").write.partitionBy("log").text(path)
+    return ops.resource_wait(read_event_log(spark, path))
+
+
 @query(
     "met_29_shuffle_class",
     f"""SELECT CASE WHEN shuffle_ratio - 0.6 < 0.5 THEN 'excellent' WHEN shuffle_ratio - 0.6 <= 1.5 THEN 'good'

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from tidemark.operators.learning import scored
 from tidemark.operators.versioned import VersionedTable
 from tidemark.plans.inputs import table
 from tidemark.plans.learning import save_classifier
@@ -313,11 +314,27 @@ def hourly_batch(spark: SparkSession, d: str) -> DataFrame:
 @query("str_19_scored_stream")
 def scored_stream(spark: SparkSession, d: str) -> DataFrame:
     """Documents scored by a saved classifier as they arrive."""
-    from tidemark.operators.learning import scored
+    return _scored_as_they_arrive(spark, d, save_classifier(spark, d))
 
+
+@query("str_19_stream_equals_batch", "SELECT doc_id, TRUE AS same_score, TRUE AS same_class FROM documents")
+def stream_equals_batch(spark: SparkSession, d: str) -> DataFrame:
+    """The stream's scores against the batch scores of the same saved model."""
     model = save_classifier(spark, d)
-    docs = _arriving(spark, d, "documents").select(
+    arrived = _scored_as_they_arrive(spark, d, model)
+    batch = scored(model, _measures(table(spark, d, "documents"))).select("doc_id", F.col("probability_1").alias("p"), F.col("prediction").alias("c"))
+    return arrived.join(batch, "doc_id", "full").select(
+        "doc_id", F.col("probability_1").eqNullSafe(F.col("p")).alias("same_score"), F.col("prediction").eqNullSafe(F.col("c")).alias("same_class")
+    )
+
+
+def _measures(docs: DataFrame) -> DataFrame:
+    return docs.select(
         "doc_id", F.col("n_chars").cast("double").alias("n_chars"), F.size(F.split("text", r"\s+")).cast("double").alias("words"),
         F.length(F.regexp_replace("text", "[^0-9]", "")).cast("double").alias("digits"), "lang",
     )
-    return _appended(spark, scored(model, docs).select("doc_id", "probability_1", "prediction"))
+
+
+def _scored_as_they_arrive(spark: SparkSession, d: str, model: str) -> DataFrame:
+    arriving = _measures(_arriving(spark, d, "documents"))
+    return _appended(spark, scored(model, arriving).select("doc_id", "probability_1", "prediction"))

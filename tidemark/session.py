@@ -78,6 +78,31 @@ def materialize(df: DataFrame, purpose: str) -> DataFrame:
     return out
 
 
+def _file_system(spark: SparkSession, path: str):
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()), place
+
+
+def remove_path(spark: SparkSession, path: str) -> None:
+    """Deletes a folder or file with all below it, if it is there."""
+    fs, place = _file_system(spark, path)
+    fs.delete(place, True)
+
+
+def publish_path(spark: SparkSession, staged: str, path: str) -> None:
+    """Puts a finished folder in the place of another; readers see the old one, for a moment none, then the new one."""
+    fs, place = _file_system(spark, path)
+    fs.delete(place, True)
+    if not fs.rename(_file_system(spark, staged)[1], place):
+        raise OSError(f"cannot move {staged} to {path}")
+
+
+def folders(spark: SparkSession, pattern: str) -> list[str]:
+    """Folders that match a pattern such as ``/log/kind=*/date=*``, named without their contents being listed."""
+    fs, place = _file_system(spark, pattern)
+    return sorted(s.getPath().toString() for s in (fs.globStatus(place) or []) if s.isDirectory())
+
+
 def release(*written: DataFrame) -> None:
     """Deletes tables that ``materialize`` wrote, once nothing that is still to run reads them.
 
@@ -85,9 +110,7 @@ def release(*written: DataFrame) -> None:
     would do too late for the disks of the executors.
     """
     for df in written:
-        jvm, path = df.sparkSession._jvm, df._written_at
-        place = jvm.org.apache.hadoop.fs.Path(path)
-        place.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(place, True)
+        remove_path(df.sparkSession, df._written_at)
     if written:
         gc.collect()
         written[0].sparkSession._jvm.System.gc()

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import json
 from collections.abc import Callable, Mapping, Sequence
+from urllib.parse import quote
 
+from pyarrow.fs import FileSystem, LocalFileSystem
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -64,6 +66,30 @@ def events_of_day(raw: DataFrame, schema: StructType | str, ts: str, day: str) -
     return parse_events(raw, schema, processing_time=False).filter(F.to_date(ts) == F.lit(day).cast("date"))
 
 
+def file_system(path: str) -> tuple[FileSystem, str]:
+    """The file system of a path that Spark listed, for tasks that read parts of files, and the path there."""
+    if path.startswith("file:"):
+        return LocalFileSystem(), "/" + path[5:].lstrip("/")
+    return FileSystem.from_uri(quote(path.replace("s3a://", "s3://", 1), safe="/:@"))
+
+
+def read_event_log(spark: SparkSession, path: str) -> DataFrame:
+    """Spark's own JSON event logs below ``path`` as (app_id, event, executor_id, time).
+
+    A log is one file, or a folder of rolled ``events_N_...`` or ``part-...`` files. Only its start names the application, so its id
+    is carried to the other lines of the log; lines of other events are dropped while they are read.
+    """
+    schema = "Event string, Timestamp long, `App ID` string, `Executor ID` string"
+    lines = spark.read.schema(schema).option("recursiveFileLookup", "true").json(path)
+    log = F.regexp_replace(F.col("_metadata.file_path"), r"/(events_[0-9]+_|part-)[^/]*$", "")
+    kept = lines.select(log.alias("log"), F.regexp_replace("Event", "^SparkListener", "").alias("event"), "Timestamp", "App ID", "Executor ID")
+    kept = kept.filter(F.col("event").isin("ApplicationStart", "ExecutorAdded"))
+    ids = kept.filter("event = 'ApplicationStart'").groupBy("log").agg(F.max("App ID").alias("app_id"))
+    return kept.join(ids, "log").select(
+        "app_id", "event", F.col("Executor ID").alias("executor_id"), F.timestamp_millis("Timestamp").alias("time")
+    )
+
+
 def read_bytes(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
-    """Files as (path, length, content); keep ``content`` out of a select and it is not read."""
+    """Files as (path, length, content); keep ``content`` out of a select and it is not read. Spark's reader leaves out empty files."""
     return spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", "true").load(path)
