@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import from_arrow_schema
 
-from tidemark.session import Steps, folders, remove_path
+from tidemark.session import Steps, matching, remove_path
 from tidemark.sources.files import file_system, read_bytes
 
 BLOCK = 64 * 1024 * 1024
@@ -101,7 +101,7 @@ def expire_audit(spark: SparkSession, path: str, first_day: str) -> list[str]:
 
     There is one folder per event type and day, so the calendar bounds the list.
     """
-    old = [f for f in folders(spark, f"{path}/event_type=*/date=*") if f.rsplit("date=", 1)[1] < first_day]
+    old = [f for f in matching(spark, f"{path}/event_type=*/date=*") if f.rsplit("date=", 1)[1] < first_day]
     for folder in old:
         remove_path(spark, folder)
     return old

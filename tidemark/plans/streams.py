@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from tidemark.operators.learning import scored
-from tidemark.operators.versioned import VersionedTable
 from tidemark.plans.inputs import table
 from tidemark.plans.learning import save_classifier
 from tidemark.plans.registry import query
@@ -203,21 +202,18 @@ def stream_outer_join(spark: SparkSession, d: str) -> DataFrame:
         CASE WHEN event_type = 'purchase' OR ts >= TIMESTAMP '2024-01-16' THEN 1 ELSE 0 END AS batch_id FROM events""",
 )
 def upserts(spark: SparkSession, d: str) -> DataFrame:
-    """Two micro-batches: the first half, then the second half with every purchase corrected. The table is
-    cut by month, so a merge rewrites only the months its rows fall on."""
+    """Two micro-batches: the first half, then the second half with every purchase corrected."""
     events = _events(spark, d).select("event_id", "event_type", "value", "ts")
     second = F.col("ts") >= F.lit("2024-01-16").cast("timestamp")
     buy = F.col("event_type") == "purchase"
     fixed = events.withColumn("value", F.when(buy, F.col("value") * 2).otherwise(F.col("value")))
-    t = VersionedTable(spark, scratch_path(spark, "upserts"))
-    start = events.withColumns({"batch_id": F.lit(0).cast("bigint"), "written_at": F.current_timestamp()})
-    t.create(start.limit(0), [("months", "ts")])
+    log = runs.ChangeLog(spark, scratch_path(spark, "upserts"), "event_id", "ts", events.schema)
     offsets = scratch_path(spark, "offsets")
     _in_parts(
         spark, [events.filter(~second), fixed.filter(second | buy)],
-        lambda stream: runs.to_batches(stream, runs.upserts(t, "event_id", "ts", "events"), offsets, "append"),
+        lambda stream: runs.to_batches(stream, log, offsets, "append"),
     )
-    return t.read().select("event_id", "value", "batch_id")
+    return log.read().select("event_id", "value", "batch_id")
 
 
 @query("str_11_partitioned_sink", "SELECT ts::DATE AS day, event_type, count(*) AS n FROM events GROUP BY 1, 2")

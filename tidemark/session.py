@@ -97,10 +97,10 @@ def publish_path(spark: SparkSession, staged: str, path: str) -> None:
         raise OSError(f"cannot move {staged} to {path}")
 
 
-def folders(spark: SparkSession, pattern: str) -> list[str]:
-    """Folders that match a pattern such as ``/log/kind=*/date=*``, named without their contents being listed."""
+def matching(spark: SparkSession, pattern: str) -> list[str]:
+    """Folders and files that match a pattern such as ``/log/kind=*/date=*``; the contents of folders are not listed."""
     fs, place = _file_system(spark, pattern)
-    return sorted(s.getPath().toString() for s in (fs.globStatus(place) or []) if s.isDirectory())
+    return sorted(s.getPath().toString() for s in (fs.globStatus(place) or []))
 
 
 def release(*written: DataFrame) -> None:

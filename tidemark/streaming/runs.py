@@ -7,12 +7,12 @@ import threading
 from collections.abc import Callable, Sequence
 from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
-from pyspark.sql.types import StructType
+from pyspark.sql.types import LongType, StructField, StructType, TimestampType
 
-from tidemark.operators.versioned import VersionedTable
+from tidemark.session import matching, remove_path
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -61,21 +61,57 @@ def last_batch(spark: SparkSession, path: str) -> DataFrame:
     return rows.filter(F.col("batch") == newest).drop("batch")
 
 
-def upserts(table: VersionedTable, key: str, order: str, name: str) -> Callable[[DataFrame, int], None]:
-    """Merge each micro-batch by key with its batch id and write time. The newest row per key wins (of
-    equally new ones, the one with the largest digest), and a batch id already committed is skipped, so a replay
-    changes nothing."""
-
-    def handle(rows: DataFrame, batch: int) -> None:
-        newest = F.row_number().over(Window.partitionBy(key).orderBy(F.desc(order), F.desc(F.xxhash64(*rows.columns))))
-        ready = rows.withColumn("_newest", newest).filter("_newest = 1").drop("_newest")
-        stamped = ready.withColumns({"batch_id": F.lit(batch).cast("bigint"), "written_at": F.current_timestamp()}).persist()
-        try:
-            table.merge(stamped, [key], batch=f"{name}-{batch}")
-        finally:
-            stamped.unpersist()
-
-    return handle
+class ChangeLog:
+    """The latest row per key of a stream, as one folder per micro-batch and a copy that folds the older ones.
+
+    A repeated batch overwrites its own folder, so a replay changes nothing; a folder counts once Spark has marked it complete. Every
+    ``fold_every`` batches what is known is folded into one copy; folders that the copy before already held are
+    removed, so a reader that began with that one still finds its files. Within a batch the largest ``order`` wins (of equals
+    the row with the larger digest), between batches the later one. NULL keys are one key. Picking the winner is an aggregate, combined before
+    its shuffle, however often a key comes. ``schema`` names the columns of the stream; ``batch_id`` and ``written_at`` are added.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, key: str, order: str, schema: StructType, fold_every: int = 16):
+        self.spark, self.path, self.key, self.order, self.fold_every = spark, path, key, order, fold_every
+        self.schema = StructType([*schema.fields, StructField("batch_id", LongType()), StructField("written_at", TimestampType())])
+
+    def __call__(self, rows: DataFrame, batch: int) -> None:
+        """The handler for ``to_batches``."""
+        names = [f.name for f in self.schema.fields if f.name not in ("batch_id", "written_at")]
+        newest = self._winner(rows.select(*names), F.struct(self.order, F.xxhash64(*names)))
+        stamped = newest.withColumns({"batch_id": F.lit(batch).cast("long"), "written_at": F.current_timestamp()})
+        stamped.write.mode("overwrite").parquet(f"{self.path}/batch={batch}")
+        if (batch + 1) % self.fold_every == 0:
+            self.fold(batch)
+
+    def read(self) -> DataFrame:
+        folded = self._complete("upto")
+        start = max(folded, default=-1)
+        parts = [f"{self.path}/upto={start}"] if folded else []
+        parts += [f"{self.path}/batch={b}" for b in self._complete("batch") if b > start]
+        if not parts:
+            return self.spark.createDataFrame([], self.schema)
+        rows = self.spark.read.schema(self.schema).parquet(*parts)
+        return self._winner(rows, F.col("batch_id"))
+
+    def fold(self, batch: int) -> None:
+        """Writes the latest rows up to ``batch`` as one copy."""
+        before = max((b for b in self._complete("upto") if b < batch), default=-1)
+        parts = [f"{self.path}/upto={before}"] if before >= 0 else []
+        parts += [f"{self.path}/batch={b}" for b in self._complete("batch") if before < b <= batch]
+        rows = self.spark.read.schema(self.schema).parquet(*parts)
+        self._winner(rows, F.col("batch_id")).write.mode("overwrite").parquet(f"{self.path}/upto={batch}")
+        for kind, numbers in (("batch", self._complete("batch")), ("upto", self._complete("upto"))):
+            for number in numbers:
+                if number < before or (kind == "batch" and number == before):
+                    remove_path(self.spark, f"{self.path}/{kind}={number}")
+
+    def _winner(self, rows: DataFrame, by: Column) -> DataFrame:
+        best = rows.groupBy(F.col(self.key).alias("_key")).agg(F.max_by(F.struct(*rows.columns), by).alias("_row"))
+        return best.select("_row.*")
+
+    def _complete(self, kind: str) -> list[int]:
+        return sorted(int(re.search(rf"{kind}=([0-9]+)/", f)[1]) for f in matching(self.spark, f"{self.path}/{kind}=*/_SUCCESS"))
 
 
 def batch_totals(path: str, value: str) -> Callable[[DataFrame, int], None]:
