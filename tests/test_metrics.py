@@ -51,7 +51,7 @@ def test_derived_ratios_need_a_positive_divisor(spark):
 
 
 def advice(spark, metrics, config):
-    out = ops.recommendations(spark, ops.issues(app(spark, metrics, config)))
+    out = ops.recommendations(ops.issues(app(spark, metrics, config)))
     return {r["parameter"]: (r["recommended_value"], r["safety_check"], r["source"]) for r in out.collect()}
 
 

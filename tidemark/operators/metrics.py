@@ -6,7 +6,8 @@ a column expression and needs no shuffle. Run tables hold one row per (test, run
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+import json
+from collections.abc import Iterable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -40,6 +41,10 @@ WORKLOADS = [
 # The metrics that make an analysis complete.
 KEY_METRICS = ["gc_ratio", "memory_spill", "task_skew_ratio", "cpu_utilization", "shuffle_write", "task_duration_avg"]
 
+# The metrics that derived ratios are made of.
+DIVIDED = ["task_duration_p99", "task_duration_p50", "shuffle_read", "shuffle_write", "gc_time", "task_duration_avg", "executor_count",
+           "cpu_utilization"]
+
 # Fixed values: (rule, confidence, [(parameter, operation, argument)]).
 ACTIONS = [
     ("gc_pressure", 0.9, [("spark.executor.memory", "multiply", "1.2"), ("spark.memory.fraction", "set", "0.7")]),
@@ -74,6 +79,11 @@ def metric(name: str) -> Column:
     return F.try_element_at(F.col("metrics"), F.lit(name))
 
 
+def _looked_up(apps: DataFrame, names: Iterable[str]) -> DataFrame:
+    """Adds one column ``_name`` per metric, so that rules read columns and each metric is searched in the map once."""
+    return apps.withColumns({f"_{name}": metric(name) for name in dict.fromkeys(names)})
+
+
 # ---- application metrics ----------------------------------------------------------------------
 
 def sampled_metrics(samples: DataFrame, rules: Mapping[str, str], app: str = "app_id") -> DataFrame:
@@ -97,7 +107,7 @@ def sampled_metrics(samples: DataFrame, rules: Mapping[str, str], app: str = "ap
 def with_derived(apps: DataFrame) -> DataFrame:
     """Adds skew, shuffle, gc and cpu ratios to the map; a ratio whose divisor is not positive is left out."""
     def value(name: str, default: float = 0.0) -> Column:
-        return F.coalesce(metric(name), F.lit(default))
+        return F.coalesce(F.col(f"_{name}"), F.lit(default))
 
     executors = F.when(value("executor_count", 1.0) == 0, 1.0).otherwise(value("executor_count", 1.0))
     derived = {
@@ -108,7 +118,8 @@ def with_derived(apps: DataFrame) -> DataFrame:
     }
     entries = [x for name, ratio in derived.items() for x in (F.lit(name), ratio)]
     kept = F.map_filter("metrics", lambda k, _: ~k.isin(list(derived)))
-    return apps.withColumn("metrics", F.map_filter(F.map_concat(kept, F.create_map(*entries)), lambda _, v: v.isNotNull()))
+    ratios = F.map_filter(F.map_concat(kept, F.create_map(*entries)), lambda _, v: v.isNotNull())
+    return _looked_up(apps, DIVIDED).withColumn("metrics", ratios).drop(*[f"_{name}" for name in DIVIDED])
 
 
 def _severity(value: Column, condition: str, warning: float, critical: float) -> Column:
@@ -119,21 +130,20 @@ def _severity(value: Column, condition: str, warning: float, critical: float) ->
 
 def issues(apps: DataFrame) -> DataFrame:
     """One row per (application, broken rule); bounds are inclusive and critical wins."""
-    found = []
+    rules = []
     for order, (rule, name, condition, warning, critical, advice) in enumerate(RULES):
-        severity = _severity(metric(name), condition, float(warning), float(critical))
-        found.append(
-            F.when(
-                severity.isNotNull(),
-                F.struct(
-                    F.lit(order).alias("rule_order"), F.lit(rule).alias("issue_type"), severity.alias("severity"),
-                    metric(name).alias("metric_value"),
-                    F.when(severity == "critical", float(critical)).otherwise(float(warning)).alias("threshold"),
-                    F.lit(advice).alias("recommendation"),
-                ),
+        severity = _severity(F.col(f"_{name}"), condition, float(warning), float(critical))
+        rules.append(
+            F.struct(
+                F.lit(order).alias("rule_order"), F.lit(rule).alias("issue_type"), severity.alias("severity"),
+                F.col(f"_{name}").alias("metric_value"),
+                F.when(severity == "critical", float(critical)).otherwise(float(warning)).alias("threshold"),
+                F.lit(advice).alias("recommendation"),
             )
         )
-    return apps.withColumn("_issue", F.explode(F.array_compact(F.array(*found)))).select("*", "_issue.*").drop("_issue")
+    names = [name for _, name, *_ in RULES]
+    tested = _looked_up(apps, names).withColumn("_issue", F.explode(F.array(*rules))).filter("_issue.severity IS NOT NULL")
+    return tested.select("*", "_issue.*").drop("_issue", *[f"_{name}" for name in names])
 
 
 def workload(apps: DataFrame) -> DataFrame:
@@ -168,36 +178,38 @@ def _fixed_bytes(text: str) -> int:
     return int(float(text)) if text.replace(".", "", 1).isdigit() else 0
 
 
-def _bound_table(spark: SparkSession) -> DataFrame:
-    rows = []
+def _steps() -> Column:
+    """Rule -> its actions with the bounds of their parameters: a constant, folded once, so no join is needed."""
+    bounds = {}
     for parameter, form, low, high, increase in BOUNDS:
-        limits = [_fixed_bytes(x) if form == "memory" else float(x) for x in (low, high)]
-        rows.append((parameter, form, float(limits[0]), float(limits[1]), 1 + increase / 100))
-    return spark.createDataFrame(rows, "parameter string, format string, low double, high double, grow double")
+        limits = [float(_fixed_bytes(x) if form == "memory" else x) for x in (low, high)]
+        bounds[parameter] = (form, *limits, 1 + increase / 100)
+    names = ["factor", "step", "parameter", "operation", "argument", "format", "low", "high", "grow"]
+    table = {
+        rule: [dict(zip(names, (factor, i, *action, *bounds.get(action[0], (None,) * 4)))) for i, action in enumerate(actions)]
+        for rule, factor, actions in ACTIONS
+    }
+    fields = "factor double, step int, parameter string, operation string, argument string, format string, low double, high double, grow double"
+    return F.from_json(F.lit(json.dumps(table)), f"map<string, array<struct<{fields.replace(' ', ': ').replace(',:', ',')}>>>")
 
 
-def recommendations(spark: SparkSession, found: DataFrame, app: str = "app_id") -> DataFrame:
+def recommendations(found: DataFrame, app: str = "app_id") -> DataFrame:
     """Issues (with a ``config`` map of current settings) to bounded recommendations.
 
     Per parameter the higher confidence wins and the earlier rule on ties. Bounds apply in the order
-    allowed increase, minimum, maximum. The rule tables are fixed and hold a dozen rows, hence the
-    broadcasts. Memory bounds given in MB parse to 0 bytes, as the unit table knows Ki, Mi, Gi and Ti
-    only.
+    allowed increase, minimum, maximum. The setting is looked up before the shuffle, so that maps do not pass it.
+    Memory bounds given in MB parse to 0 bytes, as the unit table knows Ki, Mi, Gi and Ti only.
     """
-    actions = spark.createDataFrame(
-        [(rule, conf, i, *action) for rule, conf, steps in ACTIONS for i, action in enumerate(steps)],
-        "issue_type string, factor double, step int, parameter string, operation string, argument string",
-    )
-    joined = (
-        found.join(F.broadcast(actions), "issue_type")
-        .join(F.broadcast(_bound_table(spark)), "parameter", "left")
-        .withColumn("confidence", F.col("factor") * F.when(F.col("severity") == "critical", 1.0).otherwise(0.8))
+    steps = found.select(app, "issue_type", "severity", "rule_order", "config", F.explode(F.try_element_at(_steps(), F.col("issue_type"))).alias("_do"))
+    joined = steps.select(
+        app, "issue_type", "rule_order", "_do.*", F.coalesce(F.try_element_at("config", F.col("_do.parameter")), F.lit("")).alias("current"),
+        (F.col("_do.factor") * F.when(F.col("severity") == "critical", 1.0).otherwise(0.8)).alias("confidence"),
     )
     best = Window.partitionBy(app, "parameter").orderBy(F.desc("confidence"), "rule_order", "step")
     kept = joined.withColumn("_rank", F.row_number().over(best)).filter("_rank = 1")
 
     memory, unset = F.col("format") == "memory", F.col("current") == ""
-    parsed = kept.withColumn("current", F.coalesce(F.try_element_at("config", F.col("parameter")), F.lit(""))).withColumns(
+    parsed = kept.withColumns(
         {"now": memory_bytes(F.col("current")), "base": number(F.col("current")), "arg": number(F.col("argument"))}
     )
     new_size = F.floor(F.when(unset, F.col("low")).otherwise(F.col("now")) * F.col("arg"))

@@ -180,12 +180,12 @@ SELECT app_id, parameter, CASE WHEN current = '' THEN 'not set' ELSE current END
 
 @query("met_06_recommendations", RECOMMEND_SQL)
 def recommendations(spark: SparkSession, d: str) -> DataFrame:
-    return ops.recommendations(spark, ops.issues(ops.with_derived(apps(spark, d))))
+    return ops.recommendations(ops.issues(ops.with_derived(apps(spark, d))))
 
 
 @query("met_07_capped", f"SELECT parameter, safety_check, count(*) AS n FROM ({RECOMMEND_SQL}) GROUP BY 1, 2")
 def capped(spark: SparkSession, d: str) -> DataFrame:
-    found = ops.recommendations(spark, ops.issues(ops.with_derived(apps(spark, d))))
+    found = ops.recommendations(ops.issues(ops.with_derived(apps(spark, d))))
     return found.groupBy("parameter", "safety_check").agg(F.count(F.lit(1)).alias("n"))
 
 

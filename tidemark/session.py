@@ -19,6 +19,8 @@ SETTINGS = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.sql.parquet.compression.codec": "zstd",
     "spark.ui.enabled": "false",
+    # the Python call site of every expression is for error messages; collecting it takes longer than building the plan
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 
