@@ -53,3 +53,20 @@ def test_long_integers_and_decimals_are_exact(spark):
     assert ops.values_at_ranks(df, [], "v", {"m": ops.upper_median}).first()["m"] == big + 2
     exact = df.select((F.col("v").cast("decimal(30,5)") + F.lit("0.00001").cast("decimal(30,5)")).alias("v"))
     assert str(ops.values_at_ranks(exact, [], "v", {"m": ops.upper_median}).first()["m"]) == f"{big + 2}.00001"
+
+
+def test_narrowed_to_cells_equals_whole_groups(spark, data):
+    inf, nan = float("inf"), float("nan")
+    rows = [("odd", x) for x in (1.0, inf, -inf, nan, -2.5, 0.0, -0.0)] + [(None, -x) for x in (4.0, 4.0, 5.0)] + [("tie", 7.0)] * 3000
+    rows += [("near", 1.7e9 + i / 8) for i in range(2000)] + [("none", None)]
+    df = frame(spark, data).unionByName(spark.createDataFrame(rows, "k string, v double"))
+    ranks = {"low": lambda n: F.lit(0), "q1": ops.index_quartile(1), "mid": ops.upper_median, "p95": ops.nearest_rank(0.95), "top": lambda n: n - 1}
+    plain, narrowed = ({r["k"]: str(tuple(r)) for r in ops.values_at_ranks(df, ["k"], "v", ranks, stored).collect()} for stored in (False, True))
+    assert plain == narrowed and set(plain) == {"odd", None, "tie", "near", *data}
+
+
+def test_narrowed_long_integers_and_decimals_are_exact(spark):
+    big = 9007199254740993
+    df = spark.createDataFrame([(big + i,) for i in range(5)], "v long")
+    assert ops.values_at_ranks(df, [], "v", {"m": ops.upper_median}, stored=True).first()["m"] == big + 2
+    assert ops.values_at_ranks(df.filter("v < 0"), ["v"], "v", {"m": ops.upper_median}, stored=True).count() == 0

@@ -140,8 +140,9 @@ def spread(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     )
 
 
-def median(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
-    picked = linear_quantiles(df, keys, value, {"median": 0.5})
+def median(df: DataFrame, keys: Sequence[str], value: str, stored: bool = False) -> DataFrame:
+    """Median and count per group. ``stored``: the frame is a scan, see ``values_at_ranks``."""
+    picked = linear_quantiles(df, keys, value, {"median": 0.5}, stored)
     return picked.select(*keys, F.round("median", 4).alias("median"), F.col("_n").alias("n"))
 
 

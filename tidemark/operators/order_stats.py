@@ -5,15 +5,19 @@ and fails for a key holding a third of a large table. Here values are counted pe
 map-side combine and dealt in ranges of (group, value), so that a large group lies in many pieces in order.
 Totals of the pieces locate the piece of each wanted rank, and only those pieces are ordered. There is one
 path for all sizes. Values keep their type: NaN and infinities have their place in Spark's order, and
-whole numbers and decimals are not rounded.
+whole numbers and decimals are not rounded. Columns read from storage are first narrowed to the cells of a logarithmic
+histogram that hold a wanted rank, so that only those values pass a shuffle.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
 from tidemark.operators.joins import broadcast_if_small
 from tidemark.session import materialize
@@ -21,26 +25,60 @@ from tidemark.session import materialize
 Rank = Callable[[Column], Column]
 
 
-def values_at_ranks(df: DataFrame, keys: Sequence[str], value: str, ranks: Mapping[str, Rank]) -> DataFrame:
+#: Steps of a value's natural logarithm in one unit: a cell is 0.2 % of a value wide.
+STEPS = 512
+
+
+def _cell(value: Column) -> Column:
+    """The cell of a number. Larger numbers never have smaller cells; infinities and NaN lie at the ends."""
+    v = value.cast("double")
+    step, end = F.floor(F.log1p(F.abs(v)) * STEPS), 1 << 40
+    return F.when(F.isnan(v), end + 1).when(F.abs(v) == float("inf"), F.signum(v).cast("long") * end).otherwise(F.when(v < 0, -1 - step).otherwise(step))
+
+
+def _wanted(ranks: Mapping[str, Rank]) -> Column:
+    """The ranks from ``_below`` on among ``_in`` values, of the ``_n`` values of a group."""
+    picks = F.array(*[F.struct(F.lit(name).alias("name"), rank(F.col("_n")).cast("long").alias("rank")) for name, rank in ranks.items()])
+    return F.filter(picks, lambda p: (p["rank"] >= F.col("_below")) & (p["rank"] < F.col("_below") + F.col("_in")))
+
+
+def values_at_ranks(df: DataFrame, keys: Sequence[str], value: str, ranks: Mapping[str, Rank], stored: bool = False) -> DataFrame:
     """One row per group: ``_n`` non-null values and, per name, the value at the 0-based rank f(n).
 
     The counted values and the totals of their pieces are written to the shared folder (two jobs): the
     input is read once, and totals are broadcast only when their written size is small.
+
+    ``stored`` says that every evaluation of ``df`` gives the same values, as a scan does (sums of doubles after a shuffle may not).
+    Then a number is narrowed first: a scan counts cells per group, and a second one keeps the cells with a wanted rank
+    (one more small table is written). Cells that hold much, as equal values do, go the same way as whole groups.
     """
     group = list(keys) or ["_all"]
-    data = df if keys else df.withColumn("_all", F.lit(0))
-    counted = data.filter(F.col(value).isNotNull()).groupBy(*group, F.col(value).alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
+    data = (df if keys else df.withColumn("_all", F.lit(0))).filter(F.col(value).isNotNull()).select(*group, F.col(value).alias("_v"))
     # the group as text, which is never NULL, so that NULL keys are a group like any other
-    counted = counted.withColumn("_key", F.to_json(F.struct(*group)))
+    if stored and isinstance(df.schema[value].dataType, NumericType):
+        data = data.withColumn("_cell", _cell(F.col("_v")))
+        whole = Window.partitionBy(*group)
+        cells = data.groupBy(*group, "_cell").agg(F.count(F.lit(1)).alias("_in")).withColumns(
+            {"_below": F.sum("_in").over(whole.orderBy("_cell")) - F.col("_in"), "_n": F.sum("_in").over(whole)}
+        )
+        chosen = cells.withColumn("_picks", _wanted(ranks)).filter(F.size("_picks") > 0)
+        named = [F.col(k).alias(f"_to{i}") for i, k in enumerate([*group, "_cell"])]
+        chosen = materialize(chosen.select(*named, F.to_json(F.struct(*group, "_cell")).alias("_key"), F.col("_below").alias("_base"), "_n"), "cells")
+        same = [F.col(k).eqNullSafe(F.col(f"_to{i}")) for i, k in enumerate([*group, "_cell"])]
+        data = data.join(broadcast_if_small(chosen.drop("_base", "_n")), reduce(and_, same))
+    else:
+        chosen, data = None, data.withColumn("_key", F.to_json(F.struct(*group)))
+    counted = data.groupBy(*group, "_key", "_v").agg(F.count(F.lit(1)).alias("_c"))
     held = materialize(counted.repartitionByRange("_key", "_v").withColumn("_piece", F.spark_partition_id()), "value-counts")
     in_order = Window.partitionBy("_key").orderBy("_piece")
     pieces = held.groupBy("_key", "_piece").agg(F.sum("_c").alias("_in"))
     pieces = pieces.withColumn("_below", F.sum("_in").over(in_order) - F.col("_in")).withColumn("_n", F.sum("_in").over(Window.partitionBy("_key")))
-    wanted = F.array(
-        *[F.struct(F.lit(name).alias("name"), rank(F.col("_n")).cast("long").alias("rank")) for name, rank in ranks.items()]
+    if chosen is not None:
+        totals = chosen.select("_key", "_base", F.col("_n").alias("_all_n"))
+        pieces = pieces.join(broadcast_if_small(totals), "_key").withColumns({"_below": F.col("_below") + F.col("_base"), "_n": F.col("_all_n")})
+    pieces = materialize(
+        pieces.withColumn("_picks", _wanted(ranks)).filter(F.size("_picks") > 0).select("_key", "_piece", "_below", "_n", "_picks"), "pieces"
     )
-    here = F.filter("_picks", lambda p: (p["rank"] >= F.col("_below")) & (p["rank"] < F.col("_below") + F.col("_in")))
-    pieces = materialize(pieces.withColumn("_picks", wanted).withColumn("_picks", here).filter(F.size("_picks") > 0), "pieces")
     upward = Window.partitionBy("_key", "_piece").orderBy("_v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     found = (
         held.join(broadcast_if_small(pieces), ["_key", "_piece"])
@@ -53,7 +91,7 @@ def values_at_ranks(df: DataFrame, keys: Sequence[str], value: str, ranks: Mappi
 
 
 def linear_quantiles(
-    df: DataFrame, keys: Sequence[str], value: str, quantiles: Mapping[str, float]
+    df: DataFrame, keys: Sequence[str], value: str, quantiles: Mapping[str, float], stored: bool = False
 ) -> DataFrame:
     """Quantiles with linear interpolation at (n-1)q, plus ``_n``; keys + one column per name. A quantile that falls on a
     value, or between equal ones, is that value as a double."""
@@ -61,7 +99,7 @@ def linear_quantiles(
     for name, q in quantiles.items():
         ranks[f"_lo_{name}"] = lambda n, q=q: F.floor((n - 1) * F.lit(q))
         ranks[f"_up_{name}"] = lambda n, q=q: F.ceil((n - 1) * F.lit(q))
-    picked = values_at_ranks(df, keys, value, ranks)
+    picked = values_at_ranks(df, keys, value, ranks, stored)
 
     def mix(name: str, q: float) -> Column:
         at = (F.col("_n") - 1) * F.lit(q)

@@ -133,7 +133,7 @@ def stddev(spark: SparkSession, d: str) -> DataFrame:
        FROM lineitem GROUP BY 1""",
 )
 def median(spark: SparkSession, d: str) -> DataFrame:
-    return ops.median(table(spark, d, "lineitem"), ["l_returnflag"], "l_extendedprice")
+    return ops.median(table(spark, d, "lineitem"), ["l_returnflag"], "l_extendedprice", stored=True)
 
 
 @query(
