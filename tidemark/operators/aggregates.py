@@ -39,8 +39,8 @@ def global_summary(trips: DataFrame) -> DataFrame:
     )
 
 
-def column_profile(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """count, mean, stddev, min, exact quartiles and max; one row per column."""
+def column_profile(df: DataFrame, columns: Sequence[str], stored: bool = False) -> DataFrame:
+    """count, mean, stddev, min, exact quartiles and max; one row per column. ``stored``: the frame is a scan, see ``values_at_ranks``."""
     long = df.select(
         F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("v")) for c in columns])).alias("e")
     ).select("e.*")
@@ -48,7 +48,7 @@ def column_profile(df: DataFrame, columns: Sequence[str]) -> DataFrame:
         F.count("v").alias("n"), F.round(F.avg("v"), 4).alias("mean"), F.round(F.stddev("v"), 4).alias("stddev"),
         F.min("v").alias("min"), F.max("v").alias("max"),
     )
-    quartiles = linear_quantiles(long, ["column"], "v", {"p25": 0.25, "p50": 0.5, "p75": 0.75}).drop("_n")
+    quartiles = linear_quantiles(long, ["column"], "v", {"p25": 0.25, "p50": 0.5, "p75": 0.75}, stored).drop("_n")
     return basics.join(quartiles.select("column", *[F.round(q, 4).alias(q) for q in ("p25", "p50", "p75")]), "column")
 
 

@@ -31,7 +31,7 @@ def global_summary(spark: SparkSession, d: str) -> DataFrame:
              UNION ALL SELECT 'l_discount', l_discount FROM lineitem) GROUP BY 1""",
 )
 def column_profile(spark: SparkSession, d: str) -> DataFrame:
-    return ops.column_profile(table(spark, d, "lineitem"), ["l_quantity", "l_extendedprice", "l_discount"])
+    return ops.column_profile(table(spark, d, "lineitem"), ["l_quantity", "l_extendedprice", "l_discount"], stored=True)
 
 
 @query(
