@@ -28,6 +28,13 @@ def test_skew_joins_equal_the_plain_join(spark):
     assert rows(ops.lookup_join(f, d, "k"), "id", "name") == want
 
 
+def test_a_salted_lookup_is_not_broadcast(spark, tmp_path):
+    """Its size estimate leaves out the repeats, one per salt."""
+    lookup(spark).write.parquet(str(tmp_path / "lookup"))
+    plan = plan_text(ops.salted_join(facts(spark), spark.read.parquet(str(tmp_path / "lookup")), "k", ["id"], salts=1000))
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 def test_null_keys_are_spread_and_kept(spark):
     f, d = facts(spark), lookup(spark)
     assert rows(ops.left_join_spreading_nulls(f, d, "k", ["id"]), "id", "k", "name") == rows(f.join(d, "k", "left"), "id", "k", "name")

@@ -42,10 +42,13 @@ def join_group_stats(detail: DataFrame, stats: DataFrame, on: Sequence[str], how
 
 
 def salted_join(facts: DataFrame, lookup: DataFrame, on: str, row_key: Sequence[str], salts: int = 8) -> DataFrame:
-    """Inner join with the facts spread over ``salts`` and the lookup repeated once per salt."""
+    """Inner join with the facts spread over ``salts`` and the lookup repeated once per salt.
+
+    Always a shuffle join: the size estimate of the repeated lookup leaves the repeats out, so by it a lookup far too large would be broadcast.
+    """
     spread = facts.withColumn("_salt", salt(salts, *row_key))
     repeated = lookup.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return spread.join(repeated, [on, "_salt"]).drop("_salt")
+    return spread.join(repeated.hint("merge"), [on, "_salt"]).drop("_salt")
 
 
 def key_counts(df: DataFrame, key: str) -> DataFrame:
