@@ -160,6 +160,16 @@ def uniqueness_gap(df: DataFrame, keys: Sequence[str], column: str) -> DataFrame
     return out.withColumn("gap", F.col("n") - F.col("n_distinct"))
 
 
+def distinct_both_ways(df: DataFrame, key: str, column: str, deviation: float) -> DataFrame:
+    """``exact`` and ``near``, the distinct values per group counted and estimated with a relative deviation.
+
+    Two aggregates: in one, Spark would group by (key, value) first and hold a sketch for every value. Sketches are one per group here.
+    """
+    exact = df.groupBy(key).agg(F.countDistinct(column).alias("exact"))
+    near = df.groupBy(F.col(key).alias("_key")).agg(F.approx_count_distinct(column, deviation).alias("near"))
+    return exact.join(near, F.col(key).eqNullSafe(F.col("_key"))).drop("_key")
+
+
 def salted_sum(df: DataFrame, key: str, value: str, row_key: Sequence[str], salts: int = 16) -> DataFrame:
     """Sum and count per key through partials per (key, salt); key and salt stay separate columns."""
     partial = df.groupBy(key, salt(salts, *row_key).alias("_salt")).agg(F.sum(value).alias("_sum"), F.count(F.lit(1)).alias("_n"))
