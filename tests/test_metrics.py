@@ -2,6 +2,7 @@ import pytest
 
 from tidemark.functions.stats import t_quantile, t_two_sided
 from tidemark.operators import metrics as ops
+from tidemark.operators.control import plan_text
 
 SAMPLE = {
     "gc_time": 5.2, "memory_spill": 1.5e9, "task_duration_p50": 2.5, "task_duration_p99": 12.5, "task_duration_avg": 3.2,
@@ -103,3 +104,29 @@ def test_trend(spark):
 
 def test_samples_needed():
     assert ops.samples_needed(0.1) == 784
+
+
+def test_sampled_metrics_by_rule(spark):
+    rows = [
+        ("a", "gc", 2.0, 2), ("a", "gc", 3.0, 1), ("a", "took", 2.0, 1), ("a", "took", None, 2), ("a", "took", 4.0, 3), ("a", "size", None, 1),
+        ("a", "size", 7.0, 3), ("a", "size", 9.0, 2), ("a", "rest", 5.0, 1), ("b", "size", None, 1), ("b", "free", -3.0, 1), ("b", "free", -4.0, 2),
+        ("c", "rest", 1.0, 1), (None, "gc", 8.0, 1), (None, "size", 8.0, 1),
+    ]
+    samples = spark.createDataFrame(rows, "app_id string, metric string, value double, at int").repartition(4)
+    rules = {"gc": "sum", "took": "avg", "free": "min", "peak": "max", "size": "value"}
+    out = ops.sampled_metrics(samples, rules)
+    assert out.columns == ["app_id", "metric", "value"]
+    values = {}
+    for r in out.collect():
+        values.setdefault(r["app_id"], {})[r["metric"]] = r["value"]
+    nothing = dict.fromkeys(rules, 0.0)
+    assert values == {
+        "a": {**nothing, "gc": 5.0, "took": 3.0, "size": 9.0}, "b": {**nothing, "free": -4.0}, "c": nothing, None: nothing,
+    }
+
+
+def test_sampled_metrics_are_sorted_for_first_samples_only(spark):
+    """Five samples a row in one sorted aggregate spilled most of their size; the plain figures are hashed, one row per application."""
+    samples = spark.createDataFrame([("a", "gc", 2.0, (1, 2))], "app_id string, metric string, value double, at struct<x:int,y:int>")
+    plan = plan_text(ops.sampled_metrics(samples, {"gc": "sum", "peak": "max"}), "simple")
+    assert "SortAggregate" not in plan and plan.count("Exchange") == 1

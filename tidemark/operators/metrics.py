@@ -89,19 +89,23 @@ def _looked_up(apps: DataFrame, names: Iterable[str]) -> DataFrame:
 def sampled_metrics(samples: DataFrame, rules: Mapping[str, str], app: str = "app_id") -> DataFrame:
     """Samples (app, metric, value, at) to (app, metric, value) by each metric's rule; 0 without samples.
 
-    ``rules`` maps metric -> sum | avg | max | min | value (the first sample).
+    ``rules`` maps metric -> sum | avg | max | min | value (the first sample). Figures of all metrics are one row per application,
+    so a shuffle moves one row where samples of all metrics were, and only first samples, kept with their ``at``, are sorted.
     """
-    held = samples.filter(F.col("value").isNotNull())
-    totals = held.groupBy(app, "metric").agg(
-        F.sum("value").alias("sum"), F.avg("value").alias("avg"), F.max("value").alias("max"),
-        F.min("value").alias("min"), F.min_by("value", "at").alias("value"),
-    )
-    pick = F.lit(None).cast("double")
-    for name, how in rules.items():
-        pick = F.when(F.col("metric") == name, F.col(how)).otherwise(pick)
-    wanted = samples.select(app).distinct().withColumn("metric", F.explode(F.array(*[F.lit(m) for m in rules])))
-    found = totals.select(app, "metric", pick.alias("value"))
-    return wanted.join(found, [app, "metric"], "left").withColumn("value", F.coalesce("value", F.lit(0.0)))
+    figures = {"sum": F.sum, "avg": F.avg, "max": F.max, "min": F.min}
+    named = F.col(app).isNotNull()  # samples without an application are no figures of one
+
+    def of(name: str, column: str = "value") -> Column:
+        return F.when(named & (F.col("metric") == name), F.col(column))
+
+    plain = [figures[how](of(name)).cast("double").alias(name) for name, how in rules.items() if how != "value"]
+    firsts = [name for name, how in rules.items() if how == "value"]
+    wide = samples.groupBy(app).agg(F.count(F.lit(1)).alias("_n"), *plain)
+    if firsts:
+        held = samples.filter(named & F.col("metric").isin(firsts) & F.col("value").isNotNull())
+        wide = wide.join(held.groupBy(app).agg(*[F.min_by("value", of(name, "at")).cast("double").alias(name) for name in firsts]), app, "left")
+    long = F.array(*[F.struct(F.lit(name).alias("metric"), F.coalesce(F.col(f"`{name}`"), F.lit(0.0)).alias("value")) for name in rules])
+    return wide.select(app, F.inline(long))
 
 
 def with_derived(apps: DataFrame) -> DataFrame:
