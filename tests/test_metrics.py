@@ -130,3 +130,11 @@ def test_sampled_metrics_are_sorted_for_first_samples_only(spark):
     samples = spark.createDataFrame([("a", "gc", 2.0, (1, 2))], "app_id string, metric string, value double, at struct<x:int,y:int>")
     plan = plan_text(ops.sampled_metrics(samples, {"gc": "sum", "peak": "max"}), "simple")
     assert "SortAggregate" not in plan and plan.count("Exchange") == 1
+
+
+def test_skew_by_median_reads_its_tasks_once(spark, tmp_path):
+    rows = [(1, 2.0), (1, 4.0), (1, 30.0), (2, 1.0), (2, 1.0), (2, None), (3, None), (None, 5.0), (4, 2.0), (4, 2.0), (4, 5.0)]
+    spark.createDataFrame(rows, "stage int, took double").write.parquet(str(tmp_path / "tasks"))
+    out = ops.skew_by_median(spark.read.parquet(str(tmp_path / "tasks")), "stage", "took")
+    assert str(tmp_path / "tasks") not in plan_text(out)  # all is written by then
+    assert {r["stage"]: (r["ratio"], r["skew"]) for r in out.collect()} == {1: (7.5, "severe"), 2: (1.0, "balanced"), 4: (2.5, "moderate")}

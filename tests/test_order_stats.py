@@ -3,6 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.operators import order_stats as ops
+from tidemark.session import materialize
 
 
 @pytest.fixture(scope="module")
@@ -70,3 +71,24 @@ def test_narrowed_long_integers_and_decimals_are_exact(spark):
     df = spark.createDataFrame([(big + i,) for i in range(5)], "v long")
     assert ops.values_at_ranks(df, [], "v", {"m": ops.upper_median}, stored=True).first()["m"] == big + 2
     assert ops.values_at_ranks(df.filter("v < 0"), ["v"], "v", {"m": ops.upper_median}, stored=True).count() == 0
+
+
+def test_totals_are_written_for_cut_groups_only(spark, data, monkeypatch):
+    """Groups within one piece need no totals; one group here is cut by borders between pieces."""
+    written = {}
+
+    def counted(df, purpose):
+        out = materialize(df, purpose)
+        written[purpose] = out.count()
+        return out
+
+    monkeypatch.setattr(ops, "materialize", counted)
+    small = spark.range(6000).select((F.col("id") % 2000).cast("string").alias("k"), F.floor(F.col("id") / 2000).cast("double").alias("v"))
+    many = small.unionByName(frame(spark, {"hot": np.arange(60000.0)})).repartition(4)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        out = {r["k"]: (r["_n"], r["m"]) for r in ops.linear_quantiles(many, ["k"], "v", {"m": 0.5}).collect()}
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert out.pop("hot") == (60000, 29999.5) and len(out) == 2000 and set(out.values()) == {(3, 1.0)}
+    assert written["cut-groups"] < 8 and 1 < written["pieces"] < 16

@@ -469,9 +469,8 @@ def stage_health(stages: DataFrame, executors: DataFrame, app: str = "app_id") -
 
 def skew_by_median(tasks: DataFrame, stage: str, duration: str) -> DataFrame:
     """Longest task over the median task: above 4 severe, above 2 moderate."""
-    picked = linear_quantiles(tasks, [stage], duration, {"_median": 0.5})
-    longest = tasks.groupBy(stage).agg(F.max(duration).alias("_max"))
-    ratio = longest.join(picked, stage).withColumn("ratio", safe_ratio(F.col("_max"), F.col("_median"), None))
+    picked = linear_quantiles(tasks.filter(F.col(stage).isNotNull()), [stage], duration, {"_median": 0.5, "_max": 1.0})
+    ratio = picked.withColumn("ratio", safe_ratio(F.col("_max"), F.col("_median"), None))
     label = F.when(F.col("ratio") > 4, "severe").when(F.col("ratio") > 2, "moderate").otherwise("balanced")
     return ratio.select(stage, "ratio", label.alias("skew"))
 

@@ -2,9 +2,9 @@
 
 ``percentile`` keeps a value->count map of a whole group in one buffer; that is fine for small groups
 and fails for a key holding a third of a large table. Here values are counted per (group, value) with
-map-side combine and dealt in ranges of (group, value), so that a large group lies in many pieces in order.
-Totals of the pieces locate the piece of each wanted rank, and only those pieces are ordered. There is one
-path for all sizes. Values keep their type: NaN and infinities have their place in Spark's order, and
+map-side combine and dealt in ranges of (group's hash, value), so that a large group lies in many pieces in order.
+A group within one piece is ordered as it is. Groups cut by a border, fewer than pieces, are ordered by piece, and
+totals of their pieces carry the ranks on; so millions of small groups need no totals and no join. Values keep their type: NaN and infinities have their place in Spark's order, and
 whole numbers and decimals are not rounded. Columns read from storage are first narrowed to the cells of a logarithmic
 histogram that hold a wanted rank, so that only those values pass a shuffle.
 """
@@ -13,7 +13,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
 from functools import reduce
-from operator import and_
+from operator import and_, or_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -45,8 +45,8 @@ def _wanted(ranks: Mapping[str, Rank]) -> Column:
 def values_at_ranks(df: DataFrame, keys: Sequence[str], value: str, ranks: Mapping[str, Rank], stored: bool = False) -> DataFrame:
     """One row per group: ``_n`` non-null values and, per name, the value at the 0-based rank f(n).
 
-    The counted values and the totals of their pieces are written to the shared folder (two jobs): the
-    input is read once, and totals are broadcast only when their written size is small.
+    The counted values, the groups cut between pieces and the totals of those are written to the shared folder (three jobs): the
+    input is read once. Cut groups are fewer than pieces; totals are broadcast only when their written size is small.
 
     ``stored`` says that every evaluation of ``df`` gives the same values, as a scan does (sums of doubles after a shuffle may not).
     Then a number is narrowed first: a scan counts cells per group, and a second one keeps the cells with a wanted rank
@@ -54,40 +54,46 @@ def values_at_ranks(df: DataFrame, keys: Sequence[str], value: str, ranks: Mappi
     """
     group = list(keys) or ["_all"]
     data = (df if keys else df.withColumn("_all", F.lit(0))).filter(F.col(value).isNotNull()).select(*group, F.col(value).alias("_v"))
-    # the group as text, which is never NULL, so that NULL keys are a group like any other
+    by = group
     if stored and isinstance(df.schema[value].dataType, NumericType):
+        by = [*group, "_cell"]
         data = data.withColumn("_cell", _cell(F.col("_v")))
         whole = Window.partitionBy(*group)
-        cells = data.groupBy(*group, "_cell").agg(F.count(F.lit(1)).alias("_in")).withColumns(
+        cells = data.groupBy(*by).agg(F.count(F.lit(1)).alias("_in")).withColumns(
             {"_below": F.sum("_in").over(whole.orderBy("_cell")) - F.col("_in"), "_n": F.sum("_in").over(whole)}
         )
         chosen = cells.withColumn("_picks", _wanted(ranks)).filter(F.size("_picks") > 0)
-        named = [F.col(k).alias(f"_to{i}") for i, k in enumerate([*group, "_cell"])]
-        chosen = materialize(chosen.select(*named, F.to_json(F.struct(*group, "_cell")).alias("_key"), F.col("_below").alias("_base"), "_n"), "cells")
-        same = [F.col(k).eqNullSafe(F.col(f"_to{i}")) for i, k in enumerate([*group, "_cell"])]
-        data = data.join(broadcast_if_small(chosen.drop("_base", "_n")), reduce(and_, same))
+        named = [F.col(k).alias(f"_to{i}") for i, k in enumerate(by)]
+        chosen = materialize(chosen.select(*named, F.to_json(F.struct(*by)).alias("_key"), F.col("_below").alias("_base"), "_n"), "cells")
+        same = [F.col(k).eqNullSafe(F.col(f"_to{i}")) for i, k in enumerate(by)]
+        data = data.join(broadcast_if_small(chosen.drop("_key", "_base", "_n")), reduce(and_, same))
     else:
-        chosen, data = None, data.withColumn("_key", F.to_json(F.struct(*group)))
-    counted = data.groupBy(*group, "_key", "_v").agg(F.count(F.lit(1)).alias("_c"))
-    held = materialize(counted.repartitionByRange("_key", "_v").withColumn("_piece", F.spark_partition_id()), "value-counts")
+        chosen = None
+    counted = data.groupBy(*by, "_v").agg(F.count(F.lit(1)).alias("_c")).withColumn("_hash", F.xxhash64(*by))
+    held = materialize(counted.repartitionByRange("_hash", "_v").withColumn("_piece", F.spark_partition_id()), "value-counts")
+    # a group that lies in several pieces is at an end of each, so there are fewer of them than pieces
+    ends = held.groupBy("_piece").agg(F.array(F.min("_hash"), F.max("_hash")).alias("_ends")).select("_piece", F.explode("_ends").alias("_hash"))
+    cut = F.broadcast(materialize(ends.groupBy("_hash").agg(F.countDistinct("_piece").alias("_n")).filter("_n > 1").select("_hash"), "cut-groups"))
+
+    group_of = Window.partitionBy(*by)
+    upward = Window.orderBy("_v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    kept = [*by, "_v", "_c", "_end", "_n"]
+    together = held.join(cut, "_hash", "left_anti").withColumn("_end", F.sum("_c").over(upward.partitionBy(*by))).withColumn("_n", F.sum("_c").over(group_of))
+    # the group as text, which is never NULL, so that NULL keys are a group like any other
+    split = held.join(cut, "_hash", "left_semi").withColumn("_key", F.to_json(F.struct(*by)))
     in_order = Window.partitionBy("_key").orderBy("_piece")
-    pieces = held.groupBy("_key", "_piece").agg(F.sum("_c").alias("_in"))
+    pieces = split.groupBy("_key", "_piece").agg(F.sum("_c").alias("_in"))
     pieces = pieces.withColumn("_below", F.sum("_in").over(in_order) - F.col("_in")).withColumn("_n", F.sum("_in").over(Window.partitionBy("_key")))
+    split = split.join(broadcast_if_small(materialize(pieces.drop("_in"), "pieces")), ["_key", "_piece"])
+    split = split.withColumn("_end", F.col("_below") + F.sum("_c").over(upward.partitionBy("_key", "_piece")))
+    placed = together.select(*kept).unionAll(split.select(*kept))
     if chosen is not None:
         totals = chosen.select("_key", "_base", F.col("_n").alias("_all_n"))
-        pieces = pieces.join(broadcast_if_small(totals), "_key").withColumns({"_below": F.col("_below") + F.col("_base"), "_n": F.col("_all_n")})
-    pieces = materialize(
-        pieces.withColumn("_picks", _wanted(ranks)).filter(F.size("_picks") > 0).select("_key", "_piece", "_below", "_n", "_picks"), "pieces"
-    )
-    upward = Window.partitionBy("_key", "_piece").orderBy("_v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    found = (
-        held.join(broadcast_if_small(pieces), ["_key", "_piece"])
-        .withColumn("_end", F.col("_below") + F.sum("_c").over(upward))
-        .withColumn("_pick", F.explode("_picks"))
-        .filter((F.col("_pick.rank") < F.col("_end")) & (F.col("_pick.rank") >= F.col("_end") - F.col("_c")))
-    )
-    picked = [F.max(F.when(F.col("_pick.name") == name, F.col("_v"))).alias(name) for name in ranks]
-    return found.groupBy(*group).agg(F.max("_n").alias("_n"), *picked).select(*keys, "_n", *ranks)
+        placed = placed.withColumn("_key", F.to_json(F.struct(*by))).join(broadcast_if_small(totals), "_key")
+        placed = placed.withColumns({"_end": F.col("_end") + F.col("_base"), "_n": F.col("_all_n")})
+    hits = {name: (rank(F.col("_n")) < F.col("_end")) & (rank(F.col("_n")) >= F.col("_end") - F.col("_c")) for name, rank in ranks.items()}
+    picked = [F.max(F.when(hit, F.col("_v"))).alias(name) for name, hit in hits.items()]
+    return placed.filter(reduce(or_, hits.values())).groupBy(*group).agg(F.max("_n").alias("_n"), *picked).select(*keys, "_n", *ranks)
 
 
 def linear_quantiles(
