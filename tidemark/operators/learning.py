@@ -22,6 +22,7 @@ from tidemark.functions.columns import safe_ratio
 # Model settings and thresholds of the trip forecast.
 BOOSTING = {"maxIter": 200, "maxDepth": 6, "stepSize": 0.05, "seed": 42}
 MIN_GROUP_ROWS = 100
+FIT_ROWS = 5000
 JOB_MAPE_LIMIT = 0.15
 FORECAST_MAPE_LIMIT = 0.20
 
@@ -171,6 +172,16 @@ def cross_validated_rmse(folded: DataFrame, features: Sequence[str], target: str
     return regression_metrics(parts, ["fold"])
 
 
+def spread_rows(rows: DataFrame, key: str) -> DataFrame:
+    """``rows`` in as many partitions as there are cores, ``FIT_ROWS`` rows or more in each; fewer rows stay as they are.
+
+    Tree models read their rows once per level, so rows that came from one file or one row group would be read by one core. Not more than
+    cores: every partition sends statistics of all nodes of a level.
+    """
+    parts = min(-(-rows.count() // FIT_ROWS), rows.sparkSession.sparkContext.defaultParallelism)
+    return rows.repartition(parts, key) if parts > 1 else rows
+
+
 def tuned(estimator, grid: Sequence, evaluator, folds: int, parallelism: int = 4) -> CrossValidator:
     return CrossValidator(estimator=estimator, estimatorParamMaps=list(grid), evaluator=evaluator, numFolds=folds, parallelism=parallelism, seed=42)
 

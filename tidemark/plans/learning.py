@@ -400,7 +400,7 @@ def _prepared(spark: SparkSession, d: str) -> DataFrame:
 @query("ml_18_tuned_classifier")
 def tuned_classifier(spark: SparkSession, d: str) -> DataFrame:
     rows, prepare = _prepared(spark, d)
-    ready = materialize(prepare.fit(rows).transform(rows), "prepared")
+    ready = materialize(ops.spread_rows(prepare.fit(rows).transform(rows), "doc_id"), "prepared")
     return ops.tuning_table(spark, ops.tuned_classifier("rf").fit(ready))
 
 
