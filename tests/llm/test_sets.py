@@ -157,6 +157,33 @@ def test_components_of_one_large_family(spark):
     assert plain(setjoin.report(table(spark, rows)), "doc_id", "n_shingles", "component_id") == components(rows)
 
 
+def test_open_members_are_looked_up_not_all_compared(spark, monkeypatch):
+    """Copies that do not link with their family's centre meet the members that share a rare difference with them, not every member."""
+    asked, arrays = [], []
+
+    class Counted(Scratch):
+        def write(self, df, purpose):
+            out = super().write(df, purpose)
+            if purpose == "join-members-asked":
+                asked.append(out.count())
+            return out
+
+    apart = setjoin._apart
+
+    def counted(pairs, sets, *more):
+        arrays.append(pairs)
+        return apart(pairs, sets, *more)
+
+    monkeypatch.setattr(setjoin, "Scratch", Counted)
+    monkeypatch.setattr(setjoin, "_apart", counted)
+    rng = random.Random(7)
+    base = words(rng, 120, 10**6)
+    rows = [(i, edited(rng, base, 1)) for i in range(150)] + [(1000 + i, edited(rng, base, 2)) for i in range(100)]
+    assert plain(setjoin.report(table(spark, rows)), "doc_id", "n_shingles", "component_id") == components(rows)
+    assert 0 < sum(asked) < 3000, asked
+    assert all("_written_at" in vars(p) for p in arrays)  # pairs are written first, so that only the sets they name are shuffled
+
+
 def test_one_per_component(spark):
     rows = families(random.Random(6), 12, 8) + [(2000, ""), (2001, ""), (2002, None), (2003, "p q r s"), (2003, "p q r s"), (None, "p q r s")]
     docs = table(spark, rows, CLASHING)

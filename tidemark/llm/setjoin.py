@@ -224,7 +224,7 @@ def _kept(nodes: DataFrame, percent: int, tmp: Scratch) -> DataFrame:
     """uid, n, key (the list), from and to (the position block): the entries of shared lists that sets do not leave."""
     entries = nodes.select("uid", "n", F.posexplode("items").alias("pos", "key"))
     lists = tmp.write(entries.groupBy("key").agg(F.count("*").alias("many")).filter("many > 1"), "join-lists")
-    shared = entries.join(lists, "key")
+    shared = entries.join(lists.hint("merge"), "key")  # lists grow with the data: one plan for all sizes, so that small runs tell the growth of large ones
     own = shared.groupBy("uid", "n").agg(F.sort_array(F.collect_list(F.struct("many", "key", "pos"))).alias("own"))  # at most a region
     own = own.withColumn("stay", F.size("own") - _left_out(F.col("n"), percent).cast("int")).filter("stay > 0")
     kept = own.select("uid", "n", F.explode(F.slice("own", F.lit(1), F.col("stay"))).alias("e"))
@@ -266,8 +266,10 @@ def _differ(a: str, b: str) -> Column:
     return F.concat(F.array_except(a, b), F.array_except(b, a))
 
 
-def _apart(pairs: DataFrame, arrays: DataFrame) -> DataFrame:
-    """Adds ``apart``, in how many elements the arrays of a and b differ."""
+def _apart(pairs: DataFrame, arrays: DataFrame, tmp: Scratch) -> DataFrame:
+    """Adds ``apart``, in how many elements the arrays of a and b differ. ``pairs`` is a written table; only the arrays it names are shuffled."""
+    ids = tmp.write(pairs.select(F.explode(F.array("a", "b")).alias("uid")).distinct(), "join-named-sets")
+    arrays = _rows_of(arrays, ids, "uid")
     left = arrays.select(F.col("uid").alias("a"), F.col("v").alias("av"))
     right = arrays.select(F.col("uid").alias("b"), F.col("v").alias("bv"))
     met = pairs.join(left, "a").join(right, "b")
@@ -280,6 +282,7 @@ def _meet(entries: DataFrame, info: DataFrame, arrays: DataFrame, percent: int,
     ``entries``: uid, key, from, to; ``info``: uid, fam, cluster (its centre), r (how far it is from that), n, size (of its array); ``arrays``: uid, v.
     """
     less, more = 100 - percent, 100 + percent
+    seen = info.select("uid", "n", "r", "size")
     spread = info.groupBy("cluster").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.max("r").alias("reach"), F.count("*").alias("many"), F.min("size").alias("slo"), F.max("size").alias("shi"))
     clusters = tmp.write(spread.join(info.select(F.col("uid").alias("cluster"), "fam", F.col("size").alias("csize")), "cluster"), "join-clusters")
     held = tmp.write(entries.join(info.select("uid", "cluster"), "uid").select("uid", "key", "cluster", "from", "to"), "join-held")
@@ -289,47 +292,65 @@ def _meet(entries: DataFrame, info: DataFrame, arrays: DataFrame, percent: int,
     between = F.greatest(F.col("a.from") - F.col("b.to"), F.col("b.from") - F.col("a.to"), F.lit(0))  # elements below the key that only one side has
     sizes = (F.col("a.hi") * 100 >= F.col("b.lo") * percent) & (F.col("b.hi") * 100 >= F.col("a.lo") * percent) & (F.abs(F.col("a.csize") - F.col("b.csize")) * more <= room)
     # within: elements of a difference that are rarer than the rarest common one are no part of the other
-    rarer = [F.col(f"{x}.from") * 2 * more <= (F.col("a.hi") + F.col("b.hi")) * less + (F.col(f"{x}.shi") - F.col(f"{y}.slo")) * more for x, y in ("ab", "ba")]
-    same = (F.col("a.fam") == F.col("b.fam")) & rarer[0] & rarer[1] if within else (F.col("a.fam") != F.col("b.fam")) & (between * more <= (F.col("a.hi") + F.col("b.hi")) * less)
+    def rarer(first, n, m, mine, theirs):
+        return F.col(first) * 2 * more <= (F.col(n) + F.col(m)) * less + (F.col(mine) - F.col(theirs)) * more
+
+    either = rarer("a.from", "a.hi", "b.hi", "a.shi", "b.slo") & rarer("b.from", "a.hi", "b.hi", "b.shi", "a.slo")
+    same = (F.col("a.fam") == F.col("b.fam")) & either if within else (F.col("a.fam") != F.col("b.fam")) & (between * more <= (F.col("a.hi") + F.col("b.hi")) * less)
     met = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.cluster") < F.col("b.cluster")) & same & sizes)
     pairs = met.groupBy(F.col("a.cluster").alias("a"), F.col("b.cluster").alias("b")).agg(
-        F.count("*").alias("w"), *[F.first(f"{s}.{c}").alias(s + c) for s in "ab" for c in ("hi", "reach", "many")]
+        F.count("*").alias("w"), *[F.first(f"{s}.{c}").alias(s + c) for s in "ab" for c in ("hi", "reach", "many", "slo")]
     )
     if not within:  # sets that link have more lists in common than one
         t = F.ceil((F.col("ahi") + F.col("bhi")) * percent / more)
         short = [t - F.col(s) + _gone(F.col(s), percent) + 1 + F.floor(_gone(F.col(s), percent) / 2) for s in ("ahi", "bhi")]
         need = F.least(*short) - F.greatest(*[_left_out(F.col(s), percent) for s in ("ahi", "bhi")])
         pairs = pairs.filter((F.col("amany") > 1) | (F.col("bmany") > 1) | (F.col("w") >= need))
-    pairs = _apart(tmp.write(pairs, "join-pairs"), arrays)
+    pairs = _apart(tmp.write(pairs, "join-pairs"), arrays, tmp)
     near = tmp.write(pairs.filter(F.col("apart") * more <= (F.col("ahi") + F.col("bhi")) * less + (F.col("areach") + F.col("breach")) * more), "join-near")
     k = (F.col("n") + F.col("m")) * less  # more times the most elements in which linked sets of these sizes differ
     centre = info.select("uid", "n")
     both = near.join(centre.select(F.col("uid").alias("a"), "n"), "a").join(centre.select(F.col("uid").alias("b"), F.col("n").alias("m")), "b")
     direct = both.filter(F.col("apart") * more <= k).select("a", "b")
     # members against the other cluster's centre
-    open_ = both.filter((F.col("apart") * more > k) & ((F.col("amany") > 1) | (F.col("bmany") > 1))).select("a", "b", "apart", "amany", "bmany")
-    open_ = tmp.write(open_, "join-far")
+    open_ = both.filter((F.col("apart") * more > k) & ((F.col("amany") > 1) | (F.col("bmany") > 1)))
+    open_ = tmp.write(open_.select("a", "b", "apart", *[s + c for s in "ab" for c in ("many", "hi", "slo")]), "join-far")
     if open_.isEmpty():
         return direct
-    member = info.filter("uid <> cluster").select("uid", "cluster", "n", "r")
-    other = centre.select(F.col("uid").alias("other"), F.col("n").alias("m"))
-    tried = []
-    for mine, theirs in (("a", "b"), ("b", "a")):
-        x = open_.select(F.col(mine).alias("cluster"), F.col(theirs).alias("other"), F.col("apart").alias("far")).join(member, "cluster").join(other, "other")
-        x = x.filter((F.col("far") - F.col("r")) * more <= k).select(F.col("uid").alias("a"), F.col("other").alias("b"), "n", "m", "cluster")
-        tried.append(_apart(x, arrays).filter(F.col("apart") * more <= k).select("a", "b", F.least("cluster", "b").alias("first"), F.greatest("cluster", "b").alias("second")))
-    tried = tmp.write(tried[0].unionByName(tried[1]), "join-tried")
+    sides = [
+        open_.filter(f"{mine}many > 1").select(F.col(mine).alias("cluster"), F.col(theirs).alias("other"), F.col("apart").alias("far"))
+        for mine, theirs in (("a", "b"), ("b", "a"))
+    ]
+    asked = sides[0].unionByName(sides[1]).join(seen.select(F.col("uid").alias("other"), F.col("n").alias("m"), F.col("size").alias("osize")), "other")
+    radius = (F.col("far") - F.col("r")) * more <= k
+    if within:
+        # only members that share an element with that centre which can be their rarest common one; elements that most members
+        # have come late in a difference, and what comes too late for every centre that is asked for leaves before the join
+        bounds = asked.groupBy("cluster").agg(F.max("m").alias("most"), F.min("osize").alias("least"))
+        mine = held.filter("uid <> cluster").join(_sent(tmp.write(bounds, "join-bounds")), "cluster").join(seen, "uid")
+        mine = mine.filter(rarer("from", "n", "most", "size", "least")).select("cluster", "key", "uid", "n", "r", "size", "from")
+        centre = held.filter("uid = cluster").select(F.col("uid").alias("other"), "key", F.col("from").alias("ofrom"))
+        met = mine.join(asked.join(centre, "other"), ["cluster", "key"])
+        met = met.filter(rarer("from", "n", "m", "size", "osize") & rarer("ofrom", "n", "m", "osize", "size") & radius)
+    else:
+        met = asked.join(info.filter("uid <> cluster").select("uid", "cluster", "n", "r"), "cluster").filter(radius)
+    met = tmp.write(met.select(F.col("uid").alias("a"), F.col("other").alias("b"), "n", "m", "cluster").distinct(), "join-members-asked")
+    tried = _apart(met, arrays, tmp).filter(F.col("apart") * more <= k)
+    tried = tmp.write(tried.select("a", "b", F.least("cluster", "b").alias("first"), F.greatest("cluster", "b").alias("second")), "join-tried")
     settled = tried.select(F.col("first").alias("a"), F.col("second").alias("b")).distinct()
-    left = tmp.write(open_.filter("amany > 1 AND bmany > 1").join(settled, ["a", "b"], "left_anti").select("a", "b", "apart"), "join-left")
+    left = tmp.write(open_.filter("amany > 1 AND bmany > 1").join(settled, ["a", "b"], "left_anti"), "join-left")
     direct = direct.unionByName(tried.select("a", "b"))
     if left.isEmpty():
         return direct
-    seen = held.join(info.select("uid", "n", "r"), "uid")
-    x = left.join(seen.select(F.col("cluster").alias("a"), "key", F.col("uid").alias("x"), "n", F.col("r").alias("xr")), "a")
-    y = seen.select(F.col("cluster").alias("b"), "key", F.col("uid").alias("y"), F.col("n").alias("m"), F.col("r").alias("yr"))
-    could = x.join(y, ["b", "key"]).filter((F.col("apart") - F.col("xr") - F.col("yr")) * more <= k)
-    could = tmp.write(could.select(F.col("x").alias("a"), F.col("y").alias("b"), "n", "m").distinct(), "join-members-met")
-    return direct.unionByName(_apart(could, arrays).filter(F.col("apart") * more <= k).select("a", "b"))
+    rows = held.join(seen, "uid")
+    x = left.join(rows.select(F.col("cluster").alias("a"), "key", F.col("uid").alias("x"), "n", F.col("r").alias("xr"), F.col("size").alias("xsize"), F.col("from").alias("xfrom")), "a")
+    y = rows.select(F.col("cluster").alias("b"), "key", F.col("uid").alias("y"), F.col("n").alias("m"), F.col("r").alias("yr"), F.col("size").alias("ysize"), F.col("from").alias("yfrom"))
+    could = (F.col("apart") - F.col("xr") - F.col("yr")) * more <= k
+    if within:
+        x = x.filter(rarer("xfrom", "n", "bhi", "xsize", "bslo"))
+        could = could & rarer("xfrom", "n", "m", "xsize", "ysize") & rarer("yfrom", "n", "m", "ysize", "xsize")
+    could = tmp.write(x.join(y, ["b", "key"]).filter(could).select(F.col("x").alias("a"), F.col("y").alias("b"), "n", "m").distinct(), "join-members-met")
+    return direct.unionByName(_apart(could, arrays, tmp).filter(F.col("apart") * more <= k).select("a", "b"))
 
 
 def _clusters(d: DataFrame, percent: int, tmp: Scratch) -> DataFrame:
@@ -343,13 +364,14 @@ def _clusters(d: DataFrame, percent: int, tmp: Scratch) -> DataFrame:
         many = tmp.write(many.select("fam", "many", F.col("m.uid").alias("centre")), "join-big")
         if many.isEmpty():
             break
-        centre = many.join(left.select(F.col("uid").alias("centre"), F.col("n").alias("cn"), F.col("v").alias("cv")), "centre")
-        x = left.join(centre, "fam").withColumn("apart", F.size("v") + F.size("cv") - 2 * F.size(F.array_intersect("v", "cv")))
+        few = left.join(_sent(many), "fam")  # members of the large families; the others' differences stay where they are
+        centre = few.filter("uid = centre").select("centre", F.col("n").alias("cn"), F.col("v").alias("cv"))
+        x = few.join(centre, "centre").withColumn("apart", F.size("v") + F.size("cv") - 2 * F.size(F.array_intersect("v", "cv")))
         x = tmp.write(x.filter(F.col("apart") * more <= less * (F.col("n") + F.col("cn"))).select("uid", "fam", "many", F.col("centre").alias("cluster"), F.col("apart").alias("r")), "join-round")
         settled.add(x.select("uid", "cluster", "r"))
         # families in which the new centre gathered too little are left to the index of differences
         go_on = tmp.write(x.groupBy("fam").agg(F.count("*").alias("got"), F.first("many").alias("many")).filter("10 * got >= many").select("fam"), "join-go-on")
-        left = tmp.write(left.join(go_on, "fam", "left_semi").join(x.select("uid"), "uid", "left_anti"), "join-rest")
+        left = tmp.write(_rows_of(left, go_on, "fam").join(x.select("uid"), "uid", "left_anti"), "join-rest")
     return settled.all().select("uid", "cluster", "r")
 
 
@@ -357,8 +379,10 @@ def _links(members: DataFrame, sets: DataFrame, entries: DataFrame, percent: int
     """(a, b) of linked sets; links between clusters and within them that other links connect are left out."""
     less, more = 100 - percent, 100 + percent
     own = sets.join(_sent(members), "uid").select("uid", "fam", "n", "items")
-    centre = own.filter("uid = fam").select("fam", F.col("n").alias("cn"), F.col("items").alias("c_items"))
-    d = own.join(centre, "fam").select("uid", "fam", "n", "cn", _differ("items", "c_items").alias("v"))
+    led = tmp.write(members.filter("uid <> fam").select("fam").distinct(), "join-led")
+    centre = _rows_of(own.filter("uid = fam"), led, "fam").select("fam", F.col("n").alias("cn"), F.col("items").alias("c_items"))
+    d = own.filter("uid <> fam").join(centre, "fam").select("uid", "fam", "n", "cn", _differ("items", "c_items").alias("v"))
+    d = d.unionByName(own.filter("uid = fam").select("uid", "fam", "n", F.col("n").alias("cn"), F.array().cast("array<long>").alias("v")))
     d = d.withColumn("size", F.size("v")).withColumn("linked", F.col("size") * more <= less * (F.col("n") + F.col("cn")))
     d = tmp.write(d, "join-differences")
     grouped = _clusters(d, percent, tmp)
@@ -367,18 +391,21 @@ def _links(members: DataFrame, sets: DataFrame, entries: DataFrame, percent: int
     star = info.filter("uid <> cluster").select(F.col("cluster").alias("a"), F.col("uid").alias("b"))
     # families with one cluster are answered; in others the rarest elements of each difference come first: k + 1 of them, k for the largest set that could link
     mixed = tmp.write(info.groupBy("fam").agg(F.min("cluster").alias("one"), F.max("cluster").alias("two")).filter("one <> two").select("fam"), "join-mixed")
-    item = d.filter("uid <> fam").join(mixed, "fam", "left_semi").select("fam", "uid", F.explode("v").alias("e"))
-    count = item.groupBy("fam", "e").agg(F.count("*").alias("many")).filter("many > 1")
-    shared = item.join(count, ["fam", "e"]).groupBy("fam", "uid").agg(F.sort_array(F.collect_list(F.struct("many", "e"))).alias("shared"))  # at most a difference
+    item = d.filter("uid <> fam").join(mixed, "fam", "left_semi").select("fam", "uid", F.explode("v").alias("e")).select("uid", F.xxhash64("fam", "e").alias("key"))
+    count = item.groupBy("key").agg(F.count("*").alias("many")).filter("many > 1").hint("merge")
+    shared = item.join(count, "key").groupBy("uid").agg(F.sort_array(F.collect_list(F.struct("many", "key"))).alias("shared"))  # at most a difference
     shared = shared.join(_sent(info.select("uid", "n", "size", "linked")), "uid")
     # elements that nobody shares come first and only take up places
     alone = F.col("size") - F.size("shared")
     reach = F.expr(f"({less} * (n + (100 * n) div {percent})) div {more}") + 1
     places = F.greatest(F.when(F.col("linked"), F.col("size")).otherwise(F.least(reach, F.col("size"))) - alone, F.lit(0)).cast("int")
-    rare = shared.select("uid", "fam", alone.alias("alone"), F.posexplode(F.slice("shared", F.lit(1), places)).alias("place", "s"))
+    rare = shared.select("uid", alone.alias("alone"), F.posexplode(F.slice("shared", F.lit(1), places)).alias("place", "s"))
     rank = F.col("alone") + F.col("place")
-    rare = rare.select("uid", F.xxhash64("fam", "s.e").alias("key"), rank.alias("from"), rank.alias("to"))
-    inside = _meet(tmp.write(rare, "join-rare"), info, d.select("uid", "v"), percent, True, tmp)
+    rare = rare.select("uid", F.col("s.key"), rank.alias("from"), rank.alias("to"))
+    part = Scratch()  # the larger half of the work; its tables and shuffles go before the other half
+    inside = tmp.write(_meet(part.write(rare, "join-rare"), info, d.select("uid", "v"), percent, True, part), "join-inside")
+    part.release()
+    tmp.release(d)
     outside = _meet(entries, info.withColumn("size", F.col("n").cast("int")), sets.select("uid", F.col("items").alias("v")), percent, False, tmp)
     return star.unionByName(inside).unionByName(outside)
 
