@@ -184,6 +184,60 @@ def test_open_members_are_looked_up_not_all_compared(spark, monkeypatch):
     assert all("_written_at" in vars(p) for p in arrays)  # pairs are written first, so that only the sets they name are shuffled
 
 
+def counted_writes(monkeypatch, *purposes):
+    """Rows of the tables of these purposes that joins write, filled in while they run."""
+    rows = Counter()
+
+    class Counted(Scratch):
+        def write(self, df, purpose):
+            out = super().write(df, purpose)
+            if purpose in purposes:
+                rows[purpose] += out.count()
+            return out
+
+    monkeypatch.setattr(setjoin, "Scratch", Counted)
+    return rows
+
+
+def test_large_groups_of_copies_are_clustered_around_central_members(spark, monkeypatch):
+    """Copies with few edits link with each other, those with many with few; whichever copy leads the family, pairs to compare stay in proportion to the copies."""
+    monkeypatch.setattr(setjoin, "BIG", 20)
+    pairs = counted_writes(monkeypatch, "join-pairs")
+    rng = random.Random(21)
+    base = words(rng, 150, 10**6)
+    rows = [(i, edited(rng, base, i % 12)) for i in range(360)]
+    rows += [(1000 + i, edited(rng, " ".join(base.split()[:-3] + ["a", "b", "c"]), 1 + i % 3)) for i in range(40)]
+    rng.shuffle(rows)
+    assert plain(setjoin.report(table(spark, rows)), "doc_id", "n_shingles", "component_id") == components(rows)
+    assert pairs["join-pairs"] < 3 * len(rows), pairs
+
+
+def test_who_links_with_the_family_centre_keeps_that_link(spark, monkeypatch):
+    """Members that link with the centre and share no element of their differences with others are still one component, however they are clustered."""
+    monkeypatch.setattr(setjoin, "BIG", 6)
+    rng = random.Random(22)
+    base = words(rng, 100, 10**6).split()
+    rows = []
+    for i in range(40):  # one changed word each, at places of their own; some with two, far apart
+        w = list(base)
+        w[(7 * i) % 97] = f"x{i}"
+        if i % 5 == 0:
+            w[(7 * i + 48) % 97] = f"y{i}"
+        rows.append((i, " ".join(w)))
+    assert plain(setjoin.join(table(spark, rows), 3, 94), "doc_id", "n_shingles", "component_id") == components(rows, 94, 3)
+
+
+def test_common_passages_make_no_pairs_across_families(spark, monkeypatch):
+    """Unrelated pages with one passage share long lists only, which come too late in both to be their rarest common ones."""
+    pairs = counted_writes(monkeypatch, "join-pairs")
+    rng = random.Random(23)
+    passage = words(rng, 60, 10**6)
+    rows = [(i, words(rng, 130, 10**6) + " " + passage) for i in range(200)]
+    rows += [(1000 + i, edited(rng, rows[i][1], 2)) for i in range(100)]
+    assert plain(setjoin.report(table(spark, rows)), "doc_id", "n_shingles", "component_id") == components(rows)
+    assert pairs["join-pairs"] < 300, pairs
+
+
 def test_one_per_component(spark):
     rows = families(random.Random(6), 12, 8) + [(2000, ""), (2001, ""), (2002, None), (2003, "p q r s"), (2003, "p q r s"), (None, "p q r s")]
     docs = table(spark, rows, CLASHING)

@@ -105,17 +105,21 @@ def matching(spark: SparkSession, pattern: str) -> list[str]:
     return sorted(s.getPath().toString() for s in (fs.globStatus(place) or []))
 
 
-def release(*written: DataFrame) -> None:
-    """Deletes tables that ``materialize`` wrote, once nothing that is still to run reads them.
+def free_shuffles(spark: SparkSession) -> None:
+    """Lets go of the shuffle files of finished jobs whose frames are no longer held.
 
-    Shuffle files of finished jobs go with them: Spark frees those when the driver collects its garbage, which a driver with room to spare
-    would do too late for the disks of the executors.
+    Spark frees those when the driver collects its garbage, which a driver with room to spare would do too late for the disks of the executors.
     """
+    gc.collect()
+    spark._jvm.System.gc()
+
+
+def release(*written: DataFrame) -> None:
+    """Deletes tables that ``materialize`` wrote, once nothing that is still to run reads them; shuffle files of finished jobs go with them."""
     for df in written:
         remove_path(df.sparkSession, df._written_at)
     if written:
-        gc.collect()
-        written[0].sparkSession._jvm.System.gc()
+        free_shuffles(written[0].sparkSession)
 
 
 class Scratch:
