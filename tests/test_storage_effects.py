@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators import control, governance, metrics, quality
 from tidemark.sources.files import read_bytes, read_event_log
+from tidemark.sources.sinks import write_line_folders
 
 
 def test_gated_load_evaluates_once(spark, tmp_path):
@@ -96,3 +97,19 @@ def test_caches_live_as_long_as_their_owner(spark):
     del view, result
     gc.collect()
     assert not spark.catalog.isCached("tidemark_kept")
+
+
+def test_line_folders(spark, tmp_path):
+    """One file per name whatever the names and the order of rows; again over the same folder; no rows."""
+    rows = [(n, f"{n} line {i}") for n in ("app-1", "a/b c:%", "é", None) for i in range(3000)]
+    df = spark.createDataFrame(rows, "log string, value string").repartition(7)
+    for _ in range(2):
+        assert write_line_folders(df, "log", "value", str(tmp_path / "logs")) == 4
+    assert sorted(p.name for p in (tmp_path / "logs").rglob("*") if p.is_file()) == ["part-00000.txt"] * 4
+    read = spark.read.option("recursiveFileLookup", "true").text(str(tmp_path / "logs")).selectExpr("value", "_metadata.file_path AS file")
+    found = {}
+    for r in read.collect():
+        found.setdefault(r.file, []).append(r.value)
+    assert sorted(map(sorted, found.values())) == sorted(sorted(v for m, v in rows if m == n) for n in ("app-1", "a/b c:%", "é", None))
+    assert write_line_folders(df.limit(0), "log", "value", str(tmp_path / "none")) == 0
+    assert read_event_log(spark, str(tmp_path / "none")).count() == 0

@@ -14,6 +14,7 @@ from tidemark.plans.inputs import table
 from tidemark.plans.registry import query
 from tidemark.session import scratch_path
 from tidemark.sources.files import read_event_log
+from tidemark.sources.sinks import write_line_folders
 
 WIDE_SQL = """SELECT l_orderkey AS app_id, count(*) AS n, round(sum(l_quantity), 2) AS q, min(l_quantity) AS lo, max(l_quantity) AS hi,
     round(sum(l_extendedprice), 2) AS rev, round(sum(l_extendedprice * (1 - l_discount)), 4) AS net,
@@ -537,7 +538,7 @@ def resource_wait_of_logs(spark: SparkSession, d: str) -> DataFrame:
     )).alias("value"))
     added = e.filter("event_type = 'view'").select("user_id", line("ExecutorAdded", millis, Executor_ID=F.col("event_id").cast("string")).alias("value"))
     path = scratch_path(spark, "event-logs")
-    starts.unionAll(added).withColumn("log", app).drop("user_id").repartition("log").write.partitionBy("log").text(path)
+    write_line_folders(starts.unionAll(added).withColumn("log", app), "log", "value", path)
     return ops.resource_wait(read_event_log(spark, path))
 
 

@@ -85,6 +85,12 @@ def _file_system(spark: SparkSession, path: str):
     return place.getFileSystem(spark._jsc.hadoopConfiguration()), place
 
 
+def make_path(spark: SparkSession, path: str) -> None:
+    """Makes a folder, and those above it, if it is not there."""
+    fs, place = _file_system(spark, path)
+    fs.mkdirs(place)
+
+
 def remove_path(spark: SparkSession, path: str) -> None:
     """Deletes a folder or file with all below it, if it is there."""
     fs, place = _file_system(spark, path)

@@ -3,12 +3,17 @@
 from __future__ import annotations
 
 import math
+import uuid
 from collections.abc import Sequence
+from urllib.parse import quote
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.operators.joins import estimated_bytes
+from tidemark.session import make_path
+from tidemark.sources.files import file_system
 
 
 def with_calendar(df: DataFrame, ts: str, day: bool = False) -> DataFrame:
@@ -33,6 +38,40 @@ def write_by_calendar(df: DataFrame, ts: str, path: str, day: bool = False, file
     cut.write.mode("overwrite").partitionBy(*parts).parquet(path)
 
 
+def write_line_folders(df: DataFrame, name: str, value: str, path: str) -> int:
+    """One folder ``name=...`` with one text file for each value of ``name``, a line per row; returns the number of folders.
+
+    For very many small folders: tasks make the files themselves, where Spark's writer takes several milliseconds (permissions, checksums, commit) for each. A file gets its name
+    once it is whole, and a repeated task puts the same file in its place; unfinished ones start with ``_``, which readers skip.
+    """
+
+    def run(batches):
+        fs, root = file_system(path)
+        count, last, out, begun, done = 0, None, None, "", ""
+
+        def finish():
+            out.close()
+            fs.move(begun, done)
+
+        for batch in batches:
+            for key, line in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if out is None or key != last:
+                    if out is not None:
+                        finish()
+                    folder = f"{root}/{name}={'__HIVE_DEFAULT_PARTITION__' if key is None else quote(key, safe='')}"
+                    fs.create_dir(folder)
+                    begun, done, last, count = f"{folder}/_{uuid.uuid4().hex}", f"{folder}/part-00000.txt", key, count + 1
+                    out = fs.open_output_stream(begun)
+                out.write((line or "").encode() + b"\n")
+        if out is not None:
+            finish()
+        yield pa.RecordBatch.from_arrays([pa.array([count], pa.int64())], names=["folders"])
+
+    make_path(df.sparkSession, path)  # also if there are no rows
+    rows = df.select(F.col(name).cast("string").alias("name"), F.col(value).alias("value")).repartition("name").sortWithinPartitions("name")
+    return rows.mapInArrow(run, "folders long").agg(F.coalesce(F.sum("folders"), F.lit(0))).first()[0]
+
+
 def buckets_for(df: DataFrame, target_mb: int = 256, least: int = 8) -> int:
     """A bucket count (a power of two) that keeps buckets of ``df`` near ``target_mb`` by the optimizer's estimate."""
     wanted = estimated_bytes(df) / (target_mb << 20)
