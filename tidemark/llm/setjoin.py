@@ -37,7 +37,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import text_of
-from tidemark.session import Scratch, Steps, free_shuffles, materialize
+from tidemark.session import Scratch, Steps, materialize
 
 WORDS, PERCENT = 3, 90
 #: Rounds of finding centres of families; later ones find hardly any. Families with more open members get further centres, chosen among about as many members.
@@ -236,22 +236,20 @@ def _kept(nodes: DataFrame, percent: int, tmp: Scratch) -> DataFrame:
 
     These are the entries of shared lists that sets do not leave.
     """
-    entries = nodes.select("uid", "n", F.posexplode("items").alias("pos", "key"))
+    entries = nodes.select("uid", F.posexplode("items").alias("pos", "key"))  # the largest shuffle: sizes come back later, to the few sets that share lists
     lists = tmp.write(entries.groupBy("key").agg(F.count("*").alias("many")).filter("many > 1"), "join-lists")
-    free_shuffles(nodes.sparkSession)  # each step here shuffles more than all that is kept
     shared = entries.join(lists.hint("merge"), "key")  # lists grow with the data: one plan for all sizes, so that small runs tell the growth of large ones
-    own = shared.groupBy("uid", "n").agg(F.sort_array(F.collect_list(F.struct("many", "key", "pos"))).alias("own"))  # at most a region
+    own = shared.groupBy("uid").agg(F.sort_array(F.collect_list(F.struct("many", "key", "pos"))).alias("own"))  # at most a region
+    own = own.join(nodes.select("uid", "n"), "uid")
     own = own.withColumn("stay", F.size("own") - _left_out(F.col("n"), percent).cast("int")).filter("stay > 0")
     kept = own.select("uid", "n", "stay", F.posexplode(F.slice("own", F.lit(1), F.col("stay"))).alias("place", "e"))
     width = F.greatest(F.floor(_gone(F.col("n"), percent) / 4), F.lit(1))
     start = F.floor(F.col("e.pos") / width) * width
     later = (F.col("stay") - F.col("place")).alias("later")
     kept = tmp.write(kept.select("uid", "n", F.col("e.key").alias("key"), start.alias("from"), (start + width - 1).alias("to"), later), "join-kept")
-    del shared, own
-    tmp.release(lists)
     again = kept.groupBy("key").agg(F.count("*").alias("many")).filter("many > 1").select("key")
     out = tmp.write(kept.join(again, "key"), "join-entries")
-    tmp.release(kept)
+    tmp.release(lists, kept)
     return out
 
 
@@ -470,7 +468,6 @@ def join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFra
     entries = _kept(_rows_of(regions.select("uid", "n", "items"), classes.select(F.col("root").alias("uid")), "uid"), percent, tmp)
     tmp.release(regions)
     members = _families(entries, tmp)
-    free_shuffles(docs.sparkSession)
     alike = rows.groupBy("doc_id", "n", "c1", "c2").agg(F.count("*").alias("many"), F.min("uid").alias("uid"))  # rows of one class have its least uid
     wanted = tmp.write(alike.join(members.select("uid"), "uid"), "join-wanted")
     ids = tmp.write(wanted.select(F.col("doc_id").alias("id_")).distinct(), "join-ids")
