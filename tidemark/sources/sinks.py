@@ -41,7 +41,7 @@ def write_by_calendar(df: DataFrame, ts: str, path: str, day: bool = False, file
 def write_line_folders(df: DataFrame, name: str, value: str, path: str) -> int:
     """One folder ``name=...`` with one text file for each value of ``name``, a line per row; returns the number of folders.
 
-    For very many small folders: tasks make the files themselves, where Spark's writer takes several milliseconds (permissions, checksums, commit) for each. A file gets its name
+    For very many small folders: tasks make the files themselves, where Spark's writer takes several milliseconds for each. A file gets its name
     once it is whole, and a repeated task puts the same file in its place; unfinished ones start with ``_``, which readers skip.
     """
 
