@@ -238,6 +238,47 @@ def test_common_passages_make_no_pairs_across_families(spark, monkeypatch):
     assert pairs["join-pairs"] < 300, pairs
 
 
+def test_lists_of_one_passage_make_no_rows_across_families(spark, monkeypatch):
+    """Pages that are alike by a third, in families of their own, meet only in lists that are followed by as many as links share: the passage's are not."""
+    rows_made, candidates = [], setjoin._candidates
+
+    def counted(blocks, percent, within):
+        out = candidates(blocks, percent, within)
+        if not within:
+            rows_made.append(out.count())
+        return out
+
+    monkeypatch.setattr(setjoin, "_candidates", counted)
+    rng = random.Random(24)
+    passage = words(rng, 50, 10**6)
+    rows = []
+    for _ in range(60):  # unrelated texts of a family each, all with the passage
+        own = words(rng, 80, 10**6)
+        rows += [(len(rows) + k, edited(rng, own + " " + passage, 2)) for k in range(4)]
+    got = plain(setjoin.join(table(spark, rows), 5, 80), "doc_id", "n_shingles", "component_id")
+    assert got == components(rows, 80, 5)
+    assert sum(rows_made) < len(rows), rows_made
+
+
+def test_one_per_component_writes_no_texts(spark, monkeypatch):
+    """Only digests and numbers are written; repeated rows, ids and nulls stay apart all the same."""
+    written, write = [], setjoin.materialize
+
+    def seen(df, purpose):
+        written.append(df.schema.simpleString())
+        return write(df, purpose)
+
+    monkeypatch.setattr(setjoin, "materialize", seen)
+    one = words(random.Random(25), 40)
+    rows = [(5, one), (5, one), (5, one.upper()), (7, one), (None, one), (8, "x y"), (8, "x y"), (8, "z z z z z z"), (None, "q r"), (None, "q r"), (9, None), (9, None)]
+    docs = table(spark, rows, CLASHING)
+    out = setjoin.one_per_component(docs, 5, 80)
+    assert out.dtypes == docs.dtypes
+    got = plain(out, "doc_id", "text")
+    assert [r[0] for r in got] == [None, 5, 8, 8, 9, 9] and {r[1] for r in got if r[0] == 5} <= {one, one.upper()}
+    assert written and not [x for x in written if "string" in x], written
+
+
 def test_one_per_component(spark):
     rows = families(random.Random(6), 12, 8) + [(2000, ""), (2001, ""), (2002, None), (2003, "p q r s"), (2003, "p q r s"), (None, "p q r s")]
     docs = table(spark, rows, CLASHING)

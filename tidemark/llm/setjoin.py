@@ -8,8 +8,8 @@ are one node from the start, whatever their number.
 in a set it links with, so its first ``gone(n) + spare`` shingles, its region, hold ``spare`` that both have, each in both
 regions. Lists of regions are counted, and every set leaves the ``spare - 1`` longest of its shared lists (for the least spare of the sets it could link with): one common list is
 still left to both. So passages that many documents share drop out of the index, and most documents with them. Entries keep
-their position in blocks; blocks of a list whose positions and sizes already differ in more shingles than the threshold allows are skipped, as are pairs that
-share fewer lists than links must.
+their position in blocks; blocks of a list whose positions and sizes already differ in more shingles than the threshold allows are skipped, as are those of sets
+that have fewer lists as long or longer than links must share.
 
 **Answers from a similar set's answers.** Sets that share a fifth of their lists with one of them form a family around that centre ``c``. ``D(x)``, the shingles in
 which ``x`` and ``c`` differ, answers whether they link; ``x`` and ``y`` differ in exactly ``D(x)`` against ``D(y)``. Members that link with ``c``
@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import text_of
+from tidemark.llm.common import row_key, text_of
 from tidemark.session import Scratch, Steps, materialize
 
 WORDS, PERCENT = 3, 90
@@ -303,6 +303,30 @@ def _apart(pairs: DataFrame, arrays: DataFrame, tmp: Scratch) -> DataFrame:
     return met.withColumn("apart", F.size("av") + F.size("bv") - 2 * F.size(F.array_intersect("av", "bv"))).drop("av", "bv")
 
 
+def _rarer(first: str, n: str, m: str, mine: str, theirs: str, percent: int) -> Column:
+    """Within families, elements of a difference that are rarer than the rarest common one are no part of the other."""
+    less, more = 100 - percent, 100 + percent
+    return F.col(first) * 2 * more <= (F.col(n) + F.col(m)) * less + (F.col(mine) - F.col(theirs)) * more
+
+
+def _candidates(blocks: DataFrame, percent: int, within: bool) -> DataFrame:
+    """Rows a, b: blocks of one key in two clusters that may hold a link."""
+    less, more = 100 - percent, 100 + percent
+    a, b = blocks.alias("a"), blocks.alias("b")
+    room = (F.col("a.hi") + F.col("b.hi")) * less + (F.col("a.reach") + F.col("b.reach")) * more
+    sizes = (F.col("a.hi") * 100 >= F.col("b.lo") * percent) & (F.col("b.hi") * 100 >= F.col("a.lo") * percent) & (F.abs(F.col("a.csize") - F.col("b.csize")) * more <= room)
+    if within:
+        either = _rarer("a.from", "a.hi", "b.hi", "a.shi", "b.slo", percent) & _rarer("b.from", "a.hi", "b.hi", "b.shi", "a.slo", percent)
+        same = (F.col("a.fam") == F.col("b.fam")) & either
+    else:
+        between = F.greatest(F.col("a.from") - F.col("b.to"), F.col("b.from") - F.col("a.to"), F.lit(0))  # elements below the key that only one side has
+        # Linked sets have ``need`` kept lists in common, so need - 1 more come after the rarest of those on both sides: a pair is taken up only in lists
+        # with as many after them, and lists that unrelated sets have in common, the longest of both, give no rows.
+        need = _need(*[F.col(f"{s}.{c}") for s in "ab" for c in ("lo", "hi")], percent)
+        same = (F.col("a.fam") != F.col("b.fam")) & (between * more <= (F.col("a.hi") + F.col("b.hi")) * less) & (F.least("a.later", "b.later") >= need)
+    return a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.cluster") < F.col("b.cluster")) & same & sizes)
+
+
 def _meet(entries: DataFrame, info: DataFrame, arrays: DataFrame, percent: int, within: bool, tmp: Scratch) -> DataFrame:
     """(a, b) of linked sets of different clusters, within families or across them, that share a key; some links of clusters that others connect are left out.
 
@@ -315,27 +339,9 @@ def _meet(entries: DataFrame, info: DataFrame, arrays: DataFrame, percent: int,
     late = [] if within else ["later"]
     held = tmp.write(entries.join(info.select("uid", "cluster"), "uid").select("uid", "key", "cluster", "from", "to", *late), "join-held")
     blocks = held.groupBy("key", "cluster").agg(F.min("from").alias("from"), F.max("to").alias("to"), *[F.max(c).alias(c) for c in late]).join(_sent(clusters), "cluster")
-    a, b = blocks.alias("a"), blocks.alias("b")
-    room = (F.col("a.hi") + F.col("b.hi")) * less + (F.col("a.reach") + F.col("b.reach")) * more
-    between = F.greatest(F.col("a.from") - F.col("b.to"), F.col("b.from") - F.col("a.to"), F.lit(0))  # elements below the key that only one side has
-    sizes = (F.col("a.hi") * 100 >= F.col("b.lo") * percent) & (F.col("b.hi") * 100 >= F.col("a.lo") * percent) & (F.abs(F.col("a.csize") - F.col("b.csize")) * more <= room)
-    # within: elements of a difference that are rarer than the rarest common one are no part of the other
-    def rarer(first, n, m, mine, theirs):
-        return F.col(first) * 2 * more <= (F.col(n) + F.col(m)) * less + (F.col(mine) - F.col(theirs)) * more
-
-    either = rarer("a.from", "a.hi", "b.hi", "a.shi", "b.slo") & rarer("b.from", "a.hi", "b.hi", "b.shi", "a.slo")
-    same = (F.col("a.fam") == F.col("b.fam")) & either if within else (F.col("a.fam") != F.col("b.fam")) & (between * more <= (F.col("a.hi") + F.col("b.hi")) * less)
-    if not within:
-        # Linked sets have ``need`` kept lists in common. After the rarest of those come need - 1 more on both sides, after the next need - 2, and so on: a pair is
-        # taken up only in its need - need // 2 .. need rarest ones, so lists that unrelated sets have in common, the longest of both, give no rows.
-        need = _need(*[F.col(f"{s}.{c}") for s in "ab" for c in ("lo", "hi")], percent)
-        same = same & (F.least("a.later", "b.later") >= need - F.floor(need / 2))
-    met = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.cluster") < F.col("b.cluster")) & same & sizes)
-    pairs = met.groupBy(F.col("a.cluster").alias("a"), F.col("b.cluster").alias("b")).agg(
-        F.count("*").alias("w"), *[F.first(f"{s}.{c}").alias(s + c) for s in "ab" for c in ("lo", "hi", "reach", "many", "slo")]
+    pairs = _candidates(blocks, percent, within).groupBy(F.col("a.cluster").alias("a"), F.col("b.cluster").alias("b")).agg(
+        *[F.first(f"{s}.{c}").alias(s + c) for s in "ab" for c in ("lo", "hi", "reach", "many", "slo")]
     )
-    if not within:
-        pairs = pairs.filter(F.col("w") >= F.floor(_need(F.col("alo"), F.col("ahi"), F.col("blo"), F.col("bhi"), percent) / 2) + 1)
     pairs = _apart(tmp.write(pairs, "join-pairs"), arrays, tmp)
     near = tmp.write(pairs.filter(F.col("apart") * more <= (F.col("ahi") + F.col("bhi")) * less + (F.col("areach") + F.col("breach")) * more), "join-near")
     k = (F.col("n") + F.col("m")) * less  # more times the most elements in which linked sets of these sizes differ
@@ -358,10 +364,10 @@ def _meet(entries: DataFrame, info: DataFrame, arrays: DataFrame, percent: int,
         # have come late in a difference, and what comes too late for every centre that is asked for leaves before the join
         bounds = asked.groupBy("cluster").agg(F.max("m").alias("most"), F.min("osize").alias("least"))
         mine = held.filter("uid <> cluster").join(_sent(tmp.write(bounds, "join-bounds")), "cluster").join(seen, "uid")
-        mine = mine.filter(rarer("from", "n", "most", "size", "least")).select("cluster", "key", "uid", "n", "r", "size", "from")
+        mine = mine.filter(_rarer("from", "n", "most", "size", "least", percent)).select("cluster", "key", "uid", "n", "r", "size", "from")
         centre = held.filter("uid = cluster").select(F.col("uid").alias("other"), "key", F.col("from").alias("ofrom"))
         met = mine.join(asked.join(centre, "other"), ["cluster", "key"])
-        met = met.filter(rarer("from", "n", "m", "size", "osize") & rarer("ofrom", "n", "m", "osize", "size") & radius)
+        met = met.filter(_rarer("from", "n", "m", "size", "osize", percent) & _rarer("ofrom", "n", "m", "osize", "size", percent) & radius)
     else:
         met = asked.join(info.filter("uid <> cluster").select("uid", "cluster", "n", "r"), "cluster").filter(radius)
     met = tmp.write(met.select(F.col("uid").alias("a"), F.col("other").alias("b"), "n", "m", "cluster").distinct(), "join-members-asked")
@@ -377,8 +383,8 @@ def _meet(entries: DataFrame, info: DataFrame, arrays: DataFrame, percent: int,
     y = rows.select(F.col("cluster").alias("b"), "key", F.col("uid").alias("y"), F.col("n").alias("m"), F.col("r").alias("yr"), F.col("size").alias("ysize"), F.col("from").alias("yfrom"))
     could = (F.col("apart") - F.col("xr") - F.col("yr")) * more <= k
     if within:
-        x = x.filter(rarer("xfrom", "n", "bhi", "xsize", "bslo"))
-        could = could & rarer("xfrom", "n", "m", "xsize", "ysize") & rarer("yfrom", "n", "m", "ysize", "xsize")
+        x = x.filter(_rarer("xfrom", "n", "bhi", "xsize", "bslo", percent))
+        could = could & _rarer("xfrom", "n", "m", "xsize", "ysize", percent) & _rarer("yfrom", "n", "m", "ysize", "xsize", percent)
     could = tmp.write(x.join(y, ["b", "key"]).filter(could).select(F.col("x").alias("a"), F.col("y").alias("b"), "n", "m").distinct(), "join-members-met")
     return direct.unionByName(_apart(could, arrays, tmp).filter(F.col("apart") * more <= k).select("a", "b"))
 
@@ -494,13 +500,17 @@ def report(docs: DataFrame) -> DataFrame:
 def one_per_component(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """``docs`` with one row of each component: a row with its least doc_id. Rows with an empty set all stay.
 
-    Rows are numbered in a written copy, so repeated doc_ids stay apart; texts are shuffled only if the rows to drop are too many to send.
+    A digest of the whole row stands for it, so repeated doc_ids stay apart and no text is written; ``docs`` is read again for the result and must give the
+    same rows then. Texts are shuffled only if the rows to drop are too many to send, or where a row that stays is repeated.
     """
-    copy = materialize(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.monotonically_increasing_id().alias("uid")), "join-copy")
-    found = join(copy.select(F.col("uid").alias("doc_id"), F.col("row.text").alias("text")), words, percent)
-    linked = found.filter("n_shingles > 0").select(F.col("doc_id").alias("uid"), F.col("component_id").alias("top"))
-    named = linked.join(copy.select("uid", F.col("row.doc_id").alias("doc_id")), "uid")
-    named = materialize(named, "join-named")
-    stays = named.groupBy("top").agg(F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "uid")).alias("m")).select("m.uid")
-    gone = materialize(named.join(stays, "uid", "left_anti").select("uid"), "join-gone")
-    return copy.join(F.broadcast(gone) if gone.count() <= SENT_IDS else gone, "uid", "left_anti").select("row.*")
+    digest = F.unhex(row_key(docs))
+    named = F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", digest.alias("digest"))
+    found = join(docs.select(named.alias("doc_id"), "text"), words, percent).filter("n_shingles > 0")
+    found = found.select("doc_id.digest", (F.col("doc_id.digest") == F.col("component_id.digest")).alias("stays"))
+    found = materialize(found.groupBy("digest", "stays").agg(F.count("*").alias("many")).filter("NOT stays OR many > 1"), "join-gone")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), digest.alias("digest"))
+    out = rows.join(_sent(found), "digest", "left_anti")
+    twice = found.filter("stays").select("digest")
+    if not twice.isEmpty():
+        out = out.unionByName(_rows_of(rows, twice, "digest").dropDuplicates(["digest"]))
+    return out.select("row.*")
