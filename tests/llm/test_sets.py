@@ -260,6 +260,15 @@ def test_lists_of_one_passage_make_no_rows_across_families(spark, monkeypatch):
     assert sum(rows_made) < len(rows), rows_made
 
 
+def test_shingles_of_one_region_part_sets(spark):
+    """Two sets of 100 shingles link at 90 % up to 10 that one of them lacks; what no other region has counts below the key, and above it in the region that ends first."""
+    for below, above, ends, kept in (([5, 5], [0, 0], [1, 2], 1), ([6, 0], [0, 0], [1, 2], 0), ([0, 0], [6, 0], [1, 2], 0), ([0, 0], [6, 0], [2, 1], 1), ([4, 4], [2, 9], [1, 2], 0)):
+        rows = [(1, c + 1, c + 1, 100, 100, 0, 100, 100, 100, 7, 7, 20, below[c], above[c], ends[c], ends[c]) for c in range(2)]
+        names = "key cluster fam lo hi reach csize slo shi from to later alone_below alone_above last_lo last_hi".split()
+        blocks = spark.createDataFrame(rows, ", ".join(f"`{n}` long" for n in names))
+        assert setjoin._candidates(blocks, 90, False).count() == kept, (below, above, ends)
+
+
 def test_one_per_component_writes_no_texts(spark, monkeypatch):
     """Only digests and numbers are written; repeated rows, ids and nulls stay apart all the same."""
     written, write = [], setjoin.materialize

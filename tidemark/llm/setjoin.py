@@ -9,7 +9,7 @@ in a set it links with, so its first ``gone(n) + spare`` shingles, its region, h
 regions. Lists of regions are counted, and every set leaves the ``spare - 1`` longest of its shared lists (for the least spare of the sets it could link with): one common list is
 still left to both. So passages that many documents share drop out of the index, and most documents with them. Entries keep
 their position in blocks; blocks of a list whose positions and sizes already differ in more shingles than the threshold allows are skipped, as are those of sets
-that have fewer lists as long or longer than links must share.
+that have fewer lists as long or longer than links must share, or too many shingles that no other region has.
 
 **Answers from a similar set's answers.** Sets that share a fifth of their lists with one of them form a family around that centre ``c``. ``D(x)``, the shingles in
 which ``x`` and ``c`` differ, answers whether they link; ``x`` and ``y`` differ in exactly ``D(x)`` against ``D(y)``. Members that link with ``c``
@@ -33,7 +33,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import row_key, text_of
@@ -232,21 +232,24 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def _kept(nodes: DataFrame, percent: int, tmp: Scratch) -> DataFrame:
-    """uid, n, key (the list), from and to (the position block), later (kept lists of the set that are as long or longer, itself included).
+    """uid, n, key (the list), from and to (the position block), later (kept lists of the set that are as long or longer, itself included),
+    alone_below and alone_above (shingles of the region on that side of the key that no other region has) and last (the region's last shingle, in order as signed numbers).
 
     These are the entries of shared lists that sets do not leave.
     """
     entries = nodes.select("uid", F.posexplode("items").alias("pos", "key"))  # the largest shuffle: sizes come back later, to the few sets that share lists
     lists = tmp.write(entries.groupBy("key").agg(F.count("*").alias("many")).filter("many > 1"), "join-lists")
     shared = entries.join(lists.hint("merge"), "key")  # lists grow with the data: one plan for all sizes, so that small runs tell the growth of large ones
-    own = shared.groupBy("uid").agg(F.sort_array(F.collect_list(F.struct("many", "key", "pos"))).alias("own"))  # at most a region
-    own = own.join(nodes.select("uid", "n"), "uid")
-    own = own.withColumn("stay", F.size("own") - _left_out(F.col("n"), percent).cast("int")).filter("stay > 0")
-    kept = own.select("uid", "n", "stay", F.posexplode(F.slice("own", F.lit(1), F.col("stay"))).alias("place", "e"))
+    below = F.col("pos") - F.row_number().over(Window.partitionBy("uid").orderBy("pos")) + 1
+    own = shared.withColumn("below", below).groupBy("uid").agg(F.sort_array(F.collect_list(F.struct("many", "key", "pos", "below"))).alias("own"))  # at most a region
+    own = own.join(nodes.select("uid", "n", F.size("items").alias("region"), F.element_at("items", -1).bitwiseXOR(F.lit(-1 << 63)).alias("last")), "uid")
+    own = own.withColumn("stay", F.size("own") - _left_out(F.col("n"), percent).cast("int")).filter("stay > 0").withColumn("alone", F.col("region") - F.size("own"))
+    above = F.col("alone") - F.col("e.below")
+    kept = own.select("uid", "n", "stay", "alone", "last", F.posexplode(F.slice("own", F.lit(1), F.col("stay"))).alias("place", "e"))
     width = F.greatest(F.floor(_gone(F.col("n"), percent) / 4), F.lit(1))
     start = F.floor(F.col("e.pos") / width) * width
     later = (F.col("stay") - F.col("place")).alias("later")
-    kept = tmp.write(kept.select("uid", "n", F.col("e.key").alias("key"), start.alias("from"), (start + width - 1).alias("to"), later), "join-kept")
+    kept = tmp.write(kept.select("uid", "n", F.col("e.key").alias("key"), start.alias("from"), (start + width - 1).alias("to"), later, F.col("e.below").alias("alone_below"), above.alias("alone_above"), "last"), "join-kept")
     again = kept.groupBy("key").agg(F.count("*").alias("many")).filter("many > 1").select("key")
     out = tmp.write(kept.join(again, "key"), "join-entries")
     tmp.release(lists, kept)
@@ -319,26 +322,35 @@ def _candidates(blocks: DataFrame, percent: int, within: bool) -> DataFrame:
         either = _rarer("a.from", "a.hi", "b.hi", "a.shi", "b.slo", percent) & _rarer("b.from", "a.hi", "b.hi", "b.shi", "a.slo", percent)
         same = (F.col("a.fam") == F.col("b.fam")) & either
     else:
-        between = F.greatest(F.col("a.from") - F.col("b.to"), F.col("b.from") - F.col("a.to"), F.lit(0))  # elements below the key that only one side has
+        # Elements on each side of the key that only one set has. What no other region has is in no other set if it lies below the key, or in the region that ends first.
+        below = F.greatest(
+            F.col("a.from") - F.col("b.to") + 2 * F.col("b.alone_below"), F.col("b.from") - F.col("a.to") + 2 * F.col("a.alone_below"), F.col("a.alone_below") + F.col("b.alone_below")
+        )
+        a_alone = F.when(F.col("a.last_hi") <= F.col("b.last_lo"), F.col("a.alone_above")).otherwise(0)
+        b_alone = F.when(F.col("b.last_hi") <= F.col("a.last_lo"), F.col("b.alone_above")).otherwise(0)
+        a_more = (F.col("a.lo") - F.col("a.to")) - (F.col("b.hi") - F.col("b.from")) + 2 * b_alone
+        b_more = (F.col("b.lo") - F.col("b.to")) - (F.col("a.hi") - F.col("a.from")) + 2 * a_alone
+        apart = below + F.greatest(a_more, b_more, a_alone, b_alone)
         # Linked sets have ``need`` kept lists in common, so need - 1 more come after the rarest of those on both sides: a pair is taken up only in lists
         # with as many after them, and lists that unrelated sets have in common, the longest of both, give no rows.
         need = _need(*[F.col(f"{s}.{c}") for s in "ab" for c in ("lo", "hi")], percent)
-        same = (F.col("a.fam") != F.col("b.fam")) & (between * more <= (F.col("a.hi") + F.col("b.hi")) * less) & (F.least("a.later", "b.later") >= need)
+        same = (F.col("a.fam") != F.col("b.fam")) & (apart * more <= (F.col("a.hi") + F.col("b.hi")) * less) & (F.least("a.later", "b.later") >= need)
     return a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.cluster") < F.col("b.cluster")) & same & sizes)
 
 
 def _meet(entries: DataFrame, info: DataFrame, arrays: DataFrame, percent: int, within: bool, tmp: Scratch) -> DataFrame:
     """(a, b) of linked sets of different clusters, within families or across them, that share a key; some links of clusters that others connect are left out.
 
-    ``entries``: uid, key, from, to (across families also later); ``info``: uid, fam, cluster (its centre), r (how far it is from that), n, size (of its array); ``arrays``: uid, v.
+    ``entries``: uid, key, from, to (across families all columns of ``_kept``); ``info``: uid, fam, cluster (its centre), r (how far it is from that), n, size (of its array); ``arrays``: uid, v.
     """
     less, more = 100 - percent, 100 + percent
     seen = info.select("uid", "n", "r", "size")
     spread = info.groupBy("cluster").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.max("r").alias("reach"), F.count("*").alias("many"), F.min("size").alias("slo"), F.max("size").alias("shi"))
     clusters = tmp.write(spread.join(info.select(F.col("uid").alias("cluster"), "fam", F.col("size").alias("csize")), "cluster"), "join-clusters")
-    late = [] if within else ["later"]
-    held = tmp.write(entries.join(info.select("uid", "cluster"), "uid").select("uid", "key", "cluster", "from", "to", *late), "join-held")
-    blocks = held.groupBy("key", "cluster").agg(F.min("from").alias("from"), F.max("to").alias("to"), *[F.max(c).alias(c) for c in late]).join(_sent(clusters), "cluster")
+    more_of = [] if within else ["later", "alone_below", "alone_above", "last"]
+    bounds = [F.max("later").alias("later"), F.min("alone_below").alias("alone_below"), F.min("alone_above").alias("alone_above"), F.min("last").alias("last_lo"), F.max("last").alias("last_hi")]
+    held = tmp.write(entries.join(info.select("uid", "cluster"), "uid").select("uid", "key", "cluster", "from", "to", *more_of), "join-held")
+    blocks = held.groupBy("key", "cluster").agg(F.min("from").alias("from"), F.max("to").alias("to"), *([] if within else bounds)).join(_sent(clusters), "cluster")
     pairs = _candidates(blocks, percent, within).groupBy(F.col("a.cluster").alias("a"), F.col("b.cluster").alias("b")).agg(
         *[F.first(f"{s}.{c}").alias(s + c) for s in "ab" for c in ("lo", "hi", "reach", "many", "slo")]
     )
