@@ -2,12 +2,14 @@
 
 import random
 import struct
+import time
 import zlib
 from collections import Counter
 
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 from samples import CLASHING, SF, WORD, odd_rows, plain, table, words
 
 from tidemark.llm import ann, packing, setjoin, tokens
@@ -260,6 +262,44 @@ def test_lists_of_one_passage_make_no_rows_across_families(spark, monkeypatch):
     assert sum(rows_made) < len(rows), rows_made
 
 
+def test_sets_that_meet_by_chance_are_not_read_and_others_in_parts(spark, monkeypatch):
+    """Texts of few words have many shingles in common with unrelated ones; only those that may link are read whole, a part at a time, and no shuffle files stay."""
+    monkeypatch.setattr(setjoin, "PART", 500)
+    wanted, sets, write = [], [], setjoin.Scratch.write
+
+    def seen(self, df, purpose):
+        out = write(self, df, purpose)
+        if purpose in ("join-wanted", "join-sets"):
+            (wanted if purpose == "join-wanted" else sets).append(out.count())
+        return out
+
+    monkeypatch.setattr(setjoin.Scratch, "write", seen)
+    rng = random.Random(26)
+    rows = [(i, words(rng, 60, 20)) for i in range(150)]
+    for f in range(20):
+        base = words(rng, 100, 10**6)
+        rows += [(1000 + 10 * f + k, edited(rng, base, k % 4)) for k in range(40 if f == 0 else 4)]
+    assert plain(setjoin.report(table(spark, rows)), "doc_id", "n_shingles", "component_id") == components(rows)
+    assert wanted[0] < 150 and len(sets) > 4 and max(sets) < 0.6 * wanted[0], (wanted, sets)
+
+
+def test_written_tables_leave_no_shuffle_files(spark):
+    def files():
+        found = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().iterator()
+        names = set()
+        while found.hasNext():
+            names.add(found.next().getName())
+        return {n for n in names if n.startswith("shuffle_")}
+
+    before = files()
+    out = setjoin.materialize(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count(), "test-shuffled")
+    end = time.time() + 20  # executors delete them in the background
+    while files() - before and time.time() < end:
+        time.sleep(0.2)
+    assert not files() - before
+    assert out.count() == 7 and spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
+
+
 def test_shingles_of_one_region_part_sets(spark):
     """Two sets of 100 shingles link at 90 % up to 10 that one of them lacks; what no other region has counts below the key, and above it in the region that ends first."""
     for below, above, ends, kept in (([5, 5], [0, 0], [1, 2], 1), ([6, 0], [0, 0], [1, 2], 0), ([0, 0], [6, 0], [1, 2], 0), ([0, 0], [6, 0], [2, 1], 1), ([4, 4], [2, 9], [1, 2], 0)):

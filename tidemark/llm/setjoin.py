@@ -11,6 +11,9 @@ still left to both. So passages that many documents share drop out of the index,
 their position in blocks; blocks of a list whose positions and sizes already differ in more shingles than the threshold allows are skipped, as are those of sets
 that have fewer lists as long or longer than links must share, or too many shingles that no other region has.
 
+**Chance meetings.** The more texts there are, the more shingles of unrelated texts meet. A set that only keeps short lists meets whom it links with in as many of them as links
+must share: those lists are paired, and a set that has no such pair leaves the index, so neither families nor whole sets grow with what meets by chance.
+
 **Answers from a similar set's answers.** Sets that share a fifth of their lists with one of them form a family around that centre ``c``. ``D(x)``, the shingles in
 which ``x`` and ``c`` differ, answers whether they link; ``x`` and ``y`` differ in exactly ``D(x)`` against ``D(y)``. Members that link with ``c``
 are one cluster; a large family is clustered around central members instead, while they gather anything (who links with ``c`` keeps that link). Others that link share
@@ -21,6 +24,8 @@ comparison per copy, not all pairs.
 Shingles and sets travel as 64 and 128 bit digests. Everything runs as joins and map-side combined groups; no list, family or
 component is gathered in one task.
 
+Whole sets take several times the disk of the texts, so they are read part by part, and only what they differ in from their family's centre stays.
+
 Edge cases: null or empty text has an empty set, links with nothing and is its own component; fewer words than a shingle are one shingle;
 rows that repeat a doc_id are documents of their own, named alike; a null doc_id is never a component's name if another id is there;
 an empty table gives no rows; other columns are ignored.
@@ -44,6 +49,10 @@ WORDS, PERCENT = 3, 90
 ROUNDS, BIG = 4, 256
 #: At most so many ids are sent to every task to find their rows; more are joined by a shuffle.
 SENT_IDS = 1_000_000
+#: Lists of up to so many regions are paired.
+SHORT = 4
+#: Whole sets are read in parts of about 1 / PARTS of all shingles, but not of fewer than PART.
+PARTS, PART = 8, 1 << 24
 CHUNK = 1 << 20
 
 U = np.uint64
@@ -235,7 +244,7 @@ def _kept(nodes: DataFrame, percent: int, tmp: Scratch) -> DataFrame:
     """uid, n, key (the list), from and to (the position block), later (kept lists of the set that are as long or longer, itself included),
     alone_below and alone_above (shingles of the region on that side of the key that no other region has) and last (the region's last shingle, in order as signed numbers).
 
-    These are the entries of shared lists that sets do not leave.
+    These are the entries of shared lists that sets do not leave, of sets that may link with another (``_live``).
     """
     entries = nodes.select("uid", F.posexplode("items").alias("pos", "key"))  # the largest shuffle: sizes come back later, to the few sets that share lists
     lists = tmp.write(entries.groupBy("key").agg(F.count("*").alias("many")).filter("many > 1"), "join-lists")
@@ -245,17 +254,40 @@ def _kept(nodes: DataFrame, percent: int, tmp: Scratch) -> DataFrame:
     own = own.join(nodes.select("uid", "n", F.size("items").alias("region"), F.element_at("items", -1).bitwiseXOR(F.lit(-1 << 63)).alias("last")), "uid")
     own = own.withColumn("stay", F.size("own") - _left_out(F.col("n"), percent).cast("int")).filter("stay > 0").withColumn("alone", F.col("region") - F.size("own"))
     above = F.col("alone") - F.col("e.below")
-    kept = own.select("uid", "n", "stay", "alone", "last", F.posexplode(F.slice("own", F.lit(1), F.col("stay"))).alias("place", "e"))
+    stays = F.slice("own", F.lit(1), F.col("stay"))
+    long_lists = F.size(F.filter(stays, lambda e: e["many"] > SHORT))
+    kept = own.select("uid", "n", "stay", "alone", "last", long_lists.alias("long"), F.posexplode(stays).alias("place", "e"))
     width = F.greatest(F.floor(_gone(F.col("n"), percent) / 4), F.lit(1))
     start = F.floor(F.col("e.pos") / width) * width
     later = (F.col("stay") - F.col("place")).alias("later")
-    kept = tmp.write(kept.select("uid", "n", F.col("e.key").alias("key"), start.alias("from"), (start + width - 1).alias("to"), later, F.col("e.below").alias("alone_below"), above.alias("alone_above"), "last"), "join-kept")
-    again = kept.groupBy("key").agg(F.count("*").alias("many")).filter("many > 1").select("key")
-    out = tmp.write(kept.join(again, "key"), "join-entries")
-    tmp.release(lists, kept)
+    place = [start.alias("from"), (start + width - 1).alias("to"), later, F.col("e.below").alias("alone_below"), above.alias("alone_above"), "last"]
+    kept = tmp.write(kept.select("uid", "n", F.col("e.key").alias("key"), F.col("e.many").alias("many"), "long", *place), "join-kept")
+    tmp.release(lists)
+    live = _live(kept, percent, tmp)
+    kept_live = tmp.write(_rows_of(kept.drop("many", "long"), live, "uid"), "join-kept-live")
+    tmp.release(kept, live)
+    again = kept_live.groupBy("key").agg(F.count("*").alias("many")).filter("many > 1").select("key")
+    out = tmp.write(kept_live.join(again, "key"), "join-entries")
+    tmp.release(kept_live)
     return out
 
 
+def _live(kept: DataFrame, percent: int, tmp: Scratch) -> DataFrame:
+    """uid: sets that keep a list longer than SHORT, and those that meet a set they may link with in as many lists as links must share.
+
+    If one of two sets has short lists only, all lists that both keep are short, and every one of them makes a row of the pair.
+    """
+    rows = kept.filter(F.col("many") <= SHORT).select("uid", "key", "long", F.col("n").alias("lo"), F.col("n").alias("hi"), "from", "to", "alone_below", "alone_above", F.col("last").alias("last_lo"), F.col("last").alias("last_hi"))
+    less, more = 100 - percent, 100 + percent
+    sizes = (F.col("a.hi") * 100 >= F.col("b.lo") * percent) & (F.col("b.hi") * 100 >= F.col("a.lo") * percent)
+    could = sizes & (_least_apart() * more <= (F.col("a.hi") + F.col("b.hi")) * less) & ((F.col("a.long") == 0) | (F.col("b.long") == 0))
+    met = rows.alias("a").join(rows.alias("b"), (F.col("a.key") == F.col("b.key")) & (F.col("a.uid") < F.col("b.uid")) & could)
+    met = met.groupBy(F.col("a.uid").alias("a"), F.col("b.uid").alias("b")).agg(F.count("*").alias("w"), F.first("a.lo").alias("n"), F.first("b.lo").alias("m"))
+    n, m = F.col("n"), F.col("m")
+    paired = met.filter(F.col("w") >= _need(n, n, m, m, percent)).select(F.explode(F.array("a", "b")).alias("uid"))
+    return tmp.write(paired.unionByName(kept.filter("long > 0").select("uid")).distinct(), "join-live")
+
+
 def _families(entries: DataFrame, tmp: Scratch) -> DataFrame:
     """uid, fam: every set with its centre, itself if it has none. Leads of lists become centres of the sets that share a fifth of their lists with them.
 
@@ -296,10 +328,10 @@ def _differ(a: str, b: str) -> Column:
     return F.concat(F.array_except(a, b), F.array_except(b, a))
 
 
-def _apart(pairs: DataFrame, arrays: DataFrame, tmp: Scratch) -> DataFrame:
+def _apart(pairs: DataFrame, arrays: Callable[[DataFrame], DataFrame], tmp: Scratch) -> DataFrame:
     """Adds ``apart``, in how many elements the arrays of a and b differ. ``pairs`` is a written table; only the arrays it names are shuffled."""
     ids = tmp.write(pairs.select(F.explode(F.array("a", "b")).alias("uid")).distinct(), "join-named-sets")
-    arrays = _rows_of(arrays, ids, "uid")
+    arrays = arrays(ids)
     left = arrays.select(F.col("uid").alias("a"), F.col("v").alias("av"))
     right = arrays.select(F.col("uid").alias("b"), F.col("v").alias("bv"))
     met = pairs.join(left, "a").join(right, "b")
@@ -312,6 +344,19 @@ def _rarer(first: str, n: str, m: str, mine: str, theirs: str, percent: int) ->
     return F.col(first) * 2 * more <= (F.col(n) + F.col(m)) * less + (F.col(mine) - F.col(theirs)) * more
 
 
+def _least_apart() -> Column:
+    """In how many elements the sets of two blocks a and b of one key differ at least."""
+    # Elements on each side of the key that only one set has. What no other region has is in no other set if it lies below the key, or in the region that ends first.
+    below = F.greatest(
+        F.col("a.from") - F.col("b.to") + 2 * F.col("b.alone_below"), F.col("b.from") - F.col("a.to") + 2 * F.col("a.alone_below"), F.col("a.alone_below") + F.col("b.alone_below")
+    )
+    a_alone = F.when(F.col("a.last_hi") <= F.col("b.last_lo"), F.col("a.alone_above")).otherwise(0)
+    b_alone = F.when(F.col("b.last_hi") <= F.col("a.last_lo"), F.col("b.alone_above")).otherwise(0)
+    a_more = (F.col("a.lo") - F.col("a.to")) - (F.col("b.hi") - F.col("b.from")) + 2 * b_alone
+    b_more = (F.col("b.lo") - F.col("b.to")) - (F.col("a.hi") - F.col("a.from")) + 2 * a_alone
+    return below + F.greatest(a_more, b_more, a_alone, b_alone)
+
+
 def _candidates(blocks: DataFrame, percent: int, within: bool) -> DataFrame:
     """Rows a, b: blocks of one key in two clusters that may hold a link."""
     less, more = 100 - percent, 100 + percent
@@ -322,26 +367,17 @@ def _candidates(blocks: DataFrame, percent: int, within: bool) -> DataFrame:
         either = _rarer("a.from", "a.hi", "b.hi", "a.shi", "b.slo", percent) & _rarer("b.from", "a.hi", "b.hi", "b.shi", "a.slo", percent)
         same = (F.col("a.fam") == F.col("b.fam")) & either
     else:
-        # Elements on each side of the key that only one set has. What no other region has is in no other set if it lies below the key, or in the region that ends first.
-        below = F.greatest(
-            F.col("a.from") - F.col("b.to") + 2 * F.col("b.alone_below"), F.col("b.from") - F.col("a.to") + 2 * F.col("a.alone_below"), F.col("a.alone_below") + F.col("b.alone_below")
-        )
-        a_alone = F.when(F.col("a.last_hi") <= F.col("b.last_lo"), F.col("a.alone_above")).otherwise(0)
-        b_alone = F.when(F.col("b.last_hi") <= F.col("a.last_lo"), F.col("b.alone_above")).otherwise(0)
-        a_more = (F.col("a.lo") - F.col("a.to")) - (F.col("b.hi") - F.col("b.from")) + 2 * b_alone
-        b_more = (F.col("b.lo") - F.col("b.to")) - (F.col("a.hi") - F.col("a.from")) + 2 * a_alone
-        apart = below + F.greatest(a_more, b_more, a_alone, b_alone)
         # Linked sets have ``need`` kept lists in common, so need - 1 more come after the rarest of those on both sides: a pair is taken up only in lists
         # with as many after them, and lists that unrelated sets have in common, the longest of both, give no rows.
         need = _need(*[F.col(f"{s}.{c}") for s in "ab" for c in ("lo", "hi")], percent)
-        same = (F.col("a.fam") != F.col("b.fam")) & (apart * more <= (F.col("a.hi") + F.col("b.hi")) * less) & (F.least("a.later", "b.later") >= need)
+        same = (F.col("a.fam") != F.col("b.fam")) & (_least_apart() * more <= (F.col("a.hi") + F.col("b.hi")) * less) & (F.least("a.later", "b.later") >= need)
     return a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.cluster") < F.col("b.cluster")) & same & sizes)
 
 
-def _meet(entries: DataFrame, info: DataFrame, arrays: DataFrame, percent: int, within: bool, tmp: Scratch) -> DataFrame:
+def _meet(entries: DataFrame, info: DataFrame, arrays: Callable[[DataFrame], DataFrame], percent: int, within: bool, tmp: Scratch) -> DataFrame:
     """(a, b) of linked sets of different clusters, within families or across them, that share a key; some links of clusters that others connect are left out.
 
-    ``entries``: uid, key, from, to (across families all columns of ``_kept``); ``info``: uid, fam, cluster (its centre), r (how far it is from that), n, size (of its array); ``arrays``: uid, v.
+    ``entries``: uid, key, from, to (across families all columns of ``_kept``); ``info``: uid, fam, cluster (its centre), r (how far it is from that), n, size (of its array); ``arrays``: uid, v of the sets that a written table of uid names.
     """
     less, more = 100 - percent, 100 + percent
     seen = info.select("uid", "n", "r", "size")
@@ -437,16 +473,49 @@ def _clusters(d: DataFrame, percent: int, tmp: Scratch) -> DataFrame:
     return settled.all().select("uid", "cluster", "r")
 
 
-def _links(members: DataFrame, sets: DataFrame, entries: DataFrame, percent: int, tmp: Scratch) -> DataFrame:
+def _sets(docs: DataFrame, some: DataFrame, words: int, percent: int, tmp: Scratch) -> DataFrame:
+    """uid, fam, n, items: the whole sets of ``some`` (a written table of doc_id, n, c1, c2, uid, fam and many), read from the texts."""
+    ids = tmp.write(some.select(F.col("doc_id").alias("id_")).distinct(), "join-ids")
+    again = digests(_rows_of(docs.select("doc_id", "text"), ids, F.col("doc_id").eqNullSafe(F.col("id_"))), words, percent, True)
+    same = F.col("s.doc_id").eqNullSafe(F.col("w.doc_id")) & (F.col("s.n") == F.col("w.n")) & (F.col("s.c1") == F.col("w.c1")) & (F.col("s.c2") == F.col("w.c2"))
+    found = tmp.write(again.alias("s").join(_sent(some).alias("w"), same).select("w.uid", "w.many", "w.fam", "s.n", "s.items"), "join-sets")
+    # only rows that repeat a doc_id with its text come more than once
+    return found.filter("many = 1").drop("many").unionByName(found.filter("many > 1").drop("many").dropDuplicates(["uid"]))
+
+
+def _differences(docs: DataFrame, wanted: DataFrame, shingles: int, words: int, percent: int, tmp: Scratch) -> DataFrame:
+    """uid, fam, n, cn (the centre's size), v (what it and the centre differ in): all of ``wanted``, their sets read in parts.
+
+    ``shingles``: those of all documents. A family is in one part; members of one that is large for a part are dealt over all, and each part has its centre.
+    """
+    out = Steps(docs.sparkSession, "join-differences")
+    out.add(wanted.filter("uid = fam").select("uid", "fam", "n", F.col("n").alias("cn"), F.array().cast("array<long>").alias("v")))
+    led = wanted.filter("uid <> fam").groupBy("fam").agg(F.sum("n").alias("all"), F.count("*").alias("rows"))
+    led = led.join(wanted.select(F.col("uid").alias("fam"), F.col("n").alias("cn")), "fam")
+    led = tmp.write(led, "join-led")
+    held, ids = (x or 0 for x in led.agg(F.sum(F.col("all") + F.col("cn")), F.sum(F.col("rows") + 1)).first())
+    parts = max(-(-held // max(shingles // PARTS, PART)), -(-ids * 5 // (4 * SENT_IDS)))
+    dealt = F.col("all") * 4 * parts > held
+    each = wanted.join(_sent(led.select("fam", dealt.alias("dealt"))), "fam")
+    each = tmp.write(each.withColumn("part", F.pmod(F.xxhash64(F.when(F.col("dealt"), F.col("uid")).otherwise(F.col("fam"))), F.lit(max(parts, 1)))), "join-parts")
+    for i in range(parts):
+        part = Scratch()
+        some = each.filter((F.col("part") == i) | (F.col("dealt") & (F.col("uid") == F.col("fam")))).drop("part", "dealt")
+        sets = _sets(docs, part.write(some, "join-part"), words, percent, part)
+        centre = sets.filter("uid = fam").select("fam", F.col("n").alias("cn"), F.col("items").alias("c_items"))
+        out.add(sets.filter("uid <> fam").join(centre, "fam").select("uid", "fam", "n", "cn", _differ("items", "c_items").alias("v")))
+        part.release()
+    d = out.all().drop("_step")
+    d._written_at = out.path
+    tmp.written.append(d)
+    return d
+
+
+def _links(docs: DataFrame, wanted: DataFrame, shingles: int, entries: DataFrame, words: int, percent: int, tmp: Scratch) -> DataFrame:
     """(a, b) of linked sets; links between clusters and within them that other links connect are left out."""
     less, more = 100 - percent, 100 + percent
-    own = sets.join(_sent(members), "uid").select("uid", "fam", "n", "items")
-    led = tmp.write(members.filter("uid <> fam").select("fam").distinct(), "join-led")
-    centre = _rows_of(own.filter("uid = fam"), led, "fam").select("fam", F.col("n").alias("cn"), F.col("items").alias("c_items"))
-    d = own.filter("uid <> fam").join(centre, "fam").select("uid", "fam", "n", "cn", _differ("items", "c_items").alias("v"))
-    d = d.unionByName(own.filter("uid = fam").select("uid", "fam", "n", F.col("n").alias("cn"), F.array().cast("array<long>").alias("v")))
-    d = d.withColumn("size", F.size("v")).withColumn("linked", F.col("size") * more <= less * (F.col("n") + F.col("cn")))
-    d = tmp.write(d, "join-differences")
+    written = _differences(docs, wanted, shingles, words, percent, tmp)
+    d = written.withColumn("size", F.size("v")).withColumn("linked", F.col("size") * more <= less * (F.col("n") + F.col("cn")))
     grouped = _clusters(d, percent, tmp)
     info = d.select("uid", "fam", "n", "size", "linked").join(grouped, "uid", "left")
     info = tmp.write(info.select("uid", "fam", "n", "size", "linked", F.coalesce("cluster", "uid").alias("cluster"), F.coalesce("r", F.lit(0)).alias("r")), "join-info")
@@ -467,35 +536,35 @@ def _links(members: DataFrame, sets: DataFrame, entries: DataFrame, percent: int
     rank = F.col("alone") + F.col("place")
     rare = rare.select("uid", F.col("s.key"), rank.alias("from"), rank.alias("to"))
     part = Scratch()  # the larger half of the work; its tables and shuffles go before the other half
-    inside = tmp.write(_meet(part.write(rare, "join-rare"), info, d.select("uid", "v"), percent, True, part), "join-inside")
+    inside = tmp.write(_meet(part.write(rare, "join-rare"), info, lambda ids: _rows_of(d.select("uid", "v"), ids, "uid"), percent, True, part), "join-inside")
     part.release()
-    tmp.release(d)
-    outside = _meet(entries, info.withColumn("size", F.col("n").cast("int")), sets.select("uid", F.col("items").alias("v")), percent, False, tmp)
+    tmp.release(written)
+
+    def whole(ids: DataFrame) -> DataFrame:
+        return _sets(docs, tmp.write(_rows_of(wanted, ids, "uid"), "join-named-rows"), words, percent, tmp).select("uid", F.col("items").alias("v"))
+
+    outside = _meet(entries, info.withColumn("size", F.col("n").cast("int")), whole, percent, False, tmp)
     return star.unionByName(inside).unionByName(outside)
 
 
 def join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id (and uid, root: the row and its component's node), one row per row of ``docs``.
 
-    Texts are read twice: for the regions, and for the sets of documents that share lists only. Runs a job per step.
+    Texts are read again for the sets of documents that may link only, and for those that pairs across families name. Runs a job per step.
     """
     tmp = Scratch()
     regions = tmp.write(digests(docs, words, percent, False).withColumn("uid", F.monotonically_increasing_id()), "join-regions")
     rows = materialize(regions.drop("items"), "join-rows")
     classes = tmp.write(rows.filter("n > 0").groupBy("n", "c1", "c2").agg(F.min("uid").alias("root"), F.min("doc_id").alias("low")), "join-classes")
-    entries = _kept(_rows_of(regions.select("uid", "n", "items"), classes.select(F.col("root").alias("uid")), "uid"), percent, tmp)
+    nodes = tmp.write(_rows_of(regions.select("uid", "n", "items"), classes.select(F.col("root").alias("uid")), "uid"), "join-nodes")
     tmp.release(regions)
+    entries = _kept(nodes, percent, tmp)
+    tmp.release(nodes)
     members = _families(entries, tmp)
     alike = rows.groupBy("doc_id", "n", "c1", "c2").agg(F.count("*").alias("many"), F.min("uid").alias("uid"))  # rows of one class have its least uid
-    wanted = tmp.write(alike.join(members.select("uid"), "uid"), "join-wanted")
-    ids = tmp.write(wanted.select(F.col("doc_id").alias("id_")).distinct(), "join-ids")
-    again = digests(_rows_of(docs.select("doc_id", "text"), ids, F.col("doc_id").eqNullSafe(F.col("id_"))), words, percent, True)
-    same = F.col("s.doc_id").eqNullSafe(F.col("w.doc_id")) & (F.col("s.n") == F.col("w.n")) & (F.col("s.c1") == F.col("w.c1")) & (F.col("s.c2") == F.col("w.c2"))
-    found = again.alias("s").join(_sent(wanted).alias("w"), same).select("w.uid", "w.many", "s.n", "s.items")
-    found = tmp.write(found, "join-sets")
-    # only rows that repeat a doc_id with its text come more than once
-    sets = found.filter("many = 1").drop("many").unionByName(found.filter("many > 1").drop("many").dropDuplicates(["uid"]))
-    roots = components(_links(members, sets, entries, percent, tmp))
+    wanted = tmp.write(alike.join(members, "uid"), "join-wanted")
+    shingles = rows.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    roots = components(_links(docs, wanted, shingles, entries, words, percent, tmp))
     named = classes.join(roots.withColumnRenamed("root", "top"), classes["root"] == roots["node"], "left").select("n", "c1", "c2", "low", F.coalesce("top", "root").alias("root"))
     named = tmp.write(named, "join-named")
     least = named.groupBy("root").agg(F.min("low").alias("component_id"))

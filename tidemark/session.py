@@ -7,6 +7,7 @@ import os
 import re
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import IntegerType, StructField, StructType
@@ -66,15 +67,28 @@ def scratch_path(spark: SparkSession, purpose: str) -> str:
     return f"{shared_folder(spark)}/{purpose}-{uuid.uuid4().hex}"
 
 
+@contextmanager
+def shuffles_end_with_it(spark: SparkSession):
+    """Writes in this block delete their shuffle files when they are through; else those stay until the driver's garbage is collected."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, "false")
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def materialize(df: DataFrame, purpose: str) -> DataFrame:
     """Write ``df`` as Parquet below the shared folder and read it back (an action).
 
     Cuts lineage so that later passes re-read columns instead of recomputing joins, and survives the
-    loss of any executor.
+    loss of any executor. The write's shuffle files go with it.
     """
     spark = df.sparkSession
     path = scratch_path(spark, purpose)
-    df.write.parquet(path)
+    with shuffles_end_with_it(spark):
+        df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._written_at = path
     return out
@@ -151,7 +165,8 @@ class Steps:
         """Write the next step (counted from 0) and read it back (an action)."""
         self.schema = df.schema
         path = f"{self.path}/_step={self.count}"
-        df.write.parquet(path)
+        with shuffles_end_with_it(self.spark):
+            df.write.parquet(path)
         self.count += 1
         return self.spark.read.schema(df.schema).parquet(path)
 
